@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, toxicity, url_filter
+from . import license_scan, packing, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLES = {"op8_url_filter": url_filter.SQL}
