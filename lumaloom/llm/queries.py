@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import license_scan, packing, suffix_dedup, toxicity, url_filter
+from . import jaccard_join, license_scan, packing, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_license_scan": license_scan.op7_license_scan,

@@ -49,7 +49,7 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
         take = min(have, n - have)
         out[have : have + take] = out[:take] * step
         have += take
-        step = step * step
+        step = np.uint64(int(step) ** 2 & (1 << 64) - 1)
     return out
 
 
