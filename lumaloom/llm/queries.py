@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann_search, embedding_dedup, jaccard_join, license_scan, packing, suffix_dedup, toxicity, url_filter
+from . import ann_search, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_ann_search": ann_search.op9_ann_search,
