@@ -20,7 +20,9 @@ are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -124,17 +126,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int =
     return b
 
 
-def train(labelled: DataFrame, max_toxic: int = 1500, max_ordinary: int = 3000, max_chars: int = 20_000) -> dict:
-    """labelled(doc_id, text, toxic) -> {toxic, ordinary: dictionaries; weights; base}."""
-    rows = labelled.filter("toxic in (0, 1)").select("doc_id", F.substring("text", 1, max_chars).alias("text"), "toxic")
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 3000, max_chars: int = 20_000) -> dict:
+    """docs(doc_id, text), labels(doc_id, toxic) -> {toxic, ordinary: dictionaries; weights; base}.
+
+    The sample is chosen from the labels alone, so only its texts move.
+    """
+    known = labels.filter("toxic in (0, 1)").select("doc_id", "toxic")
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     base = n1 / (n1 + n0) if n1 + n0 else 0.0
     if not n1 or not n0:
         return {"toxic": None, "ordinary": None, "weights": None, "base": base}
-    ones = [r["text"] for r in rows.filter("toxic = 1").orderBy(*order).limit(max_toxic).collect()]
-    zeros = [r["text"] for r in rows.filter("toxic = 0").orderBy(*order).limit(max_ordinary).collect()]
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = known.filter("toxic = 1").orderBy(*order).limit(max_toxic).union(known.filter("toxic = 0").orderBy(*order).limit(max_ordinary))
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.substring("text", 1, max_chars).alias("text")).toPandas()
+    texts = texts.iloc[np.argsort([zlib.crc32(str(d).encode()) * 2**32 + d for d in texts["doc_id"]], kind="stable")]
+    ones, zeros = texts["text"][texts["toxic"] == 1].tolist(), texts["text"][texts["toxic"] == 0].tolist()
+    if not ones or not zeros:
+        return {"toxic": None, "ordinary": None, "weights": None, "base": base}
     a1, b1, a0, b0 = ones[::2], ones[1::2] or ones, zeros[::2], zeros[1::2] or zeros
     model = {"toxic": train_dictionary(a1, a0), "ordinary": train_dictionary(a0, a1, least_odds=0.0), "base": base}
     meter = WindowMeter(model["toxic"], model["ordinary"])
@@ -144,20 +153,25 @@ def train(labelled: DataFrame, max_toxic: int = 1500, max_ordinary: int = 3000,
     return model | {"weights": w}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, score double for every row of docs(doc_id, text)."""
+def scorer(model: dict):
+    """A vectorised column function: text -> score."""
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         meter = WindowMeter(model["toxic"], model["ordinary"]) if model["weights"] is not None else None
-        for pdf in batches:
+        for texts in batches:
             if meter is None:
-                s = np.full(len(pdf), model["base"])
-            else:
-                x = np.array([meter.features(t) for t in pdf["text"]]).reshape(len(pdf), -1)
-                s = 1 / (1 + np.exp(-np.clip(model["weights"][0] + x @ model["weights"][1:], -30, 30)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s})
+                yield pd.Series(np.full(len(texts), model["base"], dtype=float))
+                continue
+            x = np.array([meter.features(t) for t in texts]).reshape(len(texts), -1)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(model["weights"][0] + x @ model["weights"][1:], -30, 30))))
+
+    return score_of
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """docs with a column ``score``."""
+    return docs.withColumn("score", scorer(model)(F.col("text")))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -167,10 +181,10 @@ def held_out(doc_id: Column) -> Column:
 def model_for(docs: DataFrame, labels: DataFrame) -> dict:
     """The model from the labelled rows that are not held out."""
     kept = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    return train(docs.select("doc_id", "text").join(kept, "doc_id"))
+    return train(docs.select("doc_id", "text"), kept)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, model_for(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs.select("doc_id", "text"), model_for(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
