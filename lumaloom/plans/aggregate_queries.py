@@ -1 +1,176 @@
-"""Queries."""
+"""Summaries, roll-ups and estimates (AGG-4..30)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import media as M
+from ..functions import metrics as X
+from .catalog import load
+from .registry import query
+
+
+@query("agg_4_workspace_summary", "SELECT count(DISTINCT asset_id) AS assets, count(*) AS files, count_if(is_online) AS online, count_if(NOT in_scope) AS out_of_scope, CAST(max(mtime) AS TIMESTAMP) AS newest, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM file")
+def agg_4(spark, d):
+    return load(spark, d, "file").agg(F.count_distinct("asset_id").alias("assets"), F.count("*").alias("files"), F.count_if("is_online").alias("online"), F.count_if(~F.col("in_scope")).alias("out_of_scope"), F.max("mtime").alias("newest"), F.sum("size_bytes").alias("bytes"))
+
+
+@query("agg_5_folder_counts", "SELECT folder, count(*) AS files, count_if(media_type <> 'video') AS images, count_if(media_type = 'video') AS videos, CAST(sum(coalesce(size_bytes, 0)) AS BIGINT) AS bytes FROM file GROUP BY folder UNION ALL SELECT '', 0, 0, 0, 0 WHERE NOT EXISTS (SELECT 1 FROM file WHERE folder = '')")
+def agg_5(spark, d):
+    """Direct counts; the root always has a row."""
+    f = load(spark, d, "file").select(M.parent_folder(F.col("relative_path")).alias("folder"), "media_type", "size_bytes", F.lit(1).alias("one"))
+    root = spark.range(1).select(F.lit("").alias("folder"), F.lit(None).cast("string").alias("media_type"), F.lit(0).cast("long").alias("size_bytes"), F.lit(0).alias("one"))
+    video = F.col("media_type") == "video"
+    return f.unionByName(root).groupBy("folder").agg(F.sum("one").cast("long").alias("files"), F.count_if(~video).alias("images"), F.count_if(video).alias("videos"), F.sum(F.coalesce("size_bytes", F.lit(0))).cast("long").alias("bytes"))
+
+
+ANCESTORS = "(SELECT f.file_id, f.size_bytes, f.extension, array_to_string(list_slice(string_split(f.folder, '/'), 1, i), '/') AS prefix FROM file f, LATERAL (SELECT unnest(range(0, CASE WHEN f.folder = '' THEN 1 ELSE len(string_split(f.folder, '/')) + 1 END)) AS i))"
+
+
+@query("agg_6_folder_rollup_set", f"SELECT DISTINCT prefix AS folder FROM {ANCESTORS}")
+def agg_6(spark, d):
+    folders = load(spark, d, "file").select(M.parent_folder(F.col("relative_path")).alias("f")).distinct()
+    return folders.select(F.explode(M.folder_prefixes(F.col("f"))).alias("folder")).distinct()
+
+
+@query("agg_7_recursive_rollup", f"SELECT prefix AS folder, extension, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM {ANCESTORS} GROUP BY 1, 2")
+def agg_7(spark, d):
+    """Counts by folder and extension first, then up the tree: the explode works on folders, not files."""
+    direct = load(spark, d, "file").groupBy(M.parent_folder(F.col("relative_path")).alias("f"), "extension").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
+    return direct.select(F.explode(M.folder_prefixes(F.col("f"))).alias("folder"), "extension", "n", "b").groupBy("folder", "extension").agg(F.sum("n").cast("long").alias("files"), F.sum("b").cast("long").alias("bytes"))
+
+
+@query("agg_8_recommendation_counts", "SELECT count(*) AS assets, count_if(asset_id % 4 = 0) AS recommended, count_if(selection_state = 'selected') AS selected, count_if(selection_state = 'rejected') AS rejected, count_if(selection_state = 'undecided') AS undecided FROM asset")
+def agg_8(spark, d):
+    s = lambda v: F.count_if(F.col("selection_state") == v).alias(v)
+    return load(spark, d, "asset").agg(F.count("*").alias("assets"), F.count_if(F.col("asset_id") % 4 == 0).alias("recommended"), s("selected"), s("rejected"), s("undecided"))
+
+
+@query("agg_9_distinct_paths", "SELECT asset_id, string_agg(DISTINCT relative_path, ',' ORDER BY relative_path) AS paths FROM file GROUP BY asset_id")
+def agg_9(spark, d):
+    return load(spark, d, "file").groupBy("asset_id").agg(F.array_join(F.array_sort(F.collect_set("relative_path")), ",").alias("paths"))
+
+
+@query("agg_10_sample_counts", "SELECT file_id, kind, count(*) AS n FROM job WHERE status = 'complete' GROUP BY file_id, kind")
+def agg_10(spark, d):
+    return load(spark, d, "job").filter("status = 'complete'").groupBy("file_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("agg_11_status_counts", "SELECT kind, count_if(status = 'complete') AS complete, count_if(status = 'failed') AS failed, count_if(status = 'running') AS running, count_if(status = 'pending') AS pending, CASE WHEN sum(CASE WHEN status = 'complete' THEN seconds END) > 0 THEN count_if(status = 'pending') * (sum(CASE WHEN status = 'complete' THEN seconds END) / count_if(status = 'complete')) END AS eta FROM job GROUP BY kind")
+def agg_11(spark, d):
+    n = lambda s: F.count_if(F.col("status") == s)
+    done = F.sum(F.when(F.col("status") == "complete", F.col("seconds")))
+    return load(spark, d, "job").groupBy("kind").agg(*[n(s).alias(s) for s in ("complete", "failed", "running", "pending")], F.when(done > 0, n("pending") * (done / n("complete"))).alias("eta"))
+
+
+@query("agg_12_plan_summary", """SELECT role AS operation, count(*) AS candidates, CAST(sum(size_bytes) AS BIGINT) AS candidate_bytes, count_if(is_online) AS potential, CAST(coalesce(sum(CASE WHEN is_online THEN size_bytes END), 0) AS BIGINT) AS potential_bytes,
+ count_if(is_online AND in_scope) AS ready, CAST(coalesce(sum(CASE WHEN is_online AND in_scope AND role = 'managed_jxl' THEN size_bytes - CAST(floor(size_bytes * 0.5) AS BIGINT) END), 0) AS BIGINT) AS bytes_saved FROM file GROUP BY role""")
+def agg_12(spark, d):
+    on, ready = F.col("is_online"), F.col("is_online") & F.col("in_scope")
+    saved = F.when(ready & (F.col("role") == "managed_jxl"), F.col("size_bytes") - F.floor(F.col("size_bytes") * F.lit(0.5)).cast("long"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return load(spark, d, "file").groupBy(F.col("role").alias("operation")).agg(F.count("*").alias("candidates"), total("size_bytes").alias("candidate_bytes"), F.count_if(on).alias("potential"), total(F.when(on, F.col("size_bytes"))).alias("potential_bytes"), F.count_if(ready).alias("ready"), total(saved).alias("bytes_saved"))
+
+
+@query("agg_12_survivors", "SELECT count(*) AS without_survivor FROM (SELECT asset_id FROM file GROUP BY asset_id HAVING bool_or(is_online) AND NOT bool_or(is_online AND role <> 'original'))")
+def agg_12_survivors(spark, d):
+    """Assets that lose their last online file when all originals go."""
+    g = load(spark, d, "file").groupBy("asset_id").agg(F.bool_or("is_online").alias("any"), F.bool_or(F.col("is_online") & (F.col("role") != "original")).alias("left"))
+    return g.filter("any and not left").agg(F.count("*").alias("without_survivor"))
+
+
+@query("agg_13_blockers", "WITH b AS (SELECT role AS profile, component_status AS reason, filename, min(file_id) AS stamp FROM file WHERE NOT is_online GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY profile, reason ORDER BY stamp) AS k FROM b), n AS (SELECT role AS profile, component_status AS reason, count(*) AS n FROM file WHERE NOT is_online GROUP BY ALL) SELECT n.profile, n.reason, n.n, string_agg(r.filename, ',' ORDER BY r.k) AS examples FROM n JOIN r ON n.profile = r.profile AND n.reason = r.reason WHERE r.k <= 5 GROUP BY ALL")
+def agg_13(spark, d):
+    """Count and the first five distinct names; names are pre-aggregated, so no list grows with the rows."""
+    from pyspark.sql import Window
+
+    f = load(spark, d, "file").filter("not is_online").select(F.col("role").alias("profile"), F.col("component_status").alias("reason"), "filename", "file_id")
+    names = f.groupBy("profile", "reason", "filename").agg(F.min("file_id").alias("stamp"), F.count("*").alias("n"))
+    ranked = names.withColumn("k", F.row_number().over(Window.partitionBy("profile", "reason").orderBy("stamp")))
+    g = ranked.groupBy("profile", "reason").agg(F.sum("n").cast("long").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.struct("k", "filename")))).alias("x"))
+    return g.select("profile", "reason", "n", F.array_join(F.transform("x", lambda y: y["filename"]), ",").alias("examples"))
+
+
+@query("agg_15_top_quartile", "WITH r AS (SELECT file_id, seconds, row_number() OVER (PARTITION BY file_id ORDER BY seconds DESC) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM job) SELECT file_id, round(avg(seconds), 9) AS score FROM r WHERE k <= ceil(n * 0.25) GROUP BY file_id")
+def agg_15(spark, d):
+    g = load(spark, d, "job").groupBy("file_id").agg(F.collect_list("seconds").alias("s"))
+    return g.select("file_id", F.round(X.top_quartile_mean(F.col("s")), 9).alias("score"))
+
+
+@query("agg_17_historical_rate", "SELECT kind, greatest(sum(seconds) / count(*), 0.45 * 12.0) AS rate FROM (SELECT kind, seconds, row_number() OVER (PARTITION BY kind ORDER BY stamp DESC, job_id DESC) AS k FROM job WHERE status = 'complete') WHERE k <= 8 GROUP BY kind")
+def agg_17(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("kind").orderBy(F.desc("stamp"), F.desc("job_id"))
+    last = load(spark, d, "job").filter("status = 'complete'").withColumn("k", F.row_number().over(w)).filter("k <= 8")
+    return last.groupBy("kind").agg(F.greatest(F.sum("seconds") / F.count("*"), F.lit(0.45 * 12.0)).alias("rate"))
+
+
+@query("agg_18_indexed_work", """WITH a AS (SELECT asset_id, CASE WHEN bool_or(extension = '.mp4') THEN 'video' WHEN bool_or(extension NOT IN ('.cr3', '.dng')) THEN 'rendered' ELSE 'raw' END AS kind, count_if(component_status <> 'complete') AS pending,
+ CAST(coalesce(sum(CASE WHEN extension = '.mp4' THEN least(greatest(ceil(duration * 2.0), 2), 32) END), 0) AS BIGINT) AS samples FROM file WHERE in_scope GROUP BY asset_id) SELECT kind, count(*) AS assets, CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(samples) AS BIGINT) AS samples FROM a GROUP BY kind""")
+def agg_18(spark, d):
+    ext = F.col("extension")
+    n = F.when(ext == ".mp4", X.sample_count(F.col("duration"), 2.0, 2, 32))
+    a = load(spark, d, "file").filter("in_scope").groupBy("asset_id").agg(
+        F.when(F.bool_or(ext == ".mp4"), "video").when(F.bool_or(~M.is_raw(ext)), "rendered").otherwise("raw").alias("kind"), F.count_if(F.col("component_status") != "complete").alias("pending"), F.coalesce(F.sum(n), F.lit(0)).alias("samples")
+    )
+    return a.groupBy("kind").agg(F.count("*").alias("assets"), F.sum("pending").cast("long").alias("pending"), F.sum("samples").cast("long").alias("samples"))
+
+
+@query("agg_19_28_estimate", "SELECT media_type, count_if(component_status <> 'complete') AS pending, count_if(component_status <> 'complete') * CASE WHEN media_type = 'video' THEN 4.0 ELSE 0.25 END + 12.0 AS seconds, count_if(component_status <> 'complete') * 512 * 2 AS vector_bytes FROM file WHERE in_scope GROUP BY media_type")
+def agg_19(spark, d):
+    pending = F.count_if(F.col("component_status") != "complete")
+    g = load(spark, d, "file").filter("in_scope").groupBy("media_type").agg(pending.alias("pending"))
+    rate = F.when(F.col("media_type") == "video", 4.0).otherwise(0.25)
+    return g.select("media_type", "pending", (F.col("pending") * rate + 12.0).alias("seconds"), (F.col("pending") * 512 * 2).alias("vector_bytes"))
+
+
+@query("agg_20_duplicate_counts", "WITH fam AS (SELECT media_type, sha256, count(*) AS n, count(DISTINCT asset_id) AS a FROM file GROUP BY ALL) SELECT media_type, count(*) AS families, CAST(sum(n - 1) AS BIGINT) AS duplicate_files, count_if(a > 1) AS across_assets FROM fam WHERE n > 1 GROUP BY media_type")
+def agg_20(spark, d):
+    fam = load(spark, d, "file").groupBy("media_type", "sha256").agg(F.count("*").alias("n"), F.count_distinct("asset_id").alias("a")).filter("n > 1")
+    return fam.groupBy("media_type").agg(F.count("*").alias("families"), F.sum(F.col("n") - 1).cast("long").alias("duplicate_files"), F.count_if(F.col("a") > 1).alias("across_assets"))
+
+
+@query("agg_21_group_statistics", "SELECT n AS size, count(*) AS groups, min(span) AS least_span, max(span) AS most_span FROM (SELECT group_id, count(*) AS n, date_diff('day', CAST(min(created_day) AS DATE), CAST(max(created_day) AS DATE)) AS span FROM asset WHERE group_id IS NOT NULL GROUP BY group_id) GROUP BY n")
+def agg_21(spark, d):
+    g = load(spark, d, "asset").filter("group_id is not null").groupBy("group_id").agg(F.count("*").alias("size"), F.datediff(F.max("created_day").cast("date"), F.min("created_day").cast("date")).cast("long").alias("span"))
+    return g.groupBy("size").agg(F.count("*").alias("groups"), F.min("span").alias("least_span"), F.max("span").alias("most_span"))
+
+
+@query("agg_23_recommendation_stats", "WITH g AS (SELECT group_id, count(*) AS n, bool_or(asset_id % 4 = 0) AS rec FROM asset WHERE group_id IS NOT NULL GROUP BY group_id) SELECT count_if(n > 1 AND rec) AS multi_recommending, count_if(n = 1 AND rec) AS singleton_recommending, count_if(NOT rec) AS without FROM g")
+def agg_23(spark, d):
+    g = load(spark, d, "asset").filter("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n"), F.bool_or(F.col("asset_id") % 4 == 0).alias("rec"))
+    return g.agg(F.count_if((F.col("n") > 1) & F.col("rec")).alias("multi_recommending"), F.count_if((F.col("n") == 1) & F.col("rec")).alias("singleton_recommending"), F.count_if(~F.col("rec")).alias("without"))
+
+
+@query("agg_25_set_fingerprint", "SELECT media_type, sha256(string_agg(CAST(asset_id AS STRING), chr(10) ORDER BY CAST(asset_id AS STRING))) AS fingerprint FROM asset WHERE asset_id < 2000 GROUP BY media_type")
+def agg_25(spark, d):
+    """Order-independent; ids are listed per media type, as the fingerprint is defined on the sorted list."""
+    a = load(spark, d, "asset").filter("asset_id < 2000")
+    return a.groupBy("media_type").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("asset_id").cast("string"))), "\n"), 256).alias("fingerprint"))
+
+
+@query("agg_26_snapshot_fingerprint", "SELECT count(*) AS n, CAST(sum(h % 1000003) AS BIGINT) AS checksum FROM (SELECT CAST('0x' || substr(md5(file_id || '|' || relative_path || '|' || size_bytes || '|' || sha256), 1, 8) AS BIGINT) AS h FROM file)")
+def agg_26(spark, d):
+    """A snapshot's fingerprint as a sum of row digests: no sort, map-side combine."""
+    row = F.md5(F.concat_ws("|", F.col("file_id").cast("string"), "relative_path", F.col("size_bytes").cast("string"), "sha256"))
+    h = F.conv(F.substring(row, 1, 8), 16, 10).cast("long")
+    return load(spark, d, "file").agg(F.count("*").alias("n"), F.sum(h % 1000003).cast("long").alias("checksum"))
+
+
+@query("agg_27_camera_identity", "SELECT asset_id, CASE WHEN count(DISTINCT camera) = 1 THEN max(camera) END AS camera FROM (SELECT asset_id, lower(trim('  Maker' || CAST(size_bytes % 3 AS STRING) || ' ')) AS camera FROM file WHERE role <> 'derived_preview') GROUP BY asset_id")
+def agg_27(spark, d):
+    c = F.lower(F.trim(F.concat(F.lit("  Maker"), (F.col("size_bytes") % 3).cast("string"), F.lit(" "))))
+    g = load(spark, d, "file").filter("role <> 'derived_preview'").groupBy("asset_id").agg(F.min(c).alias("a"), F.max(c).alias("b"))
+    return g.select("asset_id", F.when(F.col("a") == F.col("b"), F.col("a")).alias("camera"))
+
+
+@query("agg_29_timings", "SELECT kind, count(*) AS n, round(sum(seconds), 6) AS seconds FROM job GROUP BY kind")
+def agg_29(spark, d):
+    return load(spark, d, "job").groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 6).alias("seconds"))
+
+
+@query("agg_30_offline_media", "SELECT count_if(media_type = 'image') AS images, count_if(media_type = 'video') AS videos FROM file WHERE NOT is_online")
+def agg_30(spark, d):
+    t = F.col("media_type")
+    return load(spark, d, "file").filter("not is_online").agg(F.count_if(t == "image").alias("images"), F.count_if(t == "video").alias("videos"))

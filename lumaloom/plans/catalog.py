@@ -88,7 +88,7 @@ VIEWS: dict[str, tuple[str, list[str] | None, list[tuple[str, str]]]] = {
             ("file_id", "user_id"),
             ("kind", "event_type"),
             ("seconds", "value"),
-            ("at", "ts"),
+            ("stamp", "ts"),
             ("status", "CASE event_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' WHEN 2 THEN 'pending' ELSE 'complete' END"),
             ("props", "props"),
         ],
