@@ -56,12 +56,18 @@ def strict_groups(records: DataFrame, burst: Callable[[dict, dict], bool], simil
     dated = islands(records.filter("t is not null"), "t", ["semantics"], WINDOW, ["asset_id"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [one(g) for _, g in pdf.groupby("island", sort=True)]
+        return pd.concat(parts) if parts else pd.DataFrame({"asset_id": [], "group_key": []})
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) == 1:
+            return pd.DataFrame({"asset_id": pdf["asset_id"], "group_key": pdf["asset_id"]}) if pdf[features].notna().all(axis=None) else pd.DataFrame({"asset_id": [], "group_key": []}, dtype=pdf["asset_id"].dtype)
         rows = pdf.sort_values(["t", "asset_id"], kind="stable").to_dict("records")
         groups: list[list[dict]] = []
         home: dict = {}
         before = None
         for r in rows:
-            if any(r[f] is None for f in features):
+            if any(r[f] is None or r[f] != r[f] for f in features):
                 before = None
                 continue
             mine = None
@@ -90,7 +96,8 @@ def strict_groups(records: DataFrame, burst: Callable[[dict, dict], bool], simil
         return pd.DataFrame(out, columns=["asset_id", "group_key"])
 
     schema = f"asset_id {dict(records.dtypes)['asset_id']}, group_key {dict(records.dtypes)['asset_id']}"
-    found = dated.groupBy("semantics", "island").applyInPandas(run, schema)
+    # neighbouring islands share a call: most are a few rows
+    found = dated.groupBy("semantics", F.floor(F.col("island") / 256)).applyInPandas(run, schema)
     alone = records.filter("t is null").select("asset_id", F.col("asset_id").alias("group_key"))
     return found.unionByName(alone)
 

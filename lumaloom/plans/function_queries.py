@@ -1 +1,226 @@
-"""Queries."""
+"""Scalar functions (S-1..34) and media sources (FLT-13, SRC-10/11)."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..functions import media as M
+from ..functions import metrics as X
+from ..functions import times as T
+from .catalog import load
+from .registry import query
+
+
+@query("s_1_path_parts", "SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages", views=False)
+def s_1(spark, d):
+    u = F.col("url")
+    return load(spark, d, "pages").select("page_id", M.parent_folder(u).alias("parent"), M.base_name(u).alias("base"))
+
+
+@query("s_1_stem_extension", "SELECT file_id, substr(filename, 1, length(filename) - length(extension)) AS stem, extension FROM file")
+def s_1b(spark, d):
+    p = F.col("relative_path")
+    return load(spark, d, "file").select("file_id", M.stem(p).alias("stem"), M.extension(p).alias("extension"))
+
+
+@query("s_2_casefold", "SELECT file_id, lower(relative_path) AS folded FROM file")
+def s_2(spark, d):
+    return load(spark, d, "file").select("file_id", F.lower("relative_path").alias("folded"))
+
+
+@query("s_3_literal_like", "SELECT page_id FROM pages WHERE contains(url, '%') OR contains(url, '_')", views=False)
+def s_3(spark, d):
+    return load(spark, d, "pages").filter(F.col("url").contains("%") | F.col("url").contains("_")).select("page_id")
+
+
+@query("s_4_hamming", "SELECT file_id, CAST(bit_count(xor(CAST('0x' || substr(a, 1, 8) AS BIGINT), CAST('0x' || substr(b, 1, 8) AS BIGINT))) + bit_count(xor(CAST('0x' || substr(a, 9, 8) AS BIGINT), CAST('0x' || substr(b, 9, 8) AS BIGINT))) AS INT) AS distance FROM (SELECT file_id, substr(sha256, 1, 16) AS a, substr(sha256, 17, 16) AS b FROM file)")
+def s_4(spark, d):
+    return load(spark, d, "file").select("file_id", X.hamming_hex(F.substring("sha256", 1, 16), F.substring("sha256", 17, 16)).alias("distance"))
+
+
+@query("s_5_6_array_distances", "SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: power(CAST(embedding[i] AS DOUBLE) - 0.1, 2))) / 64), 9) AS rmse, round(list_sum(list_transform(range(1, 65), lambda i: abs(CAST(embedding[i] AS DOUBLE) - 0.1))), 9) AS l1 FROM embeddings", views=False)
+def s_5_6(spark, d):
+    v, w = F.col("embedding").cast("array<double>"), F.array_repeat(F.lit(0.1), 64)
+    return load(spark, d, "embeddings").select("vec_id", F.round(X.rmse(v, w), 9).alias("rmse"), F.round(X.l1(v, w), 9).alias("l1"))
+
+
+@query("s_7_8_visual_gates", "WITH m AS (SELECT job_id, CAST(job_id % 40 AS INT) AS ham, seconds / 100 AS err, (job_id % 13) / 13.0 AS hist FROM job) SELECT job_id, greatest(0.0, 1 - (ham / 64.0 + err + hist / 2) / 3) AS similarity, ham <= 8 AND err <= 0.16 AND hist <= 0.18 AS same, (CASE WHEN ham >= 28 THEN 1 ELSE 0 END + CASE WHEN err >= 0.85 THEN 1 ELSE 0 END + CASE WHEN hist >= 0.60 THEN 1 ELSE 0 END) >= 2 AS veto FROM m")
+def s_7_8(spark, d):
+    h, e, c = (F.col("job_id") % 40).cast("int"), F.col("seconds") / 100, (F.col("job_id") % 13) / F.lit(13.0)
+    return load(spark, d, "job").select("job_id", X.visual_similarity(h, e, c).alias("similarity"), X.visual_match(h, e, c).alias("same"), X.burst_veto(h, e, c).alias("veto"))
+
+
+@query("s_9_normalise", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE) / n)), 6) AS length, round(CAST(embedding[1] AS DOUBLE) / sqrt(n), 6) AS first FROM (SELECT *, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS n FROM embeddings) WHERE n > 0", views=False)
+def s_9(spark, d):
+    u = load(spark, d, "embeddings").select("vec_id", X.normalized(F.col("embedding")).alias("u")).filter("u is not null")
+    return u.select("vec_id", F.round(X.dot(F.col("u"), F.col("u")), 6).alias("length"), F.round(F.element_at("u", 1), 6).alias("first"))
+
+
+@query("s_10_half_precision")
+def s_10(spark, d):
+    """Values rounded through 16-bit floats, as they are stored (no SQL type for it)."""
+    @F.pandas_udf("array<float>")
+    def half(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x).astype(np.float16).astype(np.float32))
+
+    return load(spark, d, "embeddings").select("vec_id", half("embedding").alias("stored"))
+
+
+@query("s_12_13_14_capture_times", "SELECT asset_id, epoch_us(TRY_CAST(capture_time AS TIMESTAMP)) AS wall_us, CAST(1000000 AS BIGINT) AS precision_us, CASE WHEN capture_time_kind = 'exif_offset' THEN 'absolute' ELSE 'local' END AS semantics, epoch_us(TRY_CAST(capture_time AS TIMESTAMP)) / 1e6 AS seconds FROM asset WHERE capture_time IS NOT NULL")
+def s_12(spark, d):
+    v, k = F.col("capture_time"), F.col("capture_time_kind")
+    return load(spark, d, "asset").filter("capture_time is not null").select("asset_id", T.wall_clock_us(v).alias("wall_us"), T.precision_us(v).alias("precision_us"), T.semantics(k).alias("semantics"), T.capture_seconds(v, k).alias("seconds"))
+
+
+@query("s_15_exif_time", "SELECT job_id, CASE WHEN job_id % 9 = 0 THEN 'unknown' ELSE strftime(stamp, '%Y-%m-%dT%H:%M:%S') || CASE WHEN job_id % 4 = 0 THEN '.' || CAST(job_id % 1000 AS STRING) ELSE '' END || CASE WHEN job_id % 5 = 0 THEN '+02:00' WHEN job_id % 5 = 1 THEN '+00:00' ELSE '' END END AS value FROM job")
+def s_15(spark, d):
+    j = F.col("job_id")
+    raw = F.when(j % 9 == 0, "unknown").otherwise(F.date_format("stamp", "yyyy:MM:dd HH:mm:ss"))
+    sub = F.when(j % 4 == 0, (j % 1000).cast("string"))
+    zone = F.when(j % 5 == 0, "+02:00").when(j % 5 == 1, "Z")
+    return load(spark, d, "job").select("job_id", T.exif_time(raw, sub, zone).alias("value"))
+
+
+@query("s_16_best_precision", "SELECT file_id, min_by(job_id, (CASE kind WHEN 'view' THEN 1 WHEN 'click' THEN 1000 ELSE 1000000 END) * CAST(1000000000 AS BIGINT) + job_id) AS best FROM job GROUP BY file_id")
+def s_16(spark, d):
+    p = F.when(F.col("kind") == "view", 1).when(F.col("kind") == "click", 1000).otherwise(1_000_000)
+    return load(spark, d, "job").groupBy("file_id").agg(F.min_by("job_id", F.struct(p, "job_id")).alias("best"))
+
+
+@query("s_17_wall_delta", "SELECT job_id, abs(epoch_us(stamp) - epoch_us(TIMESTAMP '2024-01-15 00:00:00')) / 1e6 AS delta FROM job")
+def s_17(spark, d):
+    t = F.date_format("stamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    delta = F.abs(T.wall_clock_us(t) - T.wall_clock_us(F.lit("2024-01-15T00:00:00"))) / 1e6
+    return load(spark, d, "job").select("job_id", F.coalesce(delta, F.lit(float("inf"))).alias("delta"))
+
+
+@query("s_18_gps_decimal", "SELECT file_id, (CASE WHEN file_id % 2 = 0 THEN 1 ELSE -1 END) * (file_id % 90 + (file_id % 60) / 60.0 + (file_id % 3600 % 60) / 3600.0) AS latitude FROM file")
+def s_18(spark, d):
+    f = F.col("file_id")
+    dms = F.array((f % 90).cast("double"), (f % 60).cast("double"), (f % 3600 % 60).cast("double"))
+    value = dms[0] + dms[1] / 60 + dms[2] / 3600
+    return load(spark, d, "file").select("file_id", (F.when(f % 2 == 0, 1).otherwise(-1) * value).alias("latitude"))
+
+
+@query("s_19_mercator", "WITH p AS (SELECT file_id, (file_id % 3600) / 10.0 - 180 AS lon, (file_id % 1790) / 10.0 - 89 AS lat FROM file) SELECT file_id, round((lon + 180) / 360, 9) AS x, round((1 - ln(tan(pi() / 4 + radians(least(greatest(lat, -85.0), 85.0)) / 2)) / pi()) / 2, 9) AS y FROM p")
+def s_19(spark, d):
+    lon, lat = (F.col("file_id") % 3600) / F.lit(10.0) - 180, (F.col("file_id") % 1790) / F.lit(10.0) - 89
+    return load(spark, d, "file").select("file_id", F.round(X.mercator_x(lon), 9).alias("x"), F.round(X.mercator_y(lat), 9).alias("y"))
+
+
+@query("s_20_fingerprints", "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'stat:' || size_bytes || ':' || file_id ELSE sha256 END AS fingerprint, sha256(sha256 || '|' || 'model-1' || '|' || size_bytes) AS derived FROM file")
+def s_20(spark, d):
+    sha = F.when(F.col("file_id") % 3 != 0, F.col("sha256"))
+    return load(spark, d, "file").select("file_id", F.coalesce(sha, F.concat_ws(":", F.lit("stat"), F.col("size_bytes").cast("string"), F.col("file_id").cast("string"))).alias("fingerprint"), F.sha2(F.concat_ws("|", "sha256", F.lit("model-1"), F.col("size_bytes").cast("string")), 256).alias("derived"))
+
+
+@query("s_21_sample_times", "WITH n AS (SELECT file_id, duration, CAST(least(greatest(ceil(duration * 2.0), 2), 32) AS INT) AS n FROM file WHERE duration IS NOT NULL AND file_id < 20000) SELECT file_id, n, CAST(i AS INT) AS sample, duration * (i + 0.5) / n AS seconds FROM n, LATERAL (SELECT unnest(range(0, n)) AS i)")
+def s_21(spark, d):
+    f = load(spark, d, "file").filter("duration is not null and file_id < 20000").withColumn("n", X.sample_count(F.col("duration"), 2.0, 2, 32))
+    return f.select("file_id", "n", F.posexplode(X.sample_times(F.col("duration"), F.col("n"))).alias("sample", "seconds"))
+
+
+@query("s_22_technical_quality", "SELECT job_id, round(0.35 * least(greatest(seconds / 50, 0.0), 1.0) + 0.30 * (1 - abs(least(greatest(seconds / 100, 0.0), 1.0) - 0.5) * 2) + 0.20 * least(greatest((seconds - 5) / 40, 0.0), 1.0) + 0.15 * (1 - least(greatest(seconds / 80, 0.0), 1.0)), 9) AS score FROM job")
+def s_22(spark, d):
+    s, c = F.col("seconds"), X.clamp
+    score = 0.35 * c(s / 50, 0.0, 1.0) + 0.30 * (1 - F.abs(c(s / 100, 0.0, 1.0) - 0.5) * 2) + 0.20 * c((s - 5) / 40, 0.0, 1.0) + 0.15 * (1 - c(s / 80, 0.0, 1.0))
+    return load(spark, d, "job").select("job_id", F.round(score, 9).alias("score"))
+
+
+@query("s_23_compression_metrics", "SELECT job_id, seconds / (seconds + 1) AS ratio, 100 * (1 - seconds / (seconds + 1)) AS saved_percent, round(CASE WHEN seconds - 1 > 0 THEN 10 * log10(65025.0 / (seconds - 1)) END, 9) AS psnr FROM job")
+def s_23(spark, d):
+    s = F.col("seconds")
+    return load(spark, d, "job").select("job_id", (s / (s + 1)).alias("ratio"), (100 * (1 - s / (s + 1))).alias("saved_percent"), F.round(X.psnr(s - 1), 9).alias("psnr"))
+
+
+@query("s_24_estimates", "SELECT file_id, CAST(greatest(1, floor(size_bytes * CASE extension WHEN '.mp4' THEN 0.55 WHEN '.jxl' THEN 1.0 WHEN '.cr3' THEN 0.7 ELSE 0.45 END)) AS BIGINT) AS output_bytes, CASE WHEN role = 'original' THEN CAST(greatest(1, floor(size_bytes * CASE extension WHEN '.mp4' THEN 0.55 WHEN '.jxl' THEN 1.0 WHEN '.cr3' THEN 0.7 ELSE 0.45 END)) AS BIGINT) - size_bytes WHEN role = 'managed_jxl' THEN -size_bytes ELSE 0 END AS delta FROM file")
+def s_24(spark, d):
+    e = F.col("extension")
+    ratio = F.when(e == ".mp4", 0.55).when(e == ".jxl", 1.0).when(e == ".cr3", 0.7).otherwise(0.45)
+    out = F.greatest(F.lit(1), F.floor(F.col("size_bytes") * ratio)).cast("long")
+    delta = F.when(F.col("role") == "original", out - F.col("size_bytes")).when(F.col("role") == "managed_jxl", -F.col("size_bytes")).otherwise(0)
+    return load(spark, d, "file").select("file_id", out.alias("output_bytes"), delta.alias("delta"))
+
+
+@query("s_25_group_ids", "SELECT group_id, substr(sha256('strict-group-v1:' || string_agg(CAST(asset_id AS STRING), '|' ORDER BY CAST(asset_id AS STRING))), 1, 24) AS digest FROM asset WHERE group_id IS NOT NULL GROUP BY group_id")
+def s_25(spark, d):
+    g = load(spark, d, "asset").filter("group_id is not null").groupBy("group_id").agg(F.array_sort(F.collect_list(F.col("asset_id").cast("string"))).alias("x"))
+    return g.select("group_id", F.substring(F.sha2(F.concat(F.lit("strict-group-v1:"), F.array_join("x", "|")), 256), 1, 24).alias("digest"))
+
+
+@query("s_26_selection_digest", "SELECT sha256('[' || string_agg(CAST(file_id AS STRING), ',' ORDER BY file_id) || ']') AS digest FROM file WHERE file_id < 800")
+def s_26(spark, d):
+    g = load(spark, d, "file").filter("file_id < 800").agg(F.array_sort(F.collect_list("file_id")).alias("x"))
+    return g.select(F.sha2(F.to_json("x"), 256).alias("digest"))
+
+
+@query("s_27_targets", "SELECT file_id, CASE WHEN folder = '' THEN 'export' ELSE 'export/' || folder END || '/' || substr(filename, 1, length(filename) - length(extension)) || '_web' || extension AS target FROM file")
+def s_27(spark, d):
+    from ..operators.planning import target_path
+
+    return load(spark, d, "file").select("file_id", target_path(F.col("relative_path"), "export", "{stem}_web{ext}").alias("target"))
+
+
+@query("s_28_path_safety", "SELECT page_id, CASE WHEN url LIKE '%..%' THEN 'parent' WHEN regexp_matches(url, '[<>:\"|?*]') THEN 'character' END AS problem FROM pages", views=False)
+def s_28(spark, d):
+    from ..operators.planning import path_problem
+
+    return load(spark, d, "pages").select("page_id", path_problem(F.col("url")).alias("problem"))
+
+
+@query("s_29_tolerant_json", "SELECT job_id, CASE WHEN job_id % 11 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INT) END AS k FROM job")
+def s_29(spark, d):
+    text = F.when(F.col("job_id") % 11 == 0, "{broken").otherwise(F.col("props"))
+    return load(spark, d, "job").select("job_id", F.from_json(text, "k int")["k"].alias("k"))
+
+
+@query("s_30_conflict_policy", "SELECT job_id, CASE WHEN job_id % 3 = 0 THEN 'replace' WHEN job_id % 2 = 0 THEN 'skip' ELSE 'rename' END AS policy FROM job")
+def s_30(spark, d):
+    policy = F.when(F.col("job_id") % 3 == 0, "replace")
+    legacy = F.col("job_id") % 2 != 0  # rename_on_conflict
+    return load(spark, d, "job").select("job_id", F.coalesce(policy, F.when(legacy, "rename").otherwise("skip")).alias("policy"))
+
+
+@query("s_31_calendar_buckets", "SELECT CAST(date_trunc('quarter', stamp) AS TIMESTAMP) AS quarter, CAST(date_trunc('month', stamp) AS TIMESTAMP) AS month, count(*) AS n FROM job GROUP BY 1, 2")
+def s_31(spark, d):
+    t = F.col("stamp")
+    cut = lambda u: F.date_trunc(u, t).cast("timestamp_ntz").alias(u)
+    return load(spark, d, "job").groupBy(cut("quarter"), cut("month")).agg(F.count("*").alias("n"))
+
+
+@query("s_32_bucket_interval", "WITH span AS (SELECT (epoch_us(max(stamp)) - epoch_us(min(stamp))) * 92.0 / 1200 AS target FROM job), l AS (SELECT unnest([1000000, 60000000, 3600000000, 21600000000, 86400000000, 604800000000]) AS step) SELECT step AS interval_us FROM l, span ORDER BY abs(ln(step / target)), step LIMIT 1")
+def s_32(spark, d):
+    from ..operators.lod import LADDER_US, bucket_interval
+
+    t = load(spark, d, "job").agg(F.min(F.unix_micros(F.col("stamp").cast("timestamp"))).alias("a"), F.max(F.unix_micros(F.col("stamp").cast("timestamp"))).alias("b"))
+    return t.select(bucket_interval(F.col("b") - F.col("a"), 1200, LADDER_US).alias("interval_us"))
+
+
+@query("s_33_encoder_distance", "SELECT job_id, round(CASE WHEN q >= 100 THEN 0.0 WHEN q >= 30 THEN 0.1 + (100 - q) * 0.09 ELSE 53.0 / 3000 * q * q - 23.0 / 20 * q + 25 END, 9) AS distance FROM (SELECT job_id, CAST(job_id % 101 AS DOUBLE) AS q FROM job)")
+def s_33(spark, d):
+    return load(spark, d, "job").select("job_id", F.round(X.quality_to_distance((F.col("job_id") % 101).cast("double")), 9).alias("distance"))
+
+
+@query("s_34_eta", "SELECT job_id, CASE WHEN job_id % 10 > 0 THEN (100 - job_id % 10) * seconds / (job_id % 10) ELSE 42.0 END AS eta FROM job WHERE status = 'running'")
+def s_34(spark, d):
+    done = F.col("job_id") % 10
+    return load(spark, d, "job").filter("status = 'running'").select("job_id", F.when(done > 0, (100 - done) * F.col("seconds") / done).otherwise(42.0).alias("eta"))
+
+
+@query("flt_13_valid_gps", "SELECT job_id, k <= 80 AND job_id % 5 <> 0 AS valid FROM (SELECT job_id, CAST(json_extract_string(props, '$.k') AS INT) + 10 AS k FROM job)")
+def flt_13(spark, d):
+    lat = F.when(F.col("job_id") % 5 == 0, "none").otherwise((F.get_json_object("props", "$.k").cast("int") + 20).cast("string"))
+    ok = M.valid_gps(lat, F.lit(10.0))
+    return load(spark, d, "job").select("job_id", ok.alias("valid"))
+
+
+@query("src_11_probe_json", "SELECT job_id, CASE WHEN job_id % 2 = 0 THEN CAST(job_id % 30 AS DOUBLE) ELSE seconds END AS duration, 'hevc' AS codec FROM job")
+def src_11(spark, d):
+    """First video stream; the container's duration where the stream has none."""
+    own = F.when(F.col("job_id") % 2 == 0, F.concat(F.lit(', "duration": "'), (F.col("job_id") % 30).cast("string"), F.lit('"'))).otherwise("")
+    text = F.concat(F.lit('{"streams": [{"codec_type": "audio"}, {"codec_type": "video", "codec_name": "hevc"'), own, F.lit('}], "format": {"duration": "'), F.col("seconds").cast("string"), F.lit('"}}'))
+    j = F.from_json(text, "streams array<struct<codec_type: string, codec_name: string, duration: string>>, format struct<duration: string>")
+    video = F.element_at(F.filter(j["streams"], lambda s: s["codec_type"] == "video"), 1)
+    return load(spark, d, "job").select("job_id", F.coalesce(video["duration"], j["format"]["duration"]).try_cast("double").alias("duration"), video["codec_name"].alias("codec"))

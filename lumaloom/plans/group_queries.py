@@ -1 +1,175 @@
-"""Queries."""
+"""Temporal and visual groups, reconciliation, recommendations (JN-10/11, AGG-22/24, WIN-4..8, SRT-8, CMP-7..11, RSH)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import metrics as X
+from ..operators import groups as G
+from ..operators import selection as Sel
+from ..operators.reconcile import min_label_components, reconcile
+from .browse_queries import CATALOG, catalog_of
+from .catalog import load
+from .registry import query
+
+SEC = "epoch_us(stamp) / 1e6"
+
+
+def timed(spark, d):
+    return load(spark, d, "job").withColumn("t", F.unix_micros(F.col("stamp").cast("timestamp")) / 1e6)
+
+
+@query("jn_10_agg_24_band_pairs", f"WITH e AS (SELECT job_id, file_id, kind, {SEC} AS t, seconds FROM job) SELECT a.kind, count(*) AS pairs, count_if(abs(a.seconds - b.seconds) <= 5) AS accepted FROM e a JOIN e b ON a.kind = b.kind AND (b.t > a.t OR (b.t = a.t AND b.job_id > a.job_id)) AND b.t - a.t <= 600 GROUP BY a.kind")
+def jn_10(spark, d):
+    e = timed(spark, d)
+    p = G.band_pairs(e, "t", "job_id", ["kind"], 600.0)
+    s = e.select(F.col("job_id").alias("k1"), F.col("seconds").alias("s1"))
+    p = p.join(s, "k1").join(s.select(F.col("k1").alias("k2"), F.col("s1").alias("s2")), "k2")
+    return p.groupBy("kind").agg(F.count("*").alias("pairs"), F.count_if(F.abs(F.col("s1") - F.col("s2")) <= 5).alias("accepted"))
+
+
+@query("jn_11_adjacent_pairs", f"SELECT job_id, next_id FROM (SELECT job_id, {SEC} AS t, lead(job_id) OVER w AS next_id, lead({SEC}) OVER w AS u FROM job WINDOW w AS (PARTITION BY file_id ORDER BY stamp, job_id)) WHERE u - t <= 300")
+def jn_11(spark, d):
+    w = Window.partitionBy("file_id").orderBy("stamp", "job_id")
+    e = timed(spark, d).select("job_id", "t", F.lead("job_id").over(w).alias("next_id"), F.lead("t").over(w).alias("u"))
+    return e.filter(F.col("u") - F.col("t") <= 300).select("job_id", "next_id")
+
+
+@query("win_8_str_2_sessions", f"WITH e AS (SELECT file_id, job_id, {SEC} AS t FROM job), n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY file_id ORDER BY t, job_id) <= 7200 THEN 0 ELSE 1 END AS new FROM e), s AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY t, job_id ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT file_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(job_id) AS first_id FROM s GROUP BY ALL")
+def win_8(spark, d):
+    return G.islands(timed(spark, d), "t", ["file_id"], 7200, ["job_id"]).groupBy("file_id", "island").agg(F.count("*").alias("n"), F.min("job_id").alias("first_id"))
+
+
+@query("agg_22_member_statistics", "WITH m AS (SELECT group_id, asset_id, created_day FROM asset WHERE group_id < 300) SELECT a.asset_id, min(abs(a.asset_id - b.asset_id)) AS nearest, max(abs(date_diff('day', CAST(a.created_day AS DATE), CAST(b.created_day AS DATE)))) AS most_days FROM m a JOIN m b ON a.group_id = b.group_id AND a.asset_id <> b.asset_id GROUP BY a.asset_id")
+def agg_22(spark, d):
+    m = load(spark, d, "asset").filter("group_id < 300").select("group_id", "asset_id", F.col("created_day").cast("date").alias("day"))
+    o = m.select("group_id", F.col("asset_id").alias("o"), F.col("day").alias("od"))
+    p = m.join(o, "group_id").filter("asset_id <> o")
+    return p.groupBy("asset_id").agg(F.min(F.abs(F.col("asset_id") - F.col("o"))).alias("nearest"), F.max(F.abs(F.datediff("day", "od"))).cast("long").alias("most_days"))
+
+
+@query("win_4_representatives", f"WITH {CATALOG} SELECT group_id, asset_id FROM cat WHERE group_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY quality DESC NULLS LAST, capture_time NULLS LAST, asset_id) = 1")
+def win_4(spark, d):
+    return G.representatives(catalog_of(spark, d)).select("group_id", "asset_id")
+
+
+REC = "(SELECT group_id, asset_id, quality, row_number() OVER (PARTITION BY group_id ORDER BY quality DESC NULLS LAST, capture_time NULLS LAST, asset_id) AS k FROM cat WHERE group_id IS NOT NULL)"
+
+
+@query("win_5_cmp_10_recommendations", f"WITH {CATALOG} SELECT group_id, asset_id, k = 1 AND coalesce(quality, 0) >= 0.7 AS recommended, CASE WHEN k > 1 THEN 'not_representative' WHEN coalesce(quality, 0) >= 0.7 THEN 'representative' ELSE 'below_recommendation_quality' END AS reason FROM {REC}")
+def win_5(spark, d):
+    return Sel.recommend(catalog_of(spark, d), 0.7)
+
+
+@query("cmp_11_set_1_read_recommendations", f"WITH {CATALOG} SELECT asset_id FROM {REC} WHERE k = 1 AND quality >= 0.9 UNION SELECT asset_id FROM cat WHERE media_type = 'video' AND quality >= 0.9")
+def cmp_11(spark, d):
+    c = catalog_of(spark, d)
+    return G.representatives(c).filter("quality >= 0.9").select("asset_id").union(c.filter("media_type = 'video' and quality >= 0.9").select("asset_id")).distinct()
+
+
+@query("win_6_survivors", "SELECT sha256, asset_id AS survivor FROM (SELECT f.sha256, a.asset_id, row_number() OVER (PARTITION BY f.sha256 ORDER BY CASE WHEN a.selection_state = 'undecided' THEN 1 ELSE 0 END, a.created_day, a.asset_id) AS k FROM file f JOIN asset a ON f.asset_id = a.asset_id) WHERE k = 1")
+def win_6(spark, d):
+    j = load(spark, d, "file").join(load(spark, d, "asset").select("asset_id", "selection_state", "created_day"), "asset_id")
+    key = F.struct(F.when(F.col("selection_state") == "undecided", 1).otherwise(0), "created_day", "asset_id")
+    return j.groupBy("sha256").agg(F.min_by("asset_id", key).alias("survivor"))
+
+
+@query("win_7_percentile_rank", "SELECT file_id, job_id, (rank() OVER (PARTITION BY file_id ORDER BY seconds) + (count(*) OVER (PARTITION BY file_id, seconds) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY file_id) AS p FROM job")
+def win_7(spark, d):
+    j = load(spark, d, "job")
+    return j.select("file_id", "job_id", G.percentile_rank(j, ["file_id"], "seconds").alias("p"))
+
+
+@query("srt_8_borderline_pairs", f"WITH e AS (SELECT job_id, {SEC} AS t, seconds FROM job WHERE kind = 'click'), p AS (SELECT a.job_id AS a, b.job_id AS b, b.t - a.t AS dt, abs(a.seconds - b.seconds) AS diff FROM e a JOIN e b ON (b.t > a.t OR (b.t = a.t AND b.job_id > a.job_id)) AND b.t - a.t <= 600) SELECT a, b, diff FROM p WHERE diff > 5 ORDER BY diff, dt, a, b LIMIT 50")
+def srt_8(spark, d):
+    e = timed(spark, d).filter("kind = 'click'")
+    p = G.band_pairs(e, "t", "job_id", ["kind"], 600.0)
+    s = e.select(F.col("job_id").alias("k1"), F.col("seconds").alias("s1"))
+    p = p.join(s, "k1").join(s.select(F.col("k1").alias("k2"), F.col("s1").alias("s2")), "k2").withColumn("diff", F.abs(F.col("s1") - F.col("s2")))
+    return p.filter("diff > 5").orderBy("diff", F.col("t2") - F.col("t1"), "k1", "k2").limit(50).select(F.col("k1").alias("a"), F.col("k2").alias("b"), "diff")
+
+
+@query("cmp_7_strict_groups")
+def cmp_7(spark, d):
+    """Order-dependent; compared with a sequential model in the tests."""
+    r = timed(spark, d).select(F.col("job_id").alias("asset_id"), F.lit("absolute").alias("semantics"), "t", F.when(F.col("job_id") % 17 != 0, F.col("seconds")).alias("f"))
+    near = lambda a, b: 1 - abs(a["f"] - b["f"]) / 100 if abs(a["f"] - b["f"]) <= 8 else None
+    return G.strict_groups(r, lambda a, b: abs(a["f"] - b["f"]) < 50, near, ["f"])
+
+
+EDGES = "(SELECT DISTINCT least(a.asset_id, b.asset_id) AS a, greatest(a.asset_id, b.asset_id) AS b FROM file a JOIN file b ON a.sha256 = b.sha256 AND a.size_bytes = b.size_bytes AND a.asset_id <> b.asset_id)"
+
+
+@query("cmp_9_components", f"""WITH RECURSIVE e AS {EDGES}, both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.node, w.b FROM r JOIN both_ways w ON r.seen = w.a)
+ SELECT node, min(seen) AS component FROM r GROUP BY node /* FROM file */""")
+def cmp_9(spark, d):
+    f = load(spark, d, "file").select("asset_id", "sha256", "size_bytes")
+    o = f.withColumnRenamed("asset_id", "o")
+    e = f.join(o, ["sha256", "size_bytes"]).filter("asset_id < o").select(F.col("asset_id").alias("a"), F.col("o").alias("b")).distinct()
+    return min_label_components(e)
+
+
+@query("cmp_8_reconcile")
+def cmp_8(spark, d):
+    """Families by content, unless decisions oppose; iterative, checked in the tests."""
+    return reconcile(load(spark, d, "asset"), load(spark, d, "file"))
+
+
+@query("cmp_8_blocked_families", "SELECT f.media_type, f.sha256, count(DISTINCT f.asset_id) AS assets FROM file f JOIN asset a ON f.asset_id = a.asset_id GROUP BY f.media_type, f.sha256 HAVING count(DISTINCT f.asset_id) > 1 AND bool_or(a.selection_state = 'selected') AND bool_or(a.selection_state = 'rejected')")
+def cmp_8_blocked(spark, d):
+    j = load(spark, d, "file").join(load(spark, d, "asset").select("asset_id", "selection_state"), "asset_id")
+    s = F.col("selection_state")
+    g = j.groupBy("media_type", "sha256").agg(F.count_distinct("asset_id").alias("assets"), F.bool_or(s == "selected").alias("x"), F.bool_or(s == "rejected").alias("y"))
+    return g.filter("assets > 1 and x and y").drop("x", "y")
+
+
+@query("rsh_1_quality_blend", "WITH p AS (SELECT file_id, job_id, seconds, percent_rank() OVER (PARTITION BY file_id ORDER BY seconds) AS a, percent_rank() OVER (PARTITION BY file_id ORDER BY job_id % 100, job_id) AS b FROM job) SELECT job_id, 0.6 * a + 0.4 * b AS blend FROM p")
+def rsh_1(spark, d):
+    w = Window.partitionBy("file_id")
+    a, b = F.percent_rank().over(w.orderBy("seconds")), F.percent_rank().over(w.orderBy(F.col("job_id") % 100, "job_id"))
+    return load(spark, d, "job").select("job_id", (0.6 * a + 0.4 * b).alias("blend"))
+
+
+@query("rsh_2_linkage")
+def rsh_2(spark, d):
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("session"), F.col("embedding").alias("vec"), (F.col("vec_id") * 3.0).alias("t"))
+    return Sel.complete_linkage(e, 0.75, 0.05)
+
+
+@query("rsh_3_diversified_selection")
+def rsh_3(spark, d):
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("session"), F.col("embedding").alias("vec"), ((F.col("vec_id") % 100) / 100.0).alias("quality"))
+    return Sel.diversified(e, 10, 0.5)
+
+
+@query("rsh_4_coverage_selection")
+def rsh_4(spark, d):
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("session"), F.col("embedding").alias("vec"))
+    return Sel.coverage(e, 10)
+
+
+@query("rsh_5_selectors", "WITH r AS (SELECT file_id, job_id, row_number() OVER (PARTITION BY file_id ORDER BY seconds DESC, job_id) AS q, row_number() OVER (PARTITION BY file_id ORDER BY stamp, job_id) - 1 AS t, count(*) OVER (PARTITION BY file_id) AS n FROM job) SELECT 'quality' AS method, file_id, job_id FROM r WHERE q <= 5 UNION ALL SELECT 'uniform', file_id, job_id FROM r WHERE floor((t + 1) * 5.0 / n) > floor(t * 5.0 / n)")
+def rsh_5(spark, d):
+    w = Window.partitionBy("file_id")
+    r = load(spark, d, "job").select("file_id", "job_id", F.row_number().over(w.orderBy(F.desc("seconds"), "job_id")).alias("q"), (F.row_number().over(w.orderBy("stamp", "job_id")) - 1).alias("t"), F.count("*").over(w).alias("n"))
+    best = r.filter("q <= 5").select(F.lit("quality").alias("method"), "file_id", "job_id")
+    even = r.filter(F.floor((F.col("t") + 1) * 5.0 / F.col("n")) > F.floor(F.col("t") * 5.0 / F.col("n"))).select(F.lit("uniform").alias("method"), "file_id", "job_id")
+    return best.unionByName(even)
+
+
+@query("rsh_6_overlap_metrics", "WITH c AS (SELECT file_id AS s, job_id FROM job WHERE job_id % 3 = 0), h AS (SELECT file_id AS s, job_id FROM job WHERE job_id % 2 = 0), m AS (SELECT c.s, count(*) AS chosen, count(h.job_id) AS both_sets FROM c LEFT JOIN h ON c.s = h.s AND c.job_id = h.job_id GROUP BY c.s) SELECT avg(both_sets / chosen) AS macro, sum(both_sets) / sum(chosen) AS micro FROM m")
+def rsh_6(spark, d):
+    j = load(spark, d, "job").select(F.col("file_id").alias("s"), "job_id")
+    h = j.filter("job_id % 2 = 0").select("job_id", F.lit(1).alias("hit"))
+    m = j.filter("job_id % 3 = 0").join(h, "job_id", "left").groupBy("s").agg(F.count("*").alias("chosen"), F.count("hit").alias("both"))
+    return m.agg(F.avg(F.col("both") / F.col("chosen")).alias("macro"), (F.sum("both") / F.sum("chosen")).alias("micro"))
+
+
+@query("s_4_7_grouping_metrics_of_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id - a.vec_id BETWEEN 1 AND 20", views=False)
+def pair_metrics(spark, d):
+    e = load(spark, d, "embeddings").select("vec_id", "label", "embedding").withColumn("t", F.col("vec_id").cast("double"))
+    p = G.band_pairs(e, "t", "vec_id", ["label"], 20.0)
+    v = e.select(F.col("vec_id").alias("k1"), F.col("embedding").alias("v1"))
+    p = p.join(v, "k1").join(v.select(F.col("k1").alias("k2"), F.col("v1").alias("v2")), "k2")
+    return p.select(F.col("k1").alias("a"), F.col("k2").alias("b"), F.round(X.dot(F.col("v1"), F.col("v2")), 6).alias("similarity"))

@@ -138,8 +138,8 @@ def srt_10(spark, d):
 
 
 @query("srt_10_flt_15_set_5_problems", """WITH last AS (SELECT job_id, file_id, stamp FROM job WHERE status = 'failed' ORDER BY stamp DESC, job_id DESC LIMIT 500),
- done AS (SELECT file_id FROM job WHERE status = 'complete' GROUP BY file_id HAVING count(*) >= 40), e AS (SELECT 'error' AS kind, job_id AS id, CAST(at AS TIMESTAMP) AS stamp FROM last WHERE file_id NOT IN (SELECT file_id FROM done)),
- c AS (SELECT 'conflict' AS kind, job_id AS id, CAST(at AS TIMESTAMP) AS stamp FROM job WHERE status = 'running' AND job_id % 100 = 1) SELECT kind, id FROM (SELECT * FROM e UNION ALL SELECT * FROM c) ORDER BY stamp DESC, kind, id LIMIT 100""")
+ done AS (SELECT file_id FROM job WHERE status = 'complete' GROUP BY file_id HAVING count(*) >= 40), e AS (SELECT 'error' AS kind, job_id AS id, CAST(stamp AS TIMESTAMP) AS stamp FROM last WHERE file_id NOT IN (SELECT file_id FROM done)),
+ c AS (SELECT 'conflict' AS kind, job_id AS id, CAST(stamp AS TIMESTAMP) AS stamp FROM job WHERE status = 'running' AND job_id % 100 = 1) SELECT kind, id FROM (SELECT * FROM e UNION ALL SELECT * FROM c) ORDER BY stamp DESC, kind, id LIMIT 100""")
 def problems(spark, d):
     """The limit on errors comes before the filter of resolved ones, as documented."""
     j = load(spark, d, "job")
