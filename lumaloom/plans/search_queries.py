@@ -1 +1,197 @@
-"""Queries."""
+"""Vector search, projection, maps and timelines (SRT-5..7/13, AGG-14/16, CMP-12..25, CMP-30, WIN-10, UDF, SRC-8)."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..operators import lod as L
+from ..operators import search as S
+from .catalog import load
+from .registry import query
+
+UNIT = "(SELECT vec_id, label, embedding, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)"
+COS = "list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (v.n * q.n)"
+
+
+def frames(spark, d, asset="vec_id"):
+    return load(spark, d, "embeddings").select(F.expr(asset).alias("asset_id"), F.col("vec_id").alias("sample"), F.col("embedding").alias("vec"))
+
+
+def query_vectors(spark, d, *ids):
+    """A handful of stated vectors: the query side of a search."""
+    rows = load(spark, d, "embeddings").filter(F.col("vec_id").isin(*ids)).orderBy("vec_id").select("embedding").collect()
+    return np.array([r["embedding"] for r in rows], dtype=np.float64)
+
+
+@query("srt_5_6_exact_top_k", f"SELECT v.vec_id AS asset_id, round({COS}, 6) AS similarity FROM {UNIT} v, {UNIT} q WHERE q.vec_id = 7 ORDER BY {COS} DESC, v.vec_id LIMIT 50", views=False)
+def srt_5(spark, d):
+    return S.search(frames(spark, d), query_vectors(spark, d, 7), 50).select("asset_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("agg_14_cmp_12_best_frame", f"SELECT v.label AS asset_id, round(max({COS}), 6) AS similarity, max_by(v.vec_id, {COS}) AS sample FROM {UNIT} v, {UNIT} q WHERE q.vec_id = 11 GROUP BY v.label", views=False)
+def agg_14(spark, d):
+    return S.search(frames(spark, d, "label"), query_vectors(spark, d, 11), 1000).select("asset_id", F.round("similarity", 6).alias("similarity"), "sample")
+
+
+@query("cmp_12_filtered_search", f"SELECT v.vec_id AS asset_id, round({COS}, 6) AS similarity FROM {UNIT} v, {UNIT} q WHERE q.vec_id = 3 AND v.vec_id % 3 = 0 ORDER BY {COS} DESC, v.vec_id LIMIT 20", views=False)
+def cmp_12(spark, d):
+    allowed = load(spark, d, "embeddings").filter("vec_id % 3 = 0").select(F.col("vec_id").alias("asset_id"))
+    return S.search(frames(spark, d), query_vectors(spark, d, 3), 20, allowed).select("asset_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("cmp_13_query_by_example", f"WITH s AS (SELECT v.vec_id, max({COS}) AS similarity, CAST(CASE WHEN max_by(q.vec_id, {COS}) = 5 THEN 0 WHEN max_by(q.vec_id, {COS}) = 6 THEN 1 ELSE 2 END AS INT) AS source FROM {UNIT} v, {UNIT} q WHERE q.vec_id IN (5, 6, 8) AND v.vec_id NOT IN (5, 6, 8) GROUP BY v.vec_id) SELECT vec_id AS asset_id, round(similarity, 6) AS similarity, source FROM s ORDER BY s.similarity DESC, vec_id LIMIT 30", views=False)
+def cmp_13(spark, d):
+    """Best of the source's frames against every candidate, the source itself left out."""
+    v = frames(spark, d).filter("asset_id not in (5, 6, 8)")
+    return S.search(v, query_vectors(spark, d, 5, 6, 8), 30).select("asset_id", F.round("similarity", 6).alias("similarity"), "source")
+
+
+@query("srt_7_strong_matches", f"WITH s AS (SELECT v.vec_id, {COS} AS c FROM {UNIT} v, {UNIT} q WHERE q.vec_id = 0 AND v.vec_id <> 0) SELECT count_if(c >= 0.3) AS strong, least(count_if(c >= 0.3), 24) AS first_page FROM s", views=False)
+def srt_7(spark, d):
+    s = S.search(frames(spark, d), query_vectors(spark, d, 0), 2**31 - 1, exclude=0)
+    n = F.count_if(F.col("similarity") >= 0.3)
+    return s.agg(n.alias("strong"), F.least(n, F.lit(24)).alias("first_page"))
+
+
+@query("agg_16_mean_vectors", "WITH u AS (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS u FROM embeddings), e AS (SELECT label, unnest(u) AS x, unnest(range(1, len(u) + 1)) AS i FROM u), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label) SELECT m.label AS asset_id, round(max(CASE WHEN i = 1 THEN m / n END), 6) AS first, round(max(CASE WHEN i = 64 THEN m / n END), 6) AS last FROM m JOIN n ON m.label = n.label GROUP BY m.label", views=False)
+def agg_16(spark, d):
+    m = S.mean_vectors(frames(spark, d, "label"))
+    return m.select("asset_id", F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.element_at("vec", -1), 6).alias("last"))
+
+
+@query("cmp_14_projection")
+def cmp_14(spark, d):
+    """Principal axes; compared with numpy in the tests."""
+    return S.project(frames(spark, d))
+
+
+@query("cmp_15_projection_currency", "SELECT count(*) AS vectors, TRUE AS current, FALSE AS stale FROM embeddings", views=False)
+def cmp_15(spark, d):
+    ids = frames(spark, d).select("asset_id")
+    n, digest = S.set_digest(ids)
+    stored = {"run_id": "r1", "n": n, "digest": digest}
+    fresh, stale = S.is_current(stored, "r1", ids), S.is_current(stored, "r1", ids.filter("asset_id > 0"))
+    return spark.createDataFrame([(n, fresh, stale)], "vectors long, current boolean, stale boolean")
+
+
+GEO = "(SELECT file_id AS id, asset_id, CASE WHEN file_id % 23 = 0 THEN 91.0 ELSE (file_id % 1700) / 10.0 - 85 END AS lat, (file_id % 3600) / 10.0 - 180 AS lon, quality_score AS quality, relative_path FROM file WHERE in_scope)"
+
+
+def geo(spark, d):
+    f = F.col("file_id")
+    return load(spark, d, "file").filter("in_scope").select(f.alias("id"), "asset_id", F.when(f % 23 == 0, 91.0).otherwise((f % 1700) / F.lit(10.0) - 85).alias("lat"), ((f % 3600) / F.lit(10.0) - 180).alias("lon"), F.col("quality_score").alias("quality"), "relative_path")
+
+
+@query("cmp_16_geo_points", f"SELECT asset_id, lat AS latitude, lon AS longitude FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY relative_path, id) AS k FROM {GEO} WHERE lat BETWEEN -90 AND 90) WHERE k = 1 /* FROM file */")
+def cmp_16(spark, d):
+    from ..functions.media import valid_gps
+
+    g = geo(spark, d).filter(valid_gps(F.col("lat"), F.col("lon")))
+    return g.groupBy("asset_id").agg(F.min_by(F.struct("lat", "lon"), F.struct("relative_path", "id")).alias("p")).select("asset_id", F.col("p.lat").alias("latitude"), F.col("p.lon").alias("longitude"))
+
+
+@query("src_8_has_gps", f"SELECT count(*) > 0 AS has_gps FROM {GEO} WHERE lat BETWEEN -90 AND 90 /* FROM file */")
+def src_8(spark, d):
+    """Stops at the first hit."""
+    return spark.createDataFrame([(not geo(spark, d).filter("lat between -90 and 90").limit(1).isEmpty(),)], "has_gps boolean")
+
+
+@query("cmp_17_srt_13_timeline_points", "SELECT asset_id, epoch_us(TRY_CAST(capture_time AS TIMESTAMP)) AS time_us, selection_state FROM asset WHERE capture_time IS NOT NULL ORDER BY time_us, asset_id LIMIT 5000")
+def cmp_17(spark, d):
+    from ..functions.times import wall_clock_us
+
+    a = load(spark, d, "asset").select("asset_id", wall_clock_us(F.col("capture_time")).alias("time_us"), "selection_state").filter("time_us is not null")
+    return a.orderBy("time_us", "asset_id").limit(5000)
+
+
+@query("cmp_18_capabilities", "SELECT bool_or(capture_time IS NOT NULL) AS timeline, count(*) > 0 AS vector FROM asset")
+def cmp_18(spark, d):
+    return load(spark, d, "asset").agg(F.bool_or(F.col("capture_time").isNotNull()).alias("timeline"), (F.count("*") > 0).alias("vector"))
+
+
+def points(spark, d):
+    return load(spark, d, "job").select(F.col("job_id").alias("id"), F.unix_micros(F.col("stamp").cast("timestamp")).alias("us"), F.when(F.col("job_id") % 7 != 0, F.col("seconds")).alias("quality"))
+
+
+BUCKETS = "b AS (SELECT CAST(floor(epoch_us(stamp) / 21600000000.0) AS BIGINT) AS bucket, job_id AS id, CASE WHEN job_id % 7 <> 0 THEN seconds END AS quality FROM job)"
+
+
+@query("cmp_19_str_3_time_buckets", f"WITH {BUCKETS} SELECT bucket, count(*) AS n, max(CASE WHEN k = 1 THEN id END) AS representative FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY quality DESC NULLS LAST, id) AS k FROM b) GROUP BY bucket /* FROM job */")
+def cmp_19(spark, d):
+    return L.time_buckets(points(spark, d), "us", 21_600_000_000)
+
+
+@query("cmp_20_zero_filled", "WITH b AS (SELECT CAST(floor(epoch_us(stamp) / 600000000.0) AS BIGINT) AS bucket, count(*) AS n FROM job WHERE kind = 'error' GROUP BY 1), s AS (SELECT unnest(range(min(bucket), max(bucket) + 1)) AS bucket FROM b) SELECT s.bucket, coalesce(b.n, 0) AS n FROM s LEFT JOIN b ON s.bucket = b.bucket")
+def cmp_20(spark, d):
+    j = load(spark, d, "job").filter("kind = 'error'").select(F.floor(F.unix_micros(F.col("stamp").cast("timestamp")) / 600_000_000).cast("long").alias("bucket"))
+    return L.zero_filled(j.groupBy("bucket").agg(F.count("*").alias("n")))
+
+
+@query("win_10_density", "WITH b AS (SELECT CAST(floor(epoch_us(stamp) / 3600000000.0) AS BIGINT) AS bucket, count(*) AS n FROM job GROUP BY 1) SELECT x.bucket, max(x.n) AS n, sum(y.n * CASE abs(x.bucket - y.bucket) WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 1 END) / 16 AS density FROM b x JOIN b y ON abs(x.bucket - y.bucket) <= 2 GROUP BY x.bucket")
+def win_10(spark, d):
+    j = load(spark, d, "job").select(F.floor(F.unix_micros(F.col("stamp").cast("timestamp")) / 3_600_000_000).cast("long").alias("bucket"))
+    return L.density(j.groupBy("bucket").agg(F.count("*").alias("n")))
+
+
+def world(spark, d):
+    from ..functions.metrics import mercator_x, mercator_y
+
+    return geo(spark, d).filter("lat between -90 and 90").withColumn("x", mercator_x(F.col("lon"))).withColumn("y", mercator_y(F.col("lat")))
+
+
+WORLD = f"w AS (SELECT id, quality, (lon + 180) / 360 AS x, (1 - ln(tan(pi() / 4 + radians(least(greatest(lat, -85.0), 85.0)) / 2)) / pi()) / 2 AS y FROM {GEO} WHERE lat BETWEEN -90 AND 90)"
+CELLS = "c AS (SELECT CAST(floor(x / (0.5 / 16)) AS BIGINT) AS cx, CAST(floor(y / (0.5 / 16)) AS BIGINT) AS cy, * FROM w)"
+
+
+@query("cmp_21_geo_cells", f"WITH {WORLD}, {CELLS} SELECT cx, cy, count(*) AS n, round(avg(x), 9) AS mx, round(avg(y), 9) AS my FROM c GROUP BY cx, cy /* FROM file */")
+def cmp_21(spark, d):
+    return L.cells(world(spark, d), "x", "y", 0.5, 4).select("cx", "cy", "n", F.round("mx", 9).alias("mx"), F.round("my", 9).alias("my"))
+
+
+@query("cmp_22_vector_cells", "WITH w AS (SELECT vec_id AS id, label * 1.0 AS quality, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), c AS (SELECT CAST(floor(x / 0.125) AS BIGINT) AS cx, CAST(floor(y / 0.125) AS BIGINT) AS cy, id, quality FROM w) SELECT cx, cy, count(*) AS n, max(CASE WHEN k = 1 THEN id END) AS representative FROM (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY quality DESC, id) AS k FROM c) GROUP BY cx, cy", views=False)
+def cmp_22(spark, d):
+    v = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("quality"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return L.cells(v, "x", "y", 1.0, 3).select("cx", "cy", "n", "representative")
+
+
+@query("cmp_23_viewport", f"WITH {WORLD}, {CELLS} SELECT cx, cy, count(*) AS n FROM c WHERE cx BETWEEN 11 AND 20 AND cy BETWEEN 8 AND 25 GROUP BY cx, cy /* FROM file */")
+def cmp_23(spark, d):
+    c = L.cells(world(spark, d), "x", "y", 0.5, 4)
+    return L.visible(c, (0.4, 0.3, 0.6, 0.75), 0.5 / 16, 0.03125).select("cx", "cy", "n")
+
+
+@query("cmp_24_rectangle_merge")
+def cmp_24(spark, d):
+    """Order-dependent, on one screen's worth of cells."""
+    top = L.cells(world(spark, d), "x", "y", 0.5, 4).orderBy(F.desc("n"), "cx", "cy").limit(200).select((F.col("mx") * 1000).alias("x"), (F.col("my") * 1000).alias("y"), F.lit(60.0).alias("w"), F.lit(40.0).alias("h"), "n")
+
+    def run(batches):
+        for pdf in batches:
+            g = S.merge_rectangles(pdf)
+            yield pd.DataFrame({"marker": range(len(g)), "members": [len(x) for x in g]})
+
+    return top.coalesce(1).mapInPandas(run, "marker long, members long")
+
+
+@query("cmp_25_density_raster", "WITH p AS (SELECT CAST(floor((CAST(embedding[1] AS DOUBLE) + 1) / 2 * 512) AS INT) AS px, CAST(floor((CAST(embedding[2] AS DOUBLE) + 1) / 2 * 512) AS INT) AS py FROM embeddings), o AS (SELECT unnest(range(-3, 4)) AS i), s AS (SELECT px + a.i AS px, py + b.i AS py, exp(-(a.i * a.i + b.i * b.i) / 5.0) AS v FROM p, o a, o b) SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, round(sum(v), 9) AS v FROM s WHERE px BETWEEN 0 AND 511 AND py BETWEEN 0 AND 511 GROUP BY ALL", views=False)
+def cmp_25(spark, d):
+    v = load(spark, d, "embeddings").select(((F.col("embedding")[0].cast("double") + 1) / 2).alias("x"), ((F.col("embedding")[1].cast("double") + 1) / 2).alias("y"))
+    return L.splat(v, "x", "y").select("px", "py", F.round("v", 9).alias("v"))
+
+
+@query("cmp_30_pixel_difference", "WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(CAST(x AS DOUBLE)) * 255)) AS a FROM embeddings) SELECT vec_id, round(list_sum(list_transform(a, lambda x: (x - 20) * (x - 20))) / 64, 6) AS mse FROM p", views=False)
+def cmp_30(spark, d):
+    a = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 255))
+    mse = F.aggregate(F.transform(a, lambda x: (x - 20) * (x - 20)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    return load(spark, d, "embeddings").select("vec_id", F.round(mse, 6).alias("mse"))
+
+
+@query("udf_1_2_providers")
+def udf_1(spark, d):
+    """Embedding and quality providers as vectorised functions; the built-in ones are deterministic stand-ins."""
+    from ..functions.providers import embedder, quality_of
+
+    f = load(spark, d, "file").filter("file_id < 2000")
+    return f.select("file_id", embedder("hash-8")("relative_path").alias("vec"), quality_of("stat")("size_bytes").alias("quality"))
