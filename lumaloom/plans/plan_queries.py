@@ -1 +1,109 @@
-"""Queries."""
+"""Rules, scopes and plans (FLT-11/12/14, JN-14, AGG-12/13, CMP-26..29/34..36, WIN-11, SRT-11/12, UDF-5)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import media as M
+from ..operators import planning as P
+from .browse_queries import RAW_SQL
+from .catalog import load
+from .registry import query
+
+RULES = [
+    ("keep-raw", 1, "image", [".cr3", ".dng"], None, None, "source", None, "rejected", None, None),
+    ("shrink-large", 2, None, None, None, "conventional-image", None, None, None, 5_000_000, None),
+    ("trip-video", 3, "video", None, "Year1/Trip4", None, None, None, None, None, None),
+    ("small-managed", 4, None, None, None, None, "managed", None, None, None, 900_000),
+]
+RULES_SQL = f"""f AS (SELECT file.*, a.selection_state FROM file JOIN asset a ON file.asset_id = a.asset_id),
+ c AS (SELECT *, CASE WHEN extension IN ('.jpg', '.jpeg', '.png') THEN 'conventional-image' ELSE 'x' END AS cls, CASE WHEN role LIKE 'managed%' OR role LIKE 'derived%' THEN 'managed' ELSE 'source' END AS org FROM f),
+ m AS (SELECT file_id, 'keep-raw' AS rule_id, 1 AS position, size_bytes, is_online, in_scope FROM c WHERE media_type = 'image' AND {RAW_SQL} AND extension IN ('.cr3', '.dng') AND org = 'source' AND selection_state <> 'rejected'
+ UNION ALL SELECT file_id, 'shrink-large', 2, size_bytes, is_online, in_scope FROM c WHERE cls = 'conventional-image' AND size_bytes >= 5000000
+ UNION ALL SELECT file_id, 'trip-video', 3, size_bytes, is_online, in_scope FROM c WHERE media_type = 'video' AND (lower(folder) = 'year1/trip4' OR lower(folder) LIKE 'year1/trip4/%')
+ UNION ALL SELECT file_id, 'small-managed', 4, size_bytes, is_online, in_scope FROM c WHERE org = 'managed' AND size_bytes <= 900000)"""
+
+
+def matches(spark, d):
+    f = load(spark, d, "file").join(load(spark, d, "asset").select("asset_id", "selection_state"), "asset_id")
+    return P.match_rules(f, spark.createDataFrame(RULES, P.RULE_SCHEMA))
+
+
+@query("flt_14_jn_14_rule_matches", f"WITH {RULES_SQL} SELECT file_id, rule_id, CAST(position AS INT) AS position FROM m")
+def flt_14(spark, d):
+    return matches(spark, d).select("file_id", "rule_id", "position")
+
+
+@query("cmp_26_plan_summary", f"WITH {RULES_SQL} SELECT rule_id, count(*) AS candidates, count_if(is_online AND in_scope) AS ready, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(coalesce(sum(CASE WHEN is_online AND in_scope THEN size_bytes END), 0) AS BIGINT) AS ready_bytes FROM m GROUP BY rule_id")
+def cmp_26(spark, d):
+    ready = F.col("is_online") & F.col("in_scope")
+    return matches(spark, d).groupBy("rule_id").agg(F.count("*").alias("candidates"), F.count_if(ready).alias("ready"), F.sum("size_bytes").alias("bytes"), F.coalesce(F.sum(F.when(ready, F.col("size_bytes"))), F.lit(0)).alias("ready_bytes"))
+
+
+@query("cmp_29_srt_12_execution_order", f"WITH {RULES_SQL} SELECT rule_id, file_id, row_number() OVER (PARTITION BY rule_id ORDER BY CASE WHEN size_bytes % 4 = 0 THEN 1 WHEN size_bytes % 4 = 1 THEN 2 WHEN size_bytes % 4 = 2 THEN 3 ELSE 4 END, file_id) AS place FROM m WHERE is_online AND in_scope")
+def cmp_29(spark, d):
+    from pyspark.sql import Window
+
+    phase = F.col("size_bytes") % 4  # copy, compress, move, delete
+    w = Window.partitionBy("rule_id").orderBy(phase, "file_id")
+    return matches(spark, d).filter("is_online and in_scope").select("rule_id", "file_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("flt_11_cmp_34_scope", f"SELECT file_id, folder NOT IN ('Year2', 'Year3/Trip2') AND extension IN ('.jpg', '.cr3', '.mp4') AND NOT {RAW_SQL} AS now_in_scope FROM file")
+def flt_11(spark, d):
+    """Exact-folder exclusions first, then enabled categories and extensions."""
+    excluded = spark.createDataFrame([("year2",), ("year3/trip2",)], "f string")
+    f = load(spark, d, "file").join(F.broadcast(excluded), F.lower("folder") == F.col("f"), "left")
+    ok = F.col("f").isNull() & M.media_category(F.col("extension")).isin("jpeg", "video") & F.col("extension").isin(".jpg", ".cr3", ".mp4")
+    return f.select("file_id", ok.alias("now_in_scope"))
+
+
+@query("flt_12_nearest_rule", "SELECT file_id, CASE WHEN folder LIKE 'Year1/Trip4%' AND (folder = 'Year1/Trip4' OR folder LIKE 'Year1/Trip4/%') THEN TRUE WHEN folder = 'Year1' OR folder LIKE 'Year1/%' THEN FALSE ELSE TRUE END AS included FROM file")
+def flt_12(spark, d):
+    """The deepest rule on the way to the root wins."""
+    rules = spark.createDataFrame([("", True), ("Year1", False), ("Year1/Trip4", True)], "prefix string, included boolean")
+    folders = load(spark, d, "file").select("folder").distinct().select("folder", F.explode(M.folder_prefixes(F.col("folder"))).alias("prefix"))
+    best = folders.join(F.broadcast(rules), "prefix").groupBy("folder").agg(F.max_by("included", F.length("prefix")).alias("included"))
+    return load(spark, d, "file").join(best, "folder").select("file_id", "included")
+
+
+@query("cmp_27_win_11_targets")
+def cmp_27(spark, d):
+    """Order-dependent within a directory; exact cases are in the tests."""
+    f = load(spark, d, "file").filter("is_online and folder like 'Year2%'")
+    planned = f.select(F.col("file_id").alias("op_id"), F.concat(F.lit("out/"), F.col("folder"), F.lit("/"), F.col("filename")).alias("target"), "sha256", F.when(F.col("file_id") % 5 == 0, "skip").otherwise("rename").alias("policy"))
+    existing = f.filter("file_id % 50 = 1").select(F.concat(F.lit("out/"), F.col("folder"), F.lit("/"), F.col("filename")).alias("target"), F.lit("other").alias("sha256"))
+    return P.resolve_targets(planned, existing)
+
+
+@query("cmp_28_src_9_index_plan", "SELECT folder, count(*) AS files, count_if(extension IN ('.jpg', '.mp4')) AS selected, CAST(coalesce(sum(CASE WHEN extension IN ('.jpg', '.mp4') THEN size_bytes END), 0) AS BIGINT) AS bytes FROM file WHERE folder <> 'Year2' GROUP BY folder")
+def cmp_28(spark, d):
+    skip = spark.createDataFrame([("Year2",)], "folder string")
+    f = load(spark, d, "file").join(F.broadcast(skip), "folder", "left_anti")
+    wanted = F.col("extension").isin(".jpg", ".mp4")
+    return f.groupBy("folder").agg(F.count("*").alias("files"), F.count_if(wanted).alias("selected"), F.coalesce(F.sum(F.when(wanted, F.col("size_bytes"))), F.lit(0)).alias("bytes"))
+
+
+@query("cmp_35_compression_blockers", "WITH c AS (SELECT sha256 AS k, max(component_status) AS status FROM file WHERE role = 'derived_preview' GROUP BY sha256) SELECT f.file_id, CASE WHEN c.status IS NULL THEN 'not analysed' WHEN c.status = 'failed' THEN 'analysis failed' WHEN c.status = 'pending' THEN 'analysis pending' END AS blocker FROM file f LEFT JOIN c ON f.sha256 = c.k")
+def cmp_35(spark, d):
+    f = load(spark, d, "file")
+    cache = f.filter("role = 'derived_preview'").groupBy(F.col("sha256").alias("k")).agg(F.max("component_status").alias("status"))
+    j = f.join(cache, f["sha256"].eqNullSafe(F.col("k")), "left")
+    s = F.col("status")
+    return j.select("file_id", F.when(s.isNull(), "not analysed").when(s == "failed", "analysis failed").when(s == "pending", "analysis pending").alias("blocker"))
+
+
+@query("cmp_36_invalidate", "SELECT file_id, CASE WHEN asset_id % 9 = 0 THEN 'pending' ELSE component_status END AS component_status, CASE WHEN asset_id % 9 = 0 THEN NULL ELSE quality_score END AS quality_score FROM file")
+def cmp_36(spark, d):
+    f = load(spark, d, "file")
+    ids = f.filter("asset_id % 9 = 0").select("file_id", F.lit(True).alias("hit"))
+    return f.join(ids, "file_id", "left").select("file_id", F.when(F.col("hit"), "pending").otherwise(F.col("component_status")).alias("component_status"), F.when(F.col("hit").isNull(), F.col("quality_score")).alias("quality_score"))
+
+
+@query("srt_11_profile_order", "SELECT name, row_number() OVER (ORDER BY CASE name WHEN 'archive' THEN 0 WHEN 'web' THEN 1 ELSE 2 END, lower(name), name) AS place FROM (VALUES ('Zoom'), ('web'), ('archive'), ('alpha')) v(name)", views=False)
+def srt_11(spark, d):
+    from pyspark.sql import Window
+
+    p = spark.createDataFrame([("Zoom",), ("web",), ("archive",), ("alpha",)], "name string")
+    built_in = F.when(F.col("name") == "archive", 0).when(F.col("name") == "web", 1).otherwise(2)
+    return p.select("name", F.row_number().over(Window.orderBy(built_in, F.lower("name"), "name")).cast("long").alias("place"))
