@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann_search, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, suffix_dedup, toxicity, url_filter
+from . import ann_search, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, sentencepiece_codec, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
