@@ -37,7 +37,7 @@ from .common import Scratch, table
 
 LENGTH, GRAM = 200, 32
 SHALLOW = 64
-BIG = 20_000
+BIG = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -231,45 +231,38 @@ def repeated_offsets(lefts: list[bytes], rights: list[bytes], counts: list[int],
     return runs
 
 
-def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Consecutive rows of one key, across batches."""
-    rest = None
-    for pdf in batches:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        k = pdf[key].to_numpy()
-        cut = np.flatnonzero(k[1:] != k[:-1]) + 1
-        bounds = np.concatenate([[0], cut])
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            yield pdf.iloc[a:b]
-        rest = pdf.iloc[bounds[-1] :]
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _spans_in_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    docs: list[int] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    for g in _groups(batches, "gram"):
+    """doc_id, start, end of repeated stretches; rows come sorted by gram and a gram's rows may span batches."""
+    out: list[tuple[int, int, int]] = []
+    gram, rows = None, []
+
+    def close() -> None:
+        if len(rows) < 2:
+            return
         where: dict[tuple[bytes, bytes], list[int]] = {}
-        left, right, doc, pos = g["left"].tolist(), g["right"].tolist(), g["doc_id"].tolist(), g["pos"].tolist()
-        for i in range(len(doc)):
-            where.setdefault((bytes(left[i]), bytes(right[i])), []).append(i)
+        for i, r in enumerate(rows):
+            where.setdefault((r[2], r[3]), []).append(i)
         ways = list(where)
         runs = repeated_offsets([w[0] for w in ways], [w[1] for w in ways], [len(x) for x in where.values()])
-        for r, rows in zip(runs, where.values(), strict=True):
+        for r, at in zip(runs, where.values(), strict=True):
             for lo, hi in r:
-                for i in rows:
-                    docs.append(doc[i])
-                    starts.append(pos[i] - hi)
-                    ends.append(pos[i] - lo + LENGTH)
-        if len(docs) > 50_000:
-            yield pd.DataFrame({"doc_id": docs, "start": starts, "end": ends})
-            docs, starts, ends = [], [], []
-    yield pd.DataFrame({"doc_id": docs, "start": starts, "end": ends}, dtype="int64")
+                out.extend((rows[i][0], rows[i][1] - hi, rows[i][1] - lo + LENGTH) for i in at)
+
+    for pdf in batches:
+        columns = [pdf[c].tolist() for c in ("gram", "doc_id", "pos", "end", "left", "right")]
+        for g, doc, pos, end, left, right in zip(*columns, strict=True):
+            if end:  # a span that its document knew
+                out.append((doc, pos, end))
+                continue
+            if g != gram:
+                close()
+                gram, rows = g, []
+            rows.append((doc, pos, left, right))
+        if len(out) > 20_000:
+            yield pd.DataFrame(out, columns=["doc_id", "start", "end"])
+            out.clear()
+    close()
+    yield pd.DataFrame(out, columns=["doc_id", "start", "end"], dtype="int64")
 
 
 def _windows_of_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,7 +278,7 @@ def _windows_of_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, big: int = BIG) -> DataFrame:
-    """doc_id, text (bytes) and spans (array of start, end) of documents that hold repeated strings."""
+    """doc_id, text (bytes), starts and ends (arrays, by start) of documents that hold repeated strings."""
     body = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter(f"octet_length(text) >= {LENGTH} and doc_id is not null")
 
     def anchors_of(batches):
@@ -294,9 +287,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, big: int = BIG) -> DataFra
             ids = pdf["doc_id"].to_numpy()
             texts = [bytes(t) for t in pdf["text"]]
             a = 0
-            while a < len(texts):  # about 2 MB at a time
+            while a < len(texts):  # about half a MB at a time
                 b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= 2 << 20):
+                while b < len(texts) and (b == a or size + len(texts[b]) <= 1 << 19):
                     size += len(texts[b])
                     b += 1
                 i, pos, h = finder.find(texts[a:b])
@@ -305,44 +298,55 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, big: int = BIG) -> DataFra
 
     anchors = scratch.save(body.mapInPandas(anchors_of, "gram long, doc_id long, pos int"), "anchors")
     often = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", (F.col("n") > big).alias("big"))
-    lists = anchors.join(often, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "gram", "big")).alias("anchors"))
+    lists = anchors.join(often, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "gram", "big")).alias("x")).select("doc_id", F.col("x.pos").alias("at"), F.col("x.gram").alias("grams"), F.col("x.big").alias("bigs"))
     held = scratch.save(body.join(lists, "doc_id"), "held")
     scratch.drop("anchors")
+    scratch.release()
 
     def contexts(batches):
+        """A row for each different context of a document.  Places that share one (periodic text) are
+        repeats already: their spans go straight on, and one of them stands for all."""
+        names = ["gram", "big", "doc_id", "pos", "end", "left", "right"]
         for pdf in batches:
-            rows = []
-            for doc, text, found in zip(pdf["doc_id"], pdf["text"], pdf["anchors"], strict=True):
-                text = bytes(text)
-                for x in found:
-                    p = x["pos"]
-                    rows.append((x["gram"], x["big"], doc, p, text[max(0, p - LENGTH + GRAM) : p][::-1], text[p : p + LENGTH]))
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["gram", "big", "doc_id", "pos", "left", "right"])
+            rows: list[tuple] = []
+            for doc, text, at, grams, bigs in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["at"], pdf["grams"], pdf["bigs"], strict=True):
+                first: dict[tuple[bytes, bytes], int] = {}
+                known: list[tuple[int, int]] = []
+                for p, g, b in sorted(zip(at.tolist(), grams.tolist(), bigs.tolist(), strict=True)):
+                    left, right = text[max(0, p - LENGTH + GRAM) : p][::-1], text[p : p + LENGTH]
+                    q = first.setdefault((left, right), p)
+                    if q == p:
+                        rows.append((g, b, doc, p, 0, left, right))
+                    elif len(left) + len(right) >= LENGTH:
+                        known += [(x - len(left), x + len(right)) for x in (q, p)]
+                if known:
+                    known.sort()
+                    rows += [(doc, False, doc, a, e, b"", b"") for a, e in merged(np.array([x[0] for x in known]), np.array([x[1] for x in known]))]
+                if len(rows) > 5_000:
+                    yield pd.DataFrame(rows, columns=names)
                     rows = []
-            yield pd.DataFrame(rows, columns=["gram", "big", "doc_id", "pos", "left", "right"])
+            yield pd.DataFrame(rows, columns=names)
 
-    near = held.mapInPandas(contexts, "gram long, big boolean, doc_id long, pos int, left binary, right binary")
+    near = held.mapInPandas(contexts, "gram long, big boolean, doc_id long, pos int, end int, left binary, right binary")
     usual = near.filter("not big").repartition("gram").sortWithinPartitions("gram").mapInPandas(_spans_in_groups, "doc_id long, start long, end long")
     windows = near.filter("big").mapInPandas(_windows_of_contexts, "window binary, doc_id long, start long")
     # a window near several anchors comes several times; a place counts once
     places = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("a"), F.max(F.struct("doc_id", "start")).alias("b")).filter("a != b").select("window")
     hot = windows.join(places, "window", "left_semi").select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
-    if not held.filter("exists(anchors, x -> x.big)").isEmpty():
+    if not held.filter("exists(bigs, x -> x)").isEmpty():
         usual = usual.unionByName(hot)
-    spans = usual.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = usual.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("x")).select("doc_id", F.col("x.start").alias("starts"), F.col("x.end").alias("ends"))
+    spans = scratch.save(spans, "spans")
+    scratch.release()
     return held.select("doc_id", "text").join(spans, "doc_id")
 
 
-def merged(spans) -> list[tuple[int, int]]:
-    """Sorted spans joined where they overlap or touch."""
-    out: list[list[int]] = []
-    for s in spans:
-        if out and s["start"] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s["end"])
-        else:
-            out.append([s["start"], s["end"]])
-    return [(a, b) for a, b in out]
+def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Spans sorted by start, joined where they overlap or touch."""
+    reach = np.maximum.accumulate(ends)
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]]))
+    last = np.concatenate([new[1:] - 1, [len(starts) - 1]])
+    return list(zip(starts[new].tolist(), reach[last].tolist(), strict=True))
 
 
 def remove_repeats(docs: DataFrame, big: int = BIG) -> DataFrame:
@@ -352,9 +356,9 @@ def remove_repeats(docs: DataFrame, big: int = BIG) -> DataFrame:
     def cut(batches):
         for pdf in batches:
             rows = []
-            for doc, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
+            for doc, text, starts, ends in zip(pdf["doc_id"], pdf["text"], pdf["starts"], pdf["ends"], strict=True):
                 text, at, kept = bytes(text), 0, []
-                runs = merged(spans)
+                runs = merged(starts, ends)
                 for a, b in runs:
                     kept.append(text[at:a])
                     at = b
