@@ -117,7 +117,7 @@ def agg_18(spark, d):
     return a.groupBy("kind").agg(F.count("*").alias("assets"), F.sum("pending").cast("long").alias("pending"), F.sum("samples").cast("long").alias("samples"))
 
 
-@query("agg_19_28_estimate", "SELECT media_type, count_if(component_status <> 'complete') AS pending, count_if(component_status <> 'complete') * CASE WHEN media_type = 'video' THEN 4.0 ELSE 0.25 END + 12.0 AS seconds, count_if(component_status <> 'complete') * 512 * 2 AS vector_bytes FROM file WHERE in_scope GROUP BY media_type")
+@query("agg_19_28_estimate", "SELECT media_type, count_if(component_status <> 'complete') AS pending, count_if(component_status <> 'complete') * CAST(CASE WHEN media_type = 'video' THEN 4.0 ELSE 0.25 END AS DOUBLE) + 12.0 AS seconds, count_if(component_status <> 'complete') * 512 * 2 AS vector_bytes FROM file WHERE in_scope GROUP BY media_type")
 def agg_19(spark, d):
     pending = F.count_if(F.col("component_status") != "complete")
     g = load(spark, d, "file").filter("in_scope").groupBy("media_type").agg(pending.alias("pending"))

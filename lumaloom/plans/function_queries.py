@@ -135,7 +135,7 @@ def s_23(spark, d):
     return load(spark, d, "job").select("job_id", (s / (s + 1)).alias("ratio"), (100 * (1 - s / (s + 1))).alias("saved_percent"), F.round(X.psnr(s - 1), 9).alias("psnr"))
 
 
-@query("s_24_estimates", "SELECT file_id, CAST(greatest(1, floor(size_bytes * CASE extension WHEN '.mp4' THEN 0.55 WHEN '.jxl' THEN 1.0 WHEN '.cr3' THEN 0.7 ELSE 0.45 END)) AS BIGINT) AS output_bytes, CASE WHEN role = 'original' THEN CAST(greatest(1, floor(size_bytes * CASE extension WHEN '.mp4' THEN 0.55 WHEN '.jxl' THEN 1.0 WHEN '.cr3' THEN 0.7 ELSE 0.45 END)) AS BIGINT) - size_bytes WHEN role = 'managed_jxl' THEN -size_bytes ELSE 0 END AS delta FROM file")
+@query("s_24_estimates", "SELECT file_id, CAST(greatest(1, floor(size_bytes * CAST(CASE extension WHEN '.mp4' THEN 0.55 WHEN '.jxl' THEN 1.0 WHEN '.cr3' THEN 0.7 ELSE 0.45 END AS DOUBLE))) AS BIGINT) AS output_bytes, CASE WHEN role = 'original' THEN CAST(greatest(1, floor(size_bytes * CAST(CASE extension WHEN '.mp4' THEN 0.55 WHEN '.jxl' THEN 1.0 WHEN '.cr3' THEN 0.7 ELSE 0.45 END AS DOUBLE))) AS BIGINT) - size_bytes WHEN role = 'managed_jxl' THEN -size_bytes ELSE 0 END AS delta FROM file")
 def s_24(spark, d):
     e = F.col("extension")
     ratio = F.when(e == ".mp4", 0.55).when(e == ".jxl", 1.0).when(e == ".cr3", 0.7).otherwise(0.45)
@@ -156,7 +156,7 @@ def s_26(spark, d):
     return g.select(F.sha2(F.to_json("x"), 256).alias("digest"))
 
 
-@query("s_27_targets", "SELECT file_id, CASE WHEN folder = '' THEN 'export' ELSE 'export/' || folder END || '/' || substr(filename, 1, length(filename) - length(extension)) || '_web' || extension AS target FROM file")
+@query("s_27_targets", "SELECT file_id, CASE WHEN folder = '' THEN 'export' ELSE 'export/' || folder END || '/' || substr(filename, 1, length(filename) - length(extension)) || '_web' || substr(filename, length(filename) - length(extension) + 1) AS target FROM file")
 def s_27(spark, d):
     from ..operators.planning import target_path
 
