@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,15 @@ class Scratch:
         df.write.option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished steps: it does so when the driver's garbage is collected.
+
+        The listener threads keep their last event, and with it the last plan; a tiny query takes its place.
+        """
+        self.spark.range(1).count()
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

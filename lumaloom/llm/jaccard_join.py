@@ -109,7 +109,7 @@ def shingle_sets(texts: list[str | None], k: int = K) -> tuple[np.ndarray, np.nd
     return h, np.searchsorted(d, np.arange(len(texts) + 1))
 
 
-def batches_of(texts: list, size: int = 2 << 20):
+def batches_of(texts: list, size: int = 1 << 19):
     """Index ranges of texts of about ``size`` characters together."""
     a = 0
     while a < len(texts):
@@ -210,25 +210,26 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     often = frequent_shingles(docs, OFTEN)
+    scratch.release()
     base = scratch.save(sets_and_prefixes(docs, often), "sets")
-    members = base.select("doc_id", "class", "n")
+    members = scratch.save(base.select("doc_id", "class", "n"), "members")
     reps = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     postings = base.select("class", "n", F.posexplode("prefix").alias("at", "cell"))
+    # one long for (at, n): the order of the window, and narrower rows to shuffle
+    postings = postings.select("cell", "class", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("key"))
 
     # a cell's rows from the one with the least before the shingle; copies of a class fall together
-    w = Window.partitionBy("cell").orderBy("at", "n", "class")
-    lag = F.lag("class").over(w)
-    first = lambda c: F.first(c).over(w)
-    starred = postings.withColumn("again", F.coalesce(lag == F.col("class"), F.lit(False))).select(
-        "cell", "class", "n", "at", "again", first("class").alias("pivot"), first("n").alias("pivot_n"), first("at").alias("pivot_at")
-    )
-    cells = scratch.save(starred.filter("not again and pivot != class").drop("again"), "cells")
-    links, verified = None, None
+    w = Window.partitionBy("cell").orderBy("key", "class")
+    n_of, at_of = (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")), (lambda c: F.shiftright(F.col(c), 32).cast("int"))
+    starred = postings.withColumn("again", F.coalesce(F.lag("class").over(w) == F.col("class"), F.lit(False))).withColumn("pivot", F.first("class").over(w)).withColumn("pkey", F.first("key").over(w))
+    starred = starred.filter("not again and pivot != class").select("cell", "class", n_of("key").alias("n"), at_of("key").alias("at"), "pivot", n_of("pkey").alias("pivot_n"), at_of("pkey").alias("pivot_at"))
+    cells = scratch.save(starred, "cells")
+    scratch.drop("sets")
+    scratch.release()
     near = could_link(F.col("n"), F.col("at"), F.col("pivot_n"), F.col("pivot_at"), percent)
     pairs = scratch.save(cells.filter(near).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pairs-0")
 
-    # all classes that any round can compare: those of cells, with their sets from the texts
-    wanted = cells.select("class").union(cells.select("pivot")).distinct().join(reps, "class")
+    sets: list[DataFrame] = []
 
     def sets_of(batches):
         for pdf in batches:
@@ -237,13 +238,28 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
                 h, begin = shingle_sets(texts[a:b])
                 yield pd.DataFrame({"class": names[a:b], "items": [h[s:e].tobytes() for s, e in zip(begin[:-1], begin[1:], strict=True)]})
 
-    paired = pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
-    outer = cells.filter(~near).select("class")
-    sets = scratch.save(
-        docs.select("doc_id", "text").join(wanted.join(paired.union(outer).distinct(), "class", "left_semi"), "doc_id").dropDuplicates(["class"]).mapInPandas(sets_of, "class long, items binary"), "items"
-    )
-    links = scratch.save(verify(pairs, sets).withColumn("distance", 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).withColumn("linked", (100 + percent) * F.col("common") >= percent * (F.col("n_a") + F.col("n_b"))), "verified-0")
-    verified = links
+    def verified_pairs(some: DataFrame, step: int) -> DataFrame:
+        """Exact distances; the sets of classes not met before come from their texts."""
+        wanted = some.select(F.col("a").alias("class")).union(some.select("b")).distinct()
+        for known in sets:
+            wanted = wanted.join(known.select("class"), "class", "left_anti")
+        wanted = scratch.save(wanted.join(reps, "class"), f"wanted-{step}")
+        if not wanted.isEmpty():
+            scratch.release()
+            sets.append(scratch.save(docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["class"]).mapInPandas(sets_of, "class long, items binary"), f"items-{step}"))
+            scratch.release()
+        if not sets:
+            return scratch.save(spark.createDataFrame([], "a long, b long, distance double, linked boolean"), f"verified-{step}")
+        union = sets[0]
+        for more in sets[1:]:
+            union = union.unionByName(more)
+        size = F.col("n_a") + F.col("n_b")
+        out = verify(some, union).select("a", "b", (1 - F.col("common") / (size - F.col("common"))).alias("distance"), ((100 + percent) * F.col("common") >= percent * size).alias("linked"))
+        out = scratch.save(out, f"verified-{step}")
+        scratch.release()
+        return out
+
+    verified = verified_pairs(pairs, 0)
 
     # outside the balls: rows of a cell that are not linked with their pivot
     radius = 1 - percent / 100 + 1e-9  # room for rounding
@@ -269,7 +285,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         fresh = met.select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b")).distinct()
         known = verified.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = scratch.save(fresh.join(known, ["a", "b"], "left_anti"), f"pairs-{step}")
-        new = scratch.save(verify(fresh, sets).withColumn("distance", 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).withColumn("linked", (100 + percent) * F.col("common") >= percent * (F.col("n_a") + F.col("n_b"))), f"verified-{step}")
+        new = verified_pairs(fresh, step)
         verified = verified.unionByName(new)
         # the elected have met all rows of their cells and leave; a cell without open rows is finished
         left = state.join(elected.select("cell", F.col("p").alias("class"), F.lit(True).alias("gone")), ["cell", "class"], "left").filter("gone is null").drop("gone")
