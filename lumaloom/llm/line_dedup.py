@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .graph import components
 
-EDITS = 2
+EDITS = 1
 LEAST = 20
 #: Letters that the sketch counts, each modulo 64 in six bits.
-LETTERS = "aeinorstld"
+LETTERS = "aeinrt"
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
@@ -59,7 +59,7 @@ def sketch_distance(a: Column, b: Column) -> Column:
 
 def _segment(size: Column, i: int, n: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i of n of a line: the last ones are longer by one."""
-    short = F.floor(size / n).cast("int")
+    short = F.call_function("div", size, F.lit(n)).cast("int")
     longer = size - short * n
     before = F.greatest(F.lit(i) - (F.lit(n) - longer), F.lit(0))
     return (short * i + before + 1).cast("int"), (short + F.when(F.lit(i) >= F.lit(n) - longer, 1).otherwise(0)).cast("int")
@@ -82,7 +82,7 @@ def probe_keys(line: Column, size: Column, edits: int) -> Column:
             start, length = _segment(other, i, edits + 1)
             for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
                 keys.append(F.xxhash64(other, F.lit(i), F.substring(line, start + move, length)))
-    return F.array_distinct(F.array(*keys))
+    return F.array(*keys)  # a repeated substring gives a repeated key; keys are made distinct by line
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -96,37 +96,24 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     w = 2 * edits + 1
     full = (1 << w) - 1
     long = lambda x: F.lit(x).cast("long")
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  binds a value to a name
     pad = F.array_repeat(F.lit(""), edits)
-    rows = F.concat(pad, F.split(a, ""), pad)
-    m, columns = F.length(a), F.split(b, "")
     start = F.struct(long(full & ~((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("d"))
+    parts = F.struct(F.concat(pad, F.split(a, ""), pad).alias("rows"), F.split(b, "").alias("columns"), F.length(a).alias("m"))
 
-    def match(j: Column) -> Column:
-        c = F.get(columns, j - 1)
-        out = long(0)
+    def match(parts: Column, j: Column) -> Column:
+        c, out = F.get(parts["columns"], j - 1), long(0)
         for i in range(w):
-            out = out.bitwiseOR(F.when(F.get(rows, j - 1 + i) == c, long(1 << i)).otherwise(long(0)))
-        return F.when(c == "", long(0)).otherwise(out)
-
-    def step(s: Column, j: Column) -> Column:
-        vp, vn, x = s["vp"], s["vn"], match(j)
-        # lambdas stand in for local names: each value is bound once
-        return F.element_at(
-            F.transform(
-                F.array(F.struct(x.alias("x"))),
-                lambda one: F.element_at(
-                    F.transform(
-                        F.array(F.struct(((one["x"].bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(one["x"]).bitwiseOR(vn).bitwiseAND(long(full)).alias("d0"))),
-                        lambda two: _advance(s, two["d0"], j, m, edits, full, long),
-                    ),
-                    1,
-                ),
-            ),
-            1,
-        )
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(b)), start, step, lambda s: s["d"])
-    return F.when(F.abs(F.length(a) - F.length(b)) > edits, False).otherwise(folded <= edits)
+            out = out.bitwiseOR(F.when(F.get(parts["rows"], j - 1 + i) == c, long(1 << i)).otherwise(long(0)))
+        return out
+
+    def step(parts: Column, s: Column, j: Column) -> Column:
+        vp, vn = s["vp"], s["vn"]
+        d0 = lambda x: (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(long(full))
+        return once(match(parts, j), lambda x: once(d0(x), lambda y: _advance(s, y, j, parts["m"], edits, full, long)))
+
+    fold = lambda parts: F.aggregate(F.sequence(F.lit(1), F.length(b)), start, lambda s, j: step(parts, s, j), lambda s: s["d"])
+    return F.when(F.abs(F.length(a) - F.length(b)) > edits, False).otherwise(once(parts, fold) <= edits)
 
 
 def _advance(s: Column, d0: Column, j: Column, m: Column, edits: int, full: int, long) -> Column:

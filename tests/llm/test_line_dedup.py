@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lumaloom.llm import line_dedup as L
@@ -35,7 +37,8 @@ def test_distance(spark):
         assert all(x["ok"] == (distance(x["a"], x["b"]) <= k) for x in got)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("edits", [1, 2])
+def test_against_brute_force(spark, edits):
     r = random.Random(9)
     line = lambda n: "".join(r.choice("abcdeé fgh") for _ in range(n)).strip().ljust(8, "q")
     pool = [line(r.randint(8, 60)) for _ in range(25)] + ["short"]
@@ -51,7 +54,7 @@ def test_against_brute_force(spark):
 
     for i, a in enumerate(kinds):
         for b in kinds[:i]:
-            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+            if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
                 up[root(a)] = root(b)
     head = {}
     for d, i, s in places:
@@ -62,7 +65,7 @@ def test_against_brute_force(spark):
             gone = {i for e, i, s in places if e == d and head[root(s)] != (d, i)}
             want[d] = "\n".join(s for i, s in enumerate(t.split("\n")) if i not in gone)
     df = spark.createDataFrame(docs, "doc_id long, text string, exact string").repartition(3)
-    got = {x["doc_id"]: x for x in L.dedup_lines(df, least=8).collect()}
+    got = {x["doc_id"]: x for x in L.dedup_lines(df, edits, least=8).collect()}
     assert len(got) == len(docs) and got[50]["text"] is None and got[50]["n_lines"] == 0
     assert {d: got[d]["text"] for d in want} == want
     assert sum(x["n_near"] for x in got.values()) > 0 and got[53]["n_exact"] == 1
