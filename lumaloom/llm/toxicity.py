@@ -34,6 +34,8 @@ from .common import table
 
 #: Known to both dictionaries, ahead of each window.
 LEAD = bytes(range(1, 25))
+#: Behind each window and known to neither: matches are not looked for in a frame's last bytes.
+TRAIL = bytes(range(200, 212))
 #: Words kept by a worker with their differences; the store is emptied when full.
 CACHE = 1_000_000
 _known: dict[bytes, dict[str, int]] = {}
@@ -48,35 +50,36 @@ def openings(text: str | None) -> set[str]:
     return {w[:k] for w in set(windows_of(text)) for k in range(4, min(len(w), 12) + 1)}
 
 
-def train_dictionary(own: list[str], other: list[str], max_bytes: int = 1024, least_share: float = 0.02, least_odds: float = 3.5) -> bytes:
+def train_dictionary(own: list[str], other: list[str], max_bytes: int = 256, least_odds: float = 3.5) -> bytes:
     """Raw-content dictionary of the segments that cover ``own`` documents and that ``other`` ones lack.
 
-    A segment must be in at least 4 documents and ``least_share`` of them and
-    have log odds of ``least_odds``; segments that extend one already taken add
-    nothing and are left out.  The most telling segment comes last, where a
-    match is cheapest.
+    A segment must be in at least 3 % of the documents (more in small samples)
+    and have log odds of ``least_odds``; segments that extend one already taken
+    add nothing and are left out.  The constant run stands at the end and the most
+    telling segment right before it, where matches are found first.
     """
     mine, theirs = Counter(), Counter()
     for t in own:
         mine.update(openings(t))
     for t in other:
         theirs.update(openings(t))
+    least = max(4, min(8, 0.1 * len(own)), 0.03 * len(own))
     found = []
     for s, n in mine.items():
         odds = np.log((n + 0.5) / (len(own) + 1)) - np.log((theirs[s] + 0.5) / (len(other) + 1))
-        if n >= max(4, least_share * len(own)) and odds > least_odds:
-            found.append((-round(float(odds * np.sqrt(n)), 9), len(s), s))
+        if n >= least and odds > least_odds:
+            found.append((-round(float(odds * np.sqrt(n)), 9), -len(s), s))
     taken: list[str] = []
     size = 0
     for _, _, s in sorted(found):
         if size < max_bytes and not any(s.startswith(x) or x.startswith(s) for x in taken):
             taken.append(s)
             size += len(s.encode()) + 2
-    return LEAD + b"\0" + b"\0".join(b" " + s.encode() for s in reversed(taken)) + b"\0"
+    return b"\0".join(b" " + s.encode() for s in reversed(taken)).rjust(8, b"\0") + b"\0" + LEAD
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    shape = zstandard.ZstdCompressionParameters(window_log=11, hash_log=8, chain_log=8, search_log=3, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    shape = zstandard.ZstdCompressionParameters(window_log=11, hash_log=10, chain_log=10, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
     known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     known.precompute_compress(compression_params=shape)
     return zstandard.ZstdCompressor(dict_data=known, compression_params=shape)
@@ -99,7 +102,7 @@ class WindowMeter:
         for w, times in seen.items():
             d = known.get(w)
             if d is None:
-                b = LEAD + b" " + w.encode("utf-8", "replace") + b" "
+                b = LEAD + b" " + w.encode("utf-8", "replace") + b" " + TRAIL
                 d = len(self.ordinary.compress(b)) - len(self.toxic.compress(b))
                 if len(known) >= CACHE:
                     known.clear()
