@@ -139,8 +139,10 @@ def similar_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least:
     shorter = (F.col("size") < F.col("probe_size")) | (F.col("line_id") < F.col("probe_id"))
     met = index.join(probe, (index["key"] == probe["key"]) & (F.col("line_id") != F.col("probe_id")) & shorter & (sketch_distance(F.col("sketch"), F.col("probe_sketch")) <= 2 * edits))
     pairs = scratch.save(met.select(F.col("line_id").alias("a"), F.col("probe_id").alias("b")).distinct(), "line-pairs")
+    scratch.release()
     wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
     texts = scratch.save(lines_of(docs, least).select("line_id", "line").join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"]), "line-texts")
+    scratch.release()
     both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("tb")), "b")
     return both.filter(within_edits(F.col("ta"), F.col("tb"), edits)).select("a", "b")
 
