@@ -42,7 +42,7 @@ OFTEN = 32
 #: ... the most frequent of them, at most so many (8 bytes each are broadcast).
 MOST_OFTEN = 1 << 20
 #: Pivots that a cell elects in one round after the first.
-PIVOTS = 64
+PIVOTS = 256
 #: Members of a pivot that one task verifies together.
 BLOCK = 512
 
@@ -269,7 +269,11 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         # without a verified distance the sets cannot reach the threshold; all that is known is that it is larger
         F.col("distance").alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"),
     ).withColumn("low", F.coalesce("low", F.lit(radius)))
-    state = scratch.save(state.withColumn("done", F.col("inside")), "state-0")
+    # a row whose place leaves too little for even the smallest set of its cell can link with none of it
+    smallest = F.min("n").over(Window.partitionBy("cell"))
+    fits = (100 + percent) * (F.col("n") - F.col("at")) >= percent * (F.col("n") + F.col("smallest"))
+    state = state.withColumn("smallest", smallest).filter(fits).drop("smallest").withColumn("done", F.col("inside"))
+    state = scratch.save(state, "state-0")
     step = 0
     while True:
         open_rows = state.filter("not done")
