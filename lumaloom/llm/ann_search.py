@@ -54,7 +54,12 @@ class CentroidGraph:
         self.entries = np.linspace(0, n - 1, min(entries, n)).astype(int)
 
     def nearest(self, points: np.ndarray, hops: int = 6) -> tuple[np.ndarray, np.ndarray]:
-        """ids and squared distances of up to ``beam`` centroids near each point, nearest first."""
+        """ids and squared distances of up to ``beam`` centroids near each point, nearest first; a few MB of work at a time."""
+        step = max(1, (1 << 20) // (self.beam * self.near.shape[1] * self.c.shape[1]))
+        parts = [self._walk(points[i : i + step], hops) for i in range(0, max(1, len(points)), step)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _walk(self, points: np.ndarray, hops: int) -> tuple[np.ndarray, np.ndarray]:
         b, n = len(points), len(self.c)
         dist = np.full((b, n), np.inf)
         rows = np.arange(b)[:, None]
@@ -87,8 +92,8 @@ def fit_centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 11) -
     size = np.full(n, len(sample) / n)
     for _ in range(rounds):
         spread = max(1e-12, float(((sample[:256] - sample.mean(0)) ** 2).sum(1).mean()))
-        cost = (c**2).sum(1)[None] - 2 * sample @ c.T + 0.05 * spread * (size / (len(sample) / n) - 1)[None]
-        at = cost.argmin(1)
+        pull = (c**2).sum(1) + 0.05 * spread * (size / (len(sample) / n) - 1)
+        at = np.concatenate([(pull[None] - 2 * sample[i : i + 2048] @ c.T).argmin(1) for i in range(0, len(sample), 2048)])
         size = np.bincount(at, minlength=n).astype(float)
         total = np.zeros_like(c)
         np.add.at(total, at, sample)
