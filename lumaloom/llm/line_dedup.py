@@ -21,16 +21,16 @@ extra columns pass through; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .graph import components
 
-EDITS = 1
+EDITS = 2
 LEAST = 20
 #: Letters that the sketch counts, each modulo 64 in six bits.
-LETTERS = "aeinrt"
+LETTERS = "aeinorstld"
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
@@ -82,7 +82,7 @@ def probe_keys(line: Column, size: Column, edits: int) -> Column:
             start, length = _segment(other, i, edits + 1)
             for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
                 keys.append(F.xxhash64(other, F.lit(i), F.substring(line, start + move, length)))
-    return F.array(*keys)  # a repeated substring gives a repeated key; keys are made distinct by line
+    return F.array(*keys)  # a repeated substring gives a repeated key
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -133,12 +133,22 @@ def _advance(s: Column, d0: Column, j: Column, m: Column, edits: int, full: int,
 
 def similar_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """a, b: ids of different lines within ``edits`` edits."""
-    lines = lines_of(docs, max(least, edits + 1)).select("line", "line_id", "size", sketch(F.col("line")).alias("sketch"))
-    index = lines.select("line_id", "sketch", "size", F.explode(index_keys(F.col("line"), F.col("size"), edits)).alias("key")).dropDuplicates(["key", "line_id"])
-    probe = lines.select(F.col("line_id").alias("probe_id"), F.col("sketch").alias("probe_sketch"), F.col("size").alias("probe_size"), F.explode(probe_keys(F.col("line"), F.col("size"), edits)).alias("key")).dropDuplicates(["key", "probe_id"])
-    shorter = (F.col("size") < F.col("probe_size")) | (F.col("line_id") < F.col("probe_id"))
-    met = index.join(probe, (index["key"] == probe["key"]) & (F.col("line_id") != F.col("probe_id")) & shorter & (sketch_distance(F.col("sketch"), F.col("probe_sketch")) <= 2 * edits))
-    pairs = scratch.save(met.select(F.col("line_id").alias("a"), F.col("probe_id").alias("b")).distinct(), "line-pairs")
+    # equal lines fall together before their keys are made, so no (key, line) comes twice
+    lines = lines_of(docs, max(least, edits + 1)).select("line", "line_id", "size").distinct()
+    own = F.array_distinct(index_keys(F.col("line"), F.col("size"), edits))
+    lines = lines.select("line_id", sketch(F.col("line")).alias("sketch"), own.alias("own"), probe_keys(F.col("line"), F.col("size"), edits).alias("probe"))
+    # a line's own segments are probes as well; bit 62 of the sketch marks them
+    mark = lambda keys, bit: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(bit << 62).cast("long").alias("mark")))
+    keyed = lines.select("line_id", "sketch", F.explode(F.concat(mark(F.col("own"), 1), mark(F.array_except("probe", "own"), 0))).alias("k"))
+    keyed = keyed.select("k.key", "line_id", F.col("sketch").bitwiseOR(F.col("k.mark")).alias("sketch"))
+    w = Window.partitionBy("key").orderBy("line_id")
+    shared = keyed.withColumn("before", F.lag("line_id").over(w)).withColumn("after", F.lead("line_id").over(w)).filter("before is not null or after is not null").select("key", "line_id", "sketch")
+    shared = scratch.save(shared, "line-keys")
+    scratch.release()
+    index = shared.filter(F.shiftrightunsigned("sketch", 62) == 1)
+    probe = shared.select("key", F.col("line_id").alias("probe_id"), F.col("sketch").alias("probe_sketch"))
+    met = index.join(probe, "key").filter((F.col("line_id") != F.col("probe_id")) & (sketch_distance(F.col("sketch"), F.col("probe_sketch")) <= 2 * edits))
+    pairs = scratch.save(met.select(F.least("line_id", "probe_id").alias("a"), F.greatest("line_id", "probe_id").alias("b")).distinct(), "line-pairs")
     scratch.release()
     wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
     texts = scratch.save(lines_of(docs, least).select("line_id", "line").join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"]), "line-texts")

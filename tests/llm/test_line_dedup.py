@@ -70,3 +70,10 @@ def test_against_brute_force(spark, edits):
     assert {d: got[d]["text"] for d in want} == want
     assert sum(x["n_near"] for x in got.values()) > 0 and got[53]["n_exact"] == 1
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_two_edits_by_default(spark):
+    assert L.EDITS == 2
+    docs = spark.createDataFrame([(1, "Page 12 of 40 of the yearly report"), (2, "Page 13 of 41 of the yearly report"), (3, "Page 555 of 41 of the yearly report")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in L.dedup_lines(docs).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
