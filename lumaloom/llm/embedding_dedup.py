@@ -8,8 +8,10 @@
    list.  Rounds go on until few lists change.
    Lists keep only what is within twice the threshold angle: by the triangle
    inequality nothing else is a neighbour of a true neighbour.
-4. A list whose places are all taken by links is saturated.  It is enlarged to
-   everything that links reach from it, compared exactly in blocks.
+4. A list whose places are all taken by links is saturated.  Components with
+   such lists are compared with each other, exactly and in blocks, unless the
+   triangle inequality keeps them apart; links are counted in the same way
+   inside all components.
 5. Recall is audited: a hash sample of nodes is compared with all nodes of its
    labels; below the demanded recall, more tables and rounds follow.
 
@@ -123,8 +125,8 @@ class NNDescent:
     def links(self) -> DataFrame:
         return self.graph.filter(F.col("sim") >= self.threshold).select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
 
-    def audit(self, sample: int = AUDIT) -> float:
-        """Share of the sample's true links that the graph has, or reaches within one saturated group."""
+    def audit(self, found: DataFrame, sample: int = AUDIT) -> float:
+        """Share of the sample's true links whose ends share a component of found(node, component)."""
         probe = self.nodes.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample).toPandas()
         if not len(probe):
             return 1.0
@@ -137,7 +139,6 @@ class NNDescent:
                 yield pd.DataFrame({"a": np.minimum(pdf["id"].to_numpy()[i], pid[j]), "b": np.maximum(pdf["id"].to_numpy()[i], pid[j])})
 
         true = self.nodes.mapInPandas(run, "a long, b long").distinct()
-        found = components(self.links(), self.scratch, f"audit-{self.steps}")
         joined = true.join(found.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), "a", "left").join(found.withColumnRenamed("node", "b").withColumnRenamed("component", "cb"), "b", "left")
         got = joined.agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("ok")).first()
         return got["ok"] / got["n"] if got["n"] else 1.0
@@ -161,16 +162,18 @@ def _whole(batches, key: str):
         yield rest
 
 
-def link_counts(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """nodes(id, vec, weight), groups(id, component) -> id, n: weight of all nodes of the component within the threshold.
+def compared(nodes: DataFrame, groups: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """nodes(id, vec, weight), groups(id, component), pairs(a, b) of components -> a, b, id, n: weight of all nodes of b that link with a node of a.
 
-    A component is dealt into blocks; every pair of blocks is one task-sized
+    Components are dealt into blocks; every pair of blocks is one task-sized
     comparison that sends back one number a node, never pairs.
     """
     sized = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
-    dealt = nodes.join(groups, "id").join(sized, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    left = dealt.select("component", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"), F.lit(0).alias("kind"), "id", "vec", "weight")
-    right = dealt.select("component", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"), F.col("block").alias("y"), F.lit(1).alias("kind"), "id", "vec", "weight")
+    dealt = nodes.join(groups, "id").join(sized, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int")).drop("m")
+    blocks = pairs.join(sized.select(F.col("component").alias("a"), F.col("m").alias("ma")), "a").join(sized.select(F.col("component").alias("b"), F.col("m").alias("mb")), "b")
+    spread = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    left = dealt.join(blocks.withColumn("y", spread("mb")), F.col("component") == F.col("a")).select("a", "b", F.col("block").alias("x"), "y", F.lit(0).alias("kind"), "id", "vec", "weight")
+    right = dealt.join(blocks.withColumn("x", spread("ma")), F.col("component") == F.col("b")).select("a", "b", "x", F.col("block").alias("y"), F.lit(1).alias("kind"), "id", "vec", "weight")
 
     def run(batches):
         for pdf in _whole(batches, "cell"):
@@ -178,10 +181,65 @@ def link_counts(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFr
                 a, b = g[g["kind"] == 0], g[g["kind"] == 1]
                 if len(a) and len(b):
                     hit = (matrix(a["vec"]) @ matrix(b["vec"]).T >= threshold) & (a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None])
-                    yield pd.DataFrame({"id": a["id"].to_numpy(), "n": hit @ b["weight"].to_numpy()})
+                    n = hit @ b["weight"].to_numpy()
+                    yield pd.DataFrame({"a": a["a"].to_numpy(), "b": a["b"].to_numpy(), "id": a["id"].to_numpy(), "n": n})[n > 0]
 
-    cells = left.unionByName(right).withColumn("cell", F.concat_ws("/", "component", "x", "y")).drop("component", "x", "y").repartition("cell").sortWithinPartitions("cell")
-    return cells.mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    cells = left.unionByName(right).withColumn("cell", F.concat_ws("/", "a", "b", "x", "y")).drop("x", "y").repartition("cell").sortWithinPartitions("cell")
+    return cells.mapInPandas(run, "a long, b long, id long, n long")
+
+
+def close_components(nodes: DataFrame, groups: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    """nodes(id, label, vec), groups(id, component) -> a, b: components of one label that can hold a link between them.
+
+    A component is a ball around the node that names it; by the triangle
+    inequality of angles balls farther apart than both radii and the threshold
+    angle have no link.  Balls are compared in blocks.
+    """
+    centres = nodes.join(groups.select(F.col("component").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("component"), "label", F.col("vec").alias("centre"))
+
+    @F.pandas_udf("double")
+    def angle(u: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series(np.arccos(np.clip((matrix(u) * matrix(v)).sum(1), -1, 1)) if len(u) else [], dtype="float64")
+
+    radii = nodes.select("id", "vec").join(groups, "id").join(centres, "component").groupBy("component").agg(F.max(angle("vec", "centre")).alias("radius"))
+    balls = scratch.save(centres.join(radii, "component"), name)
+    sized = balls.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
+    dealt = balls.join(sized, "label").withColumn("block", F.pmod(F.xxhash64("component"), F.col("m")).cast("int"))
+    spread = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    left = dealt.select("label", F.col("block").alias("x"), spread.alias("y"), F.lit(0).alias("kind"), "component", "centre", "radius")
+    right = dealt.select("label", spread.alias("x"), F.col("block").alias("y"), F.lit(1).alias("kind"), "component", "centre", "radius")
+    limit = math.acos(threshold) + 1e-6  # room for rounding
+
+    def run(batches):
+        for pdf in _whole(batches, "cell"):
+            for _, g in pdf.groupby("cell", sort=False):
+                a, b = g[g["kind"] == 0], g[g["kind"] == 1]
+                if len(a) and len(b):
+                    apart = np.arccos(np.clip(matrix(a["centre"]) @ matrix(b["centre"]).T, -1, 1))
+                    i, j = np.nonzero(apart <= a["radius"].to_numpy()[:, None] + b["radius"].to_numpy()[None] + limit)
+                    x, y = a["component"].to_numpy()[i], b["component"].to_numpy()[j]
+                    yield pd.DataFrame({"a": x[x != y], "b": y[x != y]})
+
+    cells = left.unionByName(right).withColumn("cell", F.concat_ws("/", "label", "x", "y")).drop("label", "x", "y").repartition("cell").sortWithinPartitions("cell")
+    return cells.mapInPandas(run, "a long, b long")
+
+
+def joined_components(work: NNDescent, nodes: DataFrame, attempt: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, across, whole): components by the lists, links between saturated ones (as from ``compared``), and components with those.
+
+    Links that are lost from a list lead from one saturated list to another: an
+    end with room keeps them.  Components with saturated lists are therefore
+    compared with each other exactly.
+    """
+    scratch = work.scratch
+    links = scratch.save(work.links(), f"links-{attempt}")
+    found = scratch.save(components(links, scratch, f"cc-{attempt}"), f"found-{attempt}")
+    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").count()
+    full = degree.filter(F.col("count") >= work.size).join(found.withColumnRenamed("node", "id"), "id").select("component").distinct()
+    wide = scratch.save(found.join(full, "component", "left_semi").select(F.col("node").alias("id"), "component"), f"wide-{attempt}")
+    pairs = scratch.save(close_components(work.nodes, wide, work.threshold, scratch, f"balls-{attempt}"), f"close-{attempt}")
+    across = scratch.save(compared(nodes.select("id", F.col("unit").alias("vec"), "weight"), wide, pairs, work.threshold), f"across-{attempt}")
+    return found, across, components(links.union(across.select("a", "b").distinct()), scratch, f"whole-{attempt}")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, demanded: float = 0.99) -> DataFrame:
@@ -204,20 +262,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, demanded:
     for attempt in range(3):
         work.hash_tables(TABLES, 17 + attempt)
         work.descend()
-        if work.audit() >= demanded:
+        found, across, whole = joined_components(work, nodes, attempt)
+        if work.audit(whole) >= demanded:
             break
-    links = scratch.save(work.links(), "links")
-    found = components(links, scratch)
-    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").count()
-    full = degree.filter(F.col("count") >= work.size).join(found.withColumnRenamed("node", "id"), "id").select("component").distinct()
-    # saturated lists: everything that their links reach; the others have all their links
-    wide = found.join(full, "component", "left_semi").select(F.col("node").alias("id"), "component")
-    narrow = found.join(full, "component", "left_anti").select(F.col("node").alias("id"), "component")
-    weight = nodes.select("id", "weight")
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("o")).union(links.select("b", "a"))
-    few = both.join(narrow, "id", "left_semi").join(weight.withColumnRenamed("id", "o"), "o").groupBy("id").agg(F.sum("weight").alias("n"))
-    counts = few.unionByName(link_counts(nodes.select("id", F.col("unit").alias("vec"), "weight"), wide, threshold))
-    named = members.join(counts, "id", "left").join(found.withColumnRenamed("node", "id"), "id", "left").select(
+    own = found.select(F.col("component").alias("a"), F.col("component").alias("b")).distinct()
+    inside = compared(nodes.select("id", F.col("unit").alias("vec"), "weight"), found.select(F.col("node").alias("id"), "component"), own, threshold)
+    counts = inside.unionByName(across).groupBy("id").agg(F.sum("n").alias("n"))
+    named = members.join(counts, "id", "left").join(whole.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("vec_id").alias("v"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
     )
     out = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(named, F.col("vec_id") == F.col("v"), "left")

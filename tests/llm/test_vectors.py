@@ -65,3 +65,14 @@ def test_nearest_neighbours(spark):
     assert ann_search.nearest_neighbours(spark.createDataFrame([], SCHEMA), df, 20).count() == 0
     few = spark.createDataFrame(data[:5], SCHEMA)
     assert ann_search.nearest_neighbours(few, few, 20).count() == 20
+
+
+def test_links_between_saturated_lists(spark):
+    r = np.random.default_rng(3)
+    d, angle = 16, np.arccos(0.94)
+    centres = np.zeros((2, d))
+    centres[0, 0], centres[1, 0], centres[1, 1] = 1, np.cos(angle), np.sin(angle)
+    v = np.repeat(centres, 40, axis=0) + 0.0005 * r.normal(size=(80, d))
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]], 0) for i in range(80)], SCHEMA)
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert [(x["n_links"], x["component_id"]) for x in got] == [(79, 0)] * 80
