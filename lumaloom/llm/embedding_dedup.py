@@ -12,8 +12,10 @@
    such lists are compared with each other, exactly and in blocks, unless the
    triangle inequality keeps them apart; links are counted in the same way
    inside all components.
-5. Recall is audited: a hash sample of nodes is compared with all nodes of its
-   labels; below the demanded recall, more tables and rounds follow.
+5. Recall is audited: a hash sample of nodes, growing until enough of them have
+   links, is compared with all nodes of its labels; below the demanded recall,
+   more tables and rounds follow, and in the end an error.  The first tables are
+   as many as a lone pair at the threshold needs, which grows with the bits.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components, or are of an uncommon length, and null labels link with nothing;
@@ -22,6 +24,7 @@ vec_id is the key; extra columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -37,8 +40,13 @@ THRESHOLD = 0.93
 LIST = 16
 BAG = 96
 BLOCK = 512
+#: Hyperplane tables at least, and in one pass over the vectors.
 TABLES = 8
+#: Nodes with links that the audit wants in its sample, and nodes that it looks at for them.
 AUDIT = 256
+AUDIT_MOST = 1 << 14
+#: Rounds of further tables before a missing recall is an error.
+ATTEMPTS = 8
 
 
 class NNDescent:
@@ -46,8 +54,8 @@ class NNDescent:
         """nodes(id, label, vec): unit vectors."""
         self.nodes, self.threshold, self.scratch, self.size = nodes, threshold, scratch, size
         self.floor = math.cos(min(math.pi / 2, 2 * math.acos(threshold)))
-        self.counts = {r["label"]: r["n"] for r in nodes.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1).collect()}
-        self.most = max(self.counts.values(), default=0)
+        sizes = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+        self.most, self.total = sizes["most"] or 0, sizes["total"] or 0
         self.dim = len(nodes.first()["vec"]) if self.most else 0
         self.steps = 0
         self.graph = None
@@ -92,8 +100,16 @@ class NNDescent:
         if self.steps > 1:
             self.scratch.drop(f"graph-{self.steps - 1}")
 
+    def bits(self) -> int:
+        return max(0, min(24, math.ceil(math.log2(max(1, self.most / 24)))))
+
+    def tables(self, demanded: float) -> int:
+        """Tables in which a pair at the threshold shares a bucket at least once with the demanded probability."""
+        once = (1 - math.acos(self.threshold) / math.pi) ** self.bits()
+        return max(TABLES, math.ceil(math.log(1 - demanded) / math.log(1 - once))) if once < 1 else TABLES
+
     def hash_tables(self, n: int, seed: int) -> None:
-        bits = max(0, min(24, math.ceil(math.log2(max(1, self.most / 24)))))
+        bits = self.bits()
         planes = np.random.default_rng(seed).normal(size=(n, max(bits, 1), self.dim))
 
         def codes(batches):
@@ -125,23 +141,47 @@ class NNDescent:
     def links(self) -> DataFrame:
         return self.graph.filter(F.col("sim") >= self.threshold).select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
 
-    def audit(self, found: DataFrame, sample: int = AUDIT) -> float:
-        """Share of the sample's true links whose ends share a component of found(node, component)."""
+    def audit(self, found: DataFrame, wanted: int = AUDIT, most: int = AUDIT_MOST) -> float | None:
+        """Recall of true links in a sample of nodes; None if no node of it has a link.
+
+        A link counts if it is in the graph itself, or if an end has as many
+        links as a list has places: those are counted inside found(node,
+        component), so there the component must be the same.  Each node weighs
+        the same, and nodes with fewer links are judged apart as well, so that
+        large groups cannot hide isolated pairs.  The sample grows until
+        ``wanted`` such smaller nodes are in it.
+        """
+        sample = wanted
+        while True:
+            got = self._audit(found, sample)
+            few = [ok / n for n, ok in got if n < self.size]
+            if len(few) >= wanted or sample >= most or sample >= self.total:
+                break
+            sample *= 4
+        every = [ok / n for n, ok in got]
+        return min(float(np.mean(x)) for x in (few, every) if x) if every else None
+
+    def _audit(self, found: DataFrame, sample: int) -> list[tuple[int, int]]:
+        """Numbers of true and of found links of every node of the sample that has a link."""
         probe = self.nodes.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample).toPandas()
-        if not len(probe):
-            return 1.0
         pv, pl, pid, t = matrix(probe["vec"]), probe["label"].to_numpy(), probe["id"].to_numpy(), self.threshold
 
         def run(batches):
             for pdf in batches:
-                s = matrix(pdf["vec"]) @ pv.T
-                i, j = np.nonzero((s >= t) & (pdf["label"].to_numpy()[:, None] == pl[None]) & (pdf["id"].to_numpy()[:, None] != pid[None]))
-                yield pd.DataFrame({"a": np.minimum(pdf["id"].to_numpy()[i], pid[j]), "b": np.maximum(pdf["id"].to_numpy()[i], pid[j])})
-
-        true = self.nodes.mapInPandas(run, "a long, b long").distinct()
-        joined = true.join(found.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), "a", "left").join(found.withColumnRenamed("node", "b").withColumnRenamed("component", "cb"), "b", "left")
-        got = joined.agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("ok")).first()
-        return got["ok"] / got["n"] if got["n"] else 1.0
+                v, g, ids = matrix(pdf["vec"]), pdf["label"].to_numpy(), pdf["id"].to_numpy()
+                for k in range(0, len(pid), BLOCK):
+                    p, q = pid[k : k + BLOCK], pl[k : k + BLOCK]
+                    i, j = np.nonzero((v @ pv[k : k + BLOCK].T >= t) & (g[:, None] == q[None]) & (ids[:, None] != p[None]))
+                    yield pd.DataFrame({"p": p[j], "o": ids[i]})
+
+        true = self.nodes.mapInPandas(run, "p long, o long")
+        true = true.withColumn("a", F.least("p", "o")).withColumn("b", F.greatest("p", "o"))
+        direct = true.join(self.links().withColumn("direct", F.lit(True)), ["a", "b"], "left")
+        named = direct.join(found.select(F.col("node").alias("p"), F.col("component").alias("cp")), "p", "left").join(found.select(F.col("node").alias("o"), F.col("component").alias("co")), "o", "left")
+        full = self.links().select(F.explode(F.array("a", "b")).alias("o")).groupBy("o").count().filter(F.col("count") >= self.size).select("o", F.lit(True).alias("full"))
+        named = named.join(full, "o", "left").join(full.select(F.col("o").alias("p"), F.col("full").alias("full_p")), "p", "left")
+        ok = F.coalesce("direct", F.lit(False)) | (F.coalesce("full", "full_p", F.lit(False)) & F.coalesce(F.col("cp") == F.col("co"), F.lit(False)))
+        return [(r["n"], r["ok"]) for r in named.groupBy("p").agg(F.count("*").alias("n"), F.count_if(ok).alias("ok")).collect()]
 
 
 def _whole(batches, key: str):
@@ -259,12 +299,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, demanded:
     work = NNDescent(nodes.select("id", "label", F.col("unit").alias("vec")), threshold, scratch)
     if not work.most:
         return rows.select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    for attempt in range(3):
-        work.hash_tables(TABLES, 17 + attempt)
+    seed = 17
+    for attempt in range(ATTEMPTS):
+        left = work.tables(demanded) if not attempt else TABLES
+        while left > 0:
+            work.hash_tables(min(left, TABLES), seed)
+            left, seed = left - TABLES, seed + 1
         work.descend()
         found, across, whole = joined_components(work, nodes, attempt)
-        if work.audit(whole) >= demanded:
+        recall = work.audit(whole)
+        if recall is None:
+            logging.getLogger(__name__).warning("no links in the audited sample: recall is not known")
+        if recall is None or recall >= demanded:
             break
+    else:
+        raise RuntimeError(f"recall {recall:.4f} of links after {ATTEMPTS} rounds of tables; {demanded} is demanded")
     own = found.select(F.col("component").alias("a"), F.col("component").alias("b")).distinct()
     inside = compared(nodes.select("id", F.col("unit").alias("vec"), "weight"), found.select(F.col("node").alias("id"), "component"), own, threshold)
     counts = inside.unionByName(across).groupBy("id").agg(F.sum("n").alias("n"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lumaloom.llm import ann_search, embedding_dedup
 
@@ -76,3 +77,17 @@ def test_links_between_saturated_lists(spark):
     df = spark.createDataFrame([(i, [float(x) for x in v[i]], 0) for i in range(80)], SCHEMA)
     got = embedding_dedup.near_duplicates(df).collect()
     assert [(x["n_links"], x["component_id"]) for x in got] == [(79, 0)] * 80
+
+
+def test_audit_guards_the_result(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    v = r.normal(size=(40, 16))
+    v[1::2] = v[::2] + 0.05 * r.normal(size=(20, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]], 0) for i in range(40)], SCHEMA)
+    work = embedding_dedup.NNDescent.__new__(embedding_dedup.NNDescent)
+    work.threshold, work.most = 0.93, 24 << 18
+    assert work.tables(0.99) >= 40
+    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 1)
+    monkeypatch.setattr(embedding_dedup.NNDescent, "links", lambda self: self.graph.filter("sim > 2").select("id", "near").toDF("a", "b"))
+    with pytest.raises(RuntimeError, match="recall 0.0000"):
+        embedding_dedup.near_duplicates(df)
