@@ -31,8 +31,8 @@ def _blocked_scores(vectors: DataFrame, queries: np.ndarray, best_of: list[str])
     return vectors.mapInPandas(run, schema)
 
 
-def search(vectors: DataFrame, queries: np.ndarray, k: int, allowed: DataFrame | None = None, exclude=None) -> DataFrame:
-    """vectors(asset_id, sample, vec) -> asset_id, similarity, sample, source: best frame of each asset, top k by (-similarity, id).
+def search(vectors: DataFrame, queries: np.ndarray, k: int | None, allowed: DataFrame | None = None, exclude=None) -> DataFrame:
+    """vectors(asset_id, sample, vec) -> asset_id, similarity, sample, source: best frame of each asset, top k (None: all) by (-similarity, id).
 
     The filter of allowed assets comes first: scores do not depend on it.
     """
@@ -43,7 +43,8 @@ def search(vectors: DataFrame, queries: np.ndarray, k: int, allowed: DataFrame |
     scored = _blocked_scores(vectors, queries, ["asset_id", "sample"])
     best = F.max(F.struct("similarity", (-F.col("sample")).alias("s"), "source")).alias("m")
     collapsed = scored.groupBy("asset_id").agg(best).select("asset_id", F.col("m.similarity").alias("similarity"), (-F.col("m.s")).alias("sample"), F.col("m.source").alias("source"))
-    return collapsed.orderBy(F.desc("similarity"), "asset_id").limit(k)
+    ordered = collapsed.orderBy(F.desc("similarity"), "asset_id")
+    return ordered if k is None else ordered.limit(k)
 
 
 def mean_vectors(frames: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def srt_5(spark, d):
 
 @query("agg_14_cmp_12_best_frame", f"SELECT v.label AS asset_id, round(max({COS}), 6) AS similarity, max_by(v.vec_id, {COS}) AS sample FROM {UNIT} v, {UNIT} q WHERE q.vec_id = 11 GROUP BY v.label", views=False)
 def agg_14(spark, d):
-    return S.search(frames(spark, d, "label"), query_vectors(spark, d, 11), 1000).select("asset_id", F.round("similarity", 6).alias("similarity"), "sample")
+    return S.search(frames(spark, d, "label"), query_vectors(spark, d, 11), None).select("asset_id", F.round("similarity", 6).alias("similarity"), "sample")
 
 
 @query("cmp_12_filtered_search", f"SELECT v.vec_id AS asset_id, round({COS}, 6) AS similarity FROM {UNIT} v, {UNIT} q WHERE q.vec_id = 3 AND v.vec_id % 3 = 0 ORDER BY {COS} DESC, v.vec_id LIMIT 20", views=False)

@@ -188,3 +188,11 @@ def test_selection_and_lod(spark):
     b = spark.createDataFrame([(0, 16), (2, 16)], "bucket long, n long")
     assert {r["bucket"]: r["density"] for r in lod.density(b).collect()} == {0: 7.0, 2: 7.0}
     assert [r["n"] for r in lod.zero_filled(b).orderBy("bucket").collect()] == [16, 0, 16]
+
+
+def test_best_frame_of_every_label(spark, tmp_path):
+    from lumaloom.plans import registry
+
+    rows = [(i, [1.0, float(i)], i) for i in range(1200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert registry.QUERIES["agg_14_cmp_12_best_frame"](spark, str(tmp_path)).count() == 1200
