@@ -3,25 +3,25 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    It is read from the session; only where it is unset (tests in local mode)
-    a temporary folder is made and set for the rest of the session.
+    It is read from the session.  Where it is unset this is an error: a local
+    folder would not be seen by other executors.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lumaloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
     return base.rstrip("/")
 
 
@@ -61,5 +61,25 @@ class Scratch:
             fs.delete(at, True)
 
 
+def whole_groups(batches, key: str):
+    """Batches of pandas frames, sorted by ``key``, cut where it changes, so that no group is split."""
+    held: list = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        k = pdf[key].to_numpy()
+        if held and held[0][key].iloc[0] != k[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        change = np.flatnonzero(k != k[-1])
+        if len(change):  # all but the last group is complete
+            at = change[-1] + 1
+            yield pd.concat([*held, pdf.iloc[:at]], ignore_index=True)
+            held, pdf = [], pdf.iloc[at:]
+        held.append(pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

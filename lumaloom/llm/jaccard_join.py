@@ -2,7 +2,7 @@
 
 The Jaccard distance is a metric, but nearly all documents are at distance 1
 from any pivot, where the triangle inequality says nothing.  So the space is cut
-twice:
+step by step:
 
 1. Documents that could be within the threshold share one of their first
    ``n - ceil(t n) + 1`` shingles in a common order.  Each such shingle is a
@@ -10,28 +10,41 @@ twice:
    frequent shingles last, so that cells stay small where documents only share
    passages.
 2. In a cell the document with the least before the shared shingle is the pivot.
-   Distances to the pivot are exact; the documents in its ball are linked to
-   it.  What lies outside the ball recurses: it elects the next pivots, and
-   those are compared with documents whose distance to the earlier pivot lies
-   in the window of the triangle inequality (boundary documents of the ball
-   take part again).
-
-Documents with equal sets are one class; classes are compared, never copies.
-Every pair that passes is verified on the full sets of 64-bit shingle hashes.
+   The cells of one pivot are its region.  Distances to the pivot are exact;
+   documents in its ball are linked to it, and linked documents are one
+   component.  A region whose documents are one component is finished.
+3. A region that is not is cut again by size and, if it is large, into Voronoi
+   regions: every document goes to the nearest of the elected pivots, and those
+   near a border go as well to each region that the window of the triangle
+   inequality leaves open.  Distances here are Jaccard distances of folded sets
+   (shingles modulo a power of two, as bits), where a link has a bounded distance,
+   so nothing is lost.  The same cut is repeated inside a task.
+4. What may link in such a region is joined exactly on the full sets.
+
+Only pairs of different components are looked at: the links returned connect all
+that the full join connects, but links inside a component that is already known
+are neither sought nor counted, because their number is the square of a group.
+
+Documents with equal sets are one class, named by one of its rows; classes are
+compared, never copies.
 
 Defined results: null and empty texts, or texts without words, have no shingles
-and link with nothing; fewer words than ``k`` are one shingle; doc_id is the key
-(rows that repeat one are copies of each other); extra columns are not read.
+and link with nothing; fewer words than ``k`` are one shingle; rows that repeat a
+doc_id are one document and so one component; a row with a null doc_id links
+with nothing and has a null component; extra columns are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, whole_groups
 from .graph import components
 
 K = 5
@@ -41,10 +54,15 @@ PERCENT = 80
 OFTEN = 32
 #: ... the most frequent of them, at most so many (8 bytes each are broadcast).
 MOST_OFTEN = 1 << 20
-#: Pivots that a cell elects in one round after the first.
-PIVOTS = 256
 #: Members of a pivot that one task verifies together.
 BLOCK = 512
+#: A region with more classes, or more shingles in all, is dealt to several tasks.
+HOT = 8192
+HEAVY = 1 << 21
+#: Regions inside a task that are compared directly.
+LEAF = 512
+#: Bits of a folded set for each shingle, at least.
+FOLD = 4
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -125,44 +143,95 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
 
 
-def _class_of(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each set: equal sets have equal names."""
+def _names_of(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit names for each set: equal sets have equal names."""
     n = np.diff(begin)
     if not len(h):
-        return np.zeros(len(n), dtype=np.int64)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(h * _MIX))])
-    other = np.concatenate([[np.uint64(0)], np.cumsum(h * h * _MUL + h)])
-    return _mix((total[begin[1:]] - total[begin[:-1]]) + _mix(other[begin[1:]] - other[begin[:-1]]) * _MUL + n.astype(np.uint64)).view(np.int64)
+        return np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
+
+    def total(x: np.ndarray) -> np.ndarray:
+        t = np.concatenate([[np.uint64(0)], np.cumsum(x)])
+        return t[begin[1:]] - t[begin[:-1]]
+
+    one, two = total(_mix(h * _MIX)), total(_mix(h ^ _MUL))
+    return _mix(one + n.astype(np.uint64)).view(np.int64), _mix(two * _MUL + n.astype(np.uint64)).view(np.int64)
+
+
+def level(n: np.ndarray) -> np.ndarray:
+    """Power of two of the bits of a folded set of n shingles."""
+    return np.maximum(6, np.ceil(np.log2(np.maximum(n, 1) * FOLD))).astype(np.int64)
+
+
+def folded(h: np.ndarray) -> bytes:
+    """Bit ``x mod size`` for every shingle x, as bytes."""
+    size = 1 << int(level(np.array([len(h)]))[0])
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(h & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def unfolded(column, power: int) -> np.ndarray:
+    """Folded sets as rows of 0 and 1 with 2**power columns; longer ones are folded further."""
+    out = np.zeros((len(column), 1 << power), dtype=np.float32)
+    for i, x in enumerate(column):
+        bits = np.unpackbits(np.frombuffer(x, dtype=np.uint8), bitorder="little")
+        out[i] = bits.reshape(-1, 1 << power).max(0)
+    return out
 
 
 def sets_and_prefixes(docs: DataFrame, often: np.ndarray | None, k: int = K) -> DataFrame:
-    """doc_id, class, n, prefix (array of shingles in the common order) of every document."""
+    """row, doc_id, name1, name2, n, prefix (shingles in the common order) and late (how many of them are frequent), bits of every document.
+
+    ``row`` is a number of its own for every row; it holds only in a written copy of the result.
+    """
 
     def run(batches):
-        for pdf in batches:
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"].to_numpy()
+        part, row = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
             for a, b in batches_of(texts):
                 h, begin = shingle_sets(texts[a:b], k)
                 n = np.diff(begin)
-                name = _class_of(h, begin)
+                one, two = _names_of(h, begin)
+                bits = [folded(h[s:e]) for s, e in zip(begin[:-1], begin[1:], strict=True)]
+                late = np.zeros(len(h), dtype=np.int64)
                 if often is not None and len(often):
                     i = np.searchsorted(often_sorted, h)
                     i[i == len(often_sorted)] = 0
                     late = np.where(often_sorted[i] == h, often_rank[i] + 1, 0)
                     order = np.lexsort((h, late, np.repeat(np.arange(len(n)), n)))
-                    h = h[order]
+                    h, late = h[order], late[order]
                 take = prefix_length(n)
-                yield pd.DataFrame({"doc_id": ids[a:b], "class": name, "n": n.astype(np.int32), "prefix": [h[s : s + t].view(np.int64) for s, t in zip(begin[:-1], take, strict=True)]})
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((part << 33) + row + np.arange(b - a), pa.int64()), batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(one), pa.array(two), pa.array(n.astype(np.int32)),
+                    pa.array([h[s : s + t].view(np.int64) for s, t in zip(begin[:-1], take, strict=True)], pa.list_(pa.int64())),
+                    pa.array([int(np.count_nonzero(late[s : s + t])) for s, t in zip(begin[:-1], take, strict=True)], pa.int32()), pa.array(bits, pa.binary()),
+                ], names=["row", "doc_id", "name1", "name2", "n", "prefix", "late", "bits"])
+                row += b - a
 
     if often is not None and len(often):
         by = np.argsort(often, kind="stable")
         often_sorted, often_rank = often[by], by.astype(np.int64)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, class long, n int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, name1 long, name2 long, n int, prefix array<long>, late int, bits binary")
+
+
+def prefixes(docs: DataFrame, k: int = K) -> DataFrame:
+    """prefix (shingles in plain hash order) of every document."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in batches_of(texts):
+                h, begin = shingle_sets(texts[a:b], k)
+                take = prefix_length(np.diff(begin))
+                yield pa.RecordBatch.from_arrays([pa.array([h[s : s + t].view(np.int64) for s, t in zip(begin[:-1], take, strict=True)], pa.list_(pa.int64()))], names=["prefix"])
+
+    return docs.select("text").mapInArrow(run, "prefix array<long>")
 
 
 def frequent_shingles(docs: DataFrame, often: int = OFTEN, most: int = MOST_OFTEN) -> np.ndarray:
     """Shingles in more than ``often`` prefixes under the plain hash order, rarest first; counted over all documents."""
-    keys = sets_and_prefixes(docs, None).select(F.explode("prefix").alias("s"))
+    keys = prefixes(docs).select(F.explode("prefix").alias("s"))
     found = keys.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") > often).orderBy(F.desc("n"), "s").limit(most)
     got = found.toPandas()
     return got["s"].to_numpy(dtype=np.int64)[::-1].view(np.uint64).copy() if len(got) else np.array([], dtype=np.uint64)
@@ -205,98 +274,317 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return own.unionByName(rest).repartition("a", "block").sortWithinPartitions("a", "block", "kind").select("a", "kind", "b", "items").mapInPandas(run, "a long, b long, n_a long, n_b long, common long")
 
 
+def stars(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """pivot, class, n, near, fits: the regions.  ``near`` if a place of both allows a link with the pivot, ``fits`` if one with another row of the cell.
+
+    Cells of frequent shingles find their pivot by a partial aggregate and a
+    join, which adaptive execution splits; other cells are small.
+    """
+    low = (1 << 32) - 1
+    # one long for (at, n): the order of a cell, and narrower rows to shuffle
+    rows = reps.select("class", "n", (F.size("prefix") - F.col("late")).alias("first_late"), F.posexplode("prefix").alias("at", "cell"))
+    rows = rows.select("cell", "class", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("key"), (F.col("at") >= F.col("first_late")).alias("often"))
+    size = F.col("key").bitwiseAND(F.lit(low)).cast("int")
+    w = Window.partitionBy("cell")
+    ordered = w.orderBy("key", "class")
+    rare = rows.filter("not often").withColumn("pivot", F.first(F.struct("key", "class")).over(ordered)).withColumn("smallest", F.min(size).over(w))
+    often = rows.filter("often")
+    heads = often.groupBy("cell").agg(F.min(F.struct("key", "class")).alias("pivot"), F.min(size).alias("smallest"))
+    both = rare.drop("often").unionByName(often.drop("often").join(heads, "cell"))
+    n_of, at_of = (lambda c: F.col(c).bitwiseAND(F.lit(low)).cast("int")), (lambda c: F.shiftright(F.col(c), 32).cast("int"))
+    met = both.filter("class != pivot.class").select("class", n_of("key").alias("n"), at_of("key").alias("at"), F.col("pivot.class").alias("pivot"), n_of("pivot.key").alias("pivot_n"), at_of("pivot.key").alias("pivot_at"), "smallest")
+    # a row whose place leaves too little for even the smallest set of its cell can link with none of it
+    fits = (100 + percent) * (F.col("n") - F.col("at")) >= percent * (F.col("n") + F.col("smallest"))
+    near = could_link(F.col("n"), F.col("at"), F.col("pivot_n"), F.col("pivot_at"), percent)
+    return met.select("pivot", "class", "n", near.alias("near"), fits.alias("fits")).filter("near or fits").groupBy("pivot", "class").agg(F.first("n").alias("n"), F.bool_or("near").alias("near"), F.bool_or("fits").alias("fits"))
+
+
+def unresolved(regions: DataFrame, named: DataFrame) -> DataFrame:
+    """regions(pivot, class, n), named(node, component) -> pivot, class, n, component, main (whether in the pivot's component): regions of several components."""
+    state = regions.join(named.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    state = state.join(named.select(F.col("node").alias("pivot"), F.col("component").alias("own")), "pivot", "left").withColumn("main", F.col("component") == F.coalesce("own", "pivot")).drop("own")
+    open_ = state.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("pivot")
+    return state.join(open_, "pivot", "left_semi").select("pivot", "class", "n", "component", "main")
+
+
+def leveled(state: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """region, class, component, n, main, home, bits: a region for each size; a row goes as a guest to the next smaller one if it can have partners there."""
+
+    def run(batches):
+        for batch in batches:
+            pdf = batch.to_pandas()
+            n, own = pdf["n"].to_numpy(), level(pdf["n"].to_numpy())
+            guest = (own > 6) & (n * percent <= 100 * ((1 << (own - 1)) // FOLD))
+            for home, take, power in ((True, np.ones(len(n), dtype=bool), own), (False, guest, own - 1)):
+                i = np.flatnonzero(take)
+                packed = [x if home else np.bitwise_or.reduce(np.frombuffer(x, dtype=np.uint8).reshape(2, -1)).tobytes() for x in pdf["bits"].to_numpy()[i]]
+                yield pa.RecordBatch.from_pydict({"pivot": pdf["pivot"].to_numpy()[i], "power": power[i].astype(np.int32), "class": pdf["class"].to_numpy()[i], "component": pdf["component"].to_numpy()[i], "n": n[i].astype(np.int32), "main": pdf["main"].to_numpy()[i], "home": np.full(len(i), home), "bits": pa.array(packed, pa.binary())})
+
+    out = state.join(bits, "class").select("pivot", "class", "component", "n", "main", "bits").mapInArrow(run, "pivot long, power int, class long, component long, n int, main boolean, home boolean, bits binary")
+    return out.withColumn("region", F.xxhash64("pivot", "power")).drop("pivot")
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    both = x @ y.T
+    return 1 - both / np.maximum(x.sum(1)[:, None] + y.sum(1)[None] - both, 1)
+
+
+def _radius(n: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Largest Jaccard distance of folded sets that a partner within the threshold can have: the sets differ in (1 - t) / (1 + t) of both sizes at most, and so do the bits."""
+    return (100 - percent) / (100 + percent) * n * (1 + 100 / percent) / np.maximum(size, 1) + 1e-6
+
+
+def voronoi(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """rows as from ``leveled``, large regions cut: region, part, class, component, n, home, power, bits.
+
+    A large region elects pivots by hash.  Its rows are dealt in blocks, each with
+    all pivots; a row goes home to the nearest pivot.  Guests, and rows outside
+    the main component, also go to every part that their window leaves open;
+    rows of the main component need not meet each other.
+    """
+    sized = rows.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / HOT), F.ceil(F.sum("n") / HEAVY)).cast("int").alias("k"))
+    dealt = rows.join(sized, "region").withColumn("part", F.lit(0))
+    small = dealt.filter("k = 1").drop("k", "main")
+    large = dealt.filter("k > 1").withColumn("block", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
+    if sized.filter("k > 1").isEmpty():
+        return small
+    heads = large.groupBy("region", "block").agg(F.min(F.struct(F.xxhash64("class", F.lit(1)), "class", "bits", "k")).alias("x"))
+    heads = heads.select("region", F.explode(F.sequence(F.lit(0), F.col("x.k") - 1)).alias("block"), F.col("x.class").alias("class"), F.col("x.bits").alias("bits"))
+    heads = heads.select("region", "block", F.lit(0).alias("kind"), "class", F.lit(0).cast("long").alias("component"), F.lit(0).alias("n"), F.lit(False).alias("main"), F.lit(True).alias("home"), F.lit(0).alias("power"), "bits")
+    body = large.select("region", "block", F.lit(1).alias("kind"), "class", "component", "n", "main", "home", "power", "bits")
+
+    def run(batches):
+        pivots, where = None, None
+        for pdf in whole_groups(batches, "block_of"):
+            for key, g in pdf.groupby("block_of", sort=False):
+                heads, g = g[g["kind"] == 0], g[g["kind"] == 1]
+                if not len(g):
+                    continue
+                power = int(g["power"].iloc[0])
+                if where != key:
+                    where, pivots = key, unfolded(heads["bits"], power)
+                for a in range(0, len(g), 1024):
+                    part = g.iloc[a : a + 1024]
+                    x = unfolded(part["bits"], power)
+                    d = _distances(x, pivots)
+                    near = d.argmin(1)
+                    r = _radius(part["n"].to_numpy(), x.sum(1), percent)
+                    open_ = d <= d.min(1)[:, None] + 2 * r[:, None]
+                    home, main = part["home"].to_numpy(), part["main"].to_numpy()
+                    open_[home & main] = False
+                    open_[np.arange(len(part)), near] = True
+                    i, j = np.nonzero(open_)
+                    out = part.iloc[i][["region", "class", "component", "n", "power", "bits"]].copy()
+                    out["part"], out["home"] = j.astype(np.int32), home[i] & (near[i] == j)
+                    yield out
+
+    cut = heads.unionByName(body).withColumn("block_of", F.xxhash64("region", "block")).repartition("block_of").sortWithinPartitions("block_of", "kind", "class")
+    cut = cut.mapInPandas(run, "region long, part int, class long, component long, n int, home boolean, power int, bits binary")
+    return small.unionByName(scratch.save(cut, "voronoi"))
+
+
+def _meet(x, n, f, comp, home, i, j, percent):
+    """Index pairs of rows i and j whose bits allow a link."""
+    both = x[i] @ x[j].T
+    most = np.minimum((n[i] - f[i])[:, None] + both, (n[j] - f[j])[None] + both)
+    ok = ((100 + percent) * most >= percent * (n[i][:, None] + n[j][None])) & (comp[i][:, None] != comp[j][None]) & (home[i][:, None] | home[j][None])
+    a, b = np.nonzero(ok)
+    return i[a], j[b]
+
+
+def candidates(x: np.ndarray, n: np.ndarray, comp: np.ndarray, home: np.ndarray, percent: int = PERCENT):
+    """Pairs (index arrays) of rows of a region whose folded sets allow a link: Voronoi regions with windows, down to leaves."""
+    f = x.sum(1)
+    stack = [(np.arange(len(n)), np.array([], dtype=np.int64))]  # rows of a region, and its guests
+    while stack:
+        own, guests = stack.pop()
+        rest = np.concatenate([own, guests])
+        k = int(np.sqrt(len(rest)))
+        if len(rest) > LEAF:
+            pivots = own[:: max(1, len(own) // k)]
+            d = _distances(x[rest], x[pivots])
+            near, r = d.argmin(1), _radius(n[rest], f[rest], percent)
+            open_ = d <= d.min(1)[:, None] + 2 * r[:, None]
+            if open_.sum() * len(rest) < len(rest) * len(rest) * len(pivots) / 4 and len(pivots) > 1:
+                is_own = np.arange(len(rest)) < len(own)
+                for j in range(len(pivots)):
+                    mine = is_own & (near == j)
+                    # each pair of regions is looked at once, by the one with the smaller number
+                    other = open_[:, j] & ~mine & (~is_own | (near > j))
+                    if mine.any() and mine.sum() < len(own):
+                        stack.append((rest[mine], rest[other]))
+                    elif mine.any():
+                        yield from _leaves(x, n, f, comp, home, rest[mine], rest[other], percent)
+                continue
+        yield from _leaves(x, n, f, comp, home, own, guests, percent)
+
+
+def _leaves(x, n, f, comp, home, own, guests, percent):
+    rest = np.concatenate([own, guests])
+    for a in range(0, len(own), LEAF):
+        for b in range(a, len(rest), LEAF):
+            i, j = _meet(x, n, f, comp, home, own[a : a + LEAF], rest[b : b + LEAF], percent)
+            if len(i):
+                yield i, j
+
+
+def promising(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """rows of regions (region, part, class, component, n, home, power, bits) -> group, class, component: rows that may link, connected ones in one group."""
+
+    def run(batches):
+        for pdf in whole_groups(batches, "key"):
+            for key, g in pdf.groupby("key", sort=False):
+                if len(g) < 2:
+                    continue
+                g = g.sort_values(["home", "class"], ascending=[False, True], kind="stable")
+                x = unfolded(g["bits"], int(g["power"].iloc[0]))
+                n, comp, home = g["n"].to_numpy().astype(np.float64), g["component"].to_numpy(), g["home"].to_numpy()
+                up = np.arange(len(g))
+                met = np.zeros(len(g), dtype=bool)
+                for i, j in candidates(x, n, comp, home, percent):
+                    met[i] = met[j] = True
+                    _unite(up, i, j)
+                at = np.flatnonzero(met)
+                if len(at):
+                    yield pd.DataFrame({"key": key, "root": up[at], "class": g["class"].to_numpy()[at], "component": comp[at]})
+
+    dealt = rows.withColumn("key", F.xxhash64("region", "part")).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInPandas(run, "key long, root long, class long, component long").select(F.xxhash64("key", "root").alias("group"), "class", "component")
+
+
+def _unite(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Union of index pairs in ``up``, where every entry holds the root of its row."""
+    while True:
+        a, b = up[i], up[j]
+        differ = a != b
+        if not differ.any():
+            return
+        low, high = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+        np.minimum.at(up, high, low)
+        while not np.array_equal(up, nxt := up[up]):
+            up[:] = nxt
+
+
+def exact_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """rows(group, class, component, items) -> a, b: links that connect what the group's links connect."""
+
+    def run(batches):
+        for pdf in whole_groups(batches, "group"):
+            for _, g in pdf.groupby("group", sort=False):
+                g = g.drop_duplicates("class")
+                if len(g) < 2:
+                    continue
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in g["items"]]
+                found = _links_of(sets, g["component"].to_numpy(), percent)
+                if found:
+                    names = g["class"].to_numpy()
+                    yield pd.DataFrame({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]})
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInPandas(run, "a long, b long")
+
+
+def _links_of(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    n = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, word = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(word, kind="stable")
+    post, bounds = owner[order], np.searchsorted(word[order], np.arange(word.max() + 2))
+    begin = np.concatenate([[0], np.cumsum(n)])
+    _, up = np.unique(component, return_inverse=True)
+    up, out = np.array(up), []
+    for i in range(len(sets)):
+        if (up == up[0]).all():
+            break
+        mine = word[begin[i] : begin[i + 1]]
+        lo, size = bounds[mine], bounds[mine + 1] - bounds[mine]
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        common = np.bincount(post[at], minlength=len(sets))
+        hit = np.flatnonzero(((100 + percent) * common >= percent * (n[i] + n)) & (up != up[i]))
+        for j in hit:
+            if up[j] != up[i]:
+                out.append((i, int(j)))
+                up[up == up[j]] = up[i]
+    return out
+
+
 def similarity_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members(doc_id, class, n) of every document, links(a, b, distance) between classes within the threshold that connect all classes that the full join connects."""
+    """(members, links): members(doc_id, class, n) of every document with an id, links(a, b) between classes within the threshold that connect all classes that the full join connects."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
+    docs = docs.select("doc_id", "text").filter("doc_id is not null")
     often = frequent_shingles(docs, OFTEN)
     scratch.release()
     base = scratch.save(sets_and_prefixes(docs, often), "sets")
-    members = scratch.save(base.select("doc_id", "class", "n"), "members")
-    reps = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    postings = base.select("class", "n", F.posexplode("prefix").alias("at", "cell"))
-    # one long for (at, n): the order of the window, and narrower rows to shuffle
-    postings = postings.select("cell", "class", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("key"))
-
-    # a cell's rows from the one with the least before the shingle; copies of a class fall together
-    w = Window.partitionBy("cell").orderBy("key", "class")
-    n_of, at_of = (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")), (lambda c: F.shiftright(F.col(c), 32).cast("int"))
-    starred = postings.withColumn("again", F.coalesce(F.lag("class").over(w) == F.col("class"), F.lit(False))).withColumn("pivot", F.first("class").over(w)).withColumn("pkey", F.first("key").over(w))
-    starred = starred.filter("not again and pivot != class").select("cell", "class", n_of("key").alias("n"), at_of("key").alias("at"), "pivot", n_of("pkey").alias("pivot_n"), at_of("pkey").alias("pivot_at"))
-    cells = scratch.save(starred, "cells")
-    scratch.drop("sets")
+    names = ["name1", "name2"]
+    classes = base.filter("n > 0").groupBy(*names).agg(F.min("row").alias("class"), F.min("doc_id").alias("doc_id"))
+    classes = scratch.save(classes, "classes")
+    empty = base.filter("n = 0").select("doc_id", F.lit(None).cast("long").alias("class"), "n")
+    members = scratch.save(base.filter("n > 0").select("doc_id", "n", *names).join(classes.select("class", *names), names).select("doc_id", "class", "n").unionByName(empty), "members")
+    reps = base.join(classes.select(F.col("class").alias("row")), "row", "left_semi").withColumnRenamed("row", "class")
+    regions = scratch.save(stars(reps.select("class", "n", "prefix", "late"), percent), "regions")
     scratch.release()
-    near = could_link(F.col("n"), F.col("at"), F.col("pivot_n"), F.col("pivot_at"), percent)
-    pairs = scratch.save(cells.filter(near).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pairs-0")
-
+    bits = base.select(F.col("row").alias("class"), "bits")
     sets: list[DataFrame] = []
 
     def sets_of(batches):
         for pdf in batches:
-            texts, names = pdf["text"].tolist(), pdf["class"].to_numpy()
+            texts, names_ = pdf["text"].tolist(), pdf["class"].to_numpy()
+            one, two = pdf["name1"].to_numpy(), pdf["name2"].to_numpy()
             for a, b in batches_of(texts):
                 h, begin = shingle_sets(texts[a:b])
-                yield pd.DataFrame({"class": names[a:b], "items": [h[s:e].tobytes() for s, e in zip(begin[:-1], begin[1:], strict=True)]})
+                x, y = _names_of(h, begin)
+                # a repeated doc_id may have other texts
+                keep = np.flatnonzero((x == one[a:b]) & (y == two[a:b]))
+                yield pd.DataFrame({"class": names_[a:b][keep], "items": [h[begin[i] : begin[i + 1]].tobytes() for i in keep]})
 
-    def verified_pairs(some: DataFrame, step: int) -> DataFrame:
-        """Exact distances; the sets of classes not met before come from their texts."""
-        wanted = some.select(F.col("a").alias("class")).union(some.select("b")).distinct()
+    def with_sets(wanted: DataFrame) -> DataFrame:
+        """class, items; the sets of classes not met before come from their texts."""
         for known in sets:
             wanted = wanted.join(known.select("class"), "class", "left_anti")
-        wanted = scratch.save(wanted.join(reps, "class"), f"wanted-{step}")
-        if not wanted.isEmpty():
-            scratch.release()
-            sets.append(scratch.save(docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["class"]).mapInPandas(sets_of, "class long, items binary"), f"items-{step}"))
-            scratch.release()
-        if not sets:
-            return scratch.save(spark.createDataFrame([], "a long, b long, distance double, linked boolean"), f"verified-{step}")
+        wanted = scratch.save(wanted.join(classes, "class"), f"wanted-{len(sets)}")
+        found = docs.join(wanted, "doc_id").select("class", "name1", "name2", "text").mapInPandas(sets_of, "class long, items binary")
+        sets.append(scratch.save(found, f"items-{len(sets)}"))
+        scratch.release()
         union = sets[0]
         for more in sets[1:]:
             union = union.unionByName(more)
-        size = F.col("n_a") + F.col("n_b")
-        out = verify(some, union).select("a", "b", (1 - F.col("common") / (size - F.col("common"))).alias("distance"), ((100 + percent) * F.col("common") >= percent * size).alias("linked"))
-        out = scratch.save(out, f"verified-{step}")
+        return union
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        union = with_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
+        out = verify(pairs, union).filter((100 + percent) * F.col("common") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        out = scratch.save(out, name)
         scratch.release()
         return out
 
-    verified = verified_pairs(pairs, 0)
-
-    # outside the balls: rows of a cell that are not linked with their pivot
-    radius = 1 - percent / 100 + 1e-9  # room for rounding
-    dist = verified.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "distance", "linked")
-    state = cells.join(dist, ["pivot", "class"], "left").select(
-        "cell", "class", "n", "at", F.coalesce("linked", F.lit(False)).alias("inside"),
-        # without a verified distance the sets cannot reach the threshold; all that is known is that it is larger
-        F.col("distance").alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"),
-    ).withColumn("low", F.coalesce("low", F.lit(radius)))
-    # a row whose place leaves too little for even the smallest set of its cell can link with none of it
-    smallest = F.min("n").over(Window.partitionBy("cell"))
-    fits = (100 + percent) * (F.col("n") - F.col("at")) >= percent * (F.col("n") + F.col("smallest"))
-    state = state.withColumn("smallest", smallest).filter(fits).drop("smallest").withColumn("done", F.col("inside"))
-    state = scratch.save(state, "state-0")
-    step = 0
+    # rows that repeat a doc_id are one document
+    spread = members.filter("class is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a != z")
+    links = scratch.save(members.join(spread, "doc_id").select("a", F.col("class").alias("b")).filter("a != b").distinct(), "same-id")
+    links = links.unionByName(verified(regions.filter("near").select(F.col("pivot").alias("a"), F.col("class").alias("b")), "links-0"))
+    named = components(links, scratch, "cc-0")
+    inner = regions.filter("fits").select("pivot", "class", "n")
+    state = scratch.save(unresolved(inner, named), "state-0")
+    # pivots of large regions merge most of what is near, so that few rows are left outside the main component
+    step, before = 0, None
     while True:
-        open_rows = state.filter("not done")
-        wr = Window.partitionBy("cell").orderBy("at", "n", "class")
-        elected = open_rows.withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= PIVOTS).select("cell", F.col("class").alias("p"), F.col("n").alias("p_n"), F.col("at").alias("p_at"), F.col("low").alias("p_low"), F.col("high").alias("p_high"), "rank")
-        if elected.isEmpty():
+        sized = state.groupBy("pivot").agg(F.count("*").alias("m"), F.count_if(~F.col("main")).alias("outside")).filter(F.col("m") > HOT)
+        outside = sized.agg(F.sum("outside")).first()[0]
+        if not outside or (before is not None and outside > 0.9 * before):
             break
-        step += 1
-        # the window of the triangle inequality: |d(x, pivot) - d(p, pivot)| <= radius
-        met = state.join(elected, "cell").filter(
-            (F.col("p") != F.col("class")) & (F.col("low") - F.col("p_high") <= radius) & (F.col("p_low") - F.col("high") <= radius) & could_link(F.col("n"), F.col("at"), F.col("p_n"), F.col("p_at"), percent)
-        )
-        fresh = met.select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b")).distinct()
-        known = verified.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = scratch.save(fresh.join(known, ["a", "b"], "left_anti"), f"pairs-{step}")
-        new = verified_pairs(fresh, step)
-        verified = verified.unionByName(new)
-        # the elected have met all rows of their cells and leave; a cell without open rows is finished
-        left = state.join(elected.select("cell", F.col("p").alias("class"), F.lit(True).alias("gone")), ["cell", "class"], "left").filter("gone is null").drop("gone")
-        alive = left.filter("not done").select("cell").distinct()
-        state = scratch.save(left.join(alive, "cell", "left_semi"), f"state-{step}")
-        scratch.drop(f"state-{step - 1}")
-    return members, verified.filter("linked").select("a", "b", "distance")
+        step, before = step + 1, outside
+        hot = state.join(sized.select("pivot"), "pivot", "left_semi")
+        elected = hot.filter("not main").groupBy("pivot", F.pmod(F.xxhash64("class"), F.lit(2)).alias("half")).agg(F.min(F.struct(F.xxhash64("class", F.lit(step)), "class", "n", "component")).alias("x"))
+        elected = elected.select("pivot", F.col("x.class").alias("a"), F.col("x.n").alias("n_a"), F.col("x.component").alias("c_a"))
+        pairs = hot.join(elected, "pivot").filter((F.col("c_a") != F.col("component")) & (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent)).select("a", F.col("class").alias("b")).distinct()
+        links = links.unionByName(verified(scratch.save(pairs, f"pairs-{step}"), f"links-{step}"))
+        named = components(links, scratch, f"cc-{step}")
+        state = scratch.save(unresolved(inner, named), f"state-{step}")
+    may = scratch.save(promising(voronoi(scratch.save(leveled(state, bits, percent), "leveled"), scratch, percent), percent), "promising")
+    scratch.release()
+    union = with_sets(may.select("class").distinct())
+    more = scratch.save(exact_links(may.join(union, "class"), percent), "links-exact")
+    scratch.release()
+    return members, links.unionByName(more)
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -304,11 +592,28 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members, links = similarity_join(docs, percent)
     scratch = Scratch(docs.sparkSession, "jaccard-groups")
     found = components(links, scratch)
-    named = members.filter("n > 0").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
-    ids = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    some = named.join(ids, "group").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    none = members.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return some.unionByName(none)
+    # the smallest id of each class, then of each component, then back to the classes: no step joins a component's rows
+    named = members.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("low")).join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
+    named = scratch.save(named.select("class", "low", "group"), "classes")
+    heads = named.groupBy("group").agg(F.min("low").alias("component_id"))
+    ids = named.join(heads, "group").select("class", "component_id")
+    some = members.filter("class is not null").join(ids, "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    none = members.filter("class is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return some.unionByName(none).unionByName(without_id(docs))
+
+
+def without_id(docs: DataFrame) -> DataFrame:
+    """Rows with a null doc_id: they have a set, and link with nothing."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in batches_of(texts):
+                n = np.diff(shingle_sets(texts[a:b])[1])
+                none = pa.nulls(b - a, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none], names=["doc_id", "n_shingles", "component_id"])
+
+    return docs.filter("doc_id is null").select("text").mapInArrow(run, "doc_id long, n_shingles long, component_id long")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
