@@ -5,9 +5,13 @@ Lines within ``edits`` edits of each other are found exactly: a line is cut into
 Segments go into an index keyed by (line length, segment number, characters);
 a line probes it with the substrings that can line up with a segment of an
 equal or shorter line, and only those (selection by position and length
-difference).  Candidates must also agree in a sketch of letter counts, which
-``edits`` edits can move by 2 * edits at most.  The rest is verified with a
-banded bit-parallel edit distance, folded over the characters.
+difference).  Only keys that several lines share bring their lines along; pairs
+that Spark's own bounded distance rejects never leave the join on the key, so
+that a family of lines with one common segment makes no more rows than it has
+similar pairs.  What is left is verified with a banded bit-parallel edit
+distance, folded over the characters.
+
+A line is named by two 64-bit hashes, so unequal lines do not fall together.
 
 A class is what such pairs connect; only its first line, by (doc_id, line
 number), stays.  Lines under ``least`` characters (after trimming blanks) are
@@ -15,8 +19,9 @@ never removed.  Only DataFrame functions are used.
 
 Defined results: a null text has no lines and stays null; an empty one is one
 empty line; line numbers count from 0; doc_id is the key, and rows that repeat
-one are one document (their lines fall together, the text is taken as is);
-extra columns pass through; an empty table gives no rows.
+one are one document (their lines fall together, the text is taken as is); a row
+with a null doc_id is kept whole and makes no other line go; extra columns pass
+through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,32 +34,14 @@ from .graph import components
 
 EDITS = 2
 LEAST = 20
-#: Letters that the sketch counts, each modulo 64 in six bits.
-LETTERS = "aeinorstld"
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, line_no, line, line_id, size of every line that is long enough."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "line_no", F.trim("raw").alias("line")).withColumn("size", F.length("line"))
-    return rows.filter(F.col("size") >= least).withColumn("line_id", F.xxhash64("line", "size"))
-
-
-def sketch(line: Column) -> Column:
-    out = F.lit(0).cast("long")
-    for k, letter in enumerate(LETTERS):
-        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(63)), 6 * k))
-    return out
-
-
-def sketch_distance(a: Column, b: Column) -> Column:
-    """A lower bound of the sum of differences of letter counts."""
-    total = F.lit(0)
-    for k in range(len(LETTERS)):
-        d = F.abs(F.shiftrightunsigned(a, 6 * k).bitwiseAND(F.lit(63)) - F.shiftrightunsigned(b, 6 * k).bitwiseAND(F.lit(63)))
-        total = total + F.least(d, F.lit(64) - d)
-    return total
+    """doc_id, line_no, line, id1, id2, size of every line that is long enough."""
+    rows = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    rows = rows.select("doc_id", "line_no", F.trim("raw").alias("line")).withColumn("size", F.length("line")).filter(F.col("size") >= least)
+    # the lowest bit of the second name is left to the marks of the index
+    return rows.withColumn("id1", F.xxhash64("line")).withColumn("id2", F.xxhash64("size", "line").bitwiseAND(F.lit(-2).cast("long")))
 
 
 def _segment(size: Column, i: int, n: int) -> tuple[Column, Column]:
@@ -131,55 +118,72 @@ def _advance(s: Column, d0: Column, j: Column, m: Column, edits: int, full: int,
     )
 
 
+ID = ["id1", "id2"]
+
+
 def similar_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """a, b: ids of different lines within ``edits`` edits."""
+    """a, b (structs of both names): different lines within ``edits`` edits."""
     # equal lines fall together before their keys are made, so no (key, line) comes twice
-    lines = lines_of(docs, max(least, edits + 1)).select("line", "line_id", "size").distinct()
+    lines = lines_of(docs, max(least, edits + 1)).select("line", *ID, "size").distinct()
     own = F.array_distinct(index_keys(F.col("line"), F.col("size"), edits))
-    lines = lines.select("line_id", sketch(F.col("line")).alias("sketch"), own.alias("own"), probe_keys(F.col("line"), F.col("size"), edits).alias("probe"))
-    # a line's own segments are probes as well; bit 62 of the sketch marks them
-    mark = lambda keys, bit: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(bit << 62).cast("long").alias("mark")))
-    keyed = lines.select("line_id", "sketch", F.explode(F.concat(mark(F.col("own"), 1), mark(F.array_except("probe", "own"), 0))).alias("k"))
-    keyed = keyed.select("k.key", "line_id", F.col("sketch").bitwiseOR(F.col("k.mark")).alias("sketch"))
-    w = Window.partitionBy("key").orderBy("line_id")
-    shared = keyed.withColumn("before", F.lag("line_id").over(w)).withColumn("after", F.lead("line_id").over(w)).filter("before is not null or after is not null").select("key", "line_id", "sketch")
+    lines = lines.select(*ID, own.alias("own"), F.array_distinct(probe_keys(F.col("line"), F.col("size"), edits)).alias("probe"))
+    # a line's own segments are probes as well; the lowest bit of id2 marks them
+    mark = lambda keys, bit: F.transform(keys, lambda k: F.struct(k.alias("key"), F.col("id2").bitwiseOR(F.lit(bit).cast("long")).alias("id2")))
+    keyed = lines.select("id1", F.explode(F.concat(mark(F.col("own"), 1), mark(F.array_except("probe", "own"), 0))).alias("k")).select("k.key", "id1", "k.id2")
+    w = Window.partitionBy("key").orderBy(*ID)
+    shared = keyed.withColumn("before", F.lag("id1").over(w)).withColumn("after", F.lead("id1").over(w)).filter("before is not null or after is not null")
+    shared = shared.select("key", "id1", F.col("id2").bitwiseAND(F.lit(-2).cast("long")).alias("id2"), (F.col("id2").bitwiseAND(F.lit(1).cast("long")) == 1).alias("own"))
     shared = scratch.save(shared, "line-keys")
     scratch.release()
-    index = shared.filter(F.shiftrightunsigned("sketch", 62) == 1)
-    probe = shared.select("key", F.col("line_id").alias("probe_id"), F.col("sketch").alias("probe_sketch"))
-    met = index.join(probe, "key").filter((F.col("line_id") != F.col("probe_id")) & (sketch_distance(F.col("sketch"), F.col("probe_sketch")) <= 2 * edits))
-    pairs = scratch.save(met.select(F.least("line_id", "probe_id").alias("a"), F.greatest("line_id", "probe_id").alias("b")).distinct(), "line-pairs")
+    texts = lines_of(docs, least).select(*ID, "line").join(shared.select(*ID).distinct(), ID, "left_semi").dropDuplicates(ID)
+    held = scratch.save(shared.join(texts, ID), "line-texts")
+    scratch.drop("line-keys")
     scratch.release()
-    wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
-    texts = scratch.save(lines_of(docs, least).select("line_id", "line").join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"]), "line-texts")
+    name = F.struct(*ID)
+    index = held.filter("own").select("key", name.alias("x"), F.col("line").alias("tx"))
+    probe = held.select(F.col("key").alias("met"), name.alias("y"), F.col("line").alias("ty"))
+    close = (F.abs(F.length("tx") - F.length("ty")) <= edits) & (F.levenshtein("tx", "ty", edits) >= 0)
+    met = index.join(probe, (F.col("key") == F.col("met")) & (F.col("x") != F.col("y")) & close)
+    pairs = scratch.save(met.filter(within_edits(F.col("tx"), F.col("ty"), edits)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
+    scratch.drop("line-texts")
     scratch.release()
-    both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("tb")), "b")
-    return both.filter(within_edits(F.col("ta"), F.col("tb"), edits)).select("a", "b")
+    return pairs
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id, exact, near: numbers of the lines that go because an equal or a similar line stands earlier."""
     at = F.struct("doc_id", "line_no")
-    places = scratch.save(lines_of(docs, least).select("line_id", "doc_id", "line_no"), "places")
-    firsts = places.groupBy("line_id").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    pairs = scratch.save(similar_lines(docs, scratch, edits, least), "line-links")
-    classes = scratch.save(components(pairs, scratch, "lines"), "line-classes").withColumnRenamed("node", "line_id")
-    touched = firsts.join(classes, "line_id", "left").filter("n > 1 or component is not null").withColumn("class", F.coalesce("component", "line_id"))
-    touched = scratch.save(touched.select("line_id", "first", "class"), "touched")
+    places = scratch.save(lines_of(docs, least).select(*ID, "doc_id", "line_no"), "places")
+    firsts = places.groupBy(*ID).agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    pairs = similar_lines(docs, scratch, edits, least)
+    classes = scratch.save(components(pairs, scratch, "lines"), "line-classes").select("node.id1", "node.id2", "component")
+    touched = firsts.join(classes, ID, "left").filter("n > 1 or component is not null").withColumn("class", F.coalesce("component", F.struct(*ID)))
+    touched = scratch.save(touched.select(*ID, "first", "class"), "touched")
     heads = touched.groupBy("class").agg(F.min("first").alias("head"))
-    fate = touched.join(heads, "class").select("line_id", "first", "head")
-    gone = places.join(fate, "line_id").filter(at != F.col("head")).select("doc_id", "line_no", (at != F.col("first")).alias("copy"))
+    fate = touched.join(heads, "class").select(*ID, "first", "head")
+    gone = places.join(fate, ID).filter(at != F.col("head")).select("doc_id", "line_no", (at != F.col("first")).alias("copy"))
     return gone.groupBy("doc_id").agg(F.collect_set(F.when(F.col("copy"), F.col("line_no"))).alias("exact"), F.collect_set(F.when(~F.col("copy"), F.col("line_no"))).alias("near"))
 
 
+def without(lines: Column, gone: Column) -> Column:
+    """The array less the elements at these places (from 0, those beyond its end mean nothing): the stretches between them, in order."""
+
+    def cut(x: Column) -> Column:
+        at = F.array_sort(F.filter(x["gone"], lambda i: i < F.size(x["lines"])))
+        after, before = F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(F.size(x["lines"])))
+        return F.flatten(F.zip_with(after, before, lambda a, b: F.slice(x["lines"], a + 2, b - a - 1)))
+
+    return F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), gone.alias("gone"))), cut), 1)
+
+
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """docs with ``text`` rid of repeated lines, and n_lines, n_exact, n_near."""
     gone = removed_lines(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "lines"), edits, least)
     gone = gone.select(F.col("doc_id").alias("__d"), F.col("exact").alias("__exact"), F.col("near").alias("__near"))
     joined = docs.join(gone, docs["doc_id"] == F.col("__d"), "left")
-    drop = F.concat("__exact", "__near")
-    lines = F.split(docs["text"], "\n")
-    kept = F.when(F.col("__d").isNull(), docs["text"]).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n"))
+    # rows that repeat a doc_id share the numbers of lost lines, and may be shorter than those
+    lines, drop = F.split(docs["text"], "\n"), F.array_distinct(F.concat("__exact", "__near"))
+    kept = F.when(F.col("__d").isNull(), docs["text"]).when(docs["text"].isNotNull(), F.array_join(without(lines, drop), "\n"))
     count = lambda c: F.when(F.col("__d").isNull(), 0).otherwise(F.size(c)).cast("long")
     return joined.select(
         *[docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_exact", "n_near")],

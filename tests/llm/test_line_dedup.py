@@ -77,3 +77,27 @@ def test_two_edits_by_default(spark):
     docs = spark.createDataFrame([(1, "Page 12 of 40 of the yearly report"), (2, "Page 13 of 41 of the yearly report"), (3, "Page 555 of 41 of the yearly report")], "doc_id long, text string")
     got = {r["doc_id"]: r["n_near"] for r in L.dedup_lines(docs).collect()}
     assert got == {1: 0, 2: 1, 3: 0}
+
+
+def test_ids_and_long_texts(spark):
+    """Null and large ids, a repeated id with another text, thousands of lost lines in one text."""
+    big = 9007199254740993
+    r = random.Random(8)
+    footers = ["".join(r.choice("abcdefghij") for _ in range(30)) for _ in range(50)]
+    many = "\n".join(footers[i % 50] for i in range(6000))
+    rows = [(None, "a line that many documents hold"), (big, "a line that many documents hold\nshort"), (big + 1, "a line that many documents hold"), (3, many), (4, "first and quite long line of four\nthe tail of document four stays"), (4, "first and quite long line of four")]
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_lines"], r["n_exact"] + r["n_near"]), r["text"]) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    assert [k for k, _ in got] == [(False, 3, 6000, 5950), (False, 4, 1, 0), (False, 4, 2, 0), (False, big, 2, 0), (False, big + 1, 1, 1), (True, 0, 1, 0)]
+    assert got[0][1] == "\n".join(many.split("\n")[:50]) and got[4][1] == "" and got[5][1] == rows[0][1]
+
+
+def test_a_family_with_one_common_segment(spark):
+    """Lines that share a segment but are far apart leave no pair; the few similar ones are found."""
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    tail = word(60)
+    lines = [f"{word(14)} {word(14)} {tail}" for _ in range(200)]
+    lines += [s[:3] + "#" + s[4:] for s in lines[:20]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x["doc_id"]: x["n_near"] for x in L.dedup_lines(docs).collect()}
+    assert got == {i: int(i >= 200) for i in range(220)}
