@@ -13,8 +13,9 @@ active matches the longest pattern decides; at equal length ``block`` wins over
 Defined results: a null or unparsable URL has a null host and verdict ``none``;
 a null fetch time matches nothing; entries with a null pattern, kind or day are
 ignored; two entries for one pattern and list on one day count as the last by
-action (``remove`` after ``add``); repeated entries and repeated captures are
-kept apart by row key; extra columns of captures are not read.
+action (``remove`` after ``add``); repeated entries count once; captures of one
+key are judged each at its own time and with its own URL, equal ones alike; extra
+columns of captures are not read.
 """
 
 from __future__ import annotations
@@ -82,21 +83,25 @@ def filter_urls(captures: DataFrame, entries: DataFrame, key: str = "page_id", u
     """
     base = captures.select(F.col(key).alias("__id"), F.col(url).alias("__url"), F.col(day).cast("int").alias("__day"))
     base = base.withColumn("__host", host_of(F.col("__url")))
-    keyed = base.filter(F.col("__host").isNotNull() & F.col("__day").isNotNull()).select(
-        "__id", "__day", F.explode(match_keys(F.col("__host"), path_of(F.col("__url")))).alias("key")
+    # captures that repeat key, URL and time get the same votes; one of them is enough
+    keyed = base.distinct().filter(F.col("__host").isNotNull() & F.col("__day").isNotNull()).select(
+        "__id", "__url", "__day", F.explode(match_keys(F.col("__host"), path_of(F.col("__url")))).alias("key")
     )
+
     spans = validity(entries)
     hits = keyed.join(spans, "key").select(
-        "__id", "key", "list", "specificity", ((F.col("valid_from") <= F.col("__day")) & (F.col("__day") < F.col("valid_to"))).alias("active")
+        "__id", "__url", "__day", "key", "list", "specificity", ((F.col("valid_from") <= F.col("__day")) & (F.col("__day") < F.col("valid_to"))).alias("active")
     )
     best = F.struct(F.col("specificity"), F.when(F.col("list") == "block", 1).otherwise(0).alias("blocks"))
-    votes = hits.groupBy("__id").agg(
+    votes = hits.groupBy("__id", "__url", "__day").agg(
         F.count("*").cast("long").alias("n_listed"),
         F.count_if("active").cast("long").alias("n_active"),
         F.max(F.when(F.col("active"), best)).alias("best"),
         F.min(F.when(F.col("active"), F.struct(-F.col("specificity"), F.when(F.col("list") == "block", 0).otherwise(1), F.col("key").alias("key")))).alias("first"),
     )
-    return base.select("__id", "__host", "__day").join(votes, "__id", "left").select(
+    votes = votes.select(F.col("__id").alias("__i"), F.col("__url").alias("__u"), F.col("__day").alias("__d"), "n_listed", "n_active", "best", "first")
+    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__url") == F.col("__u")) & (F.col("__day") == F.col("__d"))
+    return base.join(votes, same, "left").select(
         F.col("__id").alias(key),
         F.col("__host").alias("host"),
         F.col("__day").alias(day),

@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 from lumaloom.llm import packing as P
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ADDED = P.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 SCHEMA = "doc_id long, text string, place string"
 
 
@@ -21,10 +22,9 @@ def test_hilbert_neighbours():
 
 def test_pieces(spark):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    texts = ["Hello world, ça va? " * k for k in range(1, 60)] + ["", None, "<|endoftext|> x", "same", "same", "word " * 5000]
+    texts = ["Hello world, ça va? " * k for k in range(1, 60)] + ["", None, "<|endoftext|> x", "a <|endoftext|><|endoftext|>b <|endof", "same", "same", "word " * 5000]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA).repartition(3)
-    rows = P.pack(docs, RANKS, seq_len=256).collect()
+    rows = P.pack(docs, RANKS, seq_len=256, added=ADDED).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -49,3 +49,12 @@ def test_pieces(spark):
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], SCHEMA), RANKS).count() == 0
     assert P.pack(spark.createDataFrame([(1, None, "x"), (2, "", "x")], SCHEMA), RANKS).count() == 2
+
+
+def test_ids(spark):
+    """Null ids, large ids beside them, repeated ids: every row is packed, under its own id."""
+    big = 9007199254740993
+    docs = spark.createDataFrame([(None, "a b c", "x"), (big, "d e", "x"), (big, "f", "x"), (None, None, "x")], SCHEMA).coalesce(1)
+    rows = P.pack(docs, RANKS, added=ADDED).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["doc_tokens"]) for r in rows) == [(False, big, 2), (False, big, 3), (True, 0, 1), (True, 0, 4)]
+    assert sorted(r["offset"] for r in rows)[0] == 0 and sum(r["length"] for r in rows) == 10

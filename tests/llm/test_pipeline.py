@@ -47,3 +47,31 @@ def test_stages(spark, tmp_path):
         for offset, n in sorted(s):
             assert offset == at
             at += n
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string"
+
+
+def test_edge_rows(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, ties, repeated rows, clashing columns: kept, or dropped by the rule."""
+    a = " ".join(f"alpha{i} word{i}" for i in range(40))
+    long_text = " ".join(f"w{i}x" for i in range(30_000))
+    rows = [(None, a, "en", "s", 1, 0.5, "x"), (None, None, None, None, None, None, None), (1, None, "en", "s", 0, 0.5, "x"), (2, "", "en", "s", 0, 0.5, "x"), (3, long_text, "en", "s", 9, 0.5, "x"), (4, a, "en", "s", 9, 0.5, "x"), (4, a, "en", "s", 9, 0.5, "x"), (9007199254740993, a + " more", "en", "s", 9, 0.5, "x")]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ids = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.collect())
+    everything = sorted((r[0] is None, r[0] or 0) for r in rows)
+    for stage in (P.drop_toxic, P.drop_lines, P.drop_passages):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == P.COLUMNS and ids(out) == everything
+    heads = P.drop_near_copies(spark, docs, str(tmp_path))
+    assert heads.columns == P.COLUMNS and ids(heads) == [(False, 1), (False, 2), (False, 3), (False, 4), (True, 0), (True, 0)]
+    packed = P.pack_sequences(spark, docs, str(tmp_path)).collect()
+    assert len({(r["doc_id"], r["sequence_id"], r["offset"]) for r in packed}) == len(packed) and sum(r["start"] == 0 for r in packed) == len(rows)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0

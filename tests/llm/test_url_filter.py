@@ -16,7 +16,16 @@ def test_verdicts(spark):
     entries = spark.createDataFrame(ENTRIES, "kind string, pattern string, list string, action string, day int")
     captures = spark.createDataFrame([c[:3] + ("x",) for c in CAPTURES + CAPTURES[:1]], "page_id long, url string, fetched_day int, key string")
     got = sorted((r["page_id"], r["verdict"]) for r in U.filter_urls(captures, entries).collect())
-    # a repeated capture shares its id, and so its votes; both rows stay
+    # both rows of a repeated capture stay
     assert got == sorted([(c[0], c[3]) for c in CAPTURES + CAPTURES[:1]])
     assert U.filter_urls(captures.limit(0), entries).count() == 0
     assert {r["verdict"] for r in U.filter_urls(captures, entries.limit(0)).collect()} == {"none"}
+
+
+def test_captures_of_one_id(spark):
+    """Captures of one page at other times, with other URLs, without an id and at equal times."""
+    entries = spark.createDataFrame([("host", "a.example.com", "block", "add", 10)], "kind string, pattern string, list string, action string, day int")
+    rows = [(1, "http://a.example.com/", 5), (1, "http://a.example.com/", 50), (1, "http://b.example.com/", 50), (None, "http://a.example.com/", 50), (None, "http://a.example.com/", 5), (1, "http://a.example.com/", 50)]
+    got = U.filter_urls(spark.createDataFrame(rows, "page_id long, url string, fetched_day int"), entries).collect()
+    want = [(None, 5, "none", 1), (None, 50, "block", 1), (1, 5, "none", 1), (1, 50, "block", 1), (1, 50, "block", 1), (1, 50, "none", 0)]
+    assert sorted(((r["page_id"] or 0, r["fetched_day"], r["verdict"], r["n_listed"]) for r in got)) == [(a or 0, *b) for a, *b in want]
