@@ -2,6 +2,13 @@
 
 Every stage works on the rows that the one before it kept, written as Parquet
 and read again.  All but the last return the columns of ``documents``.
+
+Defined results: null and empty texts are clean, without lines, links or repeats,
+and pass every stage; a row with a null doc_id passes every stage (only its
+toxicity is judged); of rows that repeat a doc_id one stays at the Jaccard
+join, the others before it are judged each; ties go to the smallest doc_id; extra
+columns of the input are not read; empty tables give no rows; without labels
+nothing is toxic.
 """
 
 from __future__ import annotations
@@ -33,9 +40,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays."""
+    """Of each group of similar documents the one with the smallest doc_id stays; rows without an id stay."""
     heads = jaccard_join.groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").select(*COLUMNS)
+    kept = docs.join(heads, "doc_id", "left_semi").select(*COLUMNS)
+    # rows that repeat an id are one document: the least of them stays
+    many = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    one = kept.join(many, "doc_id", "left_anti").select(*COLUMNS)
+    least = kept.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return one.unionByName(least).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +63,10 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [
