@@ -139,6 +139,13 @@ def batches_of(texts: list, size: int = 1 << 19):
         a = b
 
 
+def small(batches, rows: int = 256):
+    """Slices of Arrow batches, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
 
@@ -187,7 +194,7 @@ def sets_and_prefixes(docs: DataFrame, often: np.ndarray | None, k: int = K) ->
 
     def run(batches):
         part, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             for a, b in batches_of(texts):
                 h, begin = shingle_sets(texts[a:b], k)
@@ -219,7 +226,7 @@ def prefixes(docs: DataFrame, k: int = K) -> DataFrame:
     """prefix (shingles in plain hash order) of every document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             for a, b in batches_of(texts):
                 h, begin = shingle_sets(texts[a:b], k)
@@ -311,7 +318,7 @@ def leveled(state: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFr
     """region, class, component, n, main, home, bits: a region for each size; a row goes as a guest to the next smaller one if it can have partners there."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 2048):
             pdf = batch.to_pandas()
             n, own = pdf["n"].to_numpy(), level(pdf["n"].to_numpy())
             guest = (own > 6) & (n * percent <= 100 * ((1 << (own - 1)) // FOLD))
@@ -514,7 +521,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
     often = frequent_shingles(docs, OFTEN)
     scratch.release()
-    base = scratch.save(sets_and_prefixes(docs, often), "sets")
+    base = scratch.save(sets_and_prefixes(docs, often), "sets", "snappy")
     names = ["name1", "name2"]
     classes = base.filter("n > 0").groupBy(*names).agg(F.min("row").alias("class"), F.min("doc_id").alias("doc_id"))
     classes = scratch.save(classes, "classes")
@@ -527,23 +534,23 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     sets: list[DataFrame] = []
 
     def sets_of(batches):
-        for pdf in batches:
-            texts, names_ = pdf["text"].tolist(), pdf["class"].to_numpy()
-            one, two = pdf["name1"].to_numpy(), pdf["name2"].to_numpy()
+        for batch in small(batches):
+            texts, names_ = batch.column("text").to_pylist(), batch.column("class").to_numpy()
+            one, two = batch.column("name1").to_numpy(), batch.column("name2").to_numpy()
             for a, b in batches_of(texts):
                 h, begin = shingle_sets(texts[a:b])
                 x, y = _names_of(h, begin)
                 # a repeated doc_id may have other texts
                 keep = np.flatnonzero((x == one[a:b]) & (y == two[a:b]))
-                yield pd.DataFrame({"class": names_[a:b][keep], "items": [h[begin[i] : begin[i + 1]].tobytes() for i in keep]})
+                yield pa.RecordBatch.from_arrays([pa.array(names_[a:b][keep], pa.int64()), pa.array([h[begin[i] : begin[i + 1]].tobytes() for i in keep], pa.binary())], names=["class", "items"])
 
     def with_sets(wanted: DataFrame) -> DataFrame:
         """class, items; the sets of classes not met before come from their texts."""
         for known in sets:
             wanted = wanted.join(known.select("class"), "class", "left_anti")
         wanted = scratch.save(wanted.join(classes, "class"), f"wanted-{len(sets)}")
-        found = docs.join(wanted, "doc_id").select("class", "name1", "name2", "text").mapInPandas(sets_of, "class long, items binary")
-        sets.append(scratch.save(found, f"items-{len(sets)}"))
+        found = docs.join(wanted, "doc_id").select("class", "name1", "name2", "text").mapInArrow(sets_of, "class long, items binary")
+        sets.append(scratch.save(found, f"items-{len(sets)}", "snappy"))
         scratch.release()
         union = sets[0]
         for more in sets[1:]:
@@ -579,7 +586,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         links = links.unionByName(verified(scratch.save(pairs, f"pairs-{step}"), f"links-{step}"))
         named = components(links, scratch, f"cc-{step}")
         state = scratch.save(unresolved(inner, named), f"state-{step}")
-    may = scratch.save(promising(voronoi(scratch.save(leveled(state, bits, percent), "leveled"), scratch, percent), percent), "promising")
+    may = scratch.save(promising(voronoi(scratch.save(leveled(state, bits, percent), "leveled", "snappy"), scratch, percent), percent), "promising")
     scratch.release()
     union = with_sets(may.select("class").distinct())
     more = scratch.save(exact_links(may.join(union, "class"), percent), "links-exact")
