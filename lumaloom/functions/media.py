@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: Extension classes.
 RAW = [".cr2", ".cr3", ".nef", ".arw", ".dng", ".raf", ".rw2"]
 JPEG = [".jpg", ".jpeg"]
-VIDEO = [".mp4", ".mov", ".avi", ".mkv", ".mts", ".m4v"]
-OTHER_IMAGE = [".png", ".heic", ".heif", ".tif", ".tiff", ".webp", ".jxl", ".avif"]
+VIDEO = [".avi", ".m4v", ".mkv", ".mov", ".mp4", ".webm"]
+OTHER_IMAGE = [".png", ".heic", ".heif", ".webp", ".jxl", ".avif"]
 
 
 def parent_folder(path: Column) -> Column:
@@ -51,7 +51,7 @@ def media_category(ext: Column) -> Column:
 def representation_class(ext: Column) -> Column:
     e = F.lower(ext)
     return (
-        F.when(e.isin(VIDEO), "video").when(e.isin(RAW), "raw").when(e.isin([*JPEG, ".png", ".tif", ".tiff"]), "conventional-image").when(e.isin([".jxl", ".avif"]), "compressed-image").otherwise("rendered-image")
+        F.when(e.isin(VIDEO), "video").when(e.isin(RAW), "raw").when(e.isin([*JPEG, ".png"]), "conventional-image").when(e.isin([".jxl", ".avif", ".webp"]), "compressed-image").otherwise("rendered-image")
     )
 
 
@@ -65,6 +65,24 @@ def format_name(ext: Column) -> Column:
     return F.when(e == "jpg", "jpeg").otherwise(e)
 
 
+def quality_source(score: Column, record: Column, media_type: Column) -> Column:
+    """What a quality score was computed on; null without one."""
+    embedded = F.get_json_object(record, "$.quality_source") == "raw_embedded_preview"
+    return F.when(score.isNotNull(), F.when(embedded, "RAW embedded preview").when(media_type == "video", "sampled video frames").otherwise("rendered image"))
+
+
+def relationship_label(kind: Column) -> Column:
+    return F.when(kind == "exact_duplicate", "Exact duplicate").when(kind == "raw_jpeg", "RAW/JPEG pair").when(kind == "external_rendered_peer", "External JPEG XL representation").otherwise("Representation relationship")
+
+
+def representation_label(managed: Column, codec: Column, profile: Column, role: Column, relations: Column) -> Column:
+    """Managed derivatives by codec and profile, then camera roles, then the first relationship."""
+    name = F.when(codec == "jpeg-xl", "JPEG XL").when(codec == "av1", "AV1").otherwise(F.coalesce(codec, F.lit("Managed")))
+    first = F.array_min(F.transform(relations, relationship_label))
+    derivative = F.concat(name, F.lit(" derivative · "), F.coalesce(profile, F.lit("managed profile")))
+    return F.when(managed.isNotNull(), derivative).when(role == "camera_raw", "RAW source").when(role == "camera_jpeg", "Camera JPEG").otherwise(F.coalesce(first, F.lit("Physical file")))
+
+
 def is_raw(ext: Column) -> Column:
     return F.lower(ext).isin(RAW)
 
@@ -79,7 +97,8 @@ def preference(in_scope: Column, online: Column, ext: Column, role: Column, path
     parts = [no(in_scope).alias("a"), no(online).alias("b")]
     if complete is not None:
         parts.append(no(complete).alias("c"))
-    unmanaged_jxl = (F.lower(ext) == ".jxl") & (representation_origin(role, F.lit(False)) == "source")
+    r = F.lower(F.coalesce(role, F.lit("")))
+    unmanaged_jxl = (F.lower(ext) == ".jxl") & ~r.startswith("managed") & ~r.startswith("derived")
     return F.struct(*parts, no(~is_raw(ext)).alias("d"), no(role == "camera_jpeg").alias("e"), no(~unmanaged_jxl).alias("f"), F.lower(path).alias("g"), path.alias("h"), key.alias("i"))
 
 

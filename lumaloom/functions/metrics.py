@@ -62,19 +62,45 @@ def sample_times(duration: Column, n: Column) -> Column:
 
 
 def top_quartile_mean(scores: Column) -> Column:
-    """Mean of the best quarter, at least one."""
+    """Mean of the best quarter, at least one; null without scores."""
     top = F.slice(F.sort_array(scores, False), 1, F.ceil(F.size(scores) * 0.25).cast("int"))
     return F.when(F.size(scores) > 0, F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.size(top))
 
 
+def video_score(scores: Column, requested: Column) -> tuple[Column, Column]:
+    """(score, partial): the mean of the best quarter if three quarters of the requested samples succeeded; partial if not all did."""
+    enough = F.size(scores) >= F.ceil(requested * 0.75)
+    return F.when(enough, top_quartile_mean(scores)), enough & (F.size(scores) < requested)
+
+
+def compression_metrics(reference: Column, compressed: Column, mse: Column) -> tuple[Column, Column, Column]:
+    """(ratio, compressed percent, PSNR) with 3, 2 and 3 places."""
+    return F.when(compressed != 0, F.bround(reference / compressed, 3)), F.when(reference != 0, F.bround(compressed / reference * 100, 2)), F.bround(psnr(mse), 3)
+
+
+def estimated_bytes(size: Column, codec: Column, quality: Column) -> Column:
+    """Size after compression, from what the codec's quality usually leaves; at least one byte of a file that is not empty."""
+    q = F.bround(quality).cast("int")
+    ratio = F.when(codec == "jpeg-xl", F.when(q == 80, 0.5).when(q == 60, 0.35).when(q == 40, 0.25).otherwise(0.35)).otherwise(0.5)
+    return F.when(F.coalesce(size, F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(size * ratio))).cast("long")
+
+
+def storage_delta(size: Column, output: Column, operation: Column, replace: Column) -> Column:
+    """Bytes that an operation adds; a compression that replaces its source gives the source's bytes back."""
+    return F.when(operation == "delete", -size).when(operation == "copy", size).when(operation == "move", 0).otherwise(output - F.when(replace, size).otherwise(0)).cast("long")
+
+
 def psnr(mse: Column) -> Column:
     return F.when(mse > 0, 10 * F.log10(F.lit(65025.0) / mse))
 
 
 def quality_to_distance(quality: Column) -> Column:
-    """Encoder distance of a 0-100 quality, linear above 30 and quadratic below."""
-    q = clamp(quality, 0, 100)
-    return F.when(q >= 100, 0.0).when(q >= 30, 0.1 + (100 - q) * 0.09).otherwise(53 / 3000 * q * q - 23 / 20 * q + 25)
+    """Encoder distance of a 0-100 quality: 1.5 at 60, to four places."""
+    return F.bround((100 - clamp(quality, 0, 100)) * 1.5 / 40, 4)
+
+
+def distance_to_quality(distance: Column) -> Column:
+    return F.bround(clamp(100 - distance * 40 / 1.5, 0, 100), 2)
 
 
 def mercator_x(lon: Column) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Kinds of capture time that name an instant.
 ABSOLUTE = ["exif_offset", "aware", "container_metadata"]
+#: Days from year 1 to 1970 (day 1 is the first of January of year 1).
+DAYS_TO_1970 = 719163
+ZONE = r"\d(Z|z|([+-])(\d\d):?(\d\d)(?::?(\d\d))?)$"
 WALL = r"^(\d{4})-(\d\d)-(\d\d)[T ](\d\d):(\d\d):(\d\d)(?:\.(\d{1,6})\d*)?"
 
 
@@ -24,8 +27,16 @@ def precision_us(value: Column) -> Column:
 
 
 def capture_seconds(value: Column, kind: Column) -> Column:
-    """Seconds on the axis of the value's semantics; null if unparsable."""
-    return wall_clock_us(value) / 1e6
+    """Seconds on the axis of the value's semantics.
+
+    Absolute kinds are seconds since 1970 in UTC and need an offset; local ones
+    count from the first day of year 1, by the displayed components, and must have
+    none.  Other kinds and unparsable values are null.
+    """
+    wall, zone = wall_clock_us(value) / 1e6, F.regexp_extract(value, ZONE, 1)
+    part = lambda i: F.coalesce(F.regexp_extract(value, ZONE, i).try_cast("int"), F.lit(0))
+    offset = F.when(F.upper(zone) == "Z", 0).otherwise(F.when(F.regexp_extract(value, ZONE, 2) == "-", -1).otherwise(1) * (part(3) * 3600 + part(4) * 60 + part(5)))
+    return F.when(kind.isin(ABSOLUTE) & (zone != ""), wall - offset).when((kind == "exif_local_unknown") & (zone == ""), wall + DAYS_TO_1970 * 86400)
 
 
 def semantics(kind: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +27,14 @@ def diff(old: DataFrame, new: DataFrame, blocked: list[str] | None = None) -> Da
     same = F.col("o_online") & (F.col("o_size") == F.col("n_size")) & F.col("o_mtime").eqNullSafe(F.col("n_mtime"))
     state = F.when(F.col("now").isNull(), F.when(under, "blocked").otherwise("missing")).when(F.col("was").isNull(), "added").when(same, "unchanged").otherwise("changed")
     j = j.withColumn("outcome", state)
-    present = j.filter("now and was").select(F.col("o_sha").alias("sha")).filter("sha is not null").distinct()
-    lost = j.filter("outcome = 'missing' and o_sha is not null").groupBy(F.col("o_sha").alias("sha")).agg(F.count("*").alias("n"), F.min("path").alias("moved_from")).filter("n = 1")
-    found = j.filter("outcome = 'added' and n_sha is not null").groupBy(F.col("n_sha").alias("sha")).agg(F.min("path").alias("path"))
-    moves = found.join(lost, "sha").join(present, "sha", "left_anti").select("path", "moved_from")
-    gone = moves.select(F.col("moved_from").alias("path"), F.lit(True).alias("left"))
-    out = j.select("path", "outcome").join(moves, "path", "left").join(gone, "path", "left")
+    # one aggregate by content says what was lost, what is still there and what is new
+    role = F.when(F.col("outcome") == "missing", "lost").when(F.col("outcome") == "added", "found").when(F.col("now") & F.col("was"), "present")
+    by_sha = j.select(F.when(role == "found", F.col("n_sha")).otherwise(F.col("o_sha")).alias("sha"), role.alias("role"), "path").filter("sha is not null and role is not null")
+    at = lambda r: F.min(F.when(F.col("role") == r, F.col("path")))
+    moves = by_sha.groupBy("sha").agg(F.count_if(F.col("role") == "lost").alias("n"), F.bool_or(F.col("role") == "present").alias("kept"), at("lost").alias("moved_from"), at("found").alias("path"))
+    moves = moves.filter("n = 1 and not kept and path is not null")
+    ends = moves.select(F.explode(F.array(F.struct("path", "moved_from", F.lit(None).cast("boolean").alias("left")), F.struct(F.col("moved_from").alias("path"), F.lit(None).cast("string").alias("moved_from"), F.lit(True).alias("left")))).alias("x")).select("x.*")
+    out = j.select("path", "outcome").join(ends, "path", "left")
     return out.filter("left is null").select("path", F.when(F.col("moved_from").isNotNull(), "moved").otherwise(F.col("outcome")).alias("outcome"), "moved_from")
 
 
@@ -61,17 +64,18 @@ def purge(files: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def publish(df: DataFrame, base: str, table: str, run_id: str | None = None) -> str:
-    """Write a run, then flip the one-row pointer; a failure before the flip leaves the previous run active."""
+    """Write a run, then add it to the pointer's log: a failure at any step leaves the previous run active."""
     run_id = run_id or uuid.uuid4().hex
     df.write.mode("errorifexists").parquet(f"{base}/{table}/run_id={run_id}")
-    df.sparkSession.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").json(f"{base}/{table}_active")
+    pointer = df.sparkSession.createDataFrame([(run_id, time.time_ns())], "run_id string, published long")
+    pointer.coalesce(1).write.mode("append").json(f"{base}/{table}_active")
     return run_id
 
 
 def active(spark: SparkSession, base: str, table: str) -> DataFrame | None:
     """The active run of a table; None if none was published."""
     try:
-        run_id = spark.read.schema("run_id string").json(f"{base}/{table}_active").first()
+        run_id = spark.read.schema("run_id string, published long").json(f"{base}/{table}_active").orderBy(F.desc("published"), F.desc("run_id")).first()
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return None

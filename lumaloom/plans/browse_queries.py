@@ -127,10 +127,10 @@ def win_2(spark, d):
     return g.select("group_id", F.row_number().over(Window.orderBy(F.col("first_time").asc_nulls_last(), "group_id")).cast("long").alias("ordinal"))
 
 
-@query("win_12_locate_assets", "SELECT asset_id, position, CAST(floor(position / 60) * 60 AS BIGINT) AS page_offset FROM (SELECT asset_id, row_number() OVER (ORDER BY capture_time DESC NULLS LAST, asset_id) - 1 AS position FROM asset) WHERE asset_id % 501 = 3")
+@query("win_12_locate_assets", "SELECT asset_id, position, CAST(floor(position / 60) * 60 AS BIGINT) AS page_offset FROM (SELECT asset_id, row_number() OVER (ORDER BY capture_time DESC NULLS LAST, asset_id) - 1 AS position FROM asset)")
 def win_12(spark, d):
     p = B.locate(load(spark, d, "asset"), [F.col("capture_time").desc_nulls_last(), F.col("asset_id")], 60)
-    return p.filter("asset_id % 501 = 3").select("asset_id", "position", ((F.col("page") - 1) * 60).alias("page_offset"))
+    return p.select("asset_id", "position", ((F.col("page") - 1) * 60).alias("page_offset"))
 
 
 @query("prj_1_asset_summary", f"WITH {CATALOG} SELECT asset_id, media_type, filename, width, height, n_files, bytes, width >= height AS horizontal FROM cat")
@@ -143,37 +143,61 @@ def prj_2(spark, d):
     return B.preferred_file(load(spark, d, "file").filter("width > 0 and height > 0")).select("asset_id", "width", "height")
 
 
-@query("prj_3_issue_tags", f"""SELECT asset_id, concat_ws(',', CASE WHEN bool_or(NOT is_online) THEN 'offline' END, CASE WHEN bool_or(counted AND component_status = 'pending') THEN 'processing' END,
- CASE WHEN bool_or(counted AND extension = '.jxl') THEN 'unsupported' END, CASE WHEN bool_or(counted AND component_status = 'failed') THEN 'failed' END) AS issues
- FROM (SELECT *, NOT ({RAW_SQL} AND bool_or(NOT {RAW_SQL}) OVER (PARTITION BY asset_id)) AS counted FROM file) GROUP BY asset_id""")
+@query("prj_3_issue_tags", f"""WITH s AS (SELECT file_id, asset_id, is_online, in_scope, {RAW_SQL} AS raw, component_status AS m, CASE file_id % 5 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' ELSE 'complete' END AS t, CASE file_id % 7 WHEN 0 THEN 'unsupported' WHEN 1 THEN 'pending' ELSE 'complete' END AS q FROM file),
+ a AS (SELECT *, in_scope OR NOT bool_or(in_scope) OVER (PARTITION BY asset_id) AS active FROM s), r AS (SELECT *, active AND (NOT raw OR NOT bool_or(active AND NOT raw) OVER (PARTITION BY asset_id)) AS counted FROM a)
+ SELECT asset_id, concat_ws(',', CASE WHEN NOT bool_or(active AND is_online) THEN 'offline' END, CASE WHEN bool_or(counted AND (m IN ('pending', 'running') OR t IN ('pending', 'running') OR q IN ('pending', 'running'))) THEN 'processing' END,
+ CASE WHEN bool_or(counted AND (m = 'unsupported' OR t = 'unsupported' OR q = 'unsupported')) THEN 'unsupported' END, CASE WHEN bool_or(counted AND (m = 'failed' OR t = 'failed' OR q = 'failed')) THEN 'failed' END) AS issues FROM r GROUP BY asset_id""")
 def prj_3(spark, d):
-    raw = M.is_raw(F.col("extension"))
-    flag = lambda c, keep: F.bool_or(c & keep)
+    """Issues of an asset from the three component states of its files.
+
+    Files in scope count, all if none is; RAW files do not where there is another.
+    Offline: none of them is online.  One aggregate keeps what each case needs.
+    """
+    f = F.col("file_id")
+    s = F.array("component_status", F.when(f % 5 == 0, "running").when(f % 5 == 1, "failed").otherwise("complete"), F.when(f % 7 == 0, "unsupported").when(f % 7 == 1, "pending").otherwise("complete"))
+    has = {"processing": F.arrays_overlap(s, F.array(F.lit("pending"), F.lit("running"))), "unsupported": F.array_contains(s, "unsupported"), "failed": F.array_contains(s, "failed")}
+    raw, scope = M.is_raw(F.col("extension")), F.col("in_scope")
+    cases = {"scope_other": scope & ~raw, "scope": scope, "other": ~raw, "all": F.lit(True)}
     g = load(spark, d, "file").groupBy("asset_id").agg(
-        F.bool_or(~F.col("is_online")).alias("offline"), F.bool_or(~raw).alias("rendered"),
-        *[flag(c, k).alias(f"{n}_{t}") for n, c in (("processing", F.col("component_status") == "pending"), ("unsupported", F.col("extension") == ".jxl"), ("failed", F.col("component_status") == "failed")) for t, k in (("all", F.lit(True)), ("rendered", ~raw))],
+        F.bool_or(scope).alias("scoped"), *[F.bool_or(c).alias(f"any_{k}") for k, c in cases.items()], F.bool_or(scope & F.col("is_online")).alias("online_scope"), F.bool_or("is_online").alias("online_all"),
+        *[F.bool_or(c & x).alias(f"{n}_{k}") for n, x in has.items() for k, c in cases.items()],
     )
-    tag = lambda n: F.when(F.when(F.col("rendered"), F.col(f"{n}_rendered")).otherwise(F.col(f"{n}_all")), n)
-    return g.select("asset_id", F.concat_ws(",", F.when(F.col("offline"), "offline"), tag("processing"), tag("unsupported"), tag("failed")).alias("issues"))
+    pick = lambda n: F.when(F.col("scoped"), F.when(F.col("any_scope_other"), F.col(f"{n}_scope_other")).otherwise(F.col(f"{n}_scope"))).otherwise(F.when(F.col("any_other"), F.col(f"{n}_other")).otherwise(F.col(f"{n}_all")))
+    offline = ~F.when(F.col("scoped"), F.col("online_scope")).otherwise(F.col("online_all"))
+    return g.select("asset_id", F.concat_ws(",", F.when(offline, "offline"), *[F.when(pick(n), n) for n in has]).alias("issues"))
 
 
-@query("prj_4_quality_source", "SELECT job_id, CASE WHEN k % 3 = 0 THEN 'RAW embedded preview' WHEN k % 3 = 1 THEN 'sampled video frames' ELSE 'rendered image' END AS label FROM (SELECT job_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM job)")
+@query("prj_4_quality_source", "SELECT file_id, CASE WHEN quality_score IS NULL THEN NULL WHEN is_raw AND file_id % 4 <> 0 THEN 'RAW embedded preview' WHEN media_type = 'video' THEN 'sampled video frames' ELSE 'rendered image' END AS label FROM file")
 def prj_4(spark, d):
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    return load(spark, d, "job").select("job_id", F.when(k % 3 == 0, "RAW embedded preview").when(k % 3 == 1, "sampled video frames").otherwise("rendered image").alias("label"))
+    """Where a score comes from, by the scorer's own record, else by the kind of media; nothing without a score."""
+    f = F.col("file_id")
+    record = F.when(F.col("is_raw"), F.when(f % 4 == 0, "{broken").otherwise('{"quality_source": "raw_embedded_preview"}'))
+    return load(spark, d, "file").select("file_id", M.quality_source(F.col("quality_score"), record, F.col("media_type")).alias("label"))
 
 
-@query("prj_5_representation_label", f"SELECT file_id, CASE WHEN role LIKE 'managed%' OR role LIKE 'derived%' THEN 'Managed derivative' WHEN {RAW_SQL} THEN 'RAW' WHEN role = 'camera_jpeg' THEN 'Camera JPEG' ELSE 'Physical file' END AS label FROM file")
+@query("prj_5_representation_label", """WITH p AS (SELECT file_id, CASE WHEN is_raw AND role = 'original' THEN 'camera_raw' ELSE role END AS role, sha256, asset_id FROM file), n AS (SELECT sha256, count(*) AS n FROM file GROUP BY sha256)
+ SELECT file_id, CASE WHEN role = 'managed_jxl' THEN CASE file_id % 3 WHEN 0 THEN 'JPEG XL derivative · Archive' WHEN 1 THEN 'AV1 derivative · managed profile' ELSE 'Managed derivative · Web' END WHEN role = 'camera_raw' THEN 'RAW source' WHEN role = 'camera_jpeg' THEN 'Camera JPEG'
+ WHEN n.n > 1 AND file_id % 2 = 0 THEN 'Exact duplicate' WHEN file_id % 6 = 1 THEN 'RAW/JPEG pair' ELSE 'Physical file' END AS label FROM p JOIN n USING (sha256)""")
 def prj_5(spark, d):
-    managed = M.representation_origin(F.col("role"), F.lit(False)) == "managed"
-    return load(spark, d, "file").select("file_id", F.when(managed, "Managed derivative").when(M.is_raw(F.col("extension")), "RAW").when(F.col("role") == "camera_jpeg", "Camera JPEG").otherwise("Physical file").alias("label"))
-
-
-@query("prj_6_derivative_payload", "SELECT file_id, size_bytes AS source_bytes, CAST(floor(size_bytes * 0.4) AS BIGINT) AS output_bytes, round_even(floor(size_bytes * 0.4) / size_bytes * 100, 1) AS output_percent_of_source FROM file WHERE role = 'managed_jxl' AND size_bytes > 0")
+    """Managed derivative, then role, then the first relationship in order of its label."""
+    f = F.col("file_id")
+    size = load(spark, d, "file").groupBy("sha256").agg(F.count("*").alias("n"))
+    files = load(spark, d, "file").join(size, "sha256").withColumn("role", F.when(F.col("is_raw") & (F.col("role") == "original"), "camera_raw").otherwise(F.col("role")))
+    managed = F.when(F.col("role") == "managed_jxl", f)
+    codec = F.when(f % 3 == 0, "jpeg-xl").when(f % 3 == 1, "av1")
+    profile = F.when(f % 3 == 0, "Archive").when(f % 3 == 2, "Web")
+    related = F.array_compact(F.array(F.when(f % 6 == 1, "raw_jpeg"), F.when((F.col("n") > 1) & (f % 2 == 0), "exact_duplicate")))
+    return files.select("file_id", M.representation_label(managed, codec, profile, F.col("role"), related).alias("label"))
+
+
+@query("prj_6_derivative_payload", "SELECT file_id, s AS source_bytes, size_bytes AS output_bytes, CASE WHEN s <> 0 THEN round_even(CAST(size_bytes AS DOUBLE) / s * 100, 1) END AS output_percent_of_source FROM (SELECT file_id, size_bytes, CASE file_id % 3 WHEN 0 THEN size_bytes * 2 + file_id WHEN 1 THEN size_bytes * 3 + 1 END AS s FROM file WHERE role = 'managed_jxl')")
 def prj_6(spark, d):
-    out = F.floor(F.col("size_bytes") * F.lit(0.4))
-    f = load(spark, d, "file").filter("role = 'managed_jxl' and size_bytes > 0")
-    return f.select("file_id", F.col("size_bytes").alias("source_bytes"), out.cast("long").alias("output_bytes"), F.bround(out / F.col("size_bytes") * 100, 1).alias("output_percent_of_source"))
+    """The source's size from the stored contract: at its top, else inside ``source``."""
+    f, size = F.col("file_id"), F.col("size_bytes")
+    text = F.when(f % 3 == 0, F.format_string('{"source_size_bytes": %d}', size * 2 + f)).when(f % 3 == 1, F.format_string('{"source": {"size_bytes": %d}}', size * 3 + 1)).otherwise("{broken")
+    c = F.from_json(text, "source_size_bytes long, source struct<size_bytes: long>")
+    files = load(spark, d, "file").filter("role = 'managed_jxl'").select("file_id", size.alias("output_bytes"), F.coalesce(F.nullif(c["source_size_bytes"], F.lit(0)), c["source"]["size_bytes"]).alias("source_bytes"))
+    return files.select("file_id", "source_bytes", "output_bytes", F.when(F.col("source_bytes") != 0, F.bround(F.col("output_bytes") / F.col("source_bytes") * 100, 1)).alias("output_percent_of_source"))
 
 
 @query("prj_7_asset_detail", f"""SELECT asset_id, string_agg(CAST(file_id AS STRING), ',' ORDER BY CASE WHEN rn = 1 THEN 0 ELSE 1 END, CASE WHEN is_online THEN 0 ELSE 1 END, relative_path, file_id) AS files
@@ -192,12 +216,21 @@ def prj_8(spark, d):
     return load(spark, d, "job").groupBy("file_id").agg(pick("view").alias("metadata_status"), pick("click").alias("thumbnail_status"), pick("error").alias("quality_status"))
 
 
-@query("prj_9_12_media_classes", f"""SELECT file_id, CASE WHEN extension IN ('.jpg','.jpeg') THEN 'jpeg' WHEN {RAW_SQL} THEN 'raw' WHEN extension = '.mp4' THEN 'video' ELSE 'other_image' END AS category,
- CASE WHEN extension = '.mp4' THEN 'video' WHEN {RAW_SQL} THEN 'raw' WHEN extension IN ('.jpg','.jpeg','.png') THEN 'conventional-image' WHEN extension = '.jxl' THEN 'compressed-image' ELSE 'rendered-image' END AS class,
- CASE WHEN role LIKE 'managed%' OR role LIKE 'derived%' THEN 'managed' ELSE 'source' END AS origin, CASE WHEN extension = '.jpg' THEN 'jpeg' ELSE substr(extension, 2) END AS format FROM file""")
+#: Extensions that the test tables lack, dealt to some of the files.
+MORE_EXTENSIONS = [".webm", ".tif", ".webp", ".MTS", ".avif", ".JPEG", ".raf", ".txt"]
+
+
+@query("prj_9_12_media_classes", f"""WITH p AS (SELECT file_id, role, file_id % 11 = 4 AS provenance, CASE WHEN file_id % 3 = 0 THEN extension ELSE {MORE_EXTENSIONS}[1 + CAST(file_id % 8 AS INT)] END AS x FROM file), e AS (SELECT *, lower(x) AS e FROM p)
+ SELECT file_id, CASE WHEN e IN ('.jpg', '.jpeg') THEN 'jpeg' WHEN e IN ('.cr3', '.dng', '.raf') THEN 'raw' WHEN e IN ('.mp4', '.webm') THEN 'video' WHEN e IN ('.mts', '.tif', '.txt') THEN 'other' ELSE 'other_image' END AS category,
+ CASE WHEN e IN ('.mp4', '.webm') THEN 'video' WHEN e IN ('.cr3', '.dng', '.raf') THEN 'raw' WHEN e IN ('.jpg', '.jpeg', '.png') THEN 'conventional-image' WHEN e IN ('.jxl', '.avif', '.webp') THEN 'compressed-image' ELSE 'rendered-image' END AS class,
+ CASE WHEN provenance OR role LIKE 'managed%' OR role LIKE 'derived%' THEN 'managed' ELSE 'source' END AS origin, CASE WHEN e IN ('.jpg', '.jpeg') THEN 'jpeg' ELSE substr(e, 2) END AS format FROM e""")
 def prj_9_12(spark, d):
-    e = F.col("extension")
-    return load(spark, d, "file").select("file_id", M.media_category(e).alias("category"), M.representation_class(e).alias("class"), M.representation_origin(F.col("role"), F.lit(False)).alias("origin"), M.format_name(e).alias("format"))
+    f = F.col("file_id")
+    other = F.element_at(F.array(*[F.lit(x) for x in MORE_EXTENSIONS]), (f % 8 + 1).cast("int"))
+    provenance = load(spark, d, "file").filter("file_id % 11 = 4").select("file_id", F.lit(True).alias("managed"))
+    files = load(spark, d, "file").join(provenance, "file_id", "left").withColumn("x", F.when(f % 3 == 0, F.col("extension")).otherwise(other))
+    e = F.col("x")
+    return files.select("file_id", M.media_category(e).alias("category"), M.representation_class(e).alias("class"), M.representation_origin(F.col("role"), F.col("managed")).alias("origin"), M.format_name(e).alias("format"))
 
 
 @query("agg_1_asset_quality", f"SELECT asset_id, CASE WHEN bool_or(NOT {RAW_SQL}) THEN max(CASE WHEN NOT {RAW_SQL} THEN quality_score END) ELSE max(quality_score) END AS quality, max(quality_score) AS unruled FROM file WHERE in_scope GROUP BY asset_id")

@@ -68,10 +68,17 @@ def s_10(spark, d):
     return load(spark, d, "embeddings").select("vec_id", half("embedding").alias("stored"))
 
 
-@query("s_12_13_14_capture_times", "SELECT asset_id, epoch_us(TRY_CAST(capture_time AS TIMESTAMP)) AS wall_us, CAST(1000000 AS BIGINT) AS precision_us, CASE WHEN capture_time_kind = 'exif_offset' THEN 'absolute' ELSE 'local' END AS semantics, epoch_us(TRY_CAST(capture_time AS TIMESTAMP)) / 1e6 AS seconds FROM asset WHERE capture_time IS NOT NULL")
+@query("s_12_13_14_capture_times", """WITH b AS (SELECT asset_id, TRY_CAST(capture_time AS TIMESTAMP) AS w, CASE WHEN asset_id % 13 = 0 THEN 'file_time' ELSE capture_time_kind END AS kind,
+ CASE asset_id % 4 WHEN 0 THEN 10800 WHEN 1 THEN -19800 WHEN 2 THEN 0 END AS o FROM asset WHERE capture_time IS NOT NULL)
+ SELECT asset_id, epoch_us(w) AS wall_us, CAST(1000000 AS BIGINT) AS precision_us, CASE WHEN kind = 'exif_offset' AND o IS NOT NULL THEN 'absolute' WHEN kind = 'exif_local_unknown' AND o IS NULL THEN 'local' END AS semantics,
+ CASE WHEN kind = 'exif_offset' THEN epoch_us(w) / 1e6 - o WHEN kind = 'exif_local_unknown' AND o IS NULL THEN epoch_us(w) / 1e6 + 62135683200 END AS seconds FROM b""")
 def s_12(spark, d):
-    v, k = F.col("capture_time"), F.col("capture_time_kind")
-    return load(spark, d, "asset").filter("capture_time is not null").select("asset_id", T.wall_clock_us(v).alias("wall_us"), T.precision_us(v).alias("precision_us"), T.semantics(k).alias("semantics"), T.capture_seconds(v, k).alias("seconds"))
+    """Displayed clock, precision, and the axis that makes times comparable; offsets and kinds are mixed."""
+    a = F.col("asset_id")
+    zone = F.when(a % 4 == 0, "+03:00").when(a % 4 == 1, "-05:30").when(a % 4 == 2, "Z").otherwise("")
+    v, k = F.concat("capture_time", zone), F.when(a % 13 == 0, "file_time").otherwise(F.col("capture_time_kind"))
+    seconds = T.capture_seconds(v, k)
+    return load(spark, d, "asset").filter("capture_time is not null").select("asset_id", T.wall_clock_us(v).alias("wall_us"), T.precision_us(v).alias("precision_us"), F.when(seconds.isNotNull(), T.semantics(k)).alias("semantics"), seconds.alias("seconds"))
 
 
 @query("s_15_exif_time", "SELECT job_id, CASE WHEN job_id % 9 = 0 THEN 'unknown' ELSE strftime(stamp, '%Y-%m-%dT%H:%M:%S') || CASE WHEN job_id % 4 = 0 THEN '.' || CAST(job_id % 1000 AS STRING) ELSE '' END || CASE WHEN job_id % 5 = 0 THEN '+02:00' WHEN job_id % 5 = 1 THEN '+00:00' ELSE '' END END AS value FROM job")
@@ -116,9 +123,9 @@ def s_20(spark, d):
     return load(spark, d, "file").select("file_id", F.coalesce(sha, F.concat_ws(":", F.lit("stat"), F.col("size_bytes").cast("string"), F.col("file_id").cast("string"))).alias("fingerprint"), F.sha2(F.concat_ws("|", "sha256", F.lit("model-1"), F.col("size_bytes").cast("string")), 256).alias("derived"))
 
 
-@query("s_21_sample_times", "WITH n AS (SELECT file_id, duration, CAST(least(greatest(ceil(duration * 2.0), 2), 32) AS INT) AS n FROM file WHERE duration IS NOT NULL AND file_id < 20000) SELECT file_id, n, CAST(i AS INT) AS sample, duration * (i + 0.5) / n AS seconds FROM n, LATERAL (SELECT unnest(range(0, n)) AS i)")
+@query("s_21_sample_times", "WITH n AS (SELECT file_id, duration, CAST(least(greatest(ceil(duration * 2.0), 2), 32) AS INT) AS n FROM file WHERE duration IS NOT NULL) SELECT file_id, n, CAST(i AS INT) AS sample, duration * (i + 0.5) / n AS seconds FROM n, LATERAL (SELECT unnest(range(0, n)) AS i)")
 def s_21(spark, d):
-    f = load(spark, d, "file").filter("duration is not null and file_id < 20000").withColumn("n", X.sample_count(F.col("duration"), 2.0, 2, 32))
+    f = load(spark, d, "file").filter("duration is not null").withColumn("n", X.sample_count(F.col("duration"), 2.0, 2, 32))
     return f.select("file_id", "n", F.posexplode(X.sample_times(F.col("duration"), F.col("n"))).alias("sample", "seconds"))
 
 
@@ -129,19 +136,27 @@ def s_22(spark, d):
     return load(spark, d, "job").select("job_id", F.round(score, 9).alias("score"))
 
 
-@query("s_23_compression_metrics", "SELECT job_id, seconds / (seconds + 1) AS ratio, 100 * (1 - seconds / (seconds + 1)) AS saved_percent, round(CASE WHEN seconds - 1 > 0 THEN 10 * log10(65025.0 / (seconds - 1)) END, 9) AS psnr FROM job")
+@query("s_23_compression_metrics", """WITH p AS (SELECT file_id, size_bytes AS r, CASE WHEN file_id % 40 = 0 THEN 0 ELSE CAST(floor(size_bytes * (file_id % 97) / 100.0) AS BIGINT) END AS c, CASE WHEN file_id % 10 = 0 THEN 0.0 ELSE CAST(file_id % 700 AS DOUBLE) / 8 END AS mse FROM file)
+ SELECT file_id, CASE WHEN c <> 0 THEN round_even(CAST(r AS DOUBLE) / c, 3) END AS ratio, CASE WHEN r <> 0 THEN round_even(CAST(c AS DOUBLE) / r * 100, 2) END AS compressed_percent, CASE WHEN mse > 0 THEN round_even(10 * log10(65025.0 / mse), 3) END AS psnr FROM p""")
 def s_23(spark, d):
-    s = F.col("seconds")
-    return load(spark, d, "job").select("job_id", (s / (s + 1)).alias("ratio"), (100 * (1 - s / (s + 1))).alias("saved_percent"), F.round(X.psnr(s - 1), 9).alias("psnr"))
+    """Ratio, percent of the reference and PSNR, rounded as they are shown; null where a size or the error is zero."""
+    f, r = F.col("file_id"), F.col("size_bytes")
+    c = F.when(f % 40 == 0, 0).otherwise(F.floor(r * (f % 97) / F.lit(100.0)).cast("long"))
+    mse = F.when(f % 10 == 0, 0.0).otherwise((f % 700).cast("double") / 8)
+    return load(spark, d, "file").select("file_id", *[x.alias(n) for n, x in zip(("ratio", "compressed_percent", "psnr"), X.compression_metrics(r, c, mse), strict=True)])
 
 
-@query("s_24_estimates", "SELECT file_id, CAST(greatest(1, floor(size_bytes * CAST(CASE extension WHEN '.mp4' THEN 0.55 WHEN '.jxl' THEN 1.0 WHEN '.cr3' THEN 0.7 ELSE 0.45 END AS DOUBLE))) AS BIGINT) AS output_bytes, CASE WHEN role = 'original' THEN CAST(greatest(1, floor(size_bytes * CAST(CASE extension WHEN '.mp4' THEN 0.55 WHEN '.jxl' THEN 1.0 WHEN '.cr3' THEN 0.7 ELSE 0.45 END AS DOUBLE))) AS BIGINT) - size_bytes WHEN role = 'managed_jxl' THEN -size_bytes ELSE 0 END AS delta FROM file")
+@query("s_24_estimates", """WITH p AS (SELECT file_id, size_bytes, CASE file_id % 5 WHEN 0 THEN 'copy' WHEN 1 THEN 'move' WHEN 2 THEN 'delete' ELSE 'compress' END AS op, CASE WHEN file_id % 3 = 0 THEN 'av1' ELSE 'jpeg-xl' END AS codec, CASE file_id % 4 WHEN 0 THEN 80 WHEN 1 THEN 60 WHEN 2 THEN 40 ELSE 75 END AS q, file_id % 7 < 3 AS rep FROM file),
+ o AS (SELECT *, CASE WHEN size_bytes = 0 THEN 0 ELSE CAST(greatest(1, floor(size_bytes * CAST(CASE WHEN codec = 'av1' THEN 0.5 WHEN q = 80 THEN 0.5 WHEN q = 40 THEN 0.25 ELSE 0.35 END AS DOUBLE))) AS BIGINT) END AS output_bytes FROM p)
+ SELECT file_id, output_bytes, CASE op WHEN 'delete' THEN -size_bytes WHEN 'copy' THEN size_bytes WHEN 'move' THEN 0 ELSE output_bytes - CASE WHEN rep THEN size_bytes ELSE 0 END END AS delta FROM o""")
 def s_24(spark, d):
-    e = F.col("extension")
-    ratio = F.when(e == ".mp4", 0.55).when(e == ".jxl", 1.0).when(e == ".cr3", 0.7).otherwise(0.45)
-    out = F.greatest(F.lit(1), F.floor(F.col("size_bytes") * ratio)).cast("long")
-    delta = F.when(F.col("role") == "original", out - F.col("size_bytes")).when(F.col("role") == "managed_jxl", -F.col("size_bytes")).otherwise(0)
-    return load(spark, d, "file").select("file_id", out.alias("output_bytes"), delta.alias("delta"))
+    """Size after compression by codec and quality, and what each operation adds to the store."""
+    f, size = F.col("file_id"), F.col("size_bytes")
+    op = F.when(f % 5 == 0, "copy").when(f % 5 == 1, "move").when(f % 5 == 2, "delete").otherwise("compress")
+    codec = F.when(f % 3 == 0, "av1").otherwise("jpeg-xl")
+    quality = F.when(f % 4 == 0, 80.0).when(f % 4 == 1, 60.0).when(f % 4 == 2, 40.0).otherwise(75.0)
+    out = X.estimated_bytes(size, codec, quality)
+    return load(spark, d, "file").select("file_id", out.alias("output_bytes"), X.storage_delta(size, out, op, f % 7 < 3).alias("delta"))
 
 
 @query("s_25_group_ids", "SELECT group_id, substr(sha256('strict-group-v1:' || string_agg(CAST(asset_id AS STRING), '|' ORDER BY CAST(asset_id AS STRING))), 1, 24) AS digest FROM asset WHERE group_id IS NOT NULL GROUP BY group_id")
@@ -150,10 +165,11 @@ def s_25(spark, d):
     return g.select("group_id", F.substring(F.sha2(F.concat(F.lit("strict-group-v1:"), F.array_join("x", "|")), 256), 1, 24).alias("digest"))
 
 
-@query("s_26_selection_digest", "SELECT sha256('[' || string_agg(CAST(file_id AS STRING), ',' ORDER BY file_id) || ']') AS digest FROM file WHERE file_id < 800")
+@query("s_26_selection_digest", "SELECT asset_id, sha256('[' || string_agg(CAST(file_id AS STRING), ',' ORDER BY file_id) || ']') AS digest FROM file GROUP BY asset_id")
 def s_26(spark, d):
-    g = load(spark, d, "file").filter("file_id < 800").agg(F.array_sort(F.collect_list("file_id")).alias("x"))
-    return g.select(F.sha2(F.to_json("x"), 256).alias("digest"))
+    """The digest of a selection is defined on its sorted list; here every asset's files are one."""
+    g = load(spark, d, "file").groupBy("asset_id").agg(F.array_sort(F.collect_list("file_id")).alias("x"))
+    return g.select("asset_id", F.sha2(F.to_json("x"), 256).alias("digest"))
 
 
 @query("s_27_targets", "SELECT file_id, CASE WHEN folder = '' THEN 'export' ELSE 'export/' || folder END || '/' || substr(filename, 1, length(filename) - length(extension)) || '_web' || substr(filename, length(filename) - length(extension) + 1) AS target FROM file")
@@ -198,9 +214,10 @@ def s_32(spark, d):
     return t.select(bucket_interval(F.col("b") - F.col("a"), 1200, LADDER_US).alias("interval_us"))
 
 
-@query("s_33_encoder_distance", "SELECT job_id, round(CASE WHEN q >= 100 THEN 0.0 WHEN q >= 30 THEN 0.1 + (100 - q) * 0.09 ELSE 53.0 / 3000 * q * q - 23.0 / 20 * q + 25 END, 9) AS distance FROM (SELECT job_id, CAST(job_id % 101 AS DOUBLE) AS q FROM job)")
+@query("s_33_encoder_distance", "SELECT job_id, round_even((100 - least(q, 100.0)) * 1.5 / 40, 4) AS distance, round_even(least(greatest(100 - q / 25 * 40 / 1.5, 0.0), 100.0), 2) AS quality FROM (SELECT job_id, CAST(job_id % 111 AS DOUBLE) AS q FROM job)")
 def s_33(spark, d):
-    return load(spark, d, "job").select("job_id", F.round(X.quality_to_distance((F.col("job_id") % 101).cast("double")), 9).alias("distance"))
+    q = (F.col("job_id") % 111).cast("double")
+    return load(spark, d, "job").select("job_id", X.quality_to_distance(q).alias("distance"), X.distance_to_quality(q / 25).alias("quality"))
 
 
 @query("s_34_eta", "SELECT job_id, CASE WHEN job_id % 10 > 0 THEN (100 - job_id % 10) * seconds / (job_id % 10) ELSE 42.0 END AS eta FROM job WHERE status = 'running'")

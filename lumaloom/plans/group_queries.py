@@ -41,12 +41,14 @@ def win_8(spark, d):
     return G.islands(timed(spark, d), "t", ["file_id"], 7200, ["job_id"]).groupBy("file_id", "island").agg(F.count("*").alias("n"), F.min("job_id").alias("first_id"))
 
 
-@query("agg_22_member_statistics", "WITH m AS (SELECT group_id, asset_id, created_day FROM asset WHERE group_id < 300) SELECT a.asset_id, min(abs(a.asset_id - b.asset_id)) AS nearest, max(abs(date_diff('day', CAST(a.created_day AS DATE), CAST(b.created_day AS DATE)))) AS most_days FROM m a JOIN m b ON a.group_id = b.group_id AND a.asset_id <> b.asset_id GROUP BY a.asset_id")
+@query("agg_22_member_statistics", "SELECT a.asset_id, min(abs(a.asset_id - b.asset_id)) AS nearest, max(abs(date_diff('day', CAST(a.created_day AS DATE), CAST(b.created_day AS DATE)))) AS most_days FROM asset a JOIN asset b ON a.group_id = b.group_id AND a.asset_id <> b.asset_id GROUP BY a.asset_id")
 def agg_22(spark, d):
-    m = load(spark, d, "asset").filter("group_id < 300").select("group_id", "asset_id", F.col("created_day").cast("date").alias("day"))
-    o = m.select("group_id", F.col("asset_id").alias("o"), F.col("day").alias("od"))
-    p = m.join(o, "group_id").filter("asset_id <> o")
-    return p.groupBy("asset_id").agg(F.min(F.abs(F.col("asset_id") - F.col("o"))).alias("nearest"), F.max(F.abs(F.datediff("day", "od"))).cast("long").alias("most_days"))
+    """Nearest neighbour and largest time difference of each member: the extremes of its group and the rows beside it, no pairs."""
+    m = load(spark, d, "asset").filter("group_id is not null").select("group_id", "asset_id", F.col("created_day").cast("date").alias("day"))
+    g = m.groupBy("group_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count("*").alias("n")).filter("n > 1")
+    w = Window.partitionBy("group_id").orderBy("asset_id")
+    beside = F.least(F.col("asset_id") - F.lag("asset_id").over(w), F.lead("asset_id").over(w) - F.col("asset_id"))
+    return m.withColumn("nearest", beside).join(g, "group_id").select("asset_id", "nearest", F.greatest(F.datediff("day", "lo"), F.datediff("hi", "day")).cast("long").alias("most_days"))
 
 
 @query("win_4_representatives", f"WITH {CATALOG} SELECT group_id, asset_id FROM cat WHERE group_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY quality DESC NULLS LAST, capture_time NULLS LAST, asset_id) = 1")
@@ -81,9 +83,9 @@ def win_7(spark, d):
     return j.select("file_id", "job_id", G.percentile_rank(j, ["file_id"], "seconds").alias("p"))
 
 
-@query("srt_8_borderline_pairs", f"WITH e AS (SELECT job_id, {SEC} AS t, seconds FROM job WHERE kind = 'click'), p AS (SELECT a.job_id AS a, b.job_id AS b, b.t - a.t AS dt, abs(a.seconds - b.seconds) AS diff FROM e a JOIN e b ON (b.t > a.t OR (b.t = a.t AND b.job_id > a.job_id)) AND b.t - a.t <= 600) SELECT a, b, diff FROM p WHERE diff > 5 ORDER BY diff, dt, a, b LIMIT 50")
+@query("srt_8_borderline_pairs", f"WITH e AS (SELECT job_id, kind, {SEC} AS t, seconds FROM job), p AS (SELECT a.kind, a.job_id AS a, b.job_id AS b, b.t - a.t AS dt, abs(a.seconds - b.seconds) AS diff FROM e a JOIN e b ON a.kind = b.kind AND (b.t > a.t OR (b.t = a.t AND b.job_id > a.job_id)) AND b.t - a.t <= 600) SELECT a, b, diff FROM p WHERE diff > 5 ORDER BY diff, dt, a, b LIMIT 50")
 def srt_8(spark, d):
-    e = timed(spark, d).filter("kind = 'click'")
+    e = timed(spark, d)
     p = G.band_pairs(e, "t", "job_id", ["kind"], 600.0)
     s = e.select(F.col("job_id").alias("k1"), F.col("seconds").alias("s1"))
     p = p.join(s, "k1").join(s.select(F.col("k1").alias("k2"), F.col("s1").alias("s2")), "k2").withColumn("diff", F.abs(F.col("s1") - F.col("s2")))
@@ -105,8 +107,9 @@ EDGES = "(SELECT DISTINCT least(a.asset_id, b.asset_id) AS a, greatest(a.asset_i
  SELECT node, min(seen) AS component FROM r GROUP BY node /* FROM file */""")
 def cmp_9(spark, d):
     f = load(spark, d, "file").select("asset_id", "sha256", "size_bytes")
-    o = f.withColumnRenamed("asset_id", "o")
-    e = f.join(o, ["sha256", "size_bytes"]).filter("asset_id < o").select(F.col("asset_id").alias("a"), F.col("o").alias("b")).distinct()
+    # each asset with the smallest of its content: as connected as all pairs, and as many edges as assets
+    low = f.groupBy("sha256", "size_bytes").agg(F.min("asset_id").alias("a"))
+    e = f.join(low, ["sha256", "size_bytes"]).select("a", F.col("asset_id").alias("b")).filter("a < b").distinct()
     return min_label_components(e)
 
 

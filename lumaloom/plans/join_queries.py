@@ -15,18 +15,18 @@ def jn_1(spark, d):
     return load(spark, d, "asset").join(load(spark, d, "file").filter("in_scope"), "asset_id").select("asset_id", "file_id", "relative_path", "selection_state")
 
 
-@query("jn_2_component_left_joins", "SELECT f.file_id, m.status AS metadata_status, t.status AS thumbnail_status FROM file f LEFT JOIN (SELECT file_id, max(status) AS status FROM job WHERE kind = 'view' GROUP BY file_id) m ON f.file_id = m.file_id LEFT JOIN (SELECT file_id, max(status) AS status FROM job WHERE kind = 'click' GROUP BY file_id) t ON f.file_id = t.file_id WHERE f.file_id < 4000")
+@query("jn_2_component_left_joins", "SELECT f.file_id, m.status AS metadata_status, t.status AS thumbnail_status FROM file f LEFT JOIN (SELECT file_id, max(status) AS status FROM job WHERE kind = 'view' GROUP BY file_id) m ON f.file_id = m.file_id LEFT JOIN (SELECT file_id, max(status) AS status FROM job WHERE kind = 'click' GROUP BY file_id) t ON f.file_id = t.file_id")
 def jn_2(spark, d):
     pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("status")))
     state = load(spark, d, "job").filter("kind in ('view', 'click')").groupBy("file_id").agg(pick("view").alias("metadata_status"), pick("click").alias("thumbnail_status"))
-    return load(spark, d, "file").filter("file_id < 4000").join(state, "file_id", "left").select("file_id", "metadata_status", "thumbnail_status")
+    return load(spark, d, "file").join(state, "file_id", "left").select("file_id", "metadata_status", "thumbnail_status")
 
 
-@query("jn_3_win_3_latest_derivative", "SELECT f.file_id, j.job_id AS latest FROM file f LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY stamp DESC, job_id DESC) AS k FROM job WHERE status = 'complete') WHERE k = 1) j ON f.file_id = j.file_id WHERE f.file_id < 4000")
+@query("jn_3_win_3_latest_derivative", "SELECT f.file_id, j.job_id AS latest FROM file f LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY stamp DESC, job_id DESC) AS k FROM job WHERE status = 'complete') WHERE k = 1) j ON f.file_id = j.file_id")
 def jn_3(spark, d):
     """Latest per key as one max of a struct instead of a sort."""
     last = load(spark, d, "job").filter("status = 'complete'").groupBy("file_id").agg(F.max(F.struct("stamp", "job_id")).alias("m")).select("file_id", F.col("m.job_id").alias("latest"))
-    return load(spark, d, "file").filter("file_id < 4000").join(last, "file_id", "left").select("file_id", "latest")
+    return load(spark, d, "file").join(last, "file_id", "left").select("file_id", "latest")
 
 
 @query("jn_4_active_run", "WITH p AS (SELECT max(job_id) % 5 AS run FROM job) SELECT j.job_id, j.kind FROM job j JOIN p ON j.job_id % 5 = p.run")
@@ -61,18 +61,21 @@ def jn_8(spark, d):
     return c.join(f, "asset_id").groupBy("id").agg(F.count_distinct("file_id").alias("files"))
 
 
-@query("jn_9_both_directions", "WITH e AS (SELECT DISTINCT asset_id AS s, (asset_id * 3 + 1) % 500 AS t FROM file WHERE asset_id < 500) SELECT n, string_agg(DISTINCT CAST(o AS STRING), ',' ORDER BY CAST(o AS STRING)) AS others FROM (SELECT s AS n, t AS o FROM e UNION ALL SELECT t, s FROM e) GROUP BY n")
+@query("jn_9_both_directions", "WITH e AS (SELECT DISTINCT asset_id AS s, (asset_id * 3 + 1) % 50021 AS t FROM file) SELECT n, string_agg(DISTINCT CAST(o AS STRING), ',' ORDER BY CAST(o AS STRING)) AS others FROM (SELECT s AS n, t AS o FROM e UNION ALL SELECT t, s FROM e) GROUP BY n")
 def jn_9(spark, d):
-    e = load(spark, d, "file").filter("asset_id < 500").select(F.col("asset_id").alias("s"), ((F.col("asset_id") * 3 + 1) % 500).alias("t")).distinct()
+    e = load(spark, d, "file").select(F.col("asset_id").alias("s"), ((F.col("asset_id") * 3 + 1) % 50021).alias("t")).distinct()
     both = e.select(F.col("s").alias("n"), F.col("t").alias("o")).union(e.select("t", "s"))
     return both.groupBy("n").agg(F.array_join(F.array_sort(F.collect_set(F.col("o").cast("string"))), ",").alias("others"))
 
 
-@query("jn_12_exact_pairs", "SELECT a.file_id AS a, b.file_id AS b FROM file a JOIN file b ON a.media_type = b.media_type AND a.sha256 = b.sha256 AND a.file_id < b.file_id WHERE a.folder = 'Year4' AND b.folder = 'Year4'")
+@query("jn_12_exact_pairs", "SELECT a.media_type, a.sha256, count(*) AS pairs, CAST(sum(CASE WHEN a.asset_id <> b.asset_id THEN 1 ELSE 0 END) AS BIGINT) AS across_assets FROM file a JOIN file b ON a.media_type = b.media_type AND a.sha256 = b.sha256 AND a.file_id < b.file_id GROUP BY a.media_type, a.sha256")
 def jn_12(spark, d):
-    f = load(spark, d, "file").filter("folder = 'Year4'").select("file_id", "media_type", "sha256")
-    a, b = f.withColumnRenamed("file_id", "a"), f.withColumnRenamed("file_id", "b")
-    return a.join(b, ["media_type", "sha256"]).filter("a < b").select("a", "b")
+    """Pairs of equal content: n (n - 1) / 2 of each family, less those inside one asset; no pair is formed."""
+    choose = lambda c: c * (c - 1) / 2
+    own = load(spark, d, "file").groupBy("media_type", "sha256", "asset_id").agg(F.count("*").alias("n"))
+    fam = own.groupBy("media_type", "sha256").agg(F.sum("n").alias("n"), F.sum(choose(F.col("n"))).alias("inside")).filter("n > 1")
+    pairs = choose(F.col("n"))
+    return fam.select("media_type", "sha256", pairs.cast("long").alias("pairs"), (pairs - F.col("inside")).cast("long").alias("across_assets"))
 
 
 @query("jn_13_same_stem", "WITH s AS (SELECT file_id, asset_id, folder, extension, lower(substr(filename, 1, length(filename) - length(extension))) AS stem FROM file) SELECT r.file_id AS raw_id, j.file_id AS rendered_id FROM s r JOIN s j ON r.folder = j.folder AND r.stem = j.stem WHERE r.extension IN ('.cr3', '.dng') AND j.extension IN ('.jpg', '.png') AND r.asset_id <> j.asset_id")
@@ -150,10 +153,10 @@ def problems(spark, d):
     return e.unionByName(c).orderBy(F.desc("stamp"), "kind", "id").limit(100).select("kind", "id")
 
 
-@query("flt_16_unresolved_conflicts", "WITH c AS (SELECT asset_id AS a, (asset_id + 1) % 3000 AS b, asset_id % 2 = 0 AS decision FROM asset WHERE asset_id < 3000) SELECT c.a, c.b FROM c JOIN asset x ON c.a = x.asset_id JOIN asset y ON c.b = y.asset_id WHERE c.a <> c.b AND (NOT c.decision OR (x.selection_state = 'selected' AND y.selection_state = 'rejected') OR (x.selection_state = 'rejected' AND y.selection_state = 'selected'))")
+@query("flt_16_unresolved_conflicts", "WITH c AS (SELECT asset_id AS a, (asset_id * 5 + 1) % 50021 AS b, asset_id % 2 = 0 AS decision FROM asset) SELECT c.a, c.b FROM c JOIN asset x ON c.a = x.asset_id JOIN asset y ON c.b = y.asset_id WHERE c.a <> c.b AND (NOT c.decision OR (x.selection_state = 'selected' AND y.selection_state = 'rejected') OR (x.selection_state = 'rejected' AND y.selection_state = 'selected'))")
 def flt_16(spark, d):
     a = load(spark, d, "asset").select("asset_id", "selection_state")
-    c = a.filter("asset_id < 3000").select(F.col("asset_id").alias("a"), F.col("selection_state").alias("x"), ((F.col("asset_id") + 1) % 3000).alias("b"), (F.col("asset_id") % 2 == 0).alias("decision"))
+    c = a.select(F.col("asset_id").alias("a"), F.col("selection_state").alias("x"), ((F.col("asset_id") * 5 + 1) % 50021).alias("b"), (F.col("asset_id") % 2 == 0).alias("decision"))
     y = a.select(F.col("asset_id").alias("b"), F.col("selection_state").alias("y"))
     opposed = F.array_sort(F.array("x", "y")) == F.array(F.lit("rejected"), F.lit("selected"))
     return c.join(y, "b").filter((F.col("a") != F.col("b")) & (~F.col("decision") | opposed)).select("a", "b")
@@ -202,10 +205,25 @@ def win_3(spark, d):
     return load(spark, d, "job").withColumn("k", F.row_number().over(w)).filter("k = 1").select("file_id", "job_id")
 
 
-@query("win_9_lru_eviction", "WITH r AS (SELECT job_id, CAST(floor(seconds * 1000) AS BIGINT) AS bytes, status = 'running' AS active, stamp FROM job), k AS (SELECT *, count(*) OVER (ORDER BY stamp DESC, job_id ROWS UNBOUNDED PRECEDING) AS n, sum(bytes) OVER (ORDER BY stamp DESC, job_id ROWS UNBOUNDED PRECEDING) AS total FROM r WHERE NOT active) SELECT job_id FROM k WHERE n <= 320 AND total <= 5000000")
+#: Entries and bytes that a cache of the jobs' outputs may hold.
+CACHE_COUNT, CACHE_BYTES = 320, 5_000_000
+
+
+@query("win_9_lru_eviction", f"""WITH r AS (SELECT job_id, CAST(floor(seconds * 1000) AS BIGINT) AS bytes, status = 'running' AS active, stamp FROM job), t AS (SELECT count(*) AS n, sum(bytes) AS total FROM r),
+ k AS (SELECT *, row_number() OVER w - 1 AS gone, coalesce(sum(bytes) OVER (ORDER BY stamp, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM r WHERE NOT active WINDOW w AS (ORDER BY stamp, job_id))
+ SELECT job_id FROM r WHERE active UNION ALL SELECT job_id FROM k, t WHERE t.n - gone <= {CACHE_COUNT} AND t.total - freed <= {CACHE_BYTES}""")
 def win_9(spark, d):
-    """Kept entries; only the newest can stay, so the running sums need no more than the count limit of rows."""
-    r = load(spark, d, "job").filter("status <> 'running'").select("job_id", F.floor(F.col("seconds") * 1000).cast("long").alias("bytes"), "stamp")
-    top = r.orderBy(F.desc("stamp"), "job_id").limit(320)
-    w = Window.orderBy(F.desc("stamp"), "job_id").rowsBetween(Window.unboundedPreceding, 0)
-    return top.withColumn("total", F.sum("bytes").over(w)).filter("total <= 5000000").select("job_id")
+    """Kept entries.  Active ones count and stay; others go, oldest first, until count and bytes are within the limits.
+
+    Seen from the newest: an idle entry stays if what is newer, the entry itself
+    and all active ones fit.  At most ``CACHE_COUNT`` idle ones can stay, so only
+    those are ordered in one task.
+    """
+    r = load(spark, d, "job").select("job_id", F.floor(F.col("seconds") * 1000).cast("long").alias("bytes"), (F.col("status") == "running").alias("active"), "stamp")
+    active = r.filter("active")
+    held = active.agg(F.count("*").alias("held"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("held_bytes"))
+    top = r.filter("not active").orderBy(F.desc("stamp"), F.desc("job_id")).limit(CACHE_COUNT)
+    w = Window.orderBy(F.desc("stamp"), F.desc("job_id")).rowsBetween(Window.unboundedPreceding, 0)
+    run = top.select("job_id", F.count("*").over(w).alias("n"), F.sum("bytes").over(w).alias("total")).join(F.broadcast(held))
+    kept = run.filter((F.col("n") + F.col("held") <= CACHE_COUNT) & (F.col("total") + F.col("held_bytes") <= CACHE_BYTES))
+    return active.select("job_id").unionByName(kept.select("job_id"))
\ No newline at end of file

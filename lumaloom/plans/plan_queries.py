@@ -70,7 +70,7 @@ def flt_12(spark, d):
 @query("cmp_27_win_11_targets")
 def cmp_27(spark, d):
     """Order-dependent within a directory; exact cases are in the tests."""
-    f = load(spark, d, "file").filter("is_online and folder like 'Year2%'")
+    f = load(spark, d, "file").filter("is_online")
     planned = f.select(F.col("file_id").alias("op_id"), F.concat(F.lit("out/"), F.col("folder"), F.lit("/"), F.col("filename")).alias("target"), "sha256", F.when(F.col("file_id") % 5 == 0, "skip").otherwise("rename").alias("policy"))
     existing = f.filter("file_id % 50 = 1").select(F.concat(F.lit("out/"), F.col("folder"), F.lit("/"), F.col("filename")).alias("target"), F.lit("other").alias("sha256"))
     return P.resolve_targets(planned, existing)

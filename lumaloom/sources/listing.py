@@ -16,7 +16,8 @@ def discover(spark: SparkSession, root: str, extensions: list[str] | None = None
     known = extensions or [*M.JPEG, *M.RAW, *M.VIDEO, *M.OTHER_IMAGE]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = "file:" + root.rstrip("/") if root.startswith("/") else root.rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "file:/"), "^" + base.replace(".", r"\.") + "/", "")
+    plain = F.regexp_replace("path", r"^file:/+", "file:/")
+    rel = F.when(plain.startswith(base + "/"), F.substr(plain, F.lit(len(base) + 2))).otherwise(plain)
     out = files.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *([F.sha2("content", 256).alias("sha")] if content else []))
     return out.filter(M.extension(F.col("path")).isin(known) & ~F.col("path").rlike(SKIP))
 

@@ -28,9 +28,14 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "ap
 
 
 def derive_incrementally(stream: DataFrame, derive: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> None:
-    """Derived rows of new inputs, batch by batch; rows that fail to derive carry their error instead of stopping the job."""
+    """Derived rows of new inputs, batch by batch, under ``sink/batch=n``.
+
+    A batch that is tried again replaces its own folder, so nothing is written
+    twice.  A failing batch stops the stream and is the first of the next call;
+    ``derive`` keeps a bad row from failing its batch by returning the error as a column.
+    """
 
     def one(batch: DataFrame, epoch: int) -> None:
-        derive(batch).withColumn("batch", F.lit(epoch)).write.mode("append").parquet(sink)
+        derive(batch).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={epoch}")
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

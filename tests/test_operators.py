@@ -1,6 +1,7 @@
 """Operators on small inline tables."""
 
 import hashlib
+import datetime
 import math
 import random
 
@@ -29,14 +30,19 @@ def one(spark, *columns):
 
 
 def test_browse_matrix(spark):
-    f = files(spark, [(1, 1, "filename.jpg", "original", True, True, 0.8, 80, 40), (2, 2, "nested/other.jpg", "original", True, True, 0.8, 40, 80), (3, 3, "nested/child/third.jpg", "original", True, True, 0.8, 60, 40)])
-    a = spark.createDataFrame([(i, "image", None, "undecided", 5) for i in (1, 2, 3)], ASSET)
-    c = browse.browse_catalog(a, f)
+    """Every folder choice against the rule itself: a file counts if its own folder is chosen."""
+    paths = ["zebra.png", "Trips/Apple.jpg", "Trips/2021/mango.cr3", "Trips/2021/May/kiwi.jpg", "Home/kiwi2.jpg"]
+    sizes = [(300, 200), (200, 300), (50, 50), (0, 90), (640, 480)]
+    f = files(spark, [(i + 1, i + 1, p, "original", True, True, 0.5 + i / 10, *sizes[i]) for i, p in enumerate(paths)])
+    c = browse.browse_catalog(spark.createDataFrame([(i + 1, "image", None, "undecided", 4) for i in range(5)], ASSET), f)
     ids = lambda **k: sorted(r["asset_id"] for r in browse.facets(c, f, **k).collect())
-    assert [ids(folders=x) for x in ([], [""], ["nested"], ["nested/child"], ["nested", "nested/child"], None)] == [[], [1], [2], [3], [2, 3], [1, 2, 3]]
-    assert ids(layout="horizontal") == [1, 3] and ids(layout="vertical") == [2] and ids(text="FILENAME") == [1]
-    assert [r["filename"] for r in browse.ordered(c, "filename", False).collect()] == ["filename.jpg", "other.jpg", "third.jpg"]
-    assert browse.windows_of_groups(c, c).first()["n_members"] == 3
+    folders = [p.rpartition("/")[0] for p in paths]
+    for chosen in ([], [""], ["Trips"], ["Trips/2021/May", "Home"], sorted(set(folders)), ["nowhere"], None):
+        assert ids(folders=chosen) == [i + 1 for i, x in enumerate(folders) if chosen is None or x in chosen]
+    assert ids(layout="horizontal") == [1, 3, 5] and ids(layout="vertical") == [2]
+    assert ids(text="KIWI") == [4, 5]
+    assert [r["filename"] for r in browse.ordered(c, "filename", False).collect()] == sorted((p.rpartition("/")[2] for p in paths), key=str.lower)
+    assert browse.windows_of_groups(c, c).first()["n_members"] == 5
     with pytest.raises(ValueError):
         browse.facets(c, decision="maybe")
 
@@ -58,9 +64,30 @@ def test_paths_and_times(spark):
     assert one(spark, T.exif_time(F.lit("2024:01:02 03:04:05"), F.lit("12"), F.lit("Z")))[0] == "2024-01-02T03:04:05.12+00:00"
 
 
+def test_capture_seconds(spark):
+    """Against the standard library: instants in UTC, local times by ordinal day, everything else null."""
+    def model(v, kind):
+        t = datetime.datetime.fromisoformat(v)
+        if kind in T.ABSOLUTE:
+            return t.timestamp() if t.tzinfo else None
+        return t.toordinal() * 86400 + (t - t.replace(hour=0, minute=0, second=0, microsecond=0)).total_seconds() if kind == "exif_local_unknown" and not t.tzinfo else None
+
+    values = [f"2023-03-0{d}T0{d}:10:20{f}{z}" for d in (1, 9) for f in ("", ".5") for z in ("", "Z", "+03:00", "-05:30")]
+    cases = [(v, k) for v in values for k in (*T.ABSOLUTE, "exif_local_unknown", "file_time")]
+    rows = spark.createDataFrame(cases, "v string, k string").select("v", "k", T.capture_seconds(F.col("v"), F.col("k")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [model(v, k) for v, k in cases]
+
+
 def test_metrics(spark):
-    got = one(spark, X.hamming_hex(F.lit("0" * 14 + "ff"), F.lit("f" + "0" * 15)), X.rmse(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0))), X.sample_count(F.lit(1.01), 2, 2, 32), X.sample_count(F.lit(30.0), 2, 2, 32), X.sample_times(F.lit(10.0), F.lit(4)), X.top_quartile_mean(F.array(*map(F.lit, [0.2, 0.4, 0.8, 0.6, 0.9]))))
-    assert got[0] == 12 and math.isinf(got[1]) and got[2] == 3 and got[3] == 32 and got[4] == [1.25, 3.75, 6.25, 8.75] and abs(got[5] - 0.85) < 1e-12
+    lit = lambda *v: F.array(*map(F.lit, v))
+    ham, err, few, many, times = one(spark, X.hamming_hex(F.lit("0" * 15 + "7"), F.lit("c" + "0" * 15)), X.rmse(lit(3.0), lit(3.0, 4.0)), X.sample_count(F.lit(0.4), 3, 4, 20), X.sample_count(F.lit(99.0), 3, 4, 20), X.sample_times(F.lit(6.0), F.lit(3)))
+    assert (ham, few, many, times) == (5, 4, 20, [1.0, 3.0, 5.0]) and math.isinf(err)
+    scores = [0.1, 0.7, 0.3, 0.95, 0.5, 0.2, 0.85, 0.6, 0.4]  # a quarter of nine is three of them
+    assert abs(one(spark, X.top_quartile_mean(lit(*scores)))[0] - (0.95 + 0.85 + 0.7) / 3) < 1e-12
+    got = [one(spark, *X.video_score(lit(*scores), F.lit(n))) for n in (9, 12, 13)]
+    assert [(r[0] is None, r[1]) for r in got] == [(False, False), (False, True), (True, False)]
+    assert [one(spark, X.quality_to_distance(F.lit(float(q))))[0] for q in (100, 90, 60, 33, -5)] == [0.0, 0.375, 1.5, 2.5125, 3.75]
+    assert [one(spark, X.distance_to_quality(F.lit(d)))[0] for d in (0.0, 1.5, 9.0)] == [100.0, 60.0, 0.0]
     assert one(spark, X.normalized(F.array(F.lit(0.0), F.lit(0.0))))[0] is None
     assert [one(spark, M.valid_gps(F.lit(a), F.lit("5")))[0] for a in ("48.7", "91", None, "x")] == [True, False, False, False]
     y = one(spark, X.mercator_lat(X.mercator_y(F.lit(48.5))))[0]
@@ -134,10 +161,12 @@ def test_search_and_projection(spark):
 
 def test_targets(spark):
     cols = "op_id long, target string, sha256 string, policy string"
-    plan = spark.createDataFrame([(1, "out/file.jpg", "s", "rename"), (2, "out/file.jpg", "s", "rename"), (3, "out/FILE.jpg", "t", "rename"), (4, "out/file.jpg", "u", "skip"), (5, "out/old.jpg", "n", "replace")], cols)
-    old = spark.createDataFrame([("out/old.jpg", "o")], "target string, sha256 string")
+    plan = spark.createDataFrame([(1, "out/file.jpg", "s", "rename"), (2, "out/file.jpg", "s", "rename"), (3, "out/FILE.jpg", "t", "rename"), (4, "out/file.jpg", "u", "skip"), (5, "out/old.jpg", "n", "overwrite"), (6, "out/x.jpg", None, "overwrite"), (7, "out/x.jpg", None, "overwrite"), (8, "out/same.jpg", "q", "rename"), (9, "out/file.jpg", "v", "rename")], cols)
+    old = spark.createDataFrame([("out/old.jpg", "o"), ("out/same.jpg", "q"), ("out/File (2).jpg", None)], "target string, sha256 string")
     got = {r["op_id"]: (r["final"], r["status"]) for r in planning.resolve_targets(plan, old).collect()}
-    assert got == {1: ("out/file.jpg", "ready"), 2: ("out/file.jpg", "already_satisfied"), 3: ("out/FILE (1).jpg", "renamed"), 4: ("out/file.jpg", "skipped"), 5: ("out/old.jpg", "replace")}
+    assert got == {1: ("out/file.jpg", "ready"), 2: ("out/file.jpg", "already_satisfied"), 3: ("out/FILE (1).jpg", "renamed"), 4: ("out/file.jpg", "skipped"), 5: ("out/old.jpg", "overwrite"), 6: ("out/x.jpg", "ready"), 7: ("out/x.jpg", "conflict"), 8: ("out/same.jpg", "already_satisfied"), 9: ("out/file (3).jpg", "renamed")}
+    own = spark.createDataFrame([(1, "a/b.jpg", "s", "skip", "A/b.jpg", "compress", True), (2, "c/d.jpg", "t", "skip", "c/d.jpg", "move", False), (3, "e/f.jpg", "u", "skip", "e/f.jpg", "compress", False)], cols + ", source string, operation string, replace boolean")
+    assert {r["op_id"]: r["status"] for r in planning.resolve_targets(own, old).collect()} == {1: "replace_source", 2: "already_satisfied", 3: "skipped"}
     problem = lambda p: one(spark, planning.path_problem(F.lit(p)))[0]
     assert [problem(p) for p in ("/a", "a/../b", "a:b", "a /b", "x/con.txt", "fine/a.jpg")] == ["absolute", "parent", "character", "trailing", "device", None]
 
