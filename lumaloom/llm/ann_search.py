@@ -3,19 +3,21 @@
 Centroids are fitted on a bounded sample and kept in memory as a graph; vectors
 go to the list of their nearest centroid and, near a boundary, to those of other
 centroids as well.  Lists longer than a block are cut into blocks of even size,
-so a dense region is many tasks.  A query walks the centroid graph and takes the
-lists whose distance is within a ratio of the nearest one's; the ratio is
-calibrated on the sample.  It first scores its nearest lists, and from the
+so a dense region is many tasks.  A query walks the centroid graph and, of the
+lists met there, takes those whose distance is within a ratio of the nearest
+one's; ratio and width of the walk are calibrated on the sample.  It first scores its nearest lists, and from the
 others only what beats its k-th score there comes back.
 
 Inner product becomes distance by one more component that gives all vectors the
 same norm; scores are exact inner products of the original vectors in double
 precision.
 
-Sample: ``SAMPLE`` vectors by order of a hash of vec_id.  Every vector is indexed.
+Sample: ``SAMPLE`` vectors by order of a hash of vec_id, which also bounds the
+number of lists (an eighth of it).  Every vector is indexed.
 
 Defined results: vectors that are null, zero or hold null or non-finite
-components, or are of an uncommon length, are neither queries nor candidates;
+components are neither queries nor candidates; a vector of another length is no
+candidate;
 with fewer candidates than k all are returned; ties go to the smaller vec_id;
 vec_id is the key (rows that repeat one are one candidate, scored by the best);
 extra columns are not read; an empty table gives no rows.
@@ -23,60 +25,80 @@ extra columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .vectors import matrix, usable
+from .vectors import lengths, matrix, usable
 
 SAMPLE = 20_000
-MOST_LISTS = 4096
 #: Vectors of one list that a task scores together.
 BLOCK = 2048
 #: A vector stands in so many lists at most.
 COPIES = 3
+#: ... in those whose squared distance is within this ratio of the nearest one's.
+BOUNDARY = 1.1
 #: Lists that a query scores before the others.
 FIRST = 4
+#: Share of the sample's true neighbours that the chosen lists must hold.
+SHARE = 0.95
 
 
 class CentroidGraph:
-    """Nearest centroids by a walk over their neighbour graph, for many points at once."""
+    """Nearest centroids by a walk over their neighbour graph, for many points at once.
+
+    A point keeps its ``beam`` nearest centroids seen; each hop expands the best
+    ones not expanded yet, and the walk ends when all of them are.
+    """
 
-    def __init__(self, centroids: np.ndarray, degree: int = 16, beam: int = 48, entries: int = 32):
+    def __init__(self, centroids: np.ndarray, degree: int = 16, at_once: int = 8):
         self.c, self.sq = centroids, (centroids**2).sum(1)
         n = len(centroids)
-        self.beam = min(beam, n)
+        self.at_once = at_once
         step = max(1, (1 << 22) // max(1, n))
         near = [np.argsort(self.sq[None] - 2 * centroids[i : i + step] @ centroids.T, axis=1)[:, : degree + 1] for i in range(0, n, step)]
         self.near = np.concatenate(near)
-        self.entries = np.linspace(0, n - 1, min(entries, n)).astype(int)
+        # as many ways in as groups of centroids that the neighbour lists may leave apart
+        self.entries = np.linspace(0, n - 1, min(n, max(32, int(2 * np.sqrt(n))))).astype(int)
 
-    def nearest(self, points: np.ndarray, hops: int = 6) -> tuple[np.ndarray, np.ndarray]:
-        """ids and squared distances of up to ``beam`` centroids near each point, nearest first; a few MB of work at a time."""
-        step = max(1, (1 << 20) // (self.beam * self.near.shape[1] * self.c.shape[1]))
-        parts = [self._walk(points[i : i + step], hops) for i in range(0, max(1, len(points)), step)]
+    def nearest(self, points: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and squared distances of the ``beam`` centroids found near each point, nearest first; a few MB of work at a time."""
+        beam = max(1, min(beam, len(self.c)))
+        step = max(1, (1 << 20) // (self.at_once * self.near.shape[1] * self.c.shape[1]))
+        parts = [self._walk(points[i : i + step], beam) for i in range(0, max(1, len(points)), step)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    def _walk(self, points: np.ndarray, hops: int) -> tuple[np.ndarray, np.ndarray]:
-        b, n = len(points), len(self.c)
-        dist = np.full((b, n), np.inf)
-        rows = np.arange(b)[:, None]
-        norm = (points**2).sum(1)[:, None]
-        dist[:, self.entries] = norm + self.sq[self.entries] - 2 * points @ self.c[self.entries].T
-        before = None
-        for _ in range(hops):
-            best = np.argpartition(dist, self.beam - 1, axis=1)[:, : self.beam]
-            if before is not None and np.array_equal(np.sort(best, axis=1), before):
+    def _walk(self, points: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        b, room = len(points), max(beam, len(self.entries))
+        rows, norm = np.arange(b)[:, None], (points**2).sum(1)[:, None]
+        ids = np.tile(self.entries, (b, 1))
+        dist = norm + self.sq[ids] - 2 * points @ self.c[self.entries].T
+        done = np.zeros(ids.shape, dtype=bool)
+        while b:
+            open_ = np.where(done, np.inf, dist)
+            m = min(self.at_once, open_.shape[1])
+            pick = np.argpartition(open_, m - 1, axis=1)[:, :m]
+            fresh = np.isfinite(open_[rows, pick])
+            if not fresh.any():
                 break
-            before = np.sort(best, axis=1)
-            new = self.near[best].reshape(b, -1)
-            dist[rows, new] = norm + self.sq[new] - 2 * np.einsum("bd,bmd->bm", points, self.c[new])
-        best = np.argpartition(dist, self.beam - 1, axis=1)[:, : self.beam]
-        order = np.argsort(dist[rows, best], axis=1)
-        best = best[rows, order]
-        return best, np.maximum(dist[rows, best], 0)
+            done[rows, pick] = True
+            new = self.near[np.where(fresh, ids[rows, pick], ids[:, :1])].reshape(b, -1)
+            far = norm + self.sq[new] - 2 * np.einsum("bd,bmd->bm", points, self.c[new])
+            ids, dist, done = np.concatenate([ids, new], 1), np.concatenate([dist, far], 1), np.concatenate([done, np.zeros(new.shape, dtype=bool)], 1)
+            # a centroid met again counts once, as expanded if it was
+            order = np.argsort(ids * 2 + ~done, axis=1)
+            ids, dist, done = ids[rows, order], dist[rows, order], done[rows, order]
+            dist[:, 1:][ids[:, 1:] == ids[:, :-1]] = np.inf
+            if ids.shape[1] > room:
+                keep = np.argpartition(dist, room - 1, axis=1)[:, :room]
+                ids, dist, done = ids[rows, keep], dist[rows, keep], done[rows, keep]
+            done |= ~np.isfinite(dist)
+        order = np.argsort(dist, axis=1)[:, :beam]
+        return ids[rows, order], np.maximum(dist[rows, order], 0)
 
 
 def lift(m: np.ndarray, norm2: float) -> np.ndarray:
@@ -102,20 +124,31 @@ def fit_centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 11) -
     return c
 
 
-def calibrate(sample: np.ndarray, graph: CentroidGraph, norm2: float, k: int, share: float = 0.97, probes: int = 200) -> float:
-    """Distance ratio up to which lists hold that share of the sample's true neighbours."""
+def homes(points: np.ndarray, graph: CentroidGraph) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of each place of a vector: its nearest centroid, and others near a boundary."""
+    home, dist = graph.nearest(points, 4 * COPIES)
+    home, dist = home[:, :COPIES], dist[:, :COPIES]
+    take = (dist <= BOUNDARY * dist[:, :1] + 1e-12) | (np.arange(dist.shape[1]) == 0)
+    i, j = np.nonzero(take & np.isfinite(dist))
+    return i, home[i, j]
+
+
+def calibrate(sample: np.ndarray, graph: CentroidGraph, norm2: float, k: int, share: float = SHARE, probes: int = 200) -> tuple[float, int]:
+    """(ratio, beam): the distance ratio within which lists hold that share of the sample's true neighbours, and the most lists that a probe has within it."""
     if len(sample) < 3:
-        return 1e9
+        return 1e9, len(graph.c)
     q = sample[:: max(1, len(sample) // probes)][:probes]
-    lifted = lift(sample, norm2)
-    home, dist = graph.nearest(lifted)
-    lists = np.where(dist[:, :COPIES] <= 1.1 * dist[:, :1] + 1e-12, home[:, :COPIES], home[:, :1])
+    i, at = homes(lift(sample, norm2), graph)
+    begin = np.searchsorted(i, np.arange(len(sample) + 1))
     score = q @ sample.T
-    to = np.sqrt(np.maximum(((np.column_stack([q, np.zeros(len(q))])) ** 2).sum(1)[:, None] + graph.sq[None] - 2 * np.column_stack([q, np.zeros(len(q))]) @ graph.c.T, 0))
-    least = to.min(1)
+    flat = np.column_stack([q, np.zeros(len(q))])
+    to = np.sqrt(np.maximum((flat**2).sum(1)[:, None] + graph.sq[None] - 2 * flat @ graph.c.T, 0))
+    to /= np.maximum(to.min(1, keepdims=True), 1e-12)
     top = np.argpartition(-score, min(k, len(sample) - 1), axis=1)[:, : k + 1]
-    ratio = np.array([[to[i, lists[j]].min() / max(least[i], 1e-12) for j in top[i]] for i in range(len(q))])
-    return float(np.quantile(ratio, share))
+    own = np.arange(0, len(sample), max(1, len(sample) // probes))[:probes]
+    ratio = np.array([to[p, at[begin[j] : begin[j + 1]]].min() for p in range(len(q)) for j in top[p] if j != own[p]])
+    limit = float(np.quantile(ratio, share))
+    return limit, max(FIRST, int((to <= limit).sum(1).max()))
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -123,39 +156,42 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20) -> D
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     vectors = scratch.save(usable(vectors), "vectors")
-    queries = vectors.join(queries.select(F.col("vec_id").cast("long")).distinct(), "vec_id", "left_semi")
-    schema = "query_id long, rank int, vec_id long, score double"
+    queries = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in lengths(vectors):
+        found = found.unionByName(_one_length(vectors.filter(F.size("vec") == d), queries, k, Scratch(spark, f"ann-{d}")))
+    return found
+
+
+def _one_length(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    # the queries are many tasks, however few files the vectors are
+    queries = vectors.join(queries, "vec_id", "left_semi").repartition("vec_id")
     total = vectors.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(vec, 0D, (s, x) -> s + x * x)")).alias("m")).first()
-    if not total["n"]:
-        return spark.createDataFrame([], schema)
     norm2 = float(total["m"])
     sample = matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["vec"])
-    n_lists = int(max(1, min(MOST_LISTS, np.sqrt(total["n"]))))
+    n_lists = int(max(1, min(len(sample) // 8, np.sqrt(total["n"]))))
     graph = CentroidGraph(fit_centroids(lift(sample, norm2), n_lists))
-    ratio = calibrate(sample, graph, norm2, k)
+    ratio, beam = calibrate(sample, graph, norm2, k)
+    logging.getLogger(__name__).info("%d lists, ratio %.4f, at most %d lists a query", n_lists, ratio, beam)
 
     def post(batches):
         for pdf in batches:
             for a in range(0, len(pdf), 512):
                 part = pdf.iloc[a : a + 512]
-                home, dist = graph.nearest(lift(matrix(part["vec"]), norm2))
-                take = (dist[:, :COPIES] <= 1.1 * dist[:, :1] + 1e-12) | (np.arange(min(COPIES, dist.shape[1])) == 0)
-                i, j = np.nonzero(take)
-                yield pd.DataFrame({"list": home[i, j], "vec_id": part["vec_id"].to_numpy()[i], "vec": part["vec"].to_numpy()[i]})
+                i, at = homes(lift(matrix(part["vec"]), norm2), graph)
+                yield pd.DataFrame({"list": at, "vec_id": part["vec_id"].to_numpy()[i], "vec": part["vec"].to_numpy()[i]})
 
     def choose(batches):
         for pdf in batches:
             for a in range(0, len(pdf), 512):
                 part = pdf.iloc[a : a + 512]
                 q = matrix(part["vec"])
-                q = np.column_stack([q, np.zeros(len(q))])
-                walked, near = graph.nearest(q)
-                dist = np.sqrt(np.maximum((q**2).sum(1)[:, None] + graph.sq[None] - 2 * q @ graph.c.T, 0))
-                order = np.argsort(np.argsort(dist, axis=1), axis=1)
-                least = np.sqrt(near[:, :1])
-                take = (dist <= ratio * np.maximum(least, 1e-12)) | (order < FIRST)
+                at, near = graph.nearest(np.column_stack([q, np.zeros(len(q))]), beam)
+                near = np.sqrt(near)
+                place = np.arange(near.shape[1])[None]
+                take = ((near <= ratio * np.maximum(near[:, :1], 1e-12)) | (place < FIRST)) & np.isfinite(near)
                 i, j = np.nonzero(take)
-                yield pd.DataFrame({"list": j, "query_id": part["vec_id"].to_numpy()[i], "qvec": part["vec"].to_numpy()[i], "place": order[i, j].astype(np.int32)})
+                yield pd.DataFrame({"list": at[i, j], "query_id": part["vec_id"].to_numpy()[i], "qvec": part["vec"].to_numpy()[i], "place": j.astype(np.int32)})
 
     lists = scratch.save(vectors.mapInPandas(post, "list int, vec_id long, vec array<double>"), "lists")
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -191,10 +227,12 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20) -> D
                         fit = np.flatnonzero((s[i] >= least[i] - 1e-9) & (s[i] > -np.inf))
                         if len(fit) > k:
                             kth = np.partition(s[i][fit], len(fit) - k)[len(fit) - k]
-                            fit = fit[s[i][fit] >= kth - 1e-12]
-                            fit = fit[np.lexsort((held_ids[fit], -s[i][fit]))][:k]
+                            fit = fit[s[i][fit] >= kth - 1e-9 * max(1.0, abs(kth))]
                         if len(fit):
-                            out.append(pd.DataFrame({"query_id": me[i], "vec_id": held_ids[fit], "score": (held[fit] * q[i]).sum(1)}))
+                            # the cut is made on the scores that are returned
+                            exact = (held[fit] * q[i]).sum(1)
+                            best_ = np.lexsort((held_ids[fit], -exact))[:k]
+                            out.append(pd.DataFrame({"query_id": me[i], "vec_id": held_ids[fit[best_]], "score": exact[best_]}))
             yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64").astype({"score": "float64"})
 
     def run(probes: DataFrame) -> DataFrame:

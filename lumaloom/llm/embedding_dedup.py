@@ -12,14 +12,17 @@
    such lists are compared with each other, exactly and in blocks, unless the
    triangle inequality keeps them apart; links are counted in the same way
    inside all components.
-5. Recall is audited: a hash sample of nodes, growing until enough of them have
-   links, is compared with all nodes of its labels; below the demanded recall,
-   more tables and rounds follow, and in the end an error.  The first tables are
+5. Recall is audited: the numbers of links that would be returned are held against
+   a comparison of a hash sample of nodes, growing until enough of them have links,
+   with all nodes; below the demanded recall, more tables and rounds follow, and
+   in the end an error.  The first tables are
    as many as a lone pair at the threshold needs, which grows with the bits.
 
 Defined results: vectors that are null, zero or hold null or non-finite
-components, or are of an uncommon length, and null labels link with nothing;
-vec_id is the key; extra columns are not read; an empty table gives no rows.
+components, null labels and null ids link with nothing; only vectors of one
+length can link; rows that repeat a vec_id are vectors of their own; ties are
+equal cosines and all link; extra columns are not read; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, whole_groups
 from .graph import components
-from .vectors import matrix, unit, usable
+from .vectors import lengths, matrix, unit, usable
 
 THRESHOLD = 0.93
 LIST = 16
@@ -65,7 +68,7 @@ class NNDescent:
         floor, size = self.floor, self.size
 
         def run(batches):
-            for pdf in _whole(batches, "bag"):
+            for pdf in whole_groups(batches, "bag"):
                 out = []
                 for _, g in pdf.groupby("bag", sort=False):
                     g = g.drop_duplicates("id")
@@ -141,65 +144,43 @@ class NNDescent:
     def links(self) -> DataFrame:
         return self.graph.filter(F.col("sim") >= self.threshold).select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
 
-    def audit(self, found: DataFrame, wanted: int = AUDIT, most: int = AUDIT_MOST) -> float | None:
-        """Recall of true links in a sample of nodes; None if no node of it has a link.
+    def audit(self, counts: DataFrame, weights: DataFrame, wanted: int = AUDIT, most: int = AUDIT_MOST) -> float | None:
+        """Recall of links in a sample of nodes; None if no node of it has a link.
 
-        A link counts if it is in the graph itself, or if an end has as many
-        links as a list has places: those are counted inside found(node,
-        component), so there the component must be the same.  Each node weighs
-        the same, and nodes with fewer links are judged apart as well, so that
-        large groups cannot hide isolated pairs.  The sample grows until
-        ``wanted`` such smaller nodes are in it.
+        counts(id, n) is what would be returned: the weight of a node's links.  The
+        truth comes from comparing the sample with all nodes; every batch sends
+        back one sum a sampled node, never pairs.  Each node weighs the same, and
+        nodes with fewer links than a list has places are judged apart as well, so
+        that large groups cannot hide isolated pairs.  The sample grows until
+        ``wanted`` such nodes are in it.
         """
         sample = wanted
         while True:
-            got = self._audit(found, sample)
-            few = [ok / n for n, ok in got if n < self.size]
+            got = self._audit(counts, weights, sample)
+            few = [min(1.0, ok / n) for n, ok in got if n < self.size]
             if len(few) >= wanted or sample >= most or sample >= self.total:
                 break
             sample *= 4
-        every = [ok / n for n, ok in got]
+        every = [min(1.0, ok / n) for n, ok in got]
         return min(float(np.mean(x)) for x in (few, every) if x) if every else None
 
-    def _audit(self, found: DataFrame, sample: int) -> list[tuple[int, int]]:
-        """Numbers of true and of found links of every node of the sample that has a link."""
+    def _audit(self, counts: DataFrame, weights: DataFrame, sample: int) -> list[tuple[int, int]]:
+        """True and found weight of links of every node of the sample that has a link."""
         probe = self.nodes.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample).toPandas()
         pv, pl, pid, t = matrix(probe["vec"]), probe["label"].to_numpy(), probe["id"].to_numpy(), self.threshold
 
         def run(batches):
             for pdf in batches:
-                v, g, ids = matrix(pdf["vec"]), pdf["label"].to_numpy(), pdf["id"].to_numpy()
+                v, g, ids, w = matrix(pdf["vec"]), pdf["label"].to_numpy(), pdf["id"].to_numpy(), pdf["weight"].to_numpy()
                 for k in range(0, len(pid), BLOCK):
                     p, q = pid[k : k + BLOCK], pl[k : k + BLOCK]
-                    i, j = np.nonzero((v @ pv[k : k + BLOCK].T >= t) & (g[:, None] == q[None]) & (ids[:, None] != p[None]))
-                    yield pd.DataFrame({"p": p[j], "o": ids[i]})
-
-        true = self.nodes.mapInPandas(run, "p long, o long")
-        true = true.withColumn("a", F.least("p", "o")).withColumn("b", F.greatest("p", "o"))
-        direct = true.join(self.links().withColumn("direct", F.lit(True)), ["a", "b"], "left")
-        named = direct.join(found.select(F.col("node").alias("p"), F.col("component").alias("cp")), "p", "left").join(found.select(F.col("node").alias("o"), F.col("component").alias("co")), "o", "left")
-        full = self.links().select(F.explode(F.array("a", "b")).alias("o")).groupBy("o").count().filter(F.col("count") >= self.size).select("o", F.lit(True).alias("full"))
-        named = named.join(full, "o", "left").join(full.select(F.col("o").alias("p"), F.col("full").alias("full_p")), "p", "left")
-        ok = F.coalesce("direct", F.lit(False)) | (F.coalesce("full", "full_p", F.lit(False)) & F.coalesce(F.col("cp") == F.col("co"), F.lit(False)))
-        return [(r["n"], r["ok"]) for r in named.groupBy("p").agg(F.count("*").alias("n"), F.count_if(ok).alias("ok")).collect()]
-
-
-def _whole(batches, key: str):
-    """Batches cut at changes of ``key``, so that no group is split."""
-    rest = None
-    for pdf in batches:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        k = pdf[key].to_numpy()
-        cut = np.flatnonzero(k != k[-1])
-        at = cut[-1] + 1 if len(cut) else 0
-        if at:
-            yield pdf.iloc[:at]
-        rest = pdf.iloc[at:]
-    if rest is not None and len(rest):
-        yield rest
+                    hit = (v @ pv[k : k + BLOCK].T >= t) & (g[:, None] == q[None]) & (ids[:, None] != p[None])
+                    n = w @ hit
+                    yield pd.DataFrame({"id": p[n > 0], "n": n[n > 0]})
+
+        true = weights.mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("true"))
+        joined = true.join(counts, "id", "left").select("true", F.coalesce("n", F.lit(0)).alias("n"))
+        return [(r["true"], r["n"]) for r in joined.collect()]
 
 
 def compared(nodes: DataFrame, groups: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -216,7 +197,7 @@ def compared(nodes: DataFrame, groups: DataFrame, pairs: DataFrame, threshold: f
     right = dealt.join(blocks.withColumn("x", spread("ma")), F.col("component") == F.col("b")).select("a", "b", "x", F.col("block").alias("y"), F.lit(1).alias("kind"), "id", "vec", "weight")
 
     def run(batches):
-        for pdf in _whole(batches, "cell"):
+        for pdf in whole_groups(batches, "cell"):
             for _, g in pdf.groupby("cell", sort=False):
                 a, b = g[g["kind"] == 0], g[g["kind"] == 1]
                 if len(a) and len(b):
@@ -251,7 +232,7 @@ def close_components(nodes: DataFrame, groups: DataFrame, threshold: float, scra
     limit = math.acos(threshold) + 1e-6  # room for rounding
 
     def run(batches):
-        for pdf in _whole(batches, "cell"):
+        for pdf in whole_groups(batches, "cell"):
             for _, g in pdf.groupby("cell", sort=False):
                 a, b = g[g["kind"] == 0], g[g["kind"] == 1]
                 if len(a) and len(b):
@@ -286,19 +267,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, demanded:
     """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding, label)."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nn-descent")
-    rows = vectors.select("vec_id", "embedding", "label")
-    valid = usable(rows, "vec_id", "embedding", "label").filter("label is not null")
-    same = valid.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
+    # an input row has a number of its own, so that rows that repeat a vec_id stay apart; it holds in this written copy
+    valid = scratch.save(usable(rows, "vec_id", "embedding", "label").filter("label is not null").withColumn("row", F.monotonically_increasing_id()), "valid")
+    found = None
+    for d in lengths(valid):
+        part = _one_length(valid.filter(F.size("vec") == d), threshold, demanded, Scratch(spark, f"nn-descent-{d}"))
+        found = part if found is None else found.unionByName(part)
+    alone = F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+    unusable = rows.join(valid.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", *alone) if found is not None else rows.select("vec_id", *alone)
+    if found is None:
+        return unusable.withColumn("kept", F.lit(True))
+    # rows of a vec_id that has other, usable rows: those that are not usable themselves
+    n = rows.groupBy("vec_id").agg(F.count("*").alias("n")).join(valid.groupBy("vec_id").agg(F.count("*").alias("m")), "vec_id").filter("n > m")
+    rest = n.select("vec_id", F.explode(F.sequence(F.col("m") + 1, F.col("n")))).select("vec_id", *alone)
+    out = found.unionByName(unusable).unionByName(rest)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _one_length(valid: DataFrame, threshold: float, demanded: float, scratch: Scratch) -> DataFrame:
+    """vec_id, n_links, component_id for every row of valid(row, vec_id, vec, label), whose vectors have one length."""
+    same = valid.groupBy("label", "vec").agg(F.min("row").alias("id"), F.min("vec_id").alias("low"), F.count("*").alias("weight"))
 
     @F.pandas_udf("array<double>")
     def scaled(v: pd.Series) -> pd.Series:
         return pd.Series(list(unit(matrix(v)))) if len(v) else v
 
-    nodes = scratch.save(same.select("id", "label", "weight", "vec", scaled("vec").alias("unit")), "nodes")
+    nodes = scratch.save(same.select("id", "label", "low", "weight", "vec", scaled("vec").alias("unit")), "nodes")
     members = valid.join(nodes.select("label", "vec", "id", "weight"), ["label", "vec"]).select("vec_id", "id", "weight")
     work = NNDescent(nodes.select("id", "label", F.col("unit").alias("vec")), threshold, scratch)
-    if not work.most:
-        return rows.select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    weighed = nodes.select("id", "label", F.col("unit").alias("vec"), "weight")
     seed = 17
     for attempt in range(ATTEMPTS):
         left = work.tables(demanded) if not attempt else TABLES
@@ -307,21 +305,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, demanded:
             left, seed = left - TABLES, seed + 1
         work.descend()
         found, across, whole = joined_components(work, nodes, attempt)
-        recall = work.audit(whole)
+        whole = scratch.save(whole, f"named-{attempt}")
+        own = found.select(F.col("component").alias("a"), F.col("component").alias("b")).distinct()
+        inside = compared(nodes.select("id", F.col("unit").alias("vec"), "weight"), found.select(F.col("node").alias("id"), "component"), own, threshold)
+        counts = scratch.save(inside.unionByName(across).groupBy("id").agg(F.sum("n").alias("n")), f"counts-{attempt}")
+        recall = work.audit(counts, weighed)
         if recall is None:
             logging.getLogger(__name__).warning("no links in the audited sample: recall is not known")
+        else:
+            logging.getLogger(__name__).info("recall of links %.4f", recall)
         if recall is None or recall >= demanded:
             break
     else:
         raise RuntimeError(f"recall {recall:.4f} of links after {ATTEMPTS} rounds of tables; {demanded} is demanded")
-    own = found.select(F.col("component").alias("a"), F.col("component").alias("b")).distinct()
-    inside = compared(nodes.select("id", F.col("unit").alias("vec"), "weight"), found.select(F.col("node").alias("id"), "component"), own, threshold)
-    counts = inside.unionByName(across).groupBy("id").agg(F.sum("n").alias("n"))
-    named = members.join(counts, "id", "left").join(whole.withColumnRenamed("node", "id"), "id", "left").select(
-        F.col("vec_id").alias("v"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
-    )
-    out = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(named, F.col("vec_id") == F.col("v"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    classes = nodes.select("id", "low").join(whole.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
+    heads = classes.groupBy("group").agg(F.min("low").alias("component_id"))
+    named = classes.join(heads, "group").join(counts, "id", "left").select("id", "component_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return members.join(named, "id").select("vec_id", (F.col("n") + F.col("weight") - 1).cast("long").alias("n_links"), "component_id")
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

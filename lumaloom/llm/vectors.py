@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame, key: str = "vec_id", vector: str = "embedding", *more: str) -> DataFrame:
-    """(key, vec array<double>, more) of rows whose vector is not null, not zero, and has only finite components.
-
-    Where lengths differ, only vectors of the most frequent length (the larger, if tied) take part.
-    """
+    """(key, vec array<double>, more) of rows with a key whose vector is not null, not zero, and has only finite components."""
     v = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"), *more)
     fine = F.expr("vec is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x != 0)")
-    v = v.filter(fine & F.col("vec_id").isNotNull())
-    sizes = v.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    return v.filter(F.size("vec") == (sizes[0]["d"] if sizes else 0))
+    return v.filter(fine & F.col("vec_id").isNotNull())
+
+
+def lengths(vectors: DataFrame) -> list[int]:
+    """The different lengths of usable vectors (vec): only equal ones can be compared.  A model has one."""
+    return sorted(r["d"] for r in vectors.select(F.size("vec").alias("d")).distinct().collect())
 
 
 def matrix(column) -> np.ndarray:

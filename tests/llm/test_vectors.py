@@ -91,3 +91,29 @@ def test_audit_guards_the_result(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup.NNDescent, "links", lambda self: self.graph.filter("sim > 2").select("id", "near").toDF("a", "b"))
     with pytest.raises(RuntimeError, match="recall 0.0000"):
         embedding_dedup.near_duplicates(df)
+
+
+def test_rows_of_their_own(spark):
+    """Repeated ids (equal, other and unusable vectors), other lengths, a null id, ties."""
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [1.0, 2.0, 3.0]
+    data = [(1, a, 0), (1, a, 0), (2, b, 0), (2, None, 0), (3, c, 0), (4, c, 0), (5, c, 1), (None, a, 0), (6, b, 0), (6, a, 0)]
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(data, SCHEMA).filter("vec_id is not null")).collect())
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (2, 1, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 1, 2, False), (6, 2, 1, False)]
+    odd = [r for r in embedding_dedup.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect() if r["vec_id"] is None]
+    assert [(r["n_links"], r["component_id"]) for r in odd] == [(0, None)]
+    ann = ann_search.nearest_neighbours(spark.createDataFrame(data, SCHEMA), spark.createDataFrame([(1,), (3,)], "vec_id long"), 3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann) == [(1, 1, 6, 1.0), (1, 2, 2, 0.0), (3, 1, 4, 14.0), (3, 2, 5, 14.0)]
+
+
+def test_graph_walk_finds_near_centroids():
+    """The walk alone, without distances to all centroids."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(60, 8)) * 3
+    c = (centres[r.integers(0, 60, 3000)] + r.normal(size=(3000, 8))).astype(float)
+    graph = ann_search.CentroidGraph(c)
+    q = centres[r.integers(0, 60, 100)] + r.normal(size=(100, 8))
+    at, dist = graph.nearest(q, 60)
+    full = ((q[:, None] - c[None]) ** 2).sum(2)
+    assert np.allclose(dist, np.take_along_axis(full, at, 1)) and all(len(set(x)) == 60 for x in at.tolist())
+    best = np.argsort(full, axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best.tolist(), at.tolist())]) > 0.95
