@@ -9,8 +9,12 @@ fitted on labelled documents that the dictionaries were not trained on, gives a
 calibrated score.
 
 Training reads at most ``max_toxic`` + ``max_ordinary`` labelled documents, by
-order of a hash of doc_id, and at most ``max_chars`` of each; scoring reads
-every whole text.
+order of a hash of doc_id, with their whole texts, half of them for the
+dictionaries and half for the curve.  The texts stay with the tasks: those send
+back counts of segments and features.  Scoring reads every whole text.
+
+A dictionary holds at most ``max_bytes``, cut from words whose openings stand in
+at least 3 % of the documents of its kind.
 
 Defined results: null and empty texts score like a document without windows;
 without labels of both kinds the score is the share of toxic labels (0 without
@@ -20,7 +24,6 @@ are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 #: Known to both dictionaries, ahead of each window.
 LEAD = bytes(range(1, 25))
@@ -50,28 +53,38 @@ def openings(text: str | None) -> set[str]:
     return {w[:k] for w in set(windows_of(text)) for k in range(4, min(len(w), 12) + 1)}
 
 
-def train_dictionary(own: list[str], other: list[str], max_bytes: int = 256, least_odds: float = 3.5) -> bytes:
-    """Raw-content dictionary of the segments that cover ``own`` documents and that ``other`` ones lack.
+def segment_counts(texts: DataFrame) -> DataFrame:
+    """texts(toxic, text) -> segment, ones, zeros: documents of each kind that hold it."""
+
+    def run(batches):
+        for pdf in batches:
+            seen: Counter = Counter()
+            for t, kind in zip(pdf["text"], pdf["toxic"], strict=True):
+                seen.update((s, int(kind)) for s in openings(t))
+            yield pd.DataFrame([(s, k, n) for (s, k), n in seen.items()], columns=["segment", "kind", "n"])
+
+    parts = texts.select("toxic", "text").mapInPandas(run, "segment string, kind int, n long")
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
+    return parts.groupBy("segment").agg(of(1).alias("ones"), of(0).alias("zeros"))
+
+
+def train_dictionary(counts: DataFrame, mine: str, theirs: str, n_mine: int, n_theirs: int, max_bytes: int = 256, least_odds: float = 3.5) -> bytes:
+    """Raw-content dictionary of the segments that cover documents of one kind and that the other kind lacks.
 
     A segment must be in at least 3 % of the documents (more in small samples)
     and have log odds of ``least_odds``; segments that extend one already taken
     add nothing and are left out.  The constant run stands at the end and the most
     telling segment right before it, where matches are found first.
     """
-    mine, theirs = Counter(), Counter()
-    for t in own:
-        mine.update(openings(t))
-    for t in other:
-        theirs.update(openings(t))
-    least = max(4, min(8, 0.1 * len(own)), 0.03 * len(own))
-    found = []
-    for s, n in mine.items():
-        odds = np.log((n + 0.5) / (len(own) + 1)) - np.log((theirs[s] + 0.5) / (len(other) + 1))
-        if n >= least and odds > least_odds:
-            found.append((-round(float(odds * np.sqrt(n)), 9), -len(s), s))
+    least = max(4, min(8, 0.1 * n_mine), 0.03 * n_mine)
+    odds = F.ln((F.col(mine) + 0.5) / (n_mine + 1)) - F.ln((F.col(theirs) + 0.5) / (n_theirs + 1))
+    found = counts.withColumn("odds", odds).filter((F.col(mine) >= least) & (F.col("odds") > least_odds))
+    order = [F.round(F.col("odds") * F.sqrt(F.col(mine)), 9).desc(), F.length("segment").desc(), "segment"]
+    # a taken segment shuts out at most the eight others of its word's openings, and has four bytes at least
+    best = found.orderBy(*order).limit(max_bytes * 16).select("segment").collect()
     taken: list[str] = []
     size = 0
-    for _, _, s in sorted(found):
+    for (s,) in best:
         if size < max_bytes and not any(s.startswith(x) or x.startswith(s) for x in taken):
             taken.append(s)
             size += len(s.encode()) + 2
@@ -129,7 +142,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int =
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 3000, max_chars: int = 20_000) -> dict:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 3000) -> dict:
     """docs(doc_id, text), labels(doc_id, toxic) -> {toxic, ordinary: dictionaries; weights; base}.
 
     The sample is chosen from the labels alone, so only its texts move.
@@ -142,17 +155,30 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinar
         return {"toxic": None, "ordinary": None, "weights": None, "base": base}
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(max_toxic).union(known.filter("toxic = 0").orderBy(*order).limit(max_ordinary))
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.substring("text", 1, max_chars).alias("text")).toPandas()
-    texts = texts.iloc[np.argsort([zlib.crc32(str(d).encode()) * 2**32 + d for d in texts["doc_id"]], kind="stable")]
-    ones, zeros = texts["text"][texts["toxic"] == 1].tolist(), texts["text"][texts["toxic"] == 0].tolist()
-    if not ones or not zeros:
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")).bitwiseAND(F.lit(64).cast("long")) == 0
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text", half.alias("first"))
+    texts = Scratch(docs.sparkSession, "toxicity").save(texts, "sample")
+    sizes = {(r["first"], r["toxic"]): r["n"] for r in texts.groupBy("first", "toxic").agg(F.count("*").alias("n")).collect()}
+    if not all(sizes.get((True, k), 0) + sizes.get((False, k), 0) for k in (0, 1)):
         return {"toxic": None, "ordinary": None, "weights": None, "base": base}
-    a1, b1, a0, b0 = ones[::2], ones[1::2] or ones, zeros[::2], zeros[1::2] or zeros
-    model = {"toxic": train_dictionary(a1, a0), "ordinary": train_dictionary(a0, a1, least_odds=0.0), "base": base}
-    meter = WindowMeter(model["toxic"], model["ordinary"])
-    x = np.array([meter.features(t) for t in b1 + b0])
-    w = fit_logistic(x, np.array([1.0] * len(b1) + [0.0] * len(b0)))
-    w[0] += np.log(n1 / n0) - np.log(len(b1) / len(b0))  # the sample's share of toxic documents is not the corpus's
+    # a sample too small to halve serves both purposes
+    whole = not all(sizes.get((f, k), 0) for f in (True, False) for k in (0, 1))
+    size = lambda f, k: sum(n for (g, j), n in sizes.items() if j == k and (whole or g == f))
+    part = lambda f: texts if whole else texts.filter(F.col("first") == f)
+    counts = segment_counts(part(True))
+    a1, a0 = size(True, 1), size(True, 0)
+    model = {"toxic": train_dictionary(counts, "ones", "zeros", a1, a0), "ordinary": train_dictionary(counts, "zeros", "ones", a0, a1, least_odds=0.0), "base": base}
+
+    def measured(batches):
+        meter = WindowMeter(model["toxic"], model["ordinary"])
+        for pdf in batches:
+            yield pd.DataFrame({"toxic": pdf["toxic"], "x": [meter.features(t) for t in pdf["text"]]})
+
+    got = part(False).select("toxic", "text").mapInPandas(measured, "toxic int, x array<double>").toPandas()
+    got = got.iloc[np.lexsort(np.array(got["x"].tolist()).T)]  # the same order, and so the same sums, in every run
+    w = fit_logistic(np.array(got["x"].tolist()), got["toxic"].to_numpy(dtype=float))
+    b1, b0 = size(False, 1), size(False, 0)
+    w[0] += np.log(n1 / n0) - np.log(b1 / b0)  # the sample's share of toxic documents is not the corpus's
     return model | {"weights": w}
 
 
