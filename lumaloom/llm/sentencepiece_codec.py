@@ -19,7 +19,7 @@ broadcast as a table (its size is bounded).  Each of the others occurs a few
 times only; the task that meets one builds the same lattice from the broadcast
 piece table and folds it alike.  So no text or word occurrence is shuffled.
 
-Defined results: null and empty texts have no ids and decode to the empty
+Defined results: a null doc_id is as good as any; null and empty texts have no ids and decode to the empty
 string; a character without piece becomes its bytes; repeated rows are encoded
 each; extra columns are not read; an empty table gives no rows.
 """
@@ -33,6 +33,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,7 @@ class Pieces:
                 self.id[piece], self.score[piece], self.text[i] = i, sp.get_score(i), piece
         self.longest = max(map(len, self.id), default=1)
         self.of_byte = {i: b for b, i in self.byte.items()}
+        self.bytes = [bytes([self.of_byte[i]]) if i in self.of_byte else self.text.get(i, "").encode() for i in range(sp.get_piece_size())]
 
     def ids(self, word: str, bounds) -> list[int]:
         out = []
@@ -72,6 +74,8 @@ class Pieces:
 
     def merged(self, word: str) -> list[int]:
         """The merge fold in a task: lattice edges by lookup, best edge first, leftmost if tied."""
+        if len(word) <= LONGEST:
+            return self._merged_short(word)
         n, score, longest = len(word), self.score, self.longest
         left, right = list(range(-1, n)), list(range(1, n + 2))  # neighbours of each border 0..n
         alive = [True] * (n + 1)
@@ -89,13 +93,27 @@ class Pieces:
                     heappush(heap, (-s, x, left[x], right[x]))
         return self.ids(word, [x for x in range(n + 1) if alive[x]])
 
+    def _merged_short(self, word: str) -> list[int]:
+        """The same fold over the list of pieces, which is faster while that is short."""
+        get, none = self.score.get, float("-inf")
+        parts = list(word)
+        edges = [get(a + b, none) for a, b in zip(parts[:-1], parts[1:], strict=True)]
+        while edges and (best := max(edges)) > none:
+            i = edges.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del edges[i]
+            if i:
+                edges[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(edges):
+                edges[i] = get(parts[i] + parts[i + 1], none)
+        out = []
+        for x in parts:
+            i = self.id.get(x)
+            out += [i] if i is not None else [self.byte[b] for b in x.encode()]
+        return out
+
     def decode(self, ids) -> str:
-        out = bytearray()
-        for i in ids:
-            if i in self.of_byte:
-                out.append(self.of_byte[i])
-            else:
-                out += self.text.get(i, "").encode()
+        out = b"".join([self.bytes[i] for i in ids])
         text = out.decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
@@ -149,8 +167,23 @@ def fold_viterbi(word: Column, edges: Column, longest: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), first, step, lambda best: F.element_at(best, -1)["path"])
 
 
-def encode(docs: DataFrame, model: str, most_words: int = WORDS) -> DataFrame:
-    """doc_id, ids (array of int) of every row of docs(doc_id, text)."""
+class Encoder:
+    """text -> ids: words that are known from the lattice, and others folded where they are met."""
+
+    def __init__(self, pieces: Pieces, known: dict[str, list[int]]):
+        self.pieces, self.known = pieces, known
+
+    def __call__(self, text: str | None) -> list[int]:
+        ids: list[int] = []
+        if text:
+            get, merged = self.known.get, self.pieces.merged
+            for w in BORDER.split(BLANK + text.replace(" ", BLANK)):
+                ids += get(w) or merged(w)
+        return ids
+
+
+def known_words(docs: DataFrame, model: str, most_words: int = WORDS) -> dict[str, list[int]]:
+    """Ids of the most frequent words of all documents, by the lattice; at most ``most_words`` of at most ``LONGEST`` characters."""
     spark = docs.sparkSession
     pieces = Pieces(model)
     table_of = spark.createDataFrame(pd.DataFrame({"piece": list(pieces.score), "score": list(pieces.score.values())}))
@@ -158,39 +191,66 @@ def encode(docs: DataFrame, model: str, most_words: int = WORDS) -> DataFrame:
     hot = counts.filter((F.col("n") > 1) & (F.length("word") <= LONGEST)).orderBy(F.desc("n"), "word").limit(most_words).select("word")
     hot = hot.repartition("word")
     folded = lattice(hot, table_of, pieces.longest).select("word", fold_merge(F.col("word"), F.col("edges")).alias("borders")).toPandas()
-    known = spark.sparkContext.broadcast({w: pieces.ids(w, b) for w, b in zip(folded["word"], folded["borders"], strict=True)})
+    return {w: pieces.ids(w, b) for w, b in zip(folded["word"], folded["borders"], strict=True)}
 
-    @F.pandas_udf("array<int>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own, table_ = Pieces(model), known.value
-        for texts in batches:
-            out = []
-            for t in texts:
-                ids: list[int] = []
-                if t:
-                    for w in BORDER.split(BLANK + t.replace(" ", BLANK)):
-                        ids += table_.get(w) or own.merged(w)
-                out.append(np.array(ids, dtype=np.int32))
-            yield pd.Series(out)
 
-    return docs.select("doc_id", "text", ids_of("text").alias("ids"))
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that ids of few texts are held as Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
 
-def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids as a checksum (unsigned, little-endian unsigned 32-bit), and whether decoding gives the text back."""
-    import public_tokenizers
+def encode(docs: DataFrame, model: str, most_words: int = WORDS) -> DataFrame:
+    """doc_id, text, ids (array of int) of every row of docs(doc_id, text)."""
+    known = docs.sparkSession.sparkContext.broadcast(known_words(docs, model, most_words))
+
+    def run(batches):
+        coder = Encoder(Pieces(model), known.value)
+        for batch in _slices(batches):
+            ids = pa.array([np.array(coder(t), dtype=np.int32) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
+    some = docs.select("doc_id", "text")
+    return some.mapInArrow(run, f"doc_id {dict(some.dtypes)['doc_id']}, text string, ids array<int>")
 
-    @F.pandas_udf("n_tokens long, ids_crc32 long, round_trip boolean")
-    def digest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        own = Pieces(model)
-        for texts, ids in batches:
-            yield pd.DataFrame({
-                "n_tokens": [len(x) for x in ids],
-                "ids_crc32": [zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) for x in ids],
-                "round_trip": [own.decode(x.tolist()) == (t or "") for t, x in zip(texts, ids, strict=True)],
-            })
 
-    coded = encode(table(spark, sf_dir, "documents"), model)
-    return coded.select("doc_id", digest("text", "ids").alias("d")).select("doc_id", "d.*")
+def decode(coded: DataFrame, model: str) -> DataFrame:
+    """coded(ids, ...) with the text of the ids as ``decoded``."""
+
+    def run(batches):
+        pieces = Pieces(model)
+        for batch in _slices(batches):
+            text = pa.array([pieces.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "decoded"])
+
+    return coded.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in coded.dtypes) + ", decoded string")
+
+
+def round_trip(docs: DataFrame, model: str, most_words: int = WORDS) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (unsigned, little-endian unsigned 32-bit ids), round_trip (whether decoding gives the text back).
+
+    Encoding and decoding of a text follow each other in one task, so ids are not carried on.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(known_words(docs, model, most_words))
+
+    def run(batches):
+        pieces = Pieces(model)
+        coder = Encoder(pieces, known.value)
+        for batch in _slices(batches):
+            n, crc, same = [], [], []
+            for t in batch.column("text").to_pylist():
+                ids = coder(t)
+                n.append(len(ids))
+                crc.append(zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+                same.append(pieces.decode(ids) == (t or ""))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+
+    some = docs.select("doc_id", "text")
+    return some.mapInArrow(run, f"doc_id {dict(some.dtypes)['doc_id']}, n_tokens long, ids_crc32 long, round_trip boolean")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
