@@ -70,18 +70,24 @@ def template_table(spark: SparkSession, base=BASE, templates=TEMPLATES) -> DataF
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least_cover: float = 0.6, reach: int = 2) -> DataFrame:
     """One row per document: key, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
+    templates = template_table(spark)
+    # a few hundred hashes: places that can meet none of them are not exploded
+    known = [r["hash"] for r in templates.select("hash").distinct().collect()]
+    longest = max((len(p.split(" ")) for p, _ in BASE), default=2)
     split = docs.select(F.col(key).alias("__id"), F.monotonically_increasing_id().alias("__row"), words_of(F.col(text)).alias("words"))
-    pairs = F.concat(
-        F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)),
-        F.array(F.lit(CLOSE).cast("long")),
-    )
-    votes = split.select("__id", "__row", "words", F.posexplode(pairs).alias("pos", "hash"))
-    hits = votes.join(F.broadcast(template_table(spark)), "hash").select(
+    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    places = F.filter(F.transform(pairs, lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))), lambda x: x["hash"].isin(known))
+    # a place takes along the words around it that a base phrase can reach, not the text
+    first = lambda pos: F.greatest(pos - (longest - 2), F.lit(0))
+    held = F.transform(places, lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), F.slice("words", first(x["pos"]) + 1, 2 * longest - 2).alias("near")))
+    close = F.array(F.struct(F.size("words").alias("pos"), F.lit(CLOSE).cast("long").alias("hash"), F.slice("words", 1, 0).alias("near")))
+    votes = split.select("__id", "__row", F.size("words").alias("count"), F.explode(F.concat(held, close)).alias("x")).select("__id", "__row", "count", "x.*")
+    hits = votes.join(F.broadcast(templates), "hash").select(
         "__id", "__row", "template", "tpos", "label", "is_base",
         (F.col("pos") - F.col("tpos")).alias("diagonal"),
         F.size("twords").alias("size"),
-        F.when(F.col("template") < 0, F.size("words")).alias("n_words"),
-        F.when(F.col("is_base") & (F.col("pos") >= F.col("tpos")), F.slice("words", F.greatest(F.col("pos") - F.col("tpos") + 1, F.lit(1)), F.size("twords")) == F.col("twords")).alias("exact"),
+        F.when(F.col("template") < 0, F.col("count")).alias("n_words"),
+        F.when(F.col("is_base") & (F.col("pos") >= F.col("tpos")), F.slice("near", F.greatest(F.col("pos") - F.col("tpos") - first(F.col("pos")) + 1, F.lit(1)), F.size("twords")) == F.col("twords")).alias("exact"),
     )
     lines = (
         hits.repartition("__row")

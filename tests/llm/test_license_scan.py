@@ -31,3 +31,12 @@ def test_scan(spark):
     labels = {r["doc_id"]: r for r in rows if r["n_words"] > 10}
     assert labels[9]["labels"] == "mit" and 0.6 <= labels[9]["score"] < 1
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_texts_and_ids(spark):
+    """Thousands of places in one text, null and large ids."""
+    big = 9007199254740993
+    body = "some words before all rights reserved and cc by then general public license " * 5000
+    rows = sorted(((r["doc_id"] or 0, r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in L.scan(spark.createDataFrame([(None, body), (big, "cc by"), (big, "cc")], "doc_id long, text string").coalesce(1)).collect()), key=str)
+    n, places, first, last, labels = brute(body)
+    assert rows == sorted([(0, n, places, first, last, labels), (big, 2, 1, 0, 0, "cc-by"), (big, 1, 0, None, None, "")], key=str)
