@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media as M
+from .scratch import written
 
 
 def preferred_file(files: DataFrame, complete: Column | None = None) -> DataFrame:
@@ -15,8 +16,8 @@ def preferred_file(files: DataFrame, complete: Column | None = None) -> DataFram
     return files.groupBy("asset_id").agg(F.min_by(row, key).alias("p")).select("asset_id", "p.*")
 
 
-def browse_catalog(assets: DataFrame, files: DataFrame) -> DataFrame:
-    """One summary per asset with a file in scope.
+def browse_catalog(assets: DataFrame, files: DataFrame, folders: list[str] | None = None) -> DataFrame:
+    """One summary per asset with a file in scope; with ``folders``, in one of exactly these.
 
     Everything comes from one aggregation of the files by asset, so the only
     exchanges are the two sides of the join on the asset.
@@ -25,10 +26,11 @@ def browse_catalog(assets: DataFrame, files: DataFrame) -> DataFrame:
     rendered = ~M.is_raw(F.col("extension"))
     sized = (F.col("width") > 0) & (F.col("height") > 0)
     scope = F.col("in_scope")
+    inside = F.lit(True) if folders is None else M.parent_folder(F.col("relative_path")).isin(folders) if folders else F.lit(False)
     summary = files.groupBy("asset_id").agg(
         F.min_by(F.struct("file_id", "relative_path", "filename", "extension"), key).alias("p"),
         F.min_by(F.when(sized, F.struct("width", "height")), F.when(sized, key)).alias("d"),
-        F.bool_or(scope).alias("any_scope"),
+        F.bool_or(scope & inside).alias("any_scope"),
         F.bool_or(scope & rendered).alias("any_rendered"),
         F.max(F.when(scope & rendered, F.col("quality_score"))).alias("q_rendered"),
         F.max(F.when(scope, F.col("quality_score"))).alias("q_all"),
@@ -95,6 +97,18 @@ def windows_of_groups(items: DataFrame, catalog: DataFrame, qualify: bool = Fals
 
 
 def locate(ordered_ids: DataFrame, order: list[Column], size: int) -> DataFrame:
-    """Position (from 0) and page (from 1) of every row of an ordered list."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return ordered_ids.withColumn("position", (n - 1).cast("long")).withColumn("page", (F.floor((n - 1) / size) + 1).cast("long"))
+    """Position (from 0) and page (from 1) of every row of an ordered list.
+
+    The list is sorted by ranges and written; a row's position is its place in
+    its part and the rows of the parts before, one number for each of those.
+    """
+    saved = written(ordered_ids.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "located")
+    part = F.shiftright("__at", 33)
+    counts = saved.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).orderBy("__part").collect()
+    before, starts = 0, []
+    for r in counts:
+        starts.append((r["__part"], before))
+        before += r["n"]
+    parts = ordered_ids.sparkSession.createDataFrame(starts, "__part long, __before long")
+    at = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return saved.join(F.broadcast(parts), part == F.col("__part")).withColumn("position", at).withColumn("page", (F.floor(F.col("position") / size) + 1).cast("long")).drop("__at", "__part", "__before")

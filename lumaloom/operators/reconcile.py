@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _write(df: DataFrame, name: str) -> DataFrame:
-    """A written table in the shared checkpoint folder: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
-    path = f"{base.rstrip('/')}/components-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .scratch import written
 
 
 def min_label_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, component): smallest label around, with pointer jumping, until nothing changes."""
-    both = _write(edges.union(edges.select("b", "a")).distinct(), "edges")
+    both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node")
     step = 0
     while True:
-        labels = _write(labels, f"labels-{step}")
+        labels = written(labels, f"labels-{step}")
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
         low = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         jump = labels.select(F.col("node").alias("at"), F.col("component").alias("to"))
-        new = _write(low.join(jump, low["low"] == jump["at"]).select("node", "old", F.least("low", "to").alias("component")), f"step-{step}")
+        new = written(low.join(jump, low["low"] == jump["at"]).select("node", "old", F.least("low", "to").alias("component")), f"step-{step}")
         if new.filter("old <> component").isEmpty():
             return new.select("node", "component")
         labels, step = new.select("node", "component"), step + 1

@@ -46,7 +46,8 @@ def cmp_32(spark, d):
 
 @query("cmp_2_faceted_browse", f"WITH {CATALOG} SELECT asset_id, filename, quality FROM cat WHERE asset_id IN (SELECT asset_id FROM file WHERE in_scope AND folder IN ('', 'Year1')) AND media_type = 'image' AND selection_state = 'selected' AND width >= height AND lower(filename) LIKE '%img%'")
 def cmp_2(spark, d):
-    found = B.facets(catalog_of(spark, d), load(spark, d, "file"), folders=["", "Year1"], media_type="image", decision="selected", layout="horizontal", text="IMG")
+    catalog = B.browse_catalog(load(spark, d, "asset"), load(spark, d, "file"), ["", "Year1"])
+    found = B.facets(catalog, media_type="image", decision="selected", layout="horizontal", text="IMG")
     return found.select("asset_id", "filename", "quality")
 
 
@@ -124,7 +125,7 @@ def win_1(spark, d):
 @query("win_2_group_ordinals", "SELECT group_id, row_number() OVER (ORDER BY first_time NULLS LAST, group_id) AS ordinal FROM (SELECT group_id, min(capture_time) AS first_time FROM asset WHERE group_id IS NOT NULL GROUP BY group_id HAVING count(*) >= 2)")
 def win_2(spark, d):
     g = load(spark, d, "asset").filter("group_id is not null").groupBy("group_id").agg(F.min("capture_time").alias("first_time"), F.count("*").alias("n")).filter("n >= 2")
-    return g.select("group_id", F.row_number().over(Window.orderBy(F.col("first_time").asc_nulls_last(), "group_id")).cast("long").alias("ordinal"))
+    return B.locate(g, [F.col("first_time").asc_nulls_last(), F.col("group_id")], 10).select("group_id", (F.col("position") + 1).alias("ordinal"))
 
 
 @query("win_12_locate_assets", "SELECT asset_id, position, CAST(floor(position / 60) * 60 AS BIGINT) AS page_offset FROM (SELECT asset_id, row_number() OVER (ORDER BY capture_time DESC NULLS LAST, asset_id) - 1 AS position FROM asset)")

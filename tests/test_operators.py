@@ -39,6 +39,7 @@ def test_browse_matrix(spark):
     folders = [p.rpartition("/")[0] for p in paths]
     for chosen in ([], [""], ["Trips"], ["Trips/2021/May", "Home"], sorted(set(folders)), ["nowhere"], None):
         assert ids(folders=chosen) == [i + 1 for i, x in enumerate(folders) if chosen is None or x in chosen]
+        assert sorted(r["asset_id"] for r in browse.browse_catalog(spark.createDataFrame([(i + 1, "image", None, "undecided", 4) for i in range(5)], ASSET), f, chosen).collect()) == ids(folders=chosen)
     assert ids(layout="horizontal") == [1, 3, 5] and ids(layout="vertical") == [2]
     assert ids(text="KIWI") == [4, 5]
     assert [r["filename"] for r in browse.ordered(c, "filename", False).collect()] == sorted((p.rpartition("/")[2] for p in paths), key=str.lower)
