@@ -9,20 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    It is read from the session.  Where it is unset this is an error: a local
-    folder would not be seen by other executors.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else None
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
-    return base.rstrip("/")
+from ..operators.scratch import shared_dir
 
 
 class Scratch:

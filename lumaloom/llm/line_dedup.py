@@ -142,9 +142,10 @@ def similar_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least:
     name = F.struct(*ID)
     index = held.filter("own").select("key", name.alias("x"), F.col("line").alias("tx"))
     probe = held.select(F.col("key").alias("met"), name.alias("y"), F.col("line").alias("ty"))
-    close = (F.abs(F.length("tx") - F.length("ty")) <= edits) & (F.levenshtein("tx", "ty", edits) >= 0)
+    # one condition, cheap tests first: as a filter the verification would be put before them
+    close = (F.abs(F.length("tx") - F.length("ty")) <= edits) & (F.levenshtein("tx", "ty", edits) >= 0) & within_edits(F.col("tx"), F.col("ty"), edits)
     met = index.join(probe, (F.col("key") == F.col("met")) & (F.col("x") != F.col("y")) & close)
-    pairs = scratch.save(met.filter(within_edits(F.col("tx"), F.col("ty"), edits)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
+    pairs = scratch.save(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
     scratch.drop("line-texts")
     scratch.release()
     return pairs
