@@ -11,22 +11,28 @@ from .catalog import load
 from .registry import query
 
 RULES = [
-    ("keep-raw", 1, "image", [".cr3", ".dng"], None, None, "source", None, "rejected", None, None),
-    ("shrink-large", 2, None, None, None, "conventional-image", None, None, None, 5_000_000, None),
-    ("trip-video", 3, "video", None, "Year1/Trip4", None, None, None, None, None, None),
-    ("small-managed", 4, None, None, None, None, "managed", None, None, None, 900_000),
+    {"rule_id": "keep-raw", "position": 1, "match": {"media_type": "image", "extensions": [".CR3", ".dng"], "origin": "external", "selection_state_not": "rejected"}, "action": {"operation": "copy"}},
+    {"rule_id": "shrink-large", "position": 2, "match": {"representation_class": "conventional-image", "min_size_bytes": 5_000_000}, "action": {"operation": "compress", "source_disposition": "replace"}},
+    {"rule_id": "trip-video", "position": 3, "match": {"media_type": "video", "folder_prefix": "/Year1/Trip4/"}, "action": {"operation": "move"}},
+    {"rule_id": "small-managed", "position": 4, "match": {"origin": "managed", "max_size_bytes": 900_000}, "action": {"operation": "delete"}},
+    {"rule_id": "tidy", "position": 5, "match": {"folder_scope": {"mode": "all_except", "paths": ["year2/", "Year3\\Trip2", "YEAR2"]}, "formats": ["jpeg", "PNG"], "selection_states": ["rejected", "undecided"]}, "action": {"operation": "move"}},
+    {"rule_id": "originals", "position": 6, "match": {"format": "heic", "role": "original", "selection_state": "selected", "origin": "either"}, "action": {"operation": "copy"}},
 ]
 RULES_SQL = f"""f AS (SELECT file.*, a.selection_state FROM file JOIN asset a ON file.asset_id = a.asset_id),
  c AS (SELECT *, CASE WHEN extension IN ('.jpg', '.jpeg', '.png') THEN 'conventional-image' ELSE 'x' END AS cls, CASE WHEN role LIKE 'managed%' OR role LIKE 'derived%' THEN 'managed' ELSE 'source' END AS org FROM f),
- m AS (SELECT file_id, 'keep-raw' AS rule_id, 1 AS position, size_bytes, is_online, in_scope FROM c WHERE media_type = 'image' AND {RAW_SQL} AND extension IN ('.cr3', '.dng') AND org = 'source' AND selection_state <> 'rejected'
- UNION ALL SELECT file_id, 'shrink-large', 2, size_bytes, is_online, in_scope FROM c WHERE cls = 'conventional-image' AND size_bytes >= 5000000
- UNION ALL SELECT file_id, 'trip-video', 3, size_bytes, is_online, in_scope FROM c WHERE media_type = 'video' AND (lower(folder) = 'year1/trip4' OR lower(folder) LIKE 'year1/trip4/%')
- UNION ALL SELECT file_id, 'small-managed', 4, size_bytes, is_online, in_scope FROM c WHERE org = 'managed' AND size_bytes <= 900000)"""
+ m AS (SELECT file_id, 'keep-raw' AS rule_id, 1 AS position, 'copy' AS op, FALSE AS rep, size_bytes, is_online, in_scope FROM c WHERE media_type = 'image' AND {RAW_SQL} AND extension IN ('.cr3', '.dng') AND org = 'source' AND selection_state <> 'rejected'
+ UNION ALL SELECT file_id, 'shrink-large', 2, 'compress', TRUE, size_bytes, is_online, in_scope FROM c WHERE cls = 'conventional-image' AND size_bytes >= 5000000
+ UNION ALL SELECT file_id, 'trip-video', 3, 'move', FALSE, size_bytes, is_online, in_scope FROM c WHERE media_type = 'video' AND (lower(folder) = 'year1/trip4' OR lower(folder) LIKE 'year1/trip4/%')
+ UNION ALL SELECT file_id, 'small-managed', 4, 'delete', FALSE, size_bytes, is_online, in_scope FROM c WHERE org = 'managed' AND size_bytes <= 900000
+ UNION ALL SELECT file_id, 'tidy', 5, 'move', FALSE, size_bytes, is_online, in_scope FROM c WHERE NOT (lower(folder) = 'year2' OR lower(folder) LIKE 'year2/%' OR lower(folder) = 'year3/trip2' OR lower(folder) LIKE 'year3/trip2/%') AND extension IN ('.jpg', '.png') AND selection_state IN ('rejected', 'undecided')
+ UNION ALL SELECT file_id, 'originals', 6, 'copy', FALSE, size_bytes, is_online, in_scope FROM c WHERE extension = '.heic' AND role = 'original' AND selection_state = 'selected'),
+ w AS (SELECT *, (op = 'move' AND count_if(op = 'move') OVER p > 1) OR ((op IN ('move', 'delete') OR rep) AND (count_if(op IN ('move', 'delete')) OVER p > 1 OR (count_if(op IN ('move', 'delete')) OVER p > 0 AND count_if(rep) OVER p > 0)))
+   OR (op IN ('delete', 'copy') AND count_if(op = 'delete') OVER p > 0 AND count_if(op = 'copy') OVER p > 0) AS conflict FROM m WINDOW p AS (PARTITION BY file_id))"""
 
 
 def matches(spark, d):
     f = load(spark, d, "file").join(load(spark, d, "asset").select("asset_id", "selection_state"), "asset_id")
-    return P.match_rules(f, spark.createDataFrame(RULES, P.RULE_SCHEMA))
+    return P.match_rules(f, P.parse_rules(spark, RULES))
 
 
 @query("flt_14_jn_14_rule_matches", f"WITH {RULES_SQL} SELECT file_id, rule_id, CAST(position AS INT) AS position FROM m")
@@ -34,19 +40,28 @@ def flt_14(spark, d):
     return matches(spark, d).select("file_id", "rule_id", "position")
 
 
-@query("cmp_26_plan_summary", f"WITH {RULES_SQL} SELECT rule_id, count(*) AS candidates, count_if(is_online AND in_scope) AS ready, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(coalesce(sum(CASE WHEN is_online AND in_scope THEN size_bytes END), 0) AS BIGINT) AS ready_bytes FROM m GROUP BY rule_id")
+@query("udf_5_rule_operations", f"WITH {RULES_SQL} SELECT file_id, rule_id, op AS operation, conflict FROM w")
+def udf_5(spark, d):
+    """Written rules as operations on files, with those that cannot be carried out together."""
+    return P.combination_conflicts(matches(spark, d)).select("file_id", "rule_id", "operation", (F.size("conflicts") > 0).alias("conflict"))
+
+
+@query("cmp_26_plan_summary", f"WITH {RULES_SQL} SELECT rule_id, op AS operation, count(*) AS candidates, count_if(conflict) AS conflicting, count_if(is_online AND in_scope AND NOT conflict) AS ready, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(coalesce(sum(CASE WHEN is_online AND in_scope AND NOT conflict THEN size_bytes END), 0) AS BIGINT) AS ready_bytes FROM w GROUP BY rule_id, op")
 def cmp_26(spark, d):
-    ready = F.col("is_online") & F.col("in_scope")
-    return matches(spark, d).groupBy("rule_id").agg(F.count("*").alias("candidates"), F.count_if(ready).alias("ready"), F.sum("size_bytes").alias("bytes"), F.coalesce(F.sum(F.when(ready, F.col("size_bytes"))), F.lit(0)).alias("ready_bytes"))
+    """A plan by rule: what matches, what conflicts, what can be carried out."""
+    clash = F.size("conflicts") > 0
+    ready = F.col("is_online") & F.col("in_scope") & ~clash
+    return P.combination_conflicts(matches(spark, d)).groupBy("rule_id", "operation").agg(F.count("*").alias("candidates"), F.count_if(clash).alias("conflicting"), F.count_if(ready).alias("ready"), F.sum("size_bytes").alias("bytes"), F.coalesce(F.sum(F.when(ready, F.col("size_bytes"))), F.lit(0)).alias("ready_bytes"))
 
 
-@query("cmp_29_srt_12_execution_order", f"WITH {RULES_SQL} SELECT rule_id, file_id, row_number() OVER (PARTITION BY rule_id ORDER BY CASE WHEN size_bytes % 4 = 0 THEN 1 WHEN size_bytes % 4 = 1 THEN 2 WHEN size_bytes % 4 = 2 THEN 3 ELSE 4 END, file_id) AS place FROM m WHERE is_online AND in_scope")
+@query("cmp_29_srt_12_execution_order", f"WITH {RULES_SQL} SELECT rule_id, file_id, row_number() OVER (ORDER BY CASE op WHEN 'copy' THEN 0 WHEN 'compress' THEN 1 WHEN 'move' THEN 2 ELSE 3 END, position, file_id) AS place FROM w WHERE is_online AND in_scope AND NOT conflict")
 def cmp_29(spark, d):
-    from pyspark.sql import Window
+    """Copies, compressions, moves, deletions; within a phase by rule and file."""
+    from ..operators.browse import locate
 
-    phase = F.col("size_bytes") % 4  # copy, compress, move, delete
-    w = Window.partitionBy("rule_id").orderBy(phase, "file_id")
-    return matches(spark, d).filter("is_online and in_scope").select("rule_id", "file_id", F.row_number().over(w).cast("long").alias("place"))
+    ready = P.combination_conflicts(matches(spark, d)).filter("is_online and in_scope and size(conflicts) = 0").select("rule_id", "file_id", "position", P.phase(F.col("operation")).alias("phase"))
+    ready = ready.withColumnRenamed("position", "rule_place")
+    return locate(ready, [F.col("phase"), F.col("rule_place"), F.col("file_id")], 100).select("rule_id", "file_id", (F.col("position") + 1).alias("place"))
 
 
 @query("flt_11_cmp_34_scope", f"SELECT file_id, folder NOT IN ('Year2', 'Year3/Trip2') AND extension IN ('.jpg', '.cr3', '.mp4') AND NOT {RAW_SQL} AS now_in_scope FROM file")

@@ -226,3 +226,14 @@ def test_best_frame_of_every_label(spark, tmp_path):
     rows = [(i, [1.0, float(i)], i) for i in range(1200)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert registry.QUERIES["agg_14_cmp_12_best_frame"](spark, str(tmp_path)).count() == 1200
+
+
+def test_rules(spark):
+    """Normalised rules, and errors for what is not one."""
+    ok = planning.parse_rules(spark, [{"rule_id": "r", "position": 1, "match": {"folder_scope": {"mode": "all_except", "paths": ["B\\C/", "a", "A"]}, "formats": ["JPEG", "png"], "format": "Png", "origin": "external"}, "action": {"operation": "copy"}}]).first()
+    assert (ok["scope"], ok["folders"], ok["formats"], ok["origin"], ok["replace"]) == ("except", ["a", "b/c"], ["png"], "source", False)
+    for match in ({"folder_scope": "x"}, {"folder_scope": {"mode": "some"}}, {"folder_scope": {"mode": "only", "paths": ["a/../b"]}}, {"origin": "elsewhere"}):
+        with pytest.raises(ValueError):
+            planning.parse_rules(spark, [{"rule_id": "r", "position": 1, "match": match, "action": {"operation": "copy"}}])
+    with pytest.raises(ValueError):
+        planning.parse_rules(spark, [{"rule_id": "r", "position": 1, "match": {}, "action": {"operation": "paint"}}])
