@@ -127,38 +127,55 @@ def cmp_8_blocked(spark, d):
     return g.filter("assets > 1 and x and y").drop("x", "y")
 
 
-@query("rsh_1_quality_blend", "WITH p AS (SELECT file_id, job_id, seconds, percent_rank() OVER (PARTITION BY file_id ORDER BY seconds) AS a, percent_rank() OVER (PARTITION BY file_id ORDER BY job_id % 100, job_id) AS b FROM job) SELECT job_id, 0.6 * a + 0.4 * b AS blend FROM p")
+RANK = "((rank() OVER (PARTITION BY asset_id ORDER BY {0}) + (count(*) OVER (PARTITION BY asset_id, {0}) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY asset_id))".format
+
+
+@query("rsh_1_quality_blend", f"""WITH f AS (SELECT file_id, asset_id, size_bytes AS focus, size_bytes % 1000 AS focus_center, width AS detail, height AS contrast, (file_id % 10) / 10.0 AS black, (file_id % 4) / 4.0 AS white FROM file)
+ SELECT file_id, greatest(least(0.65 * (0.7 * {RANK("focus")} + 0.3 * {RANK("focus_center")}) + 0.20 * {RANK("detail")} + 0.15 * {RANK("contrast")} - 0.25 * (0.35 * black + white), 1.0), 0.0) AS technical FROM f""")
 def rsh_1(spark, d):
-    w = Window.partitionBy("file_id")
-    a, b = F.percent_rank().over(w.orderBy("seconds")), F.percent_rank().over(w.orderBy(F.col("job_id") % 100, "job_id"))
-    return load(spark, d, "job").select("job_id", (0.6 * a + 0.4 * b).alias("blend"))
+    """Technical quality of every file among the files of its asset."""
+    f = F.col("file_id")
+    frames = load(spark, d, "file").select("file_id", "asset_id", F.col("size_bytes").alias("focus"), (F.col("size_bytes") % 1000).alias("focus_center"), F.col("width").alias("detail"), F.col("height").alias("contrast"), (f % 10 / 10.0).alias("black"), (f % 4 / 4.0).alias("white"))
+    return frames.select("file_id", Sel.technical_quality(frames, ["asset_id"]).alias("technical"))
+
+
+def sessions(spark, d):
+    """Vectors as frames: a label is cut into sessions where vec_id leaves a gap of a hundred."""
+    v = F.col("vec_id")
+    session, cluster = F.concat_ws("/", F.col("label").cast("string"), F.floor(v / 100).cast("string")), (v % 7).cast("long")
+    return load(spark, d, "embeddings").select(v.alias("id"), session.alias("session"), cluster.alias("cluster"), F.col("embedding").alias("vec"), (v * 3.0).alias("t"), (v % 100 / 100.0).alias("quality"), (v % 3 == 0).alias("chosen"), (v % 2 == 0).alias("wanted"))
 
 
 @query("rsh_2_linkage")
 def rsh_2(spark, d):
-    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("session"), F.col("embedding").alias("vec"), (F.col("vec_id") * 3.0).alias("t"))
-    return Sel.complete_linkage(e, 0.75, 0.05)
+    return Sel.complete_linkage(sessions(spark, d), 0.75, 0.05)
 
 
 @query("rsh_3_diversified_selection")
 def rsh_3(spark, d):
-    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("session"), F.col("embedding").alias("vec"), ((F.col("vec_id") % 100) / 100.0).alias("quality"))
-    return Sel.diversified(e, 10, 0.5)
+    return Sel.diversified(sessions(spark, d), 5, 0.55)
 
 
 @query("rsh_4_coverage_selection")
 def rsh_4(spark, d):
-    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("session"), F.col("embedding").alias("vec"))
-    return Sel.coverage(e, 10)
+    both = [Sel.coverage(sessions(spark, d), 5, 0.5, x).withColumn("strategy", F.lit(x)) for x in ("coverage", "mmr")]
+    return both[0].unionByName(both[1])
 
 
-@query("rsh_5_selectors", "WITH r AS (SELECT file_id, job_id, row_number() OVER (PARTITION BY file_id ORDER BY seconds DESC, job_id) AS q, row_number() OVER (PARTITION BY file_id ORDER BY stamp, job_id) - 1 AS t, count(*) OVER (PARTITION BY file_id) AS n FROM job) SELECT 'quality' AS method, file_id, job_id FROM r WHERE q <= 5 UNION ALL SELECT 'uniform', file_id, job_id FROM r WHERE floor((t + 1) * 5.0 / n) > floor(t * 5.0 / n)")
+@query("rsh_5_selectors", """WITH r AS (SELECT asset_id, file_id, row_number() OVER (PARTITION BY asset_id ORDER BY size_bytes DESC, file_id) AS q, row_number() OVER (PARTITION BY asset_id ORDER BY mtime, file_id) - 1 AS p, count(*) OVER (PARTITION BY asset_id) AS n FROM file),
+ u AS (SELECT asset_id, unnest(range(0, CAST(least(3, n) AS BIGINT))) AS i, n FROM (SELECT DISTINCT asset_id, n FROM r))
+ SELECT 'quality' AS method, file_id, CAST(q AS INT) AS pick FROM r WHERE q <= 3 UNION ALL SELECT 'uniform', r.file_id, CAST(u.i + 1 AS INT) FROM u JOIN r ON r.asset_id = u.asset_id AND r.p = floor(CASE WHEN least(3, u.n) > 1 THEN u.i * (u.n - 1) / (least(3, u.n) - 1.0) ELSE 0 END + 1e-9)""")
 def rsh_5(spark, d):
-    w = Window.partitionBy("file_id")
-    r = load(spark, d, "job").select("file_id", "job_id", F.row_number().over(w.orderBy(F.desc("seconds"), "job_id")).alias("q"), (F.row_number().over(w.orderBy("stamp", "job_id")) - 1).alias("t"), F.count("*").over(w).alias("n"))
-    best = r.filter("q <= 5").select(F.lit("quality").alias("method"), "file_id", "job_id")
-    even = r.filter(F.floor((F.col("t") + 1) * 5.0 / F.col("n")) > F.floor(F.col("t") * 5.0 / F.col("n"))).select(F.lit("uniform").alias("method"), "file_id", "job_id")
-    return best.unionByName(even)
+    """Three files of each asset by size, and evenly by time."""
+    items = load(spark, d, "file").select(F.col("file_id").alias("id"), F.col("asset_id").alias("session"), F.col("mtime").alias("t"), F.col("size_bytes").alias("quality"))
+    out = [Sel.picks(items, 3, m).select(F.lit(m).alias("method"), F.col("id").alias("file_id"), "pick") for m in ("quality", "uniform")]
+    return out[0].unionByName(out[1])
+
+
+@query("rsh_6_selection_metrics")
+def rsh_6_metrics(spark, d):
+    """Matching and averages; compared with an exhaustive matching in the tests."""
+    return Sel.average_metrics(Sel.selection_metrics(sessions(spark, d)))
 
 
 @query("rsh_6_overlap_metrics", "WITH c AS (SELECT file_id AS s, job_id FROM job WHERE job_id % 3 = 0), h AS (SELECT file_id AS s, job_id FROM job WHERE job_id % 2 = 0), m AS (SELECT c.s, count(*) AS chosen, count(h.job_id) AS both_sets FROM c LEFT JOIN h ON c.s = h.s AND c.job_id = h.job_id GROUP BY c.s) SELECT avg(both_sets / chosen) AS macro, sum(both_sets) / sum(chosen) AS micro FROM m")

@@ -1,7 +1,8 @@
 """Operators on small inline tables."""
 
-import hashlib
 import datetime
+import hashlib
+import itertools
 import math
 import random
 
@@ -212,7 +213,7 @@ def test_streaming(spark, tmp_path):
 def test_selection_and_lod(spark):
     e = spark.createDataFrame([(1, 1, [1.0, 0.0], 0.9, 0.0), (2, 1, [1.0, 0.01], 0.8, 0.0), (3, 1, [0.0, 1.0], 0.1, 0.0)], "id long, session int, vec array<double>, quality double, t double")
     assert {r["id"]: r["cluster"] for r in selection.complete_linkage(e, 0.1, 0.0).collect()} == {1: 1, 2: 1, 3: 3}
-    assert [r["id"] for r in selection.diversified(e, 2, 0.7).orderBy("pick").collect()] == [1, 3]
+    assert [r["id"] for r in selection.diversified(e.withColumn("cluster", F.col("id")), 2, 0.7).orderBy("pick").collect()] == [1, 3]
     assert {r["id"] for r in selection.coverage(e, 2).collect()} >= {3}
     assert search.merge_rectangles(__import__("pandas").DataFrame([(0, 0, 10, 10), (1, 1, 10, 10), (50, 50, 5, 5)], columns=list("xywh"))) == [[0, 1], [2]]
     b = spark.createDataFrame([(0, 16), (2, 16)], "bucket long, n long")
@@ -237,3 +238,36 @@ def test_rules(spark):
             planning.parse_rules(spark, [{"rule_id": "r", "position": 1, "match": match, "action": {"operation": "copy"}}])
     with pytest.raises(ValueError):
         planning.parse_rules(spark, [{"rule_id": "r", "position": 1, "match": {}, "action": {"operation": "paint"}}])
+
+
+def test_selection_metrics(spark):
+    """Against every assignment of chosen to wanted frames."""
+    r = np.random.default_rng(5)
+    rows = []
+    for session in range(6):
+        centre = r.normal(size=(3, 4))
+        for i in range(9):
+            v = centre[i % 3] + 0.25 * r.normal(size=4)
+            rows.append((session * 100 + i, session, i % 3, v.tolist(), float(r.integers(0, 300)), bool(i in (0, 1, 3, 4)), bool(i in (1, 2, 3, 6))))
+    df = spark.createDataFrame(rows, "id long, session long, cluster long, vec array<double>, t double, chosen boolean, wanted boolean")
+    got = {x["session"]: x for x in selection.selection_metrics(df).collect()}
+    for session in range(6):
+        own = [x for x in rows if x[1] == session]
+        mine, want = [x for x in own if x[5]], [x for x in own if x[6]]
+        like = lambda a, b: float(np.dot(a[3], b[3]) / np.linalg.norm(a[3]) / np.linalg.norm(b[3]))
+        edge = lambda a, b: a[0] == b[0] or like(a, b) >= 0.9 and abs(a[4] - b[4]) <= 120
+        best = max(sum(edge(a, b) for a, b in zip(mine, p)) for p in itertools.permutations(want))
+        near = sum(max(like(a, b) for b in mine if b is not a) >= 0.95 for a in mine) / len(mine)
+        x = got[session]
+        assert (x["k"], x["exact"], x["near"]) == (4, 2, best) and abs(x["repeated"] - near) < 1e-12 and abs(x["covered"] - len({a[2] for a in want} & {a[2] for a in mine}) / len({a[2] for a in want})) < 1e-12
+    one_row = selection.average_metrics(selection.selection_metrics(df)).first()
+    assert one_row["sessions"] == 6 and one_row["micro_exact"] == 0.5 and abs(one_row["near_overlap"] - sum(x["near"] for x in got.values()) / 24) < 1e-12
+
+
+def test_greedy_selection(spark):
+    """The first pick is the best by the rule alone; a second pick leaves its cluster and its copies."""
+    rows = [(1, "s", 0, [1.0, 0.0], 0.9), (2, "s", 0, [1.0, 0.001], 0.89), (3, "s", 1, [0.0, 1.0], 0.3), (4, "s", 2, [0.6, 0.8], 0.2)]
+    df = spark.createDataFrame(rows, "id long, session string, cluster long, vec array<double>, quality double")
+    order = lambda d: [x["id"] for x in d.orderBy("pick").collect()]
+    assert order(selection.diversified(df, 2, 0.55)) == [1, 3]
+    assert order(selection.coverage(df, 2, 0.5, "mmr")) == [1, 3] and order(selection.coverage(df, 4, 1.0))[0] == 4
