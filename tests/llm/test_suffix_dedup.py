@@ -63,3 +63,14 @@ def test_sorter():
     s = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 150))) for _ in range(200)] + [b"a" * 120 + bytes([c]) for c in (3, 1, 2, 2)] + [b"", b"\0", b"\0\0"]
     assert [s[i] for i in S.deep_shallow_sort(s)] == sorted(s)
     assert all(S.common_prefix(a, b) == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a in s[:40] for b in s[100:140])
+
+
+def test_ids(spark, tmp_path):
+    """Null ids are kept whole; rows that repeat an id with the same text are copies; large ids stay as they are."""
+    t, big = corpus(5)[0] * 9, 9007199254740993
+    assert len(t.encode()) > 400
+    u = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(500))
+    spark.createDataFrame([(None, t), (1, t), (1, t), (big, u), (2, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in S.op10_suffix_dedup(spark, str(tmp_path)).collect()))
+    n = len(t.encode())
+    assert rows[0] == (0, n, 0) and rows[1] == rows[2] == (1, n, n) and rows[3] == (2, 0, 0) and rows[4][:2] == (big, 500)

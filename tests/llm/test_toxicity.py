@@ -41,3 +41,12 @@ def test_without_labels(spark):
         model = T.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert {r["score"] for r in T.score(docs, model).collect()} == {want}
     assert T.score(docs.filter(F.lit(False)), T.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
+
+
+def test_ties_and_repeated_rows(spark):
+    """Equal texts score alike, whatever their ids; a row with a null id is scored as well."""
+    rows, labels = corpus(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(7, rows[7][1]), (None, rows[7][1]), (9007199254740993, rows[7][1])], "doc_id long, text string")
+    model = T.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = [r["score"] for r in T.score(docs, model).filter((F.col("doc_id") == 7) | F.col("doc_id").isNull() | (F.col("doc_id") > 1000)).collect()]
+    assert len(got) == 4 and len(set(got)) == 1
