@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -90,9 +90,11 @@ def is_current(projection: dict, run_id: str, ids: DataFrame) -> bool:
     return projection.get("run_id") == run_id and (projection.get("n"), projection.get("digest")) == now
 
 
-def set_digest(ids: DataFrame) -> tuple[int, int]:
-    row = ids.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("asset_id"), F.lit(2**40))).alias("h")).first()
-    return row["n"], row["h"] or 0
+def set_digest(ids: DataFrame) -> tuple[int, str]:
+    """Number of ids and the sum of their digests, whatever their order."""
+    h = F.conv(F.substring(F.md5(F.col("asset_id").cast("string")), 1, 10), 16, 10).cast("decimal(38,0)")
+    row = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("h")).first()
+    return row["n"], row["h"]
 
 
 def merge_rectangles(boxes: pd.DataFrame, overlap: float = 0.55) -> list[list[int]]:
@@ -107,8 +109,3 @@ def merge_rectangles(boxes: pd.DataFrame, overlap: float = 0.55) -> list[list[in
         else:
             groups.append(([i], [x, y, w, h]))
     return [m for m, _ in groups]
-
-
-def top_per_key(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

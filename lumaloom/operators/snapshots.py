@@ -63,6 +63,18 @@ def purge(files: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, assets.join(left.select("asset_id"), "asset_id", "left_semi")
 
 
+def fingerprint(rows: DataFrame, key: str, columns: list[str], block: int = 10_000) -> DataFrame:
+    """n, fingerprint: sha256 over a table in the order of its integer key, as a tree.
+
+    Rows are digested each, then by blocks of ``block`` keys, then the blocks, so
+    no step holds more than a block's digests and the last one a digest a block.
+    """
+    chain = lambda at, h: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, h))), lambda x: x[h]), ""), 256)
+    row = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
+    blocks = rows.select(F.col(key).alias("at"), F.floor(F.col(key) / block).alias("block"), row.alias("h")).groupBy("block").agg(F.count("*").alias("n"), chain("at", "h").alias("h"))
+    return blocks.agg(F.sum("n").cast("long").alias("n"), chain("block", "h").alias("fingerprint"))
+
+
 def publish(df: DataFrame, base: str, table: str, run_id: str | None = None) -> str:
     """Write a run, then add it to the pointer's log: a failure at any step leaves the previous run active."""
     run_id = run_id or uuid.uuid4().hex

@@ -159,12 +159,12 @@ def agg_25(spark, d):
     return load(spark, d, "asset").groupBy("group_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("asset_id").cast("string"))), "\n"), 256).alias("fingerprint"))
 
 
-@query("agg_26_snapshot_fingerprint", "SELECT count(*) AS n, CAST(sum(h % 1000003) AS BIGINT) AS checksum FROM (SELECT CAST('0x' || substr(md5(file_id || '|' || relative_path || '|' || size_bytes || '|' || sha256), 1, 8) AS BIGINT) AS h FROM file)")
+@query("agg_26_snapshot_fingerprint", """WITH r AS (SELECT file_id, sha256(concat_ws('|', CAST(file_id AS STRING), relative_path, CAST(size_bytes AS STRING), sha256)) AS h FROM file), b AS (SELECT file_id // 10000 AS block, count(*) AS n, sha256(string_agg(h, '' ORDER BY file_id)) AS h FROM r GROUP BY 1)
+ SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, '' ORDER BY block)) AS fingerprint FROM b""")
 def agg_26(spark, d):
-    """A snapshot's fingerprint as a sum of row digests: no sort, map-side combine."""
-    row = F.md5(F.concat_ws("|", F.col("file_id").cast("string"), "relative_path", F.col("size_bytes").cast("string"), "sha256"))
-    h = F.conv(F.substring(row, 1, 8), 16, 10).cast("long")
-    return load(spark, d, "file").agg(F.count("*").alias("n"), F.sum(h % 1000003).cast("long").alias("checksum"))
+    from ..operators.snapshots import fingerprint
+
+    return fingerprint(load(spark, d, "file"), "file_id", ["file_id", "relative_path", "size_bytes", "sha256"])
 
 
 @query("agg_27_camera_identity", "SELECT asset_id, CASE WHEN count(DISTINCT camera) = 1 THEN max(camera) END AS camera FROM (SELECT asset_id, lower(trim('  Maker' || CAST(size_bytes % 3 AS STRING) || ' ')) AS camera FROM file WHERE role <> 'derived_preview') GROUP BY asset_id")

@@ -67,13 +67,17 @@ def cmp_14(spark, d):
     return S.project(frames(spark, d))
 
 
-@query("cmp_15_projection_currency", "SELECT count(*) AS vectors, TRUE AS current, FALSE AS stale FROM embeddings", views=False)
+@query("cmp_15_projection_currency", """WITH c AS (SELECT 'same' AS change, 'r1' AS run, vec_id FROM embeddings UNION ALL SELECT 'fewer', 'r1', vec_id FROM embeddings WHERE vec_id <> 1 UNION ALL SELECT 'other id', 'r1', CASE WHEN vec_id = 1 THEN -1 ELSE vec_id END FROM embeddings UNION ALL SELECT 'other run', 'r2', vec_id FROM embeddings),
+ g AS (SELECT change, run, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(CAST(vec_id AS STRING)), 1, 10) AS BIGINT)) AS STRING) AS digest FROM c GROUP BY ALL) SELECT g.change, g.n, g.digest, g.run = 'r1' AND g.n = s.n AND g.digest = s.digest AS current FROM g, (SELECT * FROM g WHERE change = 'same') s""", views=False)
 def cmp_15(spark, d):
+    """A stored projection against the same set, one id fewer, another id and another run."""
     ids = frames(spark, d).select("asset_id")
     n, digest = S.set_digest(ids)
-    stored = {"run_id": "r1", "n": n, "digest": digest}
-    fresh, stale = S.is_current(stored, "r1", ids), S.is_current(stored, "r1", ids.filter("asset_id > 0"))
-    return spark.createDataFrame([(n, fresh, stale)], "vectors long, current boolean, stale boolean")
+    stored, out = {"run_id": "r1", "n": n, "digest": digest}, []
+    swapped = ids.select(F.when(F.col("asset_id") == 1, -1).otherwise(F.col("asset_id")).alias("asset_id"))
+    for change, run, some in (("same", "r1", ids), ("fewer", "r1", ids.filter("asset_id <> 1")), ("other id", "r1", swapped), ("other run", "r2", ids)):
+        out.append((change, *S.set_digest(some), S.is_current(stored, run, some)))
+    return spark.createDataFrame(out, "change string, n long, digest string, current boolean")
 
 
 GEO = "(SELECT file_id AS id, asset_id, CASE WHEN file_id % 23 = 0 THEN 91.0 ELSE (file_id % 1700) / 10.0 - 85 END AS lat, (file_id % 3600) / 10.0 - 180 AS lon, quality_score AS quality, relative_path FROM file WHERE in_scope)"
