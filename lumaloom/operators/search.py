@@ -8,9 +8,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Products that a scoring expression may spell out; beyond, a matrix product per Arrow batch is cheaper.
+TERMS = 2048
+
+
+def _sum(terms: list[str]) -> str:
+    """A balanced sum, so that the expression stays shallow."""
+    if len(terms) < 3:
+        return "(" + " + ".join(terms) + ")"
+    half = len(terms) // 2
+    return f"({_sum(terms[:half])} + {_sum(terms[half:])})"
+
+
+def _spelled_scores(vectors: DataFrame, q: np.ndarray, best_of: list[str]) -> DataFrame:
+    """The same in one compiled stage: every product of the few query vectors is part of the expression."""
+    d = q.shape[1]
+    part = [f"double(get(vec, {i}))" for i in range(d)]
+    sized = vectors.filter(F.size("vec") == d).withColumn("__n", F.expr(f"sqrt({_sum([f'{x} * {x}' for x in part])})")).filter("__n > 0 and __n < double('Infinity')")
+    dots = [F.expr(f"{_sum([f'{x} * {float(w)!r}D' for x, w in zip(part, row, strict=True)])} / __n").alias(f"__s{k}") for k, row in enumerate(q)]
+    scored = sized.select(*best_of, *dots)
+    names = [f"__s{k}" for k in range(len(q))]
+    best = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+    source = F.coalesce(*[F.when(F.col(n) == best, k) for k, n in enumerate(names)]).cast("int")
+    return scored.select(*best_of, best.alias("similarity"), source.alias("source"))
+
+
 def _blocked_scores(vectors: DataFrame, queries: np.ndarray, best_of: list[str]) -> DataFrame:
-    """Cosine of each vector with the nearest of a few query vectors, in Arrow batches with one matrix product each."""
+    """Cosine of each vector with the nearest of a few query vectors; vectors without a direction or of another length are left out."""
     q = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    if 0 < q.size <= TERMS:
+        return _spelled_scores(vectors, q, best_of)
     keep = [f for f in vectors.schema.fields if f.name in best_of]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", similarity double, source int"
 
