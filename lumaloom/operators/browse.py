@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media as M
+from ..functions import times as T
 from .scratch import written
 
 
@@ -96,6 +97,25 @@ def windows_of_groups(items: DataFrame, catalog: DataFrame, qualify: bool = Fals
     )
 
 
+def timeline_points(assets: DataFrame, files: DataFrame, mode: str = "capture") -> DataFrame:
+    """asset_id, time_us, precision_us of every asset with a time, by the displayed clock.
+
+    ``capture``: the asset's time, or the finest time that one of its files in
+    scope records, if that is finer.  ``file_created``: the time of the preferred
+    file in scope.  files(file_created_time, exif_time) beside the usual columns.
+    """
+    if mode not in ("capture", "file_created"):
+        raise ValueError(f"unknown time mode: {mode}")
+    key = M.preference(F.col("in_scope"), F.col("is_online"), F.col("extension"), F.col("role"), F.col("relative_path"), F.col("file_id"))
+    exif = F.col("exif_time")
+    known = F.when(T.wall_clock_us(exif).isNotNull(), F.struct(T.precision_us(exif), key))
+    found = files.filter("in_scope").groupBy("asset_id").agg(F.min_by("file_created_time", key).alias("created"), F.min_by("exif_time", known).alias("exif"))
+    j = assets.join(found, "asset_id", "left")
+    own = F.coalesce(T.precision_us(F.col("capture_time")), F.lit(1_000_000))
+    value = F.col("created") if mode == "file_created" else F.when(T.precision_us(F.col("exif")) < own, F.col("exif")).otherwise(F.col("capture_time"))
+    return j.select("asset_id", T.wall_clock_us(value).alias("time_us"), T.precision_us(value).alias("precision_us")).filter("time_us is not null")
+
+
 def locate(ordered_ids: DataFrame, order: list[Column], size: int) -> DataFrame:
     """Position (from 0) and page (from 1) of every row of an ordered list.
 

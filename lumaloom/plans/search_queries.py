@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import media as M
 from ..operators import lod as L
 from ..operators import search as S
+from .browse_queries import PREF
 from .catalog import load
 from .registry import query
 
@@ -80,20 +82,20 @@ def cmp_15(spark, d):
     return spark.createDataFrame(out, "change string, n long, digest string, current boolean")
 
 
-GEO = "(SELECT file_id AS id, asset_id, CASE WHEN file_id % 23 = 0 THEN 91.0 ELSE (file_id % 1700) / 10.0 - 85 END AS lat, (file_id % 3600) / 10.0 - 180 AS lon, quality_score AS quality, relative_path FROM file WHERE in_scope)"
+GEO = "(SELECT file_id AS id, asset_id, CASE WHEN file_id % 23 = 0 THEN 91.0 ELSE (file_id % 1700) / 10.0 - 85 END AS lat, (file_id % 3600) / 10.0 - 180 AS lon, quality_score AS quality, relative_path, in_scope, is_online, extension, role, file_id FROM file WHERE in_scope)"
 
 
 def geo(spark, d):
     f = F.col("file_id")
-    return load(spark, d, "file").filter("in_scope").select(f.alias("id"), "asset_id", F.when(f % 23 == 0, 91.0).otherwise((f % 1700) / F.lit(10.0) - 85).alias("lat"), ((f % 3600) / F.lit(10.0) - 180).alias("lon"), F.col("quality_score").alias("quality"), "relative_path")
+    return load(spark, d, "file").filter("in_scope").select(f.alias("id"), "asset_id", F.when(f % 23 == 0, 91.0).otherwise((f % 1700) / F.lit(10.0) - 85).alias("lat"), ((f % 3600) / F.lit(10.0) - 180).alias("lon"), F.col("quality_score").alias("quality"), "relative_path", "in_scope", "is_online", "extension", "role", "file_id")
 
 
-@query("cmp_16_geo_points", f"SELECT asset_id, lat AS latitude, lon AS longitude FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY relative_path, id) AS k FROM {GEO} WHERE lat BETWEEN -90 AND 90) WHERE k = 1 /* FROM file */")
+@query("cmp_16_geo_points", f"SELECT asset_id, lat AS latitude, lon AS longitude FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY {PREF}) AS k FROM {GEO} WHERE lat BETWEEN -90 AND 90) WHERE k = 1 /* FROM file */")
 def cmp_16(spark, d):
-    from ..functions.media import valid_gps
-
-    g = geo(spark, d).filter(valid_gps(F.col("lat"), F.col("lon")))
-    return g.groupBy("asset_id").agg(F.min_by(F.struct("lat", "lon"), F.struct("relative_path", "id")).alias("p")).select("asset_id", F.col("p.lat").alias("latitude"), F.col("p.lon").alias("longitude"))
+    """The most preferred file with a valid place; a preferred file without one gives way."""
+    g = geo(spark, d).filter(M.valid_gps(F.col("lat"), F.col("lon")))
+    key = M.preference(F.col("in_scope"), F.col("is_online"), F.col("extension"), F.col("role"), F.col("relative_path"), F.col("file_id"))
+    return g.groupBy("asset_id").agg(F.min_by(F.struct("lat", "lon"), key).alias("p")).select("asset_id", F.col("p.lat").alias("latitude"), F.col("p.lon").alias("longitude"))
 
 
 @query("src_8_has_gps", f"SELECT count(*) > 0 AS has_gps FROM {GEO} WHERE lat BETWEEN -90 AND 90 /* FROM file */")
@@ -102,12 +104,20 @@ def src_8(spark, d):
     return spark.createDataFrame([(not geo(spark, d).filter("lat between -90 and 90").limit(1).isEmpty(),)], "has_gps boolean")
 
 
-@query("cmp_17_srt_13_timeline_points", "SELECT asset_id, epoch_us(TRY_CAST(capture_time AS TIMESTAMP)) AS time_us, selection_state FROM asset WHERE capture_time IS NOT NULL ORDER BY time_us, asset_id")
+@query("cmp_17_srt_13_timeline_points", f"""WITH t AS (SELECT f.*, a.capture_time, strftime(f.mtime, '%Y-%m-%dT%H:%M:%S') AS created, CASE WHEN f.file_id % 6 = 0 THEN a.capture_time || '.250' WHEN f.file_id % 6 = 1 THEN a.capture_time || '.5' WHEN f.file_id % 6 = 2 THEN 'unknown.123456' END AS exif FROM file f JOIN asset a ON f.asset_id = a.asset_id WHERE f.in_scope),
+ c AS (SELECT asset_id, created FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY {PREF}) AS k FROM t) WHERE k = 1), e AS (SELECT asset_id, exif FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY length(exif) DESC, {PREF}) AS k FROM t WHERE exif LIKE '2%' OR exif LIKE '1%') WHERE k = 1),
+ p AS (SELECT 'capture' AS mode, a.asset_id, coalesce(e.exif, a.capture_time) AS v FROM asset a LEFT JOIN e ON a.asset_id = e.asset_id UNION ALL SELECT 'file_created', asset_id, created FROM c)
+ SELECT mode, asset_id, epoch_us(TRY_CAST(v AS TIMESTAMP)) AS time_us, CAST(CASE WHEN v LIKE '%.250' THEN 1000 WHEN v LIKE '%.5' THEN 100000 ELSE 1000000 END AS BIGINT) AS precision_us FROM p WHERE v IS NOT NULL""")
 def cmp_17(spark, d):
-    from ..functions.times import wall_clock_us
-
-    a = load(spark, d, "asset").select("asset_id", wall_clock_us(F.col("capture_time")).alias("time_us"), "selection_state").filter("time_us is not null")
-    return a.orderBy("time_us", "asset_id")
+    """Both time modes; files record the capture time again with more digits, or something unreadable."""
+    from ..operators.browse import timeline_points
+
+    assets = load(spark, d, "asset").select("asset_id", "capture_time")
+    f, again = F.col("file_id"), F.col("recorded")
+    exif = F.when(f % 6 == 0, F.concat(again, F.lit(".250"))).when(f % 6 == 1, F.concat(again, F.lit(".5"))).when(f % 6 == 2, "unknown.123456")
+    files = load(spark, d, "file").join(assets.withColumnRenamed("capture_time", "recorded"), "asset_id").withColumn("exif_time", exif).withColumn("file_created_time", F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss"))
+    both = [timeline_points(assets, files, m).select(F.lit(m).alias("mode"), "asset_id", "time_us", "precision_us") for m in ("capture", "file_created")]
+    return both[0].unionByName(both[1]).orderBy("time_us", "asset_id")
 
 
 @query("cmp_18_capabilities", "SELECT bool_or(capture_time IS NOT NULL) AS timeline, count(*) > 0 AS vector FROM asset")
