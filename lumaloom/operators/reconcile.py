@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import media as M
+from ..functions import times as T
 from .scratch import written
 
 
@@ -40,3 +42,40 @@ def reconcile(assets: DataFrame, files: DataFrame) -> DataFrame:
     key = F.struct(F.when(F.col("selection_state") == "undecided", 1).otherwise(0), "created_day", "asset_id")
     heads = members.groupBy("component").agg(F.min_by("asset_id", key).alias("survivor"))
     return members.join(heads, "component").select("asset_id", "survivor")
+
+
+def stem_pairs(assets: DataFrame, files: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """stem, raw_asset, rendered_asset, outcome, rule: RAW files and rendered ones that one stem names.
+
+    assets(asset_id, selection_state, capture_time, capture_time_kind, camera),
+    files(asset_id, filename, extension, media_type, role); managed and derived
+    files and JXL do not count.  One asset on each side is a pair unless times or
+    cameras speak against it; times of other semantics need the same camera.  More
+    assets on a side are ``ambiguous``, opposing decisions a ``decision_conflict``,
+    and one asset on both sides is ``already_reconciled``.  A stem keeps two ids a
+    side, however often it occurs.
+    """
+    role = F.lower(F.coalesce("role", F.lit("")))
+    own = files.filter((F.col("media_type") == "image") & ~role.startswith("managed") & ~role.startswith("derived") & (F.lower("extension") != ".jxl"))
+    raw = M.is_raw(F.col("extension"))
+    ends = [f(F.when(c, F.col("asset_id"))).alias(n) for n, f, c in (("r0", F.min, raw), ("r1", F.max, raw), ("j0", F.min, ~raw), ("j1", F.max, ~raw))]
+    met = own.groupBy(F.lower(M.stem(F.col("filename"))).alias("stem")).agg(*ends).filter("r0 is not null and j0 is not null")
+    seconds, kind = T.capture_seconds(F.col("capture_time"), F.col("capture_time_kind")), F.col("capture_time_kind")
+    known = assets.select("asset_id", "selection_state", seconds.alias("s"), T.wall_clock_us(F.col("capture_time")).alias("w"), T.semantics(kind).alias("axis"), F.lower(F.trim("camera")).alias("camera"))
+    side = lambda n, key: known.select(*[F.col(c).alias(f"{n}_{c}" if c != "asset_id" else key) for c in known.columns])
+    unique = (F.col("r0") == F.col("r1")) & (F.col("j0") == F.col("j1"))
+    j = met.join(side("a", "r0"), "r0", "left").join(side("b", "j0"), "j0", "left")
+    timed = F.col("a_s").isNotNull() & F.col("b_s").isNotNull()
+    cameras = F.col("a_camera").isNotNull() & F.col("b_camera").isNotNull()
+    mixed = timed & (F.col("a_axis") != F.col("b_axis"))
+    far = F.when(mixed, F.abs(F.col("a_w") - F.col("b_w")) / 1e6).otherwise(F.abs(F.col("a_s") - F.col("b_s"))) > tolerance
+    against = (timed & far) | (mixed & ~cameras) | (cameras & (F.col("a_camera") != F.col("b_camera")))
+    rule = (
+        F.when(mixed, "same_stem+capture_time_mixed_semantics+camera").when(timed & cameras, "same_stem+capture_time+camera").when(timed, "same_stem+capture_time")
+        .when(cameras, "same_stem+camera").otherwise("unique_same_stem_no_conflict")
+    )
+    opposed = F.array_sort(F.array("a_selection_state", "b_selection_state")) == F.array(F.lit("rejected"), F.lit("selected"))
+    outcome = F.when(~unique, "ambiguous").when(F.col("r0") == F.col("j0"), "already_reconciled").when(F.coalesce(against, F.lit(False)), None).when(F.coalesce(opposed, F.lit(False)), "decision_conflict").otherwise("paired")
+    one = lambda lo, hi: F.when(F.col(lo) == F.col(hi), F.col(lo))
+    out = j.select("stem", one("r0", "r1").alias("raw_asset"), one("j0", "j1").alias("rendered_asset"), outcome.alias("outcome"), rule.alias("rule")).filter("outcome is not null")
+    return out.withColumn("rule", F.when(F.col("outcome").isin("paired", "decision_conflict"), F.col("rule")))

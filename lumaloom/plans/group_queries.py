@@ -119,6 +119,26 @@ def cmp_8(spark, d):
     return reconcile(load(spark, d, "asset"), load(spark, d, "file"))
 
 
+@query("cmp_8_raw_jpeg_pairs", """WITH a AS (SELECT asset_id, selection_state, asset_id % 4 = 1 AS abs, CASE WHEN asset_id % 3 <> 0 THEN asset_id % 13 END AS s, CASE WHEN asset_id % 5 <> 0 THEN asset_id % 5 // 3 END AS cam FROM asset),
+ g AS (SELECT asset_id // 2 AS k, min(CASE WHEN is_raw THEN asset_id END) AS r0, max(CASE WHEN is_raw THEN asset_id END) AS r1, min(CASE WHEN NOT is_raw THEN asset_id END) AS j0, max(CASE WHEN NOT is_raw THEN asset_id END) AS j1
+   FROM file WHERE media_type = 'image' AND role NOT LIKE 'managed%' AND role NOT LIKE 'derived%' AND extension <> '.jxl' GROUP BY 1),
+ e AS (SELECT g.*, a.s IS NOT NULL AND b.s IS NOT NULL AS timed, a.cam IS NOT NULL AND b.cam IS NOT NULL AS cams, a.abs <> b.abs AS other, a.cam <> b.cam AS differ, abs(a.s - b.s) > 5 AS far, (a.selection_state = 'selected' AND b.selection_state = 'rejected') OR (a.selection_state = 'rejected' AND b.selection_state = 'selected') AS opposed
+   FROM g JOIN a ON a.asset_id = g.r0 JOIN a b ON b.asset_id = g.j0 WHERE r0 IS NOT NULL AND j0 IS NOT NULL),
+ o AS (SELECT *, CASE WHEN r0 <> r1 OR j0 <> j1 THEN 'ambiguous' WHEN r0 = j0 THEN 'already_reconciled' WHEN (timed AND far) OR (timed AND other AND NOT cams) OR (cams AND differ) THEN NULL WHEN opposed THEN 'decision_conflict' ELSE 'paired' END AS outcome FROM e)
+ SELECT 'p_' || CAST(k AS STRING) AS stem, CASE WHEN r0 = r1 THEN r0 END AS raw_asset, CASE WHEN j0 = j1 THEN j0 END AS rendered_asset, outcome,
+  CASE WHEN outcome IN ('paired', 'decision_conflict') THEN CASE WHEN timed AND other THEN 'same_stem+capture_time_mixed_semantics+camera' WHEN timed AND cams THEN 'same_stem+capture_time+camera' WHEN timed THEN 'same_stem+capture_time' WHEN cams THEN 'same_stem+camera' ELSE 'unique_same_stem_no_conflict' END END AS rule FROM o WHERE outcome IS NOT NULL""")
+def cmp_8_pairs(spark, d):
+    """Two neighbouring assets share a stem; times, offsets and cameras agree or not."""
+    from ..operators.reconcile import stem_pairs
+
+    a = F.col("asset_id")
+    absolute = a % 4 == 1
+    time = F.when(a % 3 != 0, F.concat(F.lit("2024-05-06T07:08:"), F.lpad((a % 13).cast("string"), 2, "0"), F.when(absolute, "+00:00").otherwise("")))
+    assets = load(spark, d, "asset").select("asset_id", "selection_state", time.alias("capture_time"), F.when(absolute, "exif_offset").otherwise("exif_local_unknown").alias("capture_time_kind"), F.when(a % 5 != 0, F.concat(F.lit(" Maker"), F.floor(a % 5 / 3).cast("string"), F.lit(" "))).alias("camera"))
+    files = load(spark, d, "file").withColumn("filename", F.concat(F.lit("P_"), F.floor(a / 2).cast("string"), "extension"))
+    return stem_pairs(assets, files)
+
+
 @query("cmp_8_blocked_families", "SELECT f.media_type, f.sha256, count(DISTINCT f.asset_id) AS assets FROM file f JOIN asset a ON f.asset_id = a.asset_id GROUP BY f.media_type, f.sha256 HAVING count(DISTINCT f.asset_id) > 1 AND bool_or(a.selection_state = 'selected') AND bool_or(a.selection_state = 'rejected')")
 def cmp_8_blocked(spark, d):
     j = load(spark, d, "file").join(load(spark, d, "asset").select("asset_id", "selection_state"), "asset_id")
