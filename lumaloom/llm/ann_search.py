@@ -171,7 +171,8 @@ def _one_length(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch
     sample = matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["vec"])
     n_lists = int(max(1, min(len(sample) // 8, np.sqrt(total["n"]))))
     graph = CentroidGraph(fit_centroids(lift(sample, norm2), n_lists))
-    ratio, beam = calibrate(sample, graph, norm2, k)
+    # the k nearest of all are the nearest few of a sample
+    ratio, beam = calibrate(sample, graph, norm2, -(-k * len(sample) // total["n"]))
     logging.getLogger(__name__).info("%d lists, ratio %.4f, at most %d lists a query", n_lists, ratio, beam)
 
     def post(batches):
