@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_search, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, sentencepiece_codec, suffix_dedup, toxicity, url_filter
+from . import ann_search, ball_kmeans, conversation_repair, embedding_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, sentencepiece_codec, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_ann_search": ann_search.op9_ann_search,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_mixing": mixing.op11_mixing,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_ball_kmeans": ball_kmeans.op13_ball_kmeans,
 }
 
-ORACLES = {"op8_url_filter": url_filter.SQL}
+ORACLES = {"op8_url_filter": url_filter.SQL, "op11_mixing": mixing.SQL, "op13_ball_kmeans": ball_kmeans.SQL}
