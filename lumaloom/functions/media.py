@@ -12,6 +12,13 @@ VIDEO = [".avi", ".m4v", ".mkv", ".mov", ".mp4", ".webm"]
 OTHER_IMAGE = [".png", ".heic", ".heif", ".webp", ".jxl", ".avif"]
 
 
+def casefold(text: Column) -> Column:
+    """Text for comparisons without case, as full case folding gives it (sharp s is ss, both sigmas are one, dotless i stays)."""
+    kept = F.translate(text, "\u0131", "\ue000")
+    # Spark takes lower(upper(x)) for lower(x); the step between them gives the dotless i back
+    return F.translate(F.lower(F.translate(F.upper(kept), "\ue000", "\u0131")), "\u03c2", "\u03c3")
+
+
 def parent_folder(path: Column) -> Column:
     """Folder of a posix path; the root is the empty string."""
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)

@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 S = "CAST({} AS STRING)".format
 
-#: view -> (source, group keys or None, [(column, expression)])
-VIEWS: dict[str, tuple[str, list[str] | None, list[tuple[str, str]]]] = {
+#: Files of some days have a record of how they were made.
+MADE = "CAST(substr(CAST(mtime AS STRING), 9, 2) AS INT) {}".format
+
+#: view -> (source, group keys or None, [(column, expression)][, condition on the source])
+VIEWS: dict[str, tuple] = {
     "asset": (
         "orders",
         None,
@@ -80,6 +83,48 @@ VIEWS: dict[str, tuple[str, list[str] | None, list[tuple[str, str]]]] = {
             ("is_raw", "filename LIKE '%.cr3' OR filename LIKE '%.dng'"),
         ],
     ),
+    "managed_copy": (
+        "file",
+        None,
+        [
+            ("file_id", "file_id"),
+            ("output_path", "CASE WHEN " + MADE("<= 3") + " THEN relative_path ELSE relative_path || '.old' END"),
+            ("output_sha256", "sha256"),
+        ],
+        MADE("<= 6"),
+    ),
+    "managed_derivative": (
+        "file",
+        None,
+        [
+            ("file_id", "file_id"),
+            ("output_path", "relative_path"),
+            ("output_sha256", f"CASE WHEN {MADE('= 5')} THEN sha256 ELSE md5(sha256) END"),
+        ],
+        MADE("BETWEEN 5 AND 8"),
+    ),
+    "analysis": (
+        "file",
+        None,
+        [
+            ("file_id", "file_id"),
+            ("codec", "CASE WHEN media_type = 'video' THEN 'av1' ELSE 'jpeg-xl' END"),
+            ("contract", "'v1'"),
+            ("runtime", "CASE WHEN CAST(substr(CAST(mtime AS STRING), 9, 2) AS INT) = 9 THEN 'r0' ELSE 'r1' END"),
+            ("sha256", "CASE WHEN CAST(substr(CAST(mtime AS STRING), 9, 2) AS INT) = 10 THEN md5(sha256) ELSE sha256 END"),
+            ("size_bytes", "size_bytes"),
+            ("mtime", "mtime"),
+            ("status", "CASE component_status WHEN 'complete' THEN 'success' WHEN 'pending' THEN CASE WHEN media_type = 'video' THEN 'preflight_required' WHEN size_bytes % 5 = 0 THEN 'timeout' ELSE 'success' END ELSE CASE WHEN size_bytes % 2 = 0 THEN 'transient_failure' ELSE 'success' END END"),
+            ("error", "CASE WHEN width = 0 AND media_type = 'image' THEN 'unreadable' END"),
+            ("mode", "CASE WHEN quality_score IS NULL THEN 'CMYK' WHEN extension = '.png' THEN 'RGBA' ELSE 'RGB' END"),
+            ("note", "CASE WHEN height = 0 THEN 'animation' END"),
+            ("width", "width"),
+            ("height", "height"),
+            ("duration", "duration"),
+            ("fps", "CASE WHEN quality_score IS NULL THEN 0.0 ELSE 25.0 END"),
+            ("bit_depth", "CASE WHEN size_bytes % 7 = 0 THEN 12 ELSE 8 END"),
+        ],
+    ),
     "job": (
         "events",
         None,
@@ -112,9 +157,9 @@ def with_views(sql: str) -> str:
             need(name)
     parts = []
     for name in needed:
-        source, keys, columns = VIEWS[name]
+        source, keys, columns, *where = VIEWS[name]
         select = ", ".join(f"{e} AS {c}" for c, e in columns)
-        parts.append(f"{name} AS (SELECT {select} FROM {source}{' GROUP BY ' + ', '.join(keys) if keys else ''})")
+        parts.append(f"{name} AS (SELECT {select} FROM {source}{' WHERE ' + where[0] if where else ''}{' GROUP BY ' + ', '.join(keys) if keys else ''})")
     if not parts:
         return sql
     body = sql.strip()
@@ -129,8 +174,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of the catalog, or a plain table."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    source, keys, columns = VIEWS[name]
+    source, keys, columns, *where = VIEWS[name]
     df = load(spark, sf_dir, source)
+    if where:
+        df = df.filter(where[0])
     if keys:
         from pyspark.sql import functions as F
 

@@ -179,7 +179,7 @@ def s_27(spark, d):
     return load(spark, d, "file").select("file_id", target_path(F.col("relative_path"), "export", "{stem}_web{ext}").alias("target"))
 
 
-@query("s_28_path_safety", "SELECT page_id, CASE WHEN url LIKE '%..%' THEN 'parent' WHEN regexp_matches(url, '[<>:\"|?*]') THEN 'character' END AS problem FROM pages", views=False)
+@query("s_28_path_safety", r"SELECT page_id, CASE WHEN regexp_matches(url, '(^|/)\.\.(/|$)') THEN 'parent' WHEN regexp_matches(url, '[<>:\"|?*]') THEN 'character' END AS problem FROM pages", views=False)
 def s_28(spark, d):
     from ..operators.planning import path_problem
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import media as M
@@ -11,15 +14,16 @@ from .catalog import load
 from .registry import query
 
 RULES = [
-    {"rule_id": "keep-raw", "position": 1, "match": {"media_type": "image", "extensions": [".CR3", ".dng"], "origin": "external", "selection_state_not": "rejected"}, "action": {"operation": "copy"}},
-    {"rule_id": "shrink-large", "position": 2, "match": {"representation_class": "conventional-image", "min_size_bytes": 5_000_000}, "action": {"operation": "compress", "source_disposition": "replace"}},
-    {"rule_id": "trip-video", "position": 3, "match": {"media_type": "video", "folder_prefix": "/Year1/Trip4/"}, "action": {"operation": "move"}},
+    {"rule_id": "keep-raw", "position": 1, "match": {"media_type": "image", "extensions": [".CR3", ".dng"], "origin": "external", "selection_state_not": "rejected"}, "action": {"operation": "copy", "destination_dir": "Out"}},
+    {"rule_id": "shrink-large", "position": 2, "match": {"representation_class": "conventional-image", "min_size_bytes": 5_000_000}, "action": {"operation": "compress", "source_disposition": "replace", "target_template": "Out/{stem}.jxl"}},
+    {"rule_id": "trip-video", "position": 3, "match": {"media_type": "video", "folder_prefix": "/Year1/Trip4/"}, "action": {"operation": "move", "destination_dir": "Out"}},
     {"rule_id": "small-managed", "position": 4, "match": {"origin": "managed", "max_size_bytes": 900_000}, "action": {"operation": "delete"}},
-    {"rule_id": "tidy", "position": 5, "match": {"folder_scope": {"mode": "all_except", "paths": ["year2/", "Year3\\Trip2", "YEAR2"]}, "formats": ["jpeg", "PNG"], "selection_states": ["rejected", "undecided"]}, "action": {"operation": "move"}},
-    {"rule_id": "originals", "position": 6, "match": {"format": "heic", "role": "original", "selection_state": "selected", "origin": "either"}, "action": {"operation": "copy"}},
+    {"rule_id": "tidy", "position": 5, "match": {"folder_scope": {"mode": "all_except", "paths": ["year2/", "Year3\\Trip2", "YEAR2"]}, "formats": ["jpeg", "PNG"], "selection_states": ["rejected", "undecided"]}, "action": {"operation": "move", "destination_dir": "Out"}},
+    {"rule_id": "originals", "position": 6, "match": {"format": "heic", "role": "original", "selection_state": "selected", "origin": "either"}, "action": {"operation": "copy", "destination_dir": "Out"}},
 ]
+PROVEN_SQL = "(file_id, relative_path, sha256) IN (SELECT (file_id, output_path, output_sha256) FROM managed_copy UNION ALL SELECT (file_id, output_path, output_sha256) FROM managed_derivative)"
 RULES_SQL = f"""f AS (SELECT file.*, a.selection_state FROM file JOIN asset a ON file.asset_id = a.asset_id),
- c AS (SELECT *, CASE WHEN extension IN ('.jpg', '.jpeg', '.png') THEN 'conventional-image' ELSE 'x' END AS cls, CASE WHEN role LIKE 'managed%' OR role LIKE 'derived%' THEN 'managed' ELSE 'source' END AS org FROM f),
+ c AS (SELECT *, CASE WHEN extension IN ('.jpg', '.jpeg', '.png') THEN 'conventional-image' ELSE 'x' END AS cls, CASE WHEN role LIKE 'managed%' OR role LIKE 'derived%' OR {PROVEN_SQL} THEN 'managed' ELSE 'source' END AS org FROM f),
  m AS (SELECT file_id, 'keep-raw' AS rule_id, 1 AS position, 'copy' AS op, FALSE AS rep, size_bytes, is_online, in_scope FROM c WHERE media_type = 'image' AND {RAW_SQL} AND extension IN ('.cr3', '.dng') AND org = 'source' AND selection_state <> 'rejected'
  UNION ALL SELECT file_id, 'shrink-large', 2, 'compress', TRUE, size_bytes, is_online, in_scope FROM c WHERE cls = 'conventional-image' AND size_bytes >= 5000000
  UNION ALL SELECT file_id, 'trip-video', 3, 'move', FALSE, size_bytes, is_online, in_scope FROM c WHERE media_type = 'video' AND (lower(folder) = 'year1/trip4' OR lower(folder) LIKE 'year1/trip4/%')
@@ -31,8 +35,9 @@ RULES_SQL = f"""f AS (SELECT file.*, a.selection_state FROM file JOIN asset a ON
 
 
 def matches(spark, d):
+    """Rules on files with their decisions and provenance."""
     f = load(spark, d, "file").join(load(spark, d, "asset").select("asset_id", "selection_state"), "asset_id")
-    return P.match_rules(f, P.parse_rules(spark, RULES))
+    return P.match_rules(P.managed_outputs(f, load(spark, d, "managed_copy"), load(spark, d, "managed_derivative")), RULES)
 
 
 @query("flt_14_jn_14_rule_matches", f"WITH {RULES_SQL} SELECT file_id, rule_id, CAST(position AS INT) AS position FROM m")
@@ -43,7 +48,7 @@ def flt_14(spark, d):
 @query("udf_5_rule_operations", f"WITH {RULES_SQL} SELECT file_id, rule_id, op AS operation, conflict FROM w")
 def udf_5(spark, d):
     """Written rules as operations on files, with those that cannot be carried out together."""
-    return P.combination_conflicts(matches(spark, d)).select("file_id", "rule_id", "operation", (F.size("conflicts") > 0).alias("conflict"))
+    return matches(spark, d).select("file_id", "rule_id", "operation", (F.size("conflicts") > 0).alias("conflict"))
 
 
 @query("cmp_26_plan_summary", f"WITH {RULES_SQL} SELECT rule_id, op AS operation, count(*) AS candidates, count_if(conflict) AS conflicting, count_if(is_online AND in_scope AND NOT conflict) AS ready, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(coalesce(sum(CASE WHEN is_online AND in_scope AND NOT conflict THEN size_bytes END), 0) AS BIGINT) AS ready_bytes FROM w GROUP BY rule_id, op")
@@ -51,7 +56,7 @@ def cmp_26(spark, d):
     """A plan by rule: what matches, what conflicts, what can be carried out."""
     clash = F.size("conflicts") > 0
     ready = F.col("is_online") & F.col("in_scope") & ~clash
-    return P.combination_conflicts(matches(spark, d)).groupBy("rule_id", "operation").agg(F.count("*").alias("candidates"), F.count_if(clash).alias("conflicting"), F.count_if(ready).alias("ready"), F.sum("size_bytes").alias("bytes"), F.coalesce(F.sum(F.when(ready, F.col("size_bytes"))), F.lit(0)).alias("ready_bytes"))
+    return matches(spark, d).groupBy("rule_id", "operation").agg(F.count("*").alias("candidates"), F.count_if(clash).alias("conflicting"), F.count_if(ready).alias("ready"), F.sum("size_bytes").alias("bytes"), F.coalesce(F.sum(F.when(ready, F.col("size_bytes"))), F.lit(0)).alias("ready_bytes"))
 
 
 @query("cmp_29_srt_12_execution_order", f"WITH {RULES_SQL} SELECT rule_id, file_id, row_number() OVER (ORDER BY CASE op WHEN 'copy' THEN 0 WHEN 'compress' THEN 1 WHEN 'move' THEN 2 ELSE 3 END, position, file_id) AS place FROM w WHERE is_online AND in_scope AND NOT conflict")
@@ -59,11 +64,161 @@ def cmp_29(spark, d):
     """Copies, compressions, moves, deletions; within a phase by rule and file."""
     from ..operators.browse import locate
 
-    ready = P.combination_conflicts(matches(spark, d)).filter("is_online and in_scope and size(conflicts) = 0").select("rule_id", "file_id", "position", P.phase(F.col("operation")).alias("phase"))
+    ready = matches(spark, d).filter("is_online and in_scope and size(conflicts) = 0").select("rule_id", "file_id", "position", P.phase(F.col("operation")).alias("phase"))
     ready = ready.withColumnRenamed("position", "rule_place")
     return locate(ready, [F.col("phase"), F.col("rule_place"), F.col("file_id")], 100).select("rule_id", "file_id", (F.col("position") + 1).alias("place"))
 
 
+PROFILES = [
+    {"profile_id": "jxl-80", "name": "High", "codec": "jpeg-xl", "container": "jxl", "settings": {"quality": 80}},
+    {"profile_id": "jxl-60", "name": "Balanced", "codec": "jpeg-xl", "container": "jxl", "settings": {"distance": 1.5}},
+    {"profile_id": "av1", "name": "Web", "codec": "av1", "container": "mp4", "settings": {"estimated_output_ratio": 0.3}},
+    {"profile_id": "avif", "name": "Preview", "codec": "avif", "container": "avif", "settings": {}},
+]
+PLAN_RULES = [
+    {"rule_id": "archive-raw", "position": 1, "match": {"extensions": [".cr3", ".dng"], "origin": "source"}, "action": {"operation": "copy", "destination_dir": "Archive/", "preserve_relative_structure": True}},
+    {"rule_id": "best-of", "position": 2, "match": {"formats": ["jpeg"], "selection_state": "selected"}, "action": {"operation": "copy", "destination_dir": "Best"}},
+    {"rule_id": "shrink", "position": 3, "match": {"representation_class": "conventional-image", "min_size_bytes": 2_000_000}, "action": {"operation": "compress", "profile_id": "jxl-60", "conflict_policy": "skip", "depends_on_rule_id": "best-of"}},
+    {"rule_id": "replace-png", "position": 4, "match": {"format": "png", "selection_state": "rejected"}, "action": {"operation": "compress", "profile_id": "jxl-80", "destination_dir": "", "source_disposition": "replace", "conflict_policy": "overwrite"}},
+    {"rule_id": "web-video", "position": 5, "match": {"media_type": "video"}, "action": {"operation": "compress", "profile_id": "av1", "destination_dir": "Video", "compress_in_place": False}},
+    {"rule_id": "sort-heic", "position": 6, "match": {"format": "heic", "selection_state": "undecided"}, "action": {"operation": "move", "target_template": "Sorted/{ext}/{relative_dir}/{filename}", "conflict_policy": "overwrite"}},
+    {"rule_id": "gather", "position": 7, "match": {"formats": ["png"], "folder_prefix": "Year1"}, "action": {"operation": "move", "destination_dir": "Year1", "rename_on_conflict": False}},
+    {"rule_id": "purge", "position": 8, "match": {"origin": "managed", "max_size_bytes": 3_000_000, "selection_states": ["rejected", "selected"]}, "action": {"operation": "delete"}},
+    {"rule_id": "odd", "position": 9, "match": {"extensions": [".JXL"], "min_size_bytes": 5_000_000}, "action": {"operation": "copy", "target_template": "con/{filename}"}},
+    {"rule_id": "preview", "position": 10, "match": {"format": "heic", "selection_state_not": "undecided"}, "action": {"operation": "compress", "profile_id": "avif", "destination_dir": "Preview", "compress_in_place": False}},
+    {"rule_id": "vault", "position": 11, "match": {"extensions": [".dng"]}, "action": {"operation": "copy", "destination_dir": "Vault", "conflict_policy": "overwrite", "depends_on_rule_id": "archive-raw"}},
+    {"rule_id": "mirror", "position": 12, "match": {"extensions": [".dng"], "min_size_bytes": 1_000_000}, "action": {"operation": "copy", "destination_dir": "Mirror", "depends_on_rule_id": "vault"}},
+]
+
+
+def plan_inputs(spark, d):
+    """What a plan is made from: files with decisions, cached analyses, files that exist by path, provenance."""
+    f = load(spark, d, "file").join(load(spark, d, "asset").select("asset_id", "selection_state"), "asset_id")
+    analysis = load(spark, d, "analysis").withColumn("hard_blockers", F.when(F.col("note").isNotNull(), F.array("note")))
+    # several files of the test tables share a path: the latest is the one that is there
+    online = load(spark, d, "file").filter("is_online")
+    existing = online.groupBy(M.casefold(F.col("relative_path")).alias("target")).agg(F.max_by("sha256", "file_id").alias("sha256"))
+    return f, analysis, existing, load(spark, d, "managed_copy"), load(spark, d, "managed_derivative")
+
+
+def plan_of(spark, d):
+    f, analysis, existing, copies, derivatives = plan_inputs(spark, d)
+    return P.dry_run(f, PLAN_RULES, PROFILES, analysis, existing, copies, derivatives)
+
+
+_DIR = "CASE WHEN folder = '' THEN '' ELSE folder || '/' END"
+_STEM = "substr(filename, 1, length(filename) - length(extension))"
+
+
+def _rule_sql(rule_id, position, operation, where, target, policy="rename", replace=False, profile=None, codec=None, ratio=0.5, depends=None):
+    text = lambda v: "CAST(NULL AS VARCHAR)" if v is None else f"'{v}'"
+    return (
+        f"SELECT *, {text(rule_id)} AS rule_id, {position} AS position, {text(operation)} AS operation, {replace} AS replace, {text(policy)} AS policy, {text(profile)} AS profile_id, {text(codec)} AS codec,"
+        f" {text(depends)} AS depends_on, {target} AS raw, CASE WHEN size_bytes = 0 THEN 0 ELSE CAST(greatest(1, floor(size_bytes * CAST({ratio} AS DOUBLE))) AS BIGINT) END AS estimated_bytes FROM c WHERE {where}"
+    )
+
+
+#: The plan in SQL.  No name of the test tables ends in a number in brackets, so renamed outputs can be counted instead of sought.
+PLAN_SQL = rf"""f AS (SELECT file.*, a.selection_state FROM file JOIN asset a ON file.asset_id = a.asset_id WHERE in_scope AND is_online),
+ c AS (SELECT *, CASE WHEN role LIKE 'managed%' OR role LIKE 'derived%' OR {PROVEN_SQL} THEN 'managed' ELSE 'source' END AS org FROM f),
+ m AS ({" UNION ALL ".join([
+    _rule_sql("archive-raw", 1, "copy", "extension IN ('.cr3', '.dng') AND org = 'source'", "'Archive/' || relative_path"),
+    _rule_sql("best-of", 2, "copy", "extension = '.jpg' AND selection_state = 'selected'", "'Best/' || filename"),
+    _rule_sql("shrink", 3, "compress", "extension IN ('.jpg', '.png') AND size_bytes >= 2000000", f"{_DIR} || {_STEM} || '.jxl'", "skip", False, "jxl-60", "jpeg-xl", 0.35, "best-of"),
+    _rule_sql("replace-png", 4, "compress", "extension = '.png' AND selection_state = 'rejected'", f"{_DIR} || {_STEM} || '.jxl'", "overwrite", True, "jxl-80", "jpeg-xl", 0.5),
+    _rule_sql("web-video", 5, "compress", "media_type = 'video'", f"'Video/' || {_STEM} || '.mp4'", "rename", False, "av1", "av1", 0.3),
+    _rule_sql("sort-heic", 6, "move", "extension = '.heic' AND selection_state = 'undecided'", "'Sorted/heic/' || folder || '/' || filename", "overwrite"),
+    _rule_sql("gather", 7, "move", "extension = '.png' AND (lower(folder) = 'year1' OR lower(folder) LIKE 'year1/%')", "'Year1/' || filename", "skip"),
+    _rule_sql("purge", 8, "delete", "org = 'managed' AND size_bytes <= 3000000 AND selection_state IN ('rejected', 'selected')", "CAST(NULL AS VARCHAR)"),
+    _rule_sql("odd", 9, "copy", "extension = '.jxl' AND size_bytes >= 5000000", "'con/' || filename"),
+    _rule_sql("preview", 10, "compress", "extension = '.heic' AND selection_state <> 'undecided'", f"'Preview/' || {_STEM} || '.avif'", "rename", False, "avif", "avif"),
+    _rule_sql("vault", 11, "copy", "extension = '.dng'", "'Vault/' || filename", "overwrite", depends="archive-raw"),
+    _rule_sql("mirror", 12, "copy", "extension = '.dng' AND size_bytes >= 1000000", "'Mirror/' || filename", depends="vault"),
+])}),
+ n AS (SELECT *, CASE WHEN raw LIKE 'con/%' THEN 'device' WHEN raw LIKE '%//%' THEN 'malformed' END AS problem, row_number() OVER (ORDER BY relative_path, file_id, position) AS ord,
+   count_if(operation = 'move') OVER p > 1 AND operation = 'move' AS k1,
+   (operation IN ('move', 'delete') OR (operation = 'compress' AND replace)) AND (count_if(operation IN ('move', 'delete')) OVER p > 1 OR (count_if(operation IN ('move', 'delete')) OVER p > 0 AND count_if(operation = 'compress' AND replace) OVER p > 0)) AS k2,
+   operation IN ('delete', 'copy') AND count_if(operation = 'delete') OVER p > 0 AND count_if(operation = 'copy') OVER p > 0 AS k3 FROM m WINDOW p AS (PARTITION BY file_id)),
+ b AS (SELECT n.*, CASE WHEN problem IS NULL THEN raw END AS target, z.status AS z_status, CASE WHEN n.operation <> 'compress' THEN NULL WHEN n.codec = 'avif' THEN 'preview only'
+     WHEN (n.codec = 'jpeg-xl' AND n.extension NOT IN ('.jpg', '.png')) THEN 'format not supported' WHEN z.file_id IS NULL THEN 'not analysed' WHEN z.status = 'preflight_required' THEN NULL WHEN z.status = 'timeout' THEN 'analysis timed out'
+     WHEN z.status = 'transient_failure' THEN 'analysis failed' WHEN z.error IS NOT NULL THEN z.error
+     WHEN n.codec = 'av1' AND (z.width = 0 OR z.height = 0 OR z.duration IS NULL OR z.fps = 0) THEN 'size, duration or frame rate unknown' WHEN n.codec = 'av1' AND z.bit_depth > 10 THEN 'more than 10 bits'
+     WHEN n.codec = 'jpeg-xl' AND z.mode NOT IN ('RGB', 'RGBA') THEN 'not 8-bit RGB or RGBA' WHEN n.codec = 'jpeg-xl' THEN z.note END AS blocker
+   FROM n LEFT JOIN analysis z ON n.operation = 'compress' AND z.file_id = n.file_id AND z.codec = n.codec AND z.contract = 'v1' AND z.runtime = 'r1' AND z.sha256 = n.sha256 AND z.size_bytes = n.size_bytes AND z.mtime = n.mtime),
+ e AS (SELECT lower(relative_path) AS fam, arg_max(sha256, file_id) AS there FROM file WHERE is_online GROUP BY lower(relative_path)),
+ t AS (SELECT b.*, lower(target) = lower(relative_path) AS own, there, lower(target) AS key FROM b LEFT JOIN e ON lower(b.target) = e.fam WHERE target IS NOT NULL),
+ s AS (SELECT *, CASE WHEN own THEN replace OR operation IN ('move', 'copy') OR policy <> 'rename' WHEN there IS NULL THEN TRUE WHEN there = sha256 THEN TRUE ELSE policy <> 'rename' END AS settles FROM t),
+ r AS (SELECT key, min(ord) FILTER (settles) AS first, arg_min(sha256, ord) FILTER (settles) AS first_sha FROM s GROUP BY key),
+ u AS (SELECT s.*, CASE WHEN ord > first AND first_sha = sha256 THEN 'already_satisfied' WHEN own THEN CASE WHEN replace THEN 'replace_source' WHEN operation IN ('move', 'copy') THEN 'already_satisfied' WHEN policy = 'rename' THEN 'renamed' WHEN policy = 'skip' THEN 'skipped' ELSE 'overwrite' END
+     WHEN ord > first THEN CASE policy WHEN 'rename' THEN 'renamed' WHEN 'skip' THEN 'skipped' ELSE 'conflict' END WHEN there IS NULL THEN 'ready' WHEN there = sha256 THEN 'already_satisfied' WHEN policy = 'rename' THEN 'renamed' WHEN policy = 'skip' THEN 'skipped' ELSE 'overwrite' END AS status,
+     coalesce(ord > first AND first_sha = sha256, FALSE) AS coalesced FROM s JOIN r USING (key)),
+ v AS (SELECT u.ord, status, coalesced, CASE WHEN status = 'renamed' THEN regexp_replace(target, '(\.[^./]*)$', ' (' || count_if(status = 'renamed') OVER (PARTITION BY key ORDER BY ord) || ')\1') ELSE target END AS final FROM u),
+ o AS (SELECT b.*, v.status, v.coalesced, v.final, concat_ws(';', problem, CASE WHEN k1 THEN 'several moves' END, CASE WHEN k2 THEN 'terminal operations' END, CASE WHEN k3 THEN 'copied and deleted' END, CASE WHEN v.status = 'conflict' THEN 'another planned output' END) AS conflicts, coalesce(blocker, '') AS blockers,
+     operation = 'compress' AND codec = 'av1' AND blocker IS NULL AND z_status IS NOT DISTINCT FROM 'preflight_required' AS preflight,
+     CASE operation WHEN 'delete' THEN -size_bytes WHEN 'copy' THEN size_bytes WHEN 'move' THEN 0 ELSE estimated_bytes - CASE WHEN replace THEN size_bytes ELSE 0 END END AS storage_delta FROM b LEFT JOIN v USING (ord)),
+ q AS (SELECT *, CASE WHEN conflicts <> '' OR blockers <> '' THEN 'excluded' WHEN status = 'already_satisfied' THEN 'satisfied' WHEN status = 'skipped' THEN 'skipped' ELSE 'pending' END AS base FROM o),
+ x AS (SELECT q.*, a.rule_id AS waits_for, a.base AS a_base, g.base AS g_base FROM q LEFT JOIN q a ON a.file_id = q.file_id AND a.rule_id = q.depends_on AND a.operation = 'copy' LEFT JOIN q g ON g.file_id = a.file_id AND g.rule_id = a.depends_on AND g.operation = 'copy'),
+ plan AS (SELECT *, ord - 1 AS plan_position, CASE WHEN base = 'pending' AND a_base IS NOT NULL AND NOT (a_base = 'satisfied' OR (a_base = 'pending' AND (g_base IS NULL OR g_base IN ('satisfied', 'pending')))) THEN 'dependency' ELSE base END AS state FROM x)"""
+
+
+@query("cmp_26_plan_operations", f"WITH {PLAN_SQL} SELECT plan_position, file_id, rule_id, operation, final, status, coalesced, conflicts, blockers, preflight, estimated_bytes, storage_delta, waits_for, state FROM plan")
+def cmp_26_operations(spark, d):
+    """The dry-run plan: match, combinations, eligibility, targets in plan order, dependencies."""
+    text = lambda c: F.array_join(c, ";").alias(c)
+    return plan_of(spark, d).select("plan_position", "file_id", "rule_id", "operation", "final", "status", "coalesced", text("conflicts"), text("blockers"), "preflight", "estimated_bytes", "storage_delta", "waits_for", "state")
+
+
+_TOTALS = ", ".join(
+    f"count_if({cond}) AS {name}_files, CAST(coalesce(sum(size_bytes) FILTER ({cond}), 0) AS BIGINT) AS {name}_bytes, CAST(coalesce(sum(estimated_bytes) FILTER ({cond} AND operation = 'compress'), 0) AS BIGINT) AS {name}_output_bytes,"
+    f" CAST(coalesce(sum(greatest(0, size_bytes - estimated_bytes)) FILTER ({cond} AND operation = 'compress' AND replace), 0) AS BIGINT) AS {name}_saved_bytes, CAST(coalesce(sum(storage_delta) FILTER ({cond}), 0) AS BIGINT) AS {name}_delta"
+    for name, cond in (("candidate", "TRUE"), ("potential", "state IN ('pending', 'dependency')"), ("ready", "state IN ('pending', 'dependency') AND NOT preflight"))
+)
+
+
+@query("cmp_26_agg_12_plan_totals", f"WITH {PLAN_SQL} SELECT operation, {_TOTALS}, count_if(blockers <> '') AS blocked, count_if(conflicts <> '') AS conflicted, count_if(preflight) AS preflight, count_if(status IS NOT DISTINCT FROM 'already_satisfied') AS satisfied, count_if(status IS NOT DISTINCT FROM 'skipped') AS skipped FROM plan GROUP BY operation")
+def cmp_26_totals(spark, d):
+    """By operation: everything planned, what could run, what can run now."""
+    return P.plan_summary(plan_of(spark, d))
+
+
+@query("cmp_26_plan_survivors", f"""WITH {PLAN_SQL}, h AS (SELECT asset_id, file_id FROM file WHERE in_scope AND is_online), k AS (SELECT asset_id FROM h WHERE file_id NOT IN (SELECT file_id FROM plan WHERE operation = 'delete' AND state IN ('pending', 'dependency'))
+ UNION ALL SELECT asset_id FROM plan WHERE operation = 'compress' AND replace AND NOT preflight AND state IN ('pending', 'dependency')) SELECT DISTINCT asset_id FROM h WHERE asset_id NOT IN (SELECT asset_id FROM k)""")
+def cmp_26_survivors(spark, d):
+    """Assets that the plan leaves without a representation."""
+    return P.assets_without_survivor(load(spark, d, "file"), plan_of(spark, d))
+
+
+@query("cmp_26_s_26_plan_digest", f"""WITH {PLAN_SQL}, h AS (SELECT plan_position, sha256(concat_ws('|', plan_position, operation, file_id, asset_id, relative_path, coalesce(role, '-'), coalesce(selection_state, '-'), size_bytes, mtime, coalesce(sha256, '-'), coalesce(final, '-'), policy, CAST(replace AS VARCHAR),
+   coalesce(profile_id, '-'), rule_id, coalesce(status, '-'), concat_ws(';', nullif(conflicts, ''), nullif(blockers, '')), CAST(preflight AS VARCHAR), estimated_bytes, storage_delta, coalesce(CAST(coalesced AS VARCHAR), '-'), coalesce(waits_for, '-'))) AS h FROM plan),
+ k AS (SELECT plan_position // 10000 AS block, count(*) AS n, sha256(string_agg(h, '' ORDER BY plan_position)) AS h FROM h GROUP BY ALL)
+ SELECT CAST(sum(n) AS BIGINT) AS operations, sha256('{hashlib.sha256(json.dumps({"rules": PLAN_RULES, "profiles": PROFILES}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()}' || sha256(string_agg(h, '' ORDER BY block))) AS digest FROM k""")
+def cmp_26_digest(spark, d):
+    """One hash for the ordered plan and the rules behind it."""
+    return P.plan_digest(plan_of(spark, d), PLAN_RULES, PROFILES)
+
+
+_PICKED = "plan_position % 3 > 0"
+_RUN_SQL = f"""{PLAN_SQL}, p1 AS (SELECT *, state IN ('pending', 'dependency') AND {_PICKED} AS selected, CASE operation WHEN 'copy' THEN 0 WHEN 'compress' THEN 1 WHEN 'move' THEN 2 ELSE 3 END AS phase FROM plan),
+ p2 AS (SELECT p1.*, p1.selected AND p1.waits_for IS NOT NULL AND NOT coalesce(w.selected OR w.state = 'satisfied', FALSE) AS missing_copy FROM p1 LEFT JOIN p1 w ON w.file_id = p1.file_id AND w.rule_id = p1.waits_for AND w.operation = 'copy'),
+ run AS (SELECT *, row_number() OVER (ORDER BY phase, plan_position) - 1 AS execution_position, CASE WHEN state IN ('pending', 'dependency') AND NOT selected THEN 'excluded' WHEN state IN ('satisfied', 'dependency') THEN 'skipped' ELSE state END AS execution_state FROM p2)"""
+
+
+@query("cmp_29_jn_15_execution", f"WITH {_RUN_SQL} SELECT execution_position, plan_position, phase, execution_state, missing_copy, CASE WHEN state = 'excluded' THEN concat_ws('; ', nullif(replace(conflicts, ';', '; '), ''), nullif(blockers, '')) WHEN state = 'satisfied' THEN 'already satisfied' WHEN state = 'skipped' THEN 'destination exists' WHEN NOT selected THEN 'not selected' WHEN state = 'dependency' THEN 'its copy is not made' END AS reason FROM run")
+def cmp_29_execution(spark, d):
+    """A selection of two thirds of a plan as it would be carried out, with the copies that it lacks."""
+    plan = plan_of(spark, d)
+    run = P.prepared(plan, plan.filter(_PICKED).select("plan_position"))
+    return run.select("execution_position", "plan_position", "phase", "execution_state", "missing_copy", "reason")
+
+
+@query("cmp_29_execution_totals", f"""WITH {_RUN_SQL}, w AS (SELECT *, execution_state = 'pending' AND NOT preflight AS runs FROM run) SELECT count_if(runs) AS executable, count_if(execution_state = 'pending') AS potential, count_if(selected) AS selected, count_if(missing_copy) AS missing_copies,
+ CAST(coalesce(sum(CASE WHEN operation = 'copy' THEN size_bytes WHEN operation = 'compress' THEN estimated_bytes END) FILTER (runs), 0) AS BIGINT) AS written, CAST(coalesce(sum(size_bytes) FILTER (runs AND (operation = 'delete' OR (operation = 'compress' AND replace))), 0) AS BIGINT) AS removed,
+ CAST(coalesce(sum(storage_delta) FILTER (runs), 0) AS BIGINT) AS delta, CAST(coalesce(sum(size_bytes) FILTER (execution_state = 'pending' AND operation <> 'delete'), 0) AS BIGINT) AS temporary FROM w""")
+def cmp_29_totals(spark, d):
+    plan = plan_of(spark, d)
+    return P.execution_totals(P.prepared(plan, plan.filter(_PICKED).select("plan_position")))
+
+
 @query("flt_11_cmp_34_scope", f"SELECT file_id, folder NOT IN ('Year2', 'Year3/Trip2') AND extension IN ('.jpg', '.cr3', '.mp4') AND NOT {RAW_SQL} AS now_in_scope FROM file")
 def flt_11(spark, d):
     """Exact-folder exclusions first, then enabled categories and extensions."""
