@@ -271,3 +271,25 @@ def test_greedy_selection(spark):
     order = lambda d: [x["id"] for x in d.orderBy("pick").collect()]
     assert order(selection.diversified(df, 2, 0.55)) == [1, 3]
     assert order(selection.coverage(df, 2, 0.5, "mmr")) == [1, 3] and order(selection.coverage(df, 4, 1.0))[0] == 4
+
+
+def test_blended_affinity_and_single_column_picks(spark):
+    """Two encoders and time decide what is alike; against every order of picks by their definition."""
+    r = np.random.default_rng(4)
+    rows = [(i, 1, r.normal(size=6).tolist(), r.normal(size=6).tolist(), float(i * 40) if i % 4 else None, float(r.random()), float(r.random())) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, session long, vec array<double>, second array<double>, t double, quality double, sharpness double")
+    unit = lambda k: np.array([np.array(x[k]) / np.linalg.norm(x[k]) for x in rows])
+    a, b = unit(2) @ unit(2).T, unit(3) @ unit(3).T
+    t = np.array([np.nan if x[4] is None else x[4] for x in rows])
+    want = (0.65 * np.clip((a - 0.55) / 0.45, 0, 1) + 0.35 * np.clip((b - 0.75) / 0.25, 0, 1)) * (0.65 + 0.35 * np.nan_to_num(np.exp(-np.abs(t[:, None] - t) / 180)))
+    np.fill_diagonal(want, 1)
+    for strategy in ("coverage", "mmr"):
+        got, left, near = [x["id"] for x in selection.coverage(df, 5, 0.6, strategy).orderBy("pick").collect()], set(range(12)), np.zeros(12)
+        for i in got:
+            gains = np.maximum(want - near, 0) @ (1 / np.maximum(want.sum(0), 1))
+            score = 0.4 * np.array([x[5] for x in rows]) + (0.6 * gains / max(gains.max(), 1e-8) - 0.15 * np.clip((near - 0.85) / 0.15, 0, 1) if strategy == "coverage" else 0.6 * (1 - near))
+            assert i == max(left, key=lambda j: (score[j], -j))
+            left.remove(i)
+            near = np.maximum(near, want[i])
+    order = lambda by: [x["id"] for x in selection.picks(df, 3, by).orderBy("pick").collect()]
+    assert order("laplacian") == sorted(range(12), key=lambda i: -rows[i][6])[:3] and order("time") == [1, 2, 3]
