@@ -119,10 +119,14 @@ def standardised(grid: Column) -> Column:
     return F.element_at(one, 1)
 
 
+def histogram_counts(grid: Column, bins: int) -> Column:
+    """Number of a grid's pixels in each of ``bins`` equal ranges."""
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.size(F.filter(grid, lambda p: F.floor(p * bins / 256) == i)))
+
+
 def histogram(grid: Column, bins: int) -> Column:
     """Share of a grid's pixels in each of ``bins`` equal ranges, to six places."""
-    count = lambda i: F.size(F.filter(grid, lambda p: F.floor(p * bins / 256) == i))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.bround(count(i) / F.size(grid), 6))
+    return F.transform(histogram_counts(grid, bins), lambda n: F.bround(n / F.size(grid), 6))
 
 
 def visual_features(df: DataFrame, red: str, green: str, blue: str, width: str) -> DataFrame:

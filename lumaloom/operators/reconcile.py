@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media as M
+from ..functions import pixels as X
 from ..functions import times as T
 from .scratch import written
 
@@ -59,7 +60,7 @@ def stem_pairs(assets: DataFrame, files: DataFrame, tolerance: float = 5.0) -> D
     own = files.filter((F.col("media_type") == "image") & ~role.startswith("managed") & ~role.startswith("derived") & (F.lower("extension") != ".jxl"))
     raw = M.is_raw(F.col("extension"))
     ends = [f(F.when(c, F.col("asset_id"))).alias(n) for n, f, c in (("r0", F.min, raw), ("r1", F.max, raw), ("j0", F.min, ~raw), ("j1", F.max, ~raw))]
-    met = own.groupBy(F.lower(M.stem(F.col("filename"))).alias("stem")).agg(*ends).filter("r0 is not null and j0 is not null")
+    met = own.groupBy(M.casefold(M.stem(F.col("filename"))).alias("stem")).agg(*ends).filter("r0 is not null and j0 is not null")
     seconds, kind = T.capture_seconds(F.col("capture_time"), F.col("capture_time_kind")), F.col("capture_time_kind")
     known = assets.select("asset_id", "selection_state", seconds.alias("s"), T.wall_clock_us(F.col("capture_time")).alias("w"), T.semantics(kind).alias("axis"), F.lower(F.trim("camera")).alias("camera"))
     side = lambda n, key: known.select(*[F.col(c).alias(f"{n}_{c}" if c != "asset_id" else key) for c in known.columns])
@@ -79,3 +80,168 @@ def stem_pairs(assets: DataFrame, files: DataFrame, tolerance: float = 5.0) -> D
     one = lambda lo, hi: F.when(F.col(lo) == F.col(hi), F.col(lo))
     out = j.select("stem", one("r0", "r1").alias("raw_asset"), one("j0", "j1").alias("rendered_asset"), outcome.alias("outcome"), rule.alias("rule")).filter("outcome is not null")
     return out.withColumn("rule", F.when(F.col("outcome").isin("paired", "decision_conflict"), F.col("rule")))
+
+
+#: How far two pictures of one scene may be apart (root mean square and histogram as shares, gradient bits).
+RMSE_MOST, BITS_MOST, HISTOGRAM_MOST = 0.08, 10, 0.12
+
+
+def camera_of(files: DataFrame) -> DataFrame:
+    """asset_id, camera: the one maker and model that an asset's files name (trimmed, without case); none if they name several."""
+    name = lambda c: M.casefold(F.trim(F.coalesce(c, F.lit(""))))
+    named = files.select("asset_id", F.struct(name("make").alias("make"), name("model").alias("model")).alias("camera")).filter("camera.make <> '' or camera.model <> ''")
+    return named.groupBy("asset_id").agg(F.min("camera").alias("low"), F.max("camera").alias("high")).filter("low = high").select("asset_id", F.concat_ws("\0", "low.make", "low.model").alias("camera"))
+
+
+def survivors(assets: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFrame:
+    """asset_id, survivor of every asset that edges(a, b) connect to another and that is not blocked: decided first, then the oldest, then the smallest id."""
+    members = min_label_components(edges).join(assets.select("asset_id", "selection_state", "created_at"), F.col("node") == F.col("asset_id")).join(blocked, "asset_id", "left_anti")
+    key = F.struct((F.col("selection_state") == "undecided").alias("open"), "created_at", "asset_id")
+    heads = members.groupBy("component").agg(F.min_by("asset_id", key).alias("survivor"))
+    return written(members.join(heads, "component").select("asset_id", "survivor"), "survivors")
+
+
+def renamed_to(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """df with ``column`` replaced by its survivor where it has one."""
+    to = names.filter("asset_id <> survivor").select(F.col("asset_id").alias("__from"), F.col("survivor").alias("__to"))
+    return df.join(to, F.col(column) == F.col("__from"), "left").withColumn(column, F.coalesce("__to", column)).drop("__from", "__to")
+
+
+def content_families(assets: DataFrame, files: DataFrame) -> DataFrame:
+    """media_type, sha256, head, assets, files, chosen, refused: families of content in several assets, with the smallest asset of either decision."""
+    known = files.filter("sha256 <> ''").groupBy("media_type", "sha256", "asset_id").agg(F.count("*").alias("n")).join(assets.select("asset_id", "selection_state"), "asset_id")
+    side = lambda v: F.min(F.when(F.col("selection_state") == v, F.col("asset_id")))
+    return known.groupBy("media_type", "sha256").agg(F.min("asset_id").alias("head"), F.count("*").alias("assets"), F.sum("n").alias("files"), side("selected").alias("chosen"), side("rejected").alias("refused"))
+
+
+def peer_evidence(pictures: DataFrame, assets: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """stem, jxl_asset, rendered_asset, rmse, bits, histogram: JPEG XL and rendered assets of one stem that show the same, each pair by its best files.
+
+    pictures(file_id, asset_id, stem, extension, width, height, small_red, small_green,
+    small_blue, bits) of unmanaged images; assets(asset_id, capture_time,
+    capture_time_kind, camera).  Pictures within the limit of the root mean square
+    have means within it, so a pair meets in a band of the mean brightness: the join
+    is on stem and band, and no stem's pictures are paired off whole.
+    """
+    jxl, raw = F.lower("extension") == ".jxl", M.is_raw(F.col("extension"))
+    small = F.concat("small_red", "small_green", "small_blue")
+    told = pictures.filter("small_red is not null").withColumn("mean", F.aggregate(small, F.lit(0).cast("long"), lambda a, x: a + x) / (F.size(small) * 255))
+    bins = [F.transform(X.histogram_counts(F.col(c), 16), lambda n: n.cast("double")) for c in ("small_red", "small_green", "small_blue")]
+    told = X.held(told, {"hist": F.concat(*bins)}).withColumn("band", F.floor(F.col("mean") / RMSE_MOST).cast("int"))
+    shown = ["file_id", "width", "height", "small_red", "small_green", "small_blue", "bits", "hist", "mean"]
+    stems = lambda cond: pictures.filter(cond).select("asset_id", "stem").distinct()
+    # any file of an asset with a JPEG XL under the stem may stand for it; of the other side only rendered files
+    left = stems(jxl).join(told.select("asset_id", "band", F.struct(*shown).alias("l")), "asset_id").select("stem", F.col("asset_id").alias("jxl_asset"), "l", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    right = stems(~jxl & ~raw).join(told.filter(~jxl & ~raw).select("asset_id", "band", F.struct(*shown).alias("r")), "asset_id").select("stem", F.col("asset_id").alias("rendered_asset"), "r", "band")
+    known = lambda side: (F.coalesce(F.col(f"{side}.width"), F.lit(0)) > 0) & (F.coalesce(F.col(f"{side}.height"), F.lit(0)) > 0)
+    sized = ~(known("l") & known("r")) | ((F.col("l.width") == F.col("r.width")) & (F.col("l.height") == F.col("r.height")))
+    met = left.join(right, ["stem", "band"]).filter((F.col("jxl_asset") != F.col("rendered_asset")) & sized & (F.abs(F.col("l.mean") - F.col("r.mean")) <= RMSE_MOST + 1e-9))
+    channels = [([F.col(f"{s}.small_{c}") for c in ("red", "green", "blue")]) for s in ("l", "r")]
+    far = met.select(
+        "stem", "jxl_asset", "rendered_asset", F.sqrt(X.mean_squared_error(*channels) / 65025).alias("rmse"),
+        F.aggregate(F.zip_with("l.bits", "r.bits", lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x).alias("bits"),
+        (F.aggregate(F.zip_with("l.hist", "r.hist", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x) / (F.size("l.small_red") * 6)).alias("histogram"),
+        F.col("l.file_id").alias("jxl_file"), F.col("r.file_id").alias("rendered_file"),
+    ).filter((F.col("rmse") <= RMSE_MOST) & (F.col("bits") <= BITS_MOST) & (F.col("histogram") <= HISTOGRAM_MOST))
+    best = far.groupBy("stem", "jxl_asset", "rendered_asset").agg(F.min(F.struct("rmse", "jxl_file", "rendered_file", "bits", "histogram")).alias("best"))
+    seconds, kind = T.capture_seconds(F.col("capture_time"), F.col("capture_time_kind")), F.col("capture_time_kind")
+    facts = assets.select("asset_id", seconds.alias("s"), T.wall_clock_us(F.col("capture_time")).alias("w"), T.semantics(kind).alias("axis"), "camera")
+    side = lambda n, key: facts.select(*[F.col(c).alias(key if c == "asset_id" else f"{n}_{c}") for c in facts.columns])
+    j = best.join(side("a", "jxl_asset"), "jxl_asset").join(side("b", "rendered_asset"), "rendered_asset")
+    apart = F.when(F.col("a_axis") != F.col("b_axis"), F.abs(F.col("a_w") - F.col("b_w")) / 1e6).otherwise(F.abs(F.col("a_s") - F.col("b_s")))
+    timed = F.col("a_s").isNotNull() & F.col("b_s").isNotNull()
+    against = (timed & F.coalesce(apart > tolerance, F.lit(True))) | F.coalesce(F.col("a_camera") != F.col("b_camera"), F.lit(False))
+    return j.filter(~against).select("stem", "jxl_asset", "rendered_asset", "best.rmse", "best.bits", "best.histogram")
+
+
+def _opposed(pairs: DataFrame, assets: DataFrame, left: str, right: str) -> DataFrame:
+    """pairs with ``opposed``: one side is selected, the other rejected."""
+    for column, name in ((left, "__l"), (right, "__r")):
+        pairs = pairs.join(assets.select(F.col("asset_id").alias(column), F.col("selection_state").alias(name)), column, "left")
+    both = F.array_sort(F.array("__l", "__r")) == F.array(F.lit("rejected"), F.lit("selected"))
+    return pairs.withColumn("opposed", F.coalesce(both, F.lit(False))).drop("__l", "__r")
+
+
+def reconcile_stages(assets: DataFrame, files: DataFrame, tolerance: float = 5.0) -> dict[str, DataFrame]:
+    """Entity resolution in three stages, each on the assets that the one before left.
+
+    assets(asset_id, selection_state, created_at, capture_time, capture_time_kind);
+    files(file_id, asset_id, filename, extension, media_type, role, sha256, width,
+    height, make, model, small_red, small_green, small_blue, bits), the last four of
+    :func:`pixels.identity_features`, null without a picture.
+
+    1. Content in several assets makes them one, unless their decisions oppose;
+       then all of them are blocked.  2. A RAW and a rendered asset, each alone
+       under a stem, become one if nothing speaks against it.  3. So do a JPEG XL
+       and a rendered asset, the only pair under a stem that shows the same.
+
+    Returned tables: ``assets`` (asset_id, survivor, capture_time,
+    capture_time_kind: a survivor without a time takes that of the last of its
+    assets that has one), ``files`` (file_id, asset_id, role after it all),
+    ``relations`` (kind, left_asset, right_asset, stem, rule) and ``conflicts``
+    (kind, left_asset, right_asset, stem).  Relations and conflicts are between
+    assets, for content from the smallest one to each other: the pairs of files
+    behind them are what :func:`sides` spells out.
+    """
+    role = F.lower(F.coalesce("role", F.lit("")))
+    own = files.filter((F.col("media_type") == "image") & ~role.startswith("managed") & ~role.startswith("derived")).withColumn("stem", M.casefold(M.stem(F.col("filename"))))
+    families = written(content_families(assets, files).filter("assets > 1"), "families")
+    opposed = F.col("chosen").isNotNull() & F.col("refused").isNotNull()
+    member = files.select("media_type", "sha256", "asset_id").distinct()
+    blocked = written(member.join(families.filter(opposed), ["media_type", "sha256"]).select("asset_id").distinct(), "blocked")
+    first = written(member.join(families.filter(~opposed).select("media_type", "sha256", "head"), ["media_type", "sha256"]).filter("asset_id <> head").select(F.col("head").alias("a"), F.col("asset_id").alias("b")).distinct(), "exact")
+    one = survivors(assets, first, blocked)
+
+    # stage 2: stems with one RAW and one rendered asset
+    mine = renamed_to(own, one, "asset_id")
+    known = assets.join(camera_of(mine), "asset_id", "left")
+    found = written(stem_pairs(known, mine, tolerance), "stems")
+    stopped = lambda df, l, r: df.join(blocked.withColumnRenamed("asset_id", l), l, "left_anti").join(blocked.withColumnRenamed("asset_id", r), r, "left_anti")
+    raw_pairs = stopped(found.filter("outcome = 'paired'"), "raw_asset", "rendered_asset")
+    raw_against = stopped(found.filter("outcome = 'decision_conflict'"), "raw_asset", "rendered_asset")
+    second = written(first.union(raw_pairs.select("raw_asset", "rendered_asset")), "second")
+    two = survivors(assets, second, blocked)
+
+    # stage 3: stems with one JPEG XL and rendered pair that shows the same
+    late = renamed_to(own, two, "asset_id")
+    peers = written(peer_evidence(late, assets.join(camera_of(late), "asset_id", "left"), tolerance), "peers")
+    single = peers.groupBy("stem").agg(F.count("*").alias("n"), F.min(F.struct("jxl_asset", "rendered_asset")).alias("p")).select("stem", "n", "p.*")
+    judged = written(_opposed(stopped(single.filter("n = 1"), "jxl_asset", "rendered_asset"), assets, "jxl_asset", "rendered_asset"), "judged")
+    third = written(second.union(judged.filter(~F.col("opposed")).select("jxl_asset", "rendered_asset")), "third")
+    last = survivors(assets, third, blocked)
+
+    same = found.filter("outcome = 'already_reconciled'").withColumn("rule", F.lit("already_reconciled"))
+    pair = lambda df, kind, left, right, rule: df.select(F.lit(kind).alias("kind"), F.col(left).alias("left_asset"), F.col(right).alias("right_asset"), "stem", rule.alias("rule"))
+    nothing = F.lit(None).cast("string")
+    content = member.join(families.select("media_type", "sha256", "head"), ["media_type", "sha256"]).filter("asset_id <> head").select("head", "asset_id").distinct().withColumn("stem", nothing)
+    relations = (
+        pair(content, "exact_duplicate", "head", "asset_id", F.lit("sha256"))
+        .unionByName(pair(raw_pairs, "raw_jpeg", "raw_asset", "rendered_asset", F.col("rule"))).unionByName(pair(same, "raw_jpeg", "raw_asset", "rendered_asset", F.col("rule")))
+        .unionByName(pair(judged.filter(~F.col("opposed")), "external_rendered_peer", "jxl_asset", "rendered_asset", F.lit("same_stem+dimensions+visual_identity")))
+    )
+    against = lambda df, kind, left, right: df.select(F.lit(kind).alias("kind"), F.col(left).alias("left_asset"), F.col(right).alias("right_asset"), "stem")
+    conflicts = (
+        against(families.filter(opposed).withColumn("stem", nothing), "exact_duplicate_decision_conflict", "chosen", "refused").distinct()
+        .unionByName(against(raw_against, "manual_decision_conflict", "raw_asset", "rendered_asset")).unionByName(against(found.filter("outcome = 'ambiguous'"), "ambiguous_raw_jpeg", "raw_asset", "rendered_asset"))
+        .unionByName(against(judged.filter("opposed"), "manual_decision_conflict", "jxl_asset", "rendered_asset")).unionByName(against(single.filter("n > 1"), "ambiguous_external_rendered_peer", "jxl_asset", "rendered_asset"))
+    )
+
+    merged = last.filter("asset_id <> survivor").select("asset_id", "survivor")
+    times = merged.join(assets.select("asset_id", "capture_time", "capture_time_kind"), "asset_id").filter("capture_time <> ''").groupBy("survivor").agg(F.max_by(F.struct("capture_time", "capture_time_kind"), "asset_id").alias("t"))
+    out = assets.join(merged, "asset_id", "left").withColumn("survivor", F.coalesce("survivor", "asset_id")).join(times.withColumnRenamed("survivor", "__s"), F.col("asset_id") == F.col("__s"), "left")
+    empty = F.coalesce(F.col("capture_time"), F.lit("")) == ""
+    taken = lambda c: F.when(empty & F.col("t").isNotNull(), F.col(f"t.{c}")).otherwise(F.col(c)).alias(c)
+    out = out.select("asset_id", "survivor", taken("capture_time"), taken("capture_time_kind"))
+
+    paired = sides(relations.filter("kind = 'raw_jpeg'"), mine).filter("side = 'right'").select("file_id").distinct().withColumn("rendered", F.lit(True))
+    moved = renamed_to(files.select("file_id", "asset_id", F.col("asset_id").alias("__was"), "extension", "role"), merged, "asset_id").join(paired, "file_id", "left")
+    part = F.when(M.is_raw(F.col("extension")), "camera_raw").when(F.col("rendered"), "camera_jpeg").when(F.col("asset_id") != F.col("__was"), "source_original").otherwise(F.col("role"))
+    return {"assets": out, "files": moved.select("file_id", "asset_id", part.alias("role")), "relations": relations, "conflicts": conflicts}
+
+
+def sides(relations: DataFrame, files: DataFrame) -> DataFrame:
+    """left_asset, right_asset, side, file_id: the RAW files of the left and the rendered files of the right asset of RAW and rendered relations."""
+    jxl, raw = F.lower("extension") == ".jxl", M.is_raw(F.col("extension"))
+    ends = relations.select("left_asset", "right_asset").distinct()
+    of = lambda side, cond: ends.join(files.filter(cond).select(F.col("asset_id").alias(f"{side}_asset"), "file_id"), f"{side}_asset").select("left_asset", "right_asset", F.lit(side).alias("side"), "file_id")
+    return of("left", raw).union(of("right", ~raw & ~jxl))

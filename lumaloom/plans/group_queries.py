@@ -119,6 +119,31 @@ def cmp_8(spark, d):
     return reconcile(load(spark, d, "asset"), load(spark, d, "file"))
 
 
+def staged(spark, d):
+    """Reconciliation in stages: three neighbouring assets share a stem, content is told apart by size as well, pictures are shared by six assets."""
+    from ..functions import pixels as X
+    from ..operators.reconcile import reconcile_stages
+    from ..operators.scratch import written
+    from .search_queries import pictures
+
+    a = F.col("asset_id")
+    maker = F.when(F.col("width") % 3 == 0, F.concat(F.lit(" Maker"), F.floor(F.col("height") / 700).cast("string")))
+    shown = written(X.identity_features(pictures(spark, d), "red", "green", "blue", "width").select("vec_id", "small_red", "small_green", "small_blue", "bits"), "pictures")
+    files = load(spark, d, "file").select(
+        "file_id", "asset_id", F.concat(F.lit("P_"), F.floor(a / 3).cast("string"), "extension").alias("filename"), "extension", "media_type", "role",
+        F.concat("sha256", F.lit("-"), (F.col("size_bytes") % 97).cast("string")).alias("sha256"), "width", "height", maker.alias("make"), F.lit(None).cast("string").alias("model"), F.floor(a / 6).alias("vec_id"))
+    assets = load(spark, d, "asset").select("asset_id", "selection_state", F.col("created_day").cast("string").alias("created_at"), "capture_time", "capture_time_kind")
+    return reconcile_stages(assets, files.join(shown, "vec_id", "left").drop("vec_id"))
+
+
+@query("cmp_8_stages")
+def cmp_8_stages(spark, d):
+    """What becomes of every asset, relations and conflicts, in one table; the stages are held against a sequential model in the tests."""
+    found = staged(spark, d)
+    survivors = found["assets"].select(F.lit("survivor").alias("kind"), F.col("asset_id").alias("left_asset"), F.col("survivor").alias("right_asset"), F.lit(None).cast("string").alias("stem"), F.col("capture_time").alias("rule"))
+    return survivors.unionByName(found["relations"]).unionByName(found["conflicts"].withColumn("rule", F.lit(None).cast("string")))
+
+
 @query("cmp_8_raw_jpeg_pairs", """WITH a AS (SELECT asset_id, selection_state, asset_id % 4 = 1 AS abs, CASE WHEN asset_id % 3 <> 0 THEN asset_id % 13 END AS s, CASE WHEN asset_id % 5 <> 0 THEN asset_id % 5 // 3 END AS cam FROM asset),
  g AS (SELECT asset_id // 2 AS k, min(CASE WHEN is_raw THEN asset_id END) AS r0, max(CASE WHEN is_raw THEN asset_id END) AS r1, min(CASE WHEN NOT is_raw THEN asset_id END) AS j0, max(CASE WHEN NOT is_raw THEN asset_id END) AS j1
    FROM file WHERE media_type = 'image' AND role NOT LIKE 'managed%' AND role NOT LIKE 'derived%' AND extension <> '.jxl' GROUP BY 1),

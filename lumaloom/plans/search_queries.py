@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import media as M
+from ..functions import pixels as X
 from ..operators import lod as L
 from ..operators import search as S
 from .browse_queries import PREF
@@ -195,11 +196,42 @@ def cmp_25(spark, d):
     return L.splat(v, "x", "y").select("px", "py", F.round("v", 9).alias("v"))
 
 
-@query("cmp_30_pixel_difference", "WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(CAST(x AS DOUBLE)) * 255)) AS a FROM embeddings) SELECT vec_id, round(list_sum(list_transform(a, lambda x: (x - 20) * (x - 20))) / 64, 6) AS mse FROM p", views=False)
+def pictures(spark, d):
+    """Vectors as pictures of 8 x 8: brightness by component, green and blue by other orders of the same ones."""
+    shade = lambda e: F.least(F.greatest(F.floor(e.cast("double") * 400 + 128), F.lit(0)), F.lit(255)).cast("int")
+    v = load(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", shade).alias("red"))
+    turned = lambda k: F.transform("red", lambda x, i: F.element_at("red", ((i * k + 3) % 64 + 1).cast("int")))
+    return v.select("vec_id", "label", "red", turned(7).alias("green"), turned(13).alias("blue"), F.lit(8).alias("width"))
+
+
+_PICTURES = """p0 AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(least(greatest(floor(CAST(x AS DOUBLE) * 400 + 128), 0), 255) AS INT)) AS red FROM embeddings),
+ p AS (SELECT *, list_transform(range(0, 64), lambda i: red[(i * 7 + 3) % 64 + 1]) AS green, list_transform(range(0, 64), lambda i: red[(i * 13 + 3) % 64 + 1]) AS blue FROM p0)"""
+_GAP = "list_transform(range(1, 65), lambda i: CAST(power({0}.red[i] - {1}.red[i], 2) + power({0}.green[i] - {1}.green[i], 2) + power({0}.blue[i] - {1}.blue[i], 2) AS BIGINT))".format
+
+
+@query("cmp_30_pixel_difference", f"""WITH {_PICTURES}, h AS (SELECT label, min(vec_id) AS head FROM p GROUP BY label), g AS (SELECT p.vec_id, q.vec_id AS head, {_GAP('p', 'q')} AS s FROM p JOIN h ON p.label = h.label JOIN p q ON q.vec_id = h.head)
+ SELECT vec_id, head, CAST(list_sum(s) AS DOUBLE) / 192 AS mse, list_max(s) / 3.0::DOUBLE AS maximum, CAST(CASE WHEN list_max(s) > 0 THEN list_sum(list_transform(s, lambda x: round_even(ln(1 + x / 3.0::DOUBLE) / ln(1 + list_max(s) / 3.0::DOUBLE) * 255, 0))) ELSE 0 END AS BIGINT) AS shade FROM g""", views=False)
 def cmp_30(spark, d):
-    a = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 255))
-    mse = F.aggregate(F.transform(a, lambda x: (x - 20) * (x - 20)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    return load(spark, d, "embeddings").select("vec_id", F.round(mse, 6).alias("mse"))
+    """Every picture against the first of its label: mean square, largest, and how much of the difference map is lit."""
+    p = pictures(spark, d)
+    heads = p.groupBy("label").agg(F.min_by(F.struct("vec_id", "red", "green", "blue"), "vec_id").alias("h"))
+    j = X.held(p.join(heads, "label"), {"__map": X.difference_map([F.col(c) for c in ("red", "green", "blue")], [F.col(f"h.{c}") for c in ("red", "green", "blue")])[0]})
+    sides = [F.col(c) for c in ("red", "green", "blue")], [F.col(f"h.{c}") for c in ("red", "green", "blue")]
+    lit = F.aggregate("__map", F.lit(0).cast("long"), lambda a, x: a + x)
+    return j.select("vec_id", F.col("h.vec_id").alias("head"), X.mean_squared_error(*sides).alias("mse"), X.difference_map(*sides)[1].alias("maximum"), lit.alias("shade"))
+
+
+@query("cmp_30_orientations", f"WITH {_PICTURES} SELECT vec_id, CAST(o AS INT) AS orientation, list_transform(range(0, 64), lambda i: red[CASE o WHEN 1 THEN i WHEN 2 THEN i - i % 8 + 7 - i % 8 WHEN 3 THEN 63 - i WHEN 4 THEN (7 - i // 8) * 8 + i % 8 WHEN 5 THEN (i % 8) * 8 + i // 8 WHEN 6 THEN (7 - i % 8) * 8 + i // 8 WHEN 7 THEN (7 - i % 8) * 8 + 7 - i // 8 ELSE (i % 8) * 8 + 7 - i // 8 END + 1])::VARCHAR AS pixels FROM p, (SELECT vec_id % 8 + 1 AS o, vec_id AS v FROM p0) q WHERE q.v = p.vec_id", views=False)
+def cmp_30_orientations(spark, d):
+    """Pictures turned upright; their ids say how they were held."""
+    p = pictures(spark, d).withColumn("orientation", (F.col("vec_id") % 8 + 1).cast("int"))
+    return p.select("vec_id", "orientation", F.col("red").alias("red"), "width").select("vec_id", "orientation", X.oriented(F.col("red"), F.col("width"), F.col("orientation")).cast("string").alias("pixels"))
+
+
+@query("cmp_31_visual_features")
+def cmp_31(spark, d):
+    """Gradient hash, standardised brightness and colour shares of every picture; held against numpy in the tests."""
+    return X.visual_features(pictures(spark, d), "red", "green", "blue", "width").select("vec_id", "dhash", "luma", "color_hist")
 
 
 @query("udf_1_2_providers")
