@@ -18,9 +18,12 @@ Grams with more than ``big`` occurrences never meet in one task: their windows
 are counted by hash in a plain aggregation.
 
 Defined results: null and empty texts have 0 bytes and the hash of nothing;
-texts under ``length`` bytes stay; doc_id is the key, and rows that repeat one
-with the same text are copies of each other; a row with a null doc_id is kept
-whole; extra columns are not read; an empty table gives no rows.
+texts under ``length`` bytes stay; very long texts are one document, whole; places
+with the same bytes are alike, there is no first one to stay.  In the query rows
+that repeat a doc_id, and rows without one, are documents of their own; for
+:func:`remove_repeats` doc_id is the key, and rows that repeat one with the same
+text are copies of each other, rows without one are kept whole.  Extra columns are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -370,9 +373,11 @@ def remove_repeats(docs: DataFrame, big: int = BIG) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lost = remove_repeats(docs).select(F.col("doc_id").alias("d"), "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256")).dropDuplicates(["d"])
-    whole = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("sha256"))
-    return whole.join(lost, whole["doc_id"] == lost["d"], "left").select(
+    """One row per row of documents: ids may repeat or be null, so rows go by a number, written with their texts so that every step sees the same one."""
+    docs = table(spark, sf_dir, "documents")
+    rows = Scratch(spark, "rows").save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), "rows")
+    lost = remove_repeats(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("d"), "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256"))
+    whole = rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return whole.join(lost, whole["row"] == lost["d"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("cut_sha256", "sha256").alias("kept_sha256")
     )

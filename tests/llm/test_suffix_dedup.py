@@ -66,11 +66,13 @@ def test_sorter():
 
 
 def test_ids(spark, tmp_path):
-    """Null ids are kept whole; rows that repeat an id with the same text are copies; large ids stay as they are."""
+    """Rows that repeat an id, with the same text or another, and rows without one are documents of their own; large ids stay as they are."""
     t, big = corpus(5)[0] * 9, 9007199254740993
-    assert len(t.encode()) > 400
     u = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(500))
-    spark.createDataFrame([(None, t), (1, t), (1, t), (big, u), (2, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    rows = sorted(((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in S.op10_suffix_dedup(spark, str(tmp_path)).collect()))
-    n = len(t.encode())
-    assert rows[0] == (0, n, 0) and rows[1] == rows[2] == (1, n, n) and rows[3] == (2, 0, 0) and rows[4][:2] == (big, 500)
+    long = "".join(random.Random(2).choices("abcdefgh", k=300_000))
+    rows = [(None, t), (1, t), (1, t), (big, u), (2, None), (1, "short"), (None, u[:300]), (None, None), (3, "x" * 900), (3, "y" * 50), (4, long), (5, long[1000:1300])]
+    spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, row string, d int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.op10_suffix_dedup(spark, str(tmp_path)).collect()]
+    texts = [(x or "").encode() for _, x in rows]
+    want = [(i, len(x), n, spans, hashlib.sha256(kept).hexdigest()) for (i, _), x, (n, kept, spans) in zip(rows, texts, brute(texts))]
+    assert sorted(got, key=str) == sorted(want, key=str)
