@@ -114,3 +114,29 @@ def valid_gps(latitude: Column, longitude: Column) -> Column:
     lat, lon = latitude.try_cast("double"), longitude.try_cast("double")
     ok = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon) & lat.between(-90, 90) & lon.between(-180, 180)
     return F.coalesce(ok, F.lit(False))
+
+
+def preservation(source: Column, output: Column) -> Column:
+    """struct<preserved, changed, lost>: keys of two maps of text by what becomes of them, each in order.
+
+    A key without a value counts as missing; values are compared trimmed and
+    without case; ``changed`` has the key with both values.  What only the output has is no matter.
+    """
+    plain = lambda v: F.nullif(casefold(F.trim(v)), F.lit(""))
+    state = lambda k, a, b: F.when(plain(a).isNull(), None).when(plain(b).isNull(), "lost").when(plain(a) == plain(b), "preserved").otherwise("changed")
+    both = F.map_entries(F.map_zip_with(source, output, lambda k, a, b: F.struct(state(k, a, b).alias("state"), a.alias("source"), b.alias("output"))))
+    of = lambda s: F.array_sort(F.filter(both, lambda e: e["value"]["state"] == s))
+    return F.struct(
+        F.transform(of("preserved"), lambda e: e["key"]).alias("preserved"),
+        F.transform(of("changed"), lambda e: F.struct(e["key"].alias("key"), e["value"]["source"].alias("source"), e["value"]["output"].alias("output"))).alias("changed"),
+        F.transform(of("lost"), lambda e: e["key"]).alias("lost"),
+    )
+
+
+def capped_size(width: Column, height: Column, long_side: int, short_side: int) -> tuple[Column, Column]:
+    """(width, height) within a cap that is turned for upright pictures: never larger, whole even numbers, at least 2."""
+    upright = width < height
+    wide, high = F.when(upright, short_side).otherwise(long_side), F.when(upright, long_side).otherwise(short_side)
+    scale = F.least(F.lit(1.0), wide / width, high / height)
+    even = lambda x: F.greatest(F.lit(2), (F.floor(x * scale / 2) * 2).cast("int"))
+    return even(width), even(height)

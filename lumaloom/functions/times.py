@@ -20,6 +20,14 @@ def wall_clock_us(value: Column) -> Column:
     return F.when(value.rlike(WALL), F.unix_micros(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))))
 
 
+def completed(value: Column) -> Column:
+    """ISO text whose time part is missing, or stops at hours or minutes, with what is left out as zeros."""
+    day = r"^(\d{4}-\d\d-\d\d"
+    for shape, rest in ((")$", "T00:00:00"), (r"[T ]\d\d)(?=$|[Zz+-])", ":00:00"), (r"[T ]\d\d:\d\d)(?=$|[Zz+-])", ":00")):
+        value = F.regexp_replace(value, day + shape, "$1" + rest)
+    return value
+
+
 def precision_us(value: Column) -> Column:
     """Smallest step that the fraction's digits can show."""
     digits = F.least(F.length(F.regexp_extract(value, r"\.(\d+)", 1)), F.lit(6))
@@ -31,8 +39,9 @@ def capture_seconds(value: Column, kind: Column) -> Column:
 
     Absolute kinds are seconds since 1970 in UTC and need an offset; local ones
     count from the first day of year 1, by the displayed components, and must have
-    none.  Other kinds and unparsable values are null.
+    none.  A missing time part is midnight.  Other kinds and unparsable values are null.
     """
+    value = completed(value)
     wall, zone = wall_clock_us(value) / 1e6, F.regexp_extract(value, ZONE, 1)
     part = lambda i: F.coalesce(F.regexp_extract(value, ZONE, i).try_cast("int"), F.lit(0))
     offset = F.when(F.upper(zone) == "Z", 0).otherwise(F.when(F.regexp_extract(value, ZONE, 2) == "-", -1).otherwise(1) * (part(3) * 3600 + part(4) * 60 + part(5)))

@@ -263,6 +263,29 @@ def cmp_35(spark, d):
     return j.select("file_id", F.when(s.isNull(), "not analysed").when(s == "failed", "analysis failed").when(s == "pending", "analysis pending").alias("blocker"))
 
 
+@query("cmp_35_preservation_report", """WITH a AS (SELECT *, width < height AS up FROM analysis WHERE width > 0 AND height > 0), c AS (SELECT *, least(1.0::DOUBLE, CASE WHEN up THEN 720 ELSE 1280 END / width::DOUBLE, CASE WHEN up THEN 1280 ELSE 720 END / height::DOUBLE) AS k FROM a),
+ o AS (SELECT *, width || 'x' || height AS s, CASE WHEN codec = 'av1' THEN greatest(2, CAST(floor(width * k / 2) * 2 AS INT)) || 'x' || greatest(2, CAST(floor(height * k / 2) * 2 AS INT)) ELSE width || 'x' || height END AS t, codec = 'av1' AND bit_depth > 10 AS deep, codec = 'av1' AND note IS NOT NULL AS gone FROM c)
+ SELECT file_id, codec, concat_ws(',', CASE WHEN NOT deep THEN 'bit_depth' END, CASE WHEN duration IS NOT NULL THEN 'duration' END, CASE WHEN codec <> 'av1' THEN 'mode' END, CASE WHEN note IS NOT NULL AND NOT gone THEN 'note' END, CASE WHEN s = t THEN 'resolution' END) AS preserved,
+  concat_ws(',', CASE WHEN deep THEN 'bit_depth:12>10' END, CASE WHEN s <> t THEN 'resolution:' || s || '>' || t END) AS changed, concat_ws(',', CASE WHEN codec = 'av1' THEN 'mode' END, CASE WHEN gone THEN 'note' END) AS lost FROM o""")
+def cmp_35_report(spark, d):
+    """What a compression keeps of a file, changes and loses: facts of the source against those of its output."""
+    a = load(spark, d, "analysis").filter("width > 0 and height > 0")
+    video, text = F.col("codec") == "av1", lambda c: c.cast("string")
+    wide, high = M.capped_size(F.col("width"), F.col("height"), 1280, 720)
+    size = lambda w, h: F.concat(text(w), F.lit("x"), text(h))
+    pairs = {
+        "resolution": (size(F.col("width"), F.col("height")), F.when(video, size(wide, high)).otherwise(size(F.col("width"), F.col("height")))),
+        "bit_depth": (text(F.col("bit_depth")), text(F.when(video, F.least("bit_depth", F.lit(10))).otherwise(F.col("bit_depth")))),
+        "duration": (text(F.col("duration")), F.concat(F.lit(" "), text(F.col("duration")))),
+        "mode": (F.col("mode"), F.when(~video, F.lower("mode"))),
+        "note": (F.col("note"), F.when(~video, F.col("note"))),
+    }
+    side = lambda i: F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v[i])])
+    r = a.select("file_id", "codec", M.preservation(side(0), side(1)).alias("r"))
+    changed = F.transform("r.changed", lambda c: F.concat(c["key"], F.lit(":"), c["source"], F.lit(">"), c["output"]))
+    return r.select("file_id", "codec", F.array_join("r.preserved", ",").alias("preserved"), F.array_join(changed, ",").alias("changed"), F.array_join("r.lost", ",").alias("lost"))
+
+
 @query("cmp_36_invalidate", "SELECT file_id, CASE WHEN asset_id % 9 = 0 THEN 'pending' ELSE component_status END AS component_status, CASE WHEN asset_id % 9 = 0 THEN NULL ELSE quality_score END AS quality_score FROM file")
 def cmp_36(spark, d):
     f = load(spark, d, "file")

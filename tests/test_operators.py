@@ -293,3 +293,32 @@ def test_blended_affinity_and_single_column_picks(spark):
             near = np.maximum(near, want[i])
     order = lambda by: [x["id"] for x in selection.picks(df, 3, by).orderBy("pick").collect()]
     assert order("laplacian") == sorted(range(12), key=lambda i: -rows[i][6])[:3] and order("time") == [1, 2, 3]
+
+
+def test_capture_times_like_iso_parsing(spark):
+    """Dates, hours and minutes alone are times too; what is no time stays null."""
+    from datetime import datetime, timezone
+
+    from lumaloom.functions import times
+
+    values = ["2024-05-06", "2024-05-06T07", "2024-05-06T07:08", "2024-05-06 07:08:09", "2024-05-06T07:08:09.25", "2024-05-06T07:08+02:00", "2024-05-06T07:08:09Z", "2024-05-06T07-05:30", "2024-13-06", "2024-02-30T07:08", "noise", "", None]
+    for kind in ("exif_offset", "exif_local_unknown"):
+        df = spark.createDataFrame([(v, kind) for v in values], "v string, k string")
+        for v, got in df.select("v", times.capture_seconds(F.col("v"), F.col("k"))).collect():
+            try:
+                t = datetime.fromisoformat(v)
+            except (TypeError, ValueError):
+                t = None
+            if t is None or (t.tzinfo is None) == (kind == "exif_offset"):
+                want = None
+            else:
+                want = t.astimezone(timezone.utc).timestamp() if kind == "exif_offset" else t.toordinal() * 86400 + t.hour * 3600 + t.minute * 60 + t.second + t.microsecond / 1e6
+            assert got == want, (v, kind)
+
+
+def test_preservation(spark):
+    df = spark.createDataFrame([({"a": "X", "b": "1", "c": "z", "d": None, "e": " "}, {"a": " x ", "b": "2", "f": "new", "d": "now"})], "s map<string,string>, o map<string,string>")
+    got = df.select(M.preservation(F.col("s"), F.col("o")).alias("r")).select("r.*").first()
+    assert (got["preserved"], [tuple(c) for c in got["changed"]], got["lost"]) == (["a"], [("b", "1", "2")], ["c"])
+    sizes = spark.createDataFrame([(4000, 3000), (3000, 4000), (100, 50), (1, 5000)], "w int, h int").select(*M.capped_size(F.col("w"), F.col("h"), 1920, 1080)).collect()
+    assert [tuple(r) for r in sizes] == [(1440, 1080), (1080, 1440), (100, 50), (2, 1920)]
