@@ -123,16 +123,15 @@ def jn_19(spark, d):
     return g.select("conv_id", "turns", F.array_join(F.transform("x", lambda y: y["role"]), ">").alias("roles"))
 
 
-PRESETS = "(VALUES (1, 'keep', 10), (2, 'compress', 20), (3, 'archive', 20))"
-RULES = "(VALUES (10, 1, 'copy', TRUE), (20, 2, 'compress', TRUE), (20, 1, 'copy', TRUE), (20, 3, 'delete', FALSE))"
 
 
-@query("jn_20_presets", f"SELECT p.name, string_agg(r.op, ',' ORDER BY r.position) AS rules FROM {PRESETS} p(id, name, ruleset) JOIN {RULES} r(ruleset, position, op, enabled) ON p.ruleset = r.ruleset WHERE r.enabled GROUP BY p.name", views=False)
+@query("jn_20_presets", "SELECT r_name AS name, string_agg(n_name, ',' ORDER BY n_nationkey) AS rules FROM region JOIN nation ON r_regionkey = n_regionkey WHERE length(n_name) < 10 GROUP BY r_name", views=False)
 def jn_20(spark, d):
-    p = spark.createDataFrame([(1, "keep", 10), (2, "compress", 20), (3, "archive", 20)], "id int, name string, ruleset int")
-    r = spark.createDataFrame([(10, 1, "copy", True), (20, 2, "compress", True), (20, 1, "copy", True), (20, 3, "delete", False)], "ruleset int, position int, op string, enabled boolean")
+    """Presets with the enabled rules of their ruleset in order: regions stand for presets, nations for rules, those with short names are enabled."""
+    p = load(spark, d, "region").select(F.col("r_regionkey").alias("ruleset"), F.col("r_name").alias("name"))
+    r = load(spark, d, "nation").select(F.col("n_regionkey").alias("ruleset"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("op"), (F.length("n_name") < 10).alias("enabled"))
     rules = r.filter("enabled").groupBy("ruleset").agg(F.array_sort(F.collect_list(F.struct("position", "op"))).alias("x"))
-    return p.join(F.broadcast(rules), "ruleset").select("name", F.array_join(F.transform("x", lambda y: y["op"]), ",").alias("rules"))
+    return p.join(rules, "ruleset").select("name", F.array_join(F.transform("x", lambda y: y["op"]), ",").alias("rules"))
 
 
 @query("srt_10_latest_jobs", "SELECT job_id, kind, status FROM job ORDER BY stamp DESC, job_id DESC LIMIT 100")

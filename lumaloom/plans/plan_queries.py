@@ -293,10 +293,12 @@ def cmp_36(spark, d):
     return f.join(ids, "file_id", "left").select("file_id", F.when(F.col("hit"), "pending").otherwise(F.col("component_status")).alias("component_status"), F.when(F.col("hit").isNull(), F.col("quality_score")).alias("quality_score"))
 
 
-@query("srt_11_profile_order", "SELECT name, row_number() OVER (ORDER BY CASE name WHEN 'archive' THEN 0 WHEN 'web' THEN 1 ELSE 2 END, lower(name), name) AS place FROM (VALUES ('Zoom'), ('web'), ('archive'), ('alpha')) v(name)", views=False)
+@query("srt_11_profile_order", "SELECT name, row_number() OVER (ORDER BY CASE name WHEN 'original' THEN 0 WHEN 'camera_jpeg' THEN 1 ELSE 2 END, lower(name), name) AS place FROM (SELECT DISTINCT role AS name FROM file)")
 def srt_11(spark, d):
+    """Built-in names first, in their own order, then the others without case; the roles of files stand for profiles."""
     from pyspark.sql import Window
 
-    p = spark.createDataFrame([("Zoom",), ("web",), ("archive",), ("alpha",)], "name string")
-    built_in = F.when(F.col("name") == "archive", 0).when(F.col("name") == "web", 1).otherwise(2)
-    return p.select("name", F.row_number().over(Window.orderBy(built_in, F.lower("name"), "name")).cast("long").alias("place"))
+    name = F.col("name")
+    built_in = F.when(name == "original", 0).when(name == "camera_jpeg", 1).otherwise(2)
+    names = load(spark, d, "file").select(F.col("role").alias("name")).distinct()
+    return names.select("name", F.row_number().over(Window.orderBy(built_in, M.casefold(name), "name")).cast("long").alias("place"))
