@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 BURST_GAP = 0.5
 WINDOW = 10.0
 
@@ -40,6 +42,34 @@ def islands(events: DataFrame, time: str, by: list[str], gap: float, order: list
     return events.withColumn("__new", new).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
 
 
+def timeline_islands(events: DataFrame, time: str, stream: str, gap: float, order: str) -> DataFrame:
+    """``islands`` of a few long streams, none of which fits one task.
+
+    The rows are sorted by ranges of (stream, time, order) and written; islands
+    are found inside each range, and one row for each range and stream says how
+    a range goes on from the one before.  Rows with a null time are left out;
+    ``island`` counts from 0 in each stream.
+    """
+    keys = [stream, time, order]
+    dated = events.filter(F.col(time).isNotNull())
+    ranges = written(dated.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()), "timeline")
+    w = Window.partitionBy("__part", stream).orderBy(time, order)
+    since = F.col(time) - F.lag(time).over(w)
+    inside = ranges.withColumn("__new", F.when(since > gap, 1).otherwise(0)).withColumn("__new", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    borders = inside.groupBy("__part", stream).agg(F.min(time).alias("first"), F.max(time).alias("last"), F.max("__new").alias("n")).collect()
+    before: dict = {}
+    starts = []
+    for b in sorted(borders, key=lambda b: b["__part"]):
+        last, number = before.get(b[stream], (None, 0))
+        number += last is not None and b["first"] - last > gap
+        starts.append((b["__part"], b[stream], number))
+        before[b[stream]] = (b["last"], number + b["n"])
+    found = events.sparkSession.createDataFrame(starts, f"p int, s {dict(events.dtypes)[stream]}, __base long")
+    # as many rows as ranges and streams in them
+    joined = inside.join(F.broadcast(found), (F.col("__part") == F.col("p")) & F.col(stream).eqNullSafe(F.col("s")))
+    return joined.withColumn("island", F.col("__base") + F.col("__new")).drop("__part", "__new", "__base", "p", "s")
+
+
 def strict_groups(records: DataFrame, burst: Callable[[dict, dict], bool], similarity: Callable[[dict, dict], float | None], features: list[str]) -> DataFrame:
     """asset_id, group_key: strict temporal and visual groups.
 
@@ -51,9 +81,10 @@ def strict_groups(records: DataFrame, burst: Callable[[dict, dict], bool], simil
     breaks a chain.
 
     A gap of more than 10 s closes every group, so islands between such gaps are
-    independent and are handled one by one, each in one call.
+    independent and are handled one by one, each in one call; within it a record
+    looks only at groups that began in the last 10 s.
     """
-    dated = islands(records.filter("t is not null"), "t", ["semantics"], WINDOW, ["asset_id"])
+    dated = timeline_islands(records, "t", "semantics", WINDOW, "asset_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [one(g) for _, g in pdf.groupby("island", sort=True)]
@@ -64,6 +95,7 @@ def strict_groups(records: DataFrame, burst: Callable[[dict, dict], bool], simil
             return pd.DataFrame({"asset_id": pdf["asset_id"], "group_key": pdf["asset_id"]}) if pdf[features].notna().all(axis=None) else pd.DataFrame({"asset_id": [], "group_key": []}, dtype=pdf["asset_id"].dtype)
         rows = pdf.sort_values(["t", "asset_id"], kind="stable").to_dict("records")
         groups: list[list[dict]] = []
+        open_groups: list[list[dict]] = []
         home: dict = {}
         before = None
         for r in rows:
@@ -75,11 +107,9 @@ def strict_groups(records: DataFrame, burst: Callable[[dict, dict], bool], simil
                 mine = home[before["asset_id"]]
             else:
                 best = None
-                for g in groups:
-                    if r["t"] - g[-1]["t"] > WINDOW:
-                        continue
-                    if any(r["t"] - m["t"] > WINDOW for m in g):
-                        continue
+                # times only grow: a group whose first member is too old takes no one by likeness any more
+                open_groups = [g for g in open_groups if r["t"] - g[0]["t"] <= WINDOW]
+                for g in open_groups:
                     s = [similarity(m, r) for m in g]
                     if all(x is not None for x in s):
                         rank = (-min(s), [m["asset_id"] for m in g])
@@ -89,6 +119,7 @@ def strict_groups(records: DataFrame, burst: Callable[[dict, dict], bool], simil
             if mine is None:
                 mine = []
                 groups.append(mine)
+                open_groups.append(mine)
             mine.append(r)
             home[r["asset_id"]] = mine
             before = r

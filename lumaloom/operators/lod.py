@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 #: Bucket widths that a timeline can take.
 LADDER_US = [1_000_000, 60_000_000, 3_600_000_000, 21_600_000_000, 86_400_000_000, 604_800_000_000]
 
@@ -61,3 +63,49 @@ def splat(points: DataFrame, x: str, y: str, size: int = 512, radius: int = 3) -
     around = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)]
     out = p.select(F.explode(F.array(*[F.struct((F.col("px") + i).alias("px"), (F.col("py") + j).alias("py"), (F.col("k") * math.exp(-(i * i + j * j) / 5)).alias("v")) for i, j in around])).alias("s")).select("s.*")
     return out.filter(F.col("px").between(0, size - 1) & F.col("py").between(0, size - 1)).groupBy("px", "py").agg(F.sum("v").alias("v"))
+
+
+def merge_rectangles(boxes: DataFrame, order: list[str], overlap: float = 0.55) -> DataFrame:
+    """boxes(id, x, y, w, h, ...) -> id, anchor: rectangles that would hide each other share one marker.
+
+    In ``order`` a rectangle joins the marker that it covers most, if that is at
+    least ``overlap`` of the smaller of the two (ties: the earlier marker), else it
+    is a marker itself.  ``order`` must tell all rows apart.  Rectangles without an
+    area, or with a null, are markers of their own.
+
+    A rectangle is a marker unless an earlier marker covers it, so only pairs that
+    cover each other matter; they come from an equi-join on a grid.  Each round
+    settles those that wait for nobody, and what they cover; rounds grow with the
+    longest chain of rectangles that wait for each other, and every round is a
+    written table with the pairs that are left.
+    """
+    place = F.struct(*[F.col(c) for c in order])
+    rows = boxes.select("id", place.alias("at"), *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    solid = rows.filter((F.col("w") > 0) & (F.col("h") > 0) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    # a grid as wide as the widest one: a rectangle meets others in its own cell and the cells after it
+    side = solid.agg(F.greatest(F.max("w"), F.max("h")).alias("side"))
+    placed = solid.crossJoin(F.broadcast(side)).withColumn("gx", F.floor(F.col("x") / F.col("side"))).withColumn("gy", F.floor(F.col("y") / F.col("side")))  # one row
+    around = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    names = ["id", "at", *"xywh"]
+    left = placed.select(*[F.col(c).alias(f"a_{c}") for c in names], "gx", "gy")
+    right = placed.select(*[F.col(c).alias(f"b_{c}") for c in names], around.alias("g")).select("*", "g.gx", "g.gy").drop("g")
+
+    def shared(p: str, size: str) -> Column:
+        ends = F.least(F.col(f"a_{p}") + F.col(f"a_{size}"), F.col(f"b_{p}") + F.col(f"b_{size}"))
+        return F.greatest(F.lit(0.0), ends - F.greatest(f"a_{p}", f"b_{p}"))
+
+    part = shared("x", "w") * shared("y", "h") / F.least(F.col("a_w") * F.col("a_h"), F.col("b_w") * F.col("b_h"))
+    pairs = left.join(right, ["gx", "gy"]).filter(F.col("a_at") < F.col("b_at")).withColumn("part", part).filter(F.col("part") >= overlap)
+    pairs = written(pairs.select(F.col("a_id").alias("early"), F.col("a_at").alias("at"), F.col("b_id").alias("late"), "part"), "covered")
+    waiting, joined = pairs.select("early", "late"), None
+    while not waiting.isEmpty():
+        free = waiting.select("early").join(waiting.select(F.col("late").alias("early")), "early", "left_anti").distinct()
+        gone = written(waiting.join(free, "early", "left_semi").select("late").distinct(), "joined")
+        joined = gone if joined is None else joined.union(gone)
+        waiting = written(waiting.join(gone, "late", "left_anti").join(gone.select(F.col("late").alias("early")), "early", "left_anti"), "waiting")
+    if joined is None:
+        return rows.select("id", F.col("id").alias("anchor"))
+    joined = written(joined, "joined")
+    markers = pairs.join(joined, "late", "left_semi").join(joined.select(F.col("late").alias("early")), "early", "left_anti")
+    best = markers.groupBy(F.col("late").alias("id")).agg(F.min_by("early", F.struct(-F.col("part"), F.col("at"))).alias("anchor"))
+    return rows.select("id").join(best, "id", "left").select("id", F.coalesce("anchor", "id").alias("anchor"))

@@ -95,17 +95,3 @@ def set_digest(ids: DataFrame) -> tuple[int, str]:
     h = F.conv(F.substring(F.md5(F.col("asset_id").cast("string")), 1, 10), 16, 10).cast("decimal(38,0)")
     row = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("h")).first()
     return row["n"], row["h"]
-
-
-def merge_rectangles(boxes: pd.DataFrame, overlap: float = 0.55) -> list[list[int]]:
-    """Greedy merge of display rectangles (x, y, w, h) that share ``overlap`` of the smaller one; for one screen's worth of rows."""
-    groups: list[tuple[list[int], list[float]]] = []
-    for i, (x, y, w, h) in enumerate(boxes[["x", "y", "w", "h"]].itertuples(index=False)):
-        for members, (gx, gy, gw, gh) in groups:
-            a = max(0.0, min(x + w, gx + gw) - max(x, gx)) * max(0.0, min(y + h, gy + gh) - max(y, gy))
-            if a >= overlap * min(w * h, gw * gh):
-                members.append(i)
-                break
-        else:
-            groups.append(([i], [x, y, w, h]))
-    return [m for m, _ in groups]

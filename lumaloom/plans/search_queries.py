@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import media as M
 from ..functions import pixels as X
 from ..operators import lod as L
 from ..operators import search as S
+from ..operators.scratch import written
 from .browse_queries import PREF
 from .catalog import load
 from .registry import query
@@ -179,15 +179,12 @@ def cmp_23(spark, d):
 
 @query("cmp_24_rectangle_merge")
 def cmp_24(spark, d):
-    """Order-dependent, on one screen's worth of cells."""
-    top = L.cells(world(spark, d), "x", "y", 0.5, 4).orderBy(F.desc("n"), "cx", "cy").limit(200).select((F.col("mx") * 1000).alias("x"), (F.col("my") * 1000).alias("y"), F.lit(60.0).alias("w"), F.lit(40.0).alias("h"), "n")
-
-    def run(batches):
-        for pdf in batches:
-            g = S.merge_rectangles(pdf)
-            yield pd.DataFrame({"marker": range(len(g)), "members": [len(x) for x in g]})
-
-    return top.coalesce(1).mapInPandas(run, "marker long, members long")
+    """Order-dependent, over all cells; compared with a sequential model in the tests."""
+    c = L.cells(world(spark, d), "x", "y", 0.5, 4)
+    boxes = c.select((F.col("cx") * 100_000 + F.col("cy")).alias("id"), (F.col("mx") * 1000).alias("x"), (F.col("my") * 1000).alias("y"), F.lit(60.0).alias("w"), F.lit(40.0).alias("h"), "n", "cx", "cy")
+    boxes = written(boxes, "boxes")
+    found = L.merge_rectangles(boxes, ["cx", "cy"]).join(boxes.select("id", "n"), "id")
+    return found.groupBy(F.col("anchor").alias("marker")).agg(F.count("*").alias("members"), F.sum("n").alias("n"))
 
 
 @query("cmp_25_density_raster", "WITH p AS (SELECT CAST(floor((CAST(embedding[1] AS DOUBLE) + 1) / 2 * 512) AS INT) AS px, CAST(floor((CAST(embedding[2] AS DOUBLE) + 1) / 2 * 512) AS INT) AS py FROM embeddings), o AS (SELECT unnest(range(-3, 4)) AS i), s AS (SELECT px + a.i AS px, py + b.i AS py, exp(-(a.i * a.i + b.i * b.i) / 5.0) AS v FROM p, o a, o b) SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, round(sum(v), 9) AS v FROM s WHERE px BETWEEN 0 AND 511 AND py BETWEEN 0 AND 511 GROUP BY ALL", views=False)

@@ -135,6 +135,58 @@ def test_strict_groups(spark):
     assert got == model_groups([(a, t, f) for a, _, t, f in rows], burst, sim) | {1000: 1000}
 
 
+def test_islands_across_ranges(spark):
+    """Many small ranges: islands go on over their borders, whatever stream they are in."""
+    r = random.Random(9)
+    rows, want = [], {}
+    for stream in ("absolute", "local", None):
+        t, number = 0.0, 0
+        for i in range(300):
+            step = r.choice([0.0, 1.0, 4.0, 10.0, 10.5, 40.0]) if i else 0.0
+            t, number = t + step, number + (step > 10)
+            rows.append((len(rows), stream, t))
+            want[len(rows) - 1] = number
+    rows.append((len(rows), "local", None))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = groups.timeline_islands(spark.createDataFrame(rows, "k long, stream string, t double"), "t", "stream", 10.0, "k")
+        assert {x["k"]: x["island"] for x in df.collect()} == want
+        empty = groups.timeline_islands(spark.createDataFrame([], "k long, stream string, t double"), "t", "stream", 10.0, "k")
+        assert empty.collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def sequential_markers(rows, overlap=0.55):
+    anchors, out = [], {}
+    for i, x, y, w, h in rows:
+        best = None
+        for k, (j, ax, ay, aw, ah) in enumerate(anchors):
+            smaller = min(w * h, aw * ah)
+            a = max(0.0, min(x + w, ax + aw) - max(x, ax)) * max(0.0, min(y + h, ay + ah) - max(y, ay))
+            if smaller > 0 and a / smaller >= overlap and (best is None or (-a / smaller, k) < best[0]):
+                best = ((-a / smaller, k), j)
+        out[i] = best[1] if best else i
+        if best is None:
+            anchors.append((i, x, y, w, h))
+    return out
+
+
+def test_rectangle_merge(spark):
+    r = random.Random(4)
+    rows = [(i, r.uniform(-60, 60), r.uniform(-60, 60), r.choice([0.0, 6.0, 14.0]), r.choice([5.0, 10.0])) for i in range(400)]
+    rows += [(400 + i, 500.0 + 4 * i, 500.0, 10.0, 10.0) for i in range(12)]  # a chain in which each waits for the one before
+    rows += [(500, 900.0, 900.0, 4.0, 4.0), (501, 900.0, 900.0, 4.0, 4.0), (502, 900.0, 900.0, 4.0, 4.0)]
+    schema = "id long, x double, y double, w double, h double"
+    got = lod.merge_rectangles(spark.createDataFrame(rows, schema), ["id"]).collect()
+    assert {g["id"]: g["anchor"] for g in got} == sequential_markers(rows) and len(got) == len(rows)
+    alone = [(1, 0.0, 0.0, 1.0, 1.0), (2, 5.0, 5.0, 0.0, 1.0), (3, None, 5.0, 1.0, 1.0)]
+    assert {tuple(g) for g in lod.merge_rectangles(spark.createDataFrame(alone, schema), ["id"]).collect()} == {(1, 1), (2, 2), (3, 3)}
+    assert lod.merge_rectangles(spark.createDataFrame([], schema), ["id"]).collect() == []
+
+
 def test_components_and_reconcile(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 50)], "a long, b long")
     got = {r["node"]: r["component"] for r in reconcile.min_label_components(e).collect()}
@@ -215,7 +267,6 @@ def test_selection_and_lod(spark):
     assert {r["id"]: r["cluster"] for r in selection.complete_linkage(e, 0.1, 0.0).collect()} == {1: 1, 2: 1, 3: 3}
     assert [r["id"] for r in selection.diversified(e.withColumn("cluster", F.col("id")), 2, 0.7).orderBy("pick").collect()] == [1, 3]
     assert {r["id"] for r in selection.coverage(e, 2).collect()} >= {3}
-    assert search.merge_rectangles(__import__("pandas").DataFrame([(0, 0, 10, 10), (1, 1, 10, 10), (50, 50, 5, 5)], columns=list("xywh"))) == [[0, 1], [2]]
     b = spark.createDataFrame([(0, 16), (2, 16)], "bucket long, n long")
     assert {r["bucket"]: r["density"] for r in lod.density(b).collect()} == {0: 7.0, 2: 7.0}
     assert [r["n"] for r in lod.zero_filled(b).orderBy("bucket").collect()] == [16, 0, 16]
