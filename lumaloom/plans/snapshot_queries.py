@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import snapshots as N
@@ -21,6 +23,16 @@ def listings(spark, d):
     return old, new
 
 
+@query("src_1_folder_scan")
+def src_1(spark, d):
+    """The folder of the tables as a tree; compared with a walk in the tests.  Remote folders go through ``binaryFile``."""
+    from ..sources import listing
+
+    if "://" in d and not d.startswith("file://"):
+        return listing.discover(spark, d, [".parquet"]).select("path", "size")
+    return listing.scan_tree(spark, d, extensions=".parquet").select("path", "size")
+
+
 @query("src_2_4_5_snapshot_diff", f"""WITH {OLD}, {NEW}, j AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'missing' WHEN o.path IS NULL THEN 'added' WHEN o.online AND o.size = n.size AND o.mtime = n.mtime THEN 'unchanged' ELSE 'changed' END AS outcome, o.sha AS osha, n.sha AS nsha FROM o FULL JOIN n ON o.path = n.path),
  mv AS (SELECT a.path, m.path AS moved_from FROM j a JOIN j m ON a.nsha = m.osha WHERE a.outcome = 'added' AND m.outcome = 'missing')
  SELECT j.path, CASE WHEN mv.path IS NOT NULL THEN 'moved' ELSE j.outcome END AS outcome, mv.moved_from FROM j LEFT JOIN mv ON j.path = mv.path WHERE j.path NOT IN (SELECT moved_from FROM mv) /* FROM file */""")
@@ -95,3 +107,60 @@ def str_8(spark, d):
     raw = F.when(F.col("job_id") % 11 == 0, "x").otherwise(F.get_json_object("props", "$.k"))
     v = raw.try_cast("int")
     return load(spark, d, "job").select("job_id", v.alias("value"), F.when(v.isNull(), "not a number").alias("error"))
+
+
+SCANS = """s AS (SELECT file_id, CASE WHEN width = 0 THEN 'unsupported' WHEN component_status = 'failed' THEN 'failed' ELSE 'complete' END AS status, sha256 AS one, CASE WHEN size_bytes % 3 = 0 THEN md5(sha256) ELSE sha256 END AS two FROM file WHERE in_scope AND is_online),
+ c AS (SELECT s.*, 'features' AS component, 'v1' AS v_one, 'v1' AS v_two FROM s UNION ALL SELECT s.*, 'metadata', 'v1', 'v2' FROM s)"""
+
+
+@query("str_1_4_versioned_derivation", f"""WITH {SCANS} SELECT file_id, component, 1 AS scan, v_one AS version, 'missing' AS why, status, CASE WHEN status = 'complete' THEN component || ':' || one END AS value FROM c
+ UNION ALL SELECT file_id, component, 2, v_two, CASE WHEN v_one <> v_two THEN 'version' WHEN status = 'failed' THEN 'failed' ELSE 'input' END, status, CASE WHEN status = 'complete' THEN component || ':' || two END FROM c WHERE v_one <> v_two OR status = 'failed' OR (status = 'complete' AND one <> two) /* FROM file */""")
+def str_1(spark, d):
+    """Two scans of the library by one stream: it stops after the first, files change, and one component has a new version when it goes on."""
+    import uuid
+
+    from ..operators.scratch import shared_dir
+    from ..streaming.incremental import derive_versioned, run_available
+
+    f = load(spark, d, "file").filter("in_scope and is_online")
+    changed = F.when(F.col("size_bytes") % 3 == 0, F.md5("sha256")).otherwise(F.col("sha256"))
+    base = f"{shared_dir(spark)}/versioned-{uuid.uuid4().hex}"
+    state = F.when(F.col("width") == 0, "unsupported").when(F.col("component_status") == "failed", "failed").otherwise("complete")
+
+    def derive(component, row):
+        if row["state"].iat[0] == "failed":
+            raise ValueError("unreadable")
+        done = row["state"] == "complete"
+        return row.assign(status=row["state"], value=(component + ":" + row["fingerprint"]).where(done, None))[["status", "value"]]
+
+    for scan, fingerprint, versions in ((1, F.col("sha256"), {"features": "v1", "metadata": "v1"}), (2, changed, {"features": "v1", "metadata": "v2"})):
+        f.select("file_id", F.lit(scan).cast("long").alias("scan"), fingerprint.alias("fingerprint"), state.alias("state")).write.mode("append").parquet(f"{base}/listings")
+        listings = spark.readStream.schema("file_id long, scan long, fingerprint string, state string").parquet(f"{base}/listings")
+        run_available(derive_versioned(listings, versions, derive), f"{base}/derived", f"{base}/state")
+    return spark.read.parquet(f"{base}/derived").select("file_id", "component", "scan", "version", "why", "status", "value")
+
+
+@query("str_9_one_pass_two_tables", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), m AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v)
+ SELECT 'embedding' AS part, vec_id, round(norm, 6) AS a, round(e[1] / norm, 6) AS b FROM m WHERE norm > 0 UNION ALL SELECT 'quality', vec_id, round(list_avg(e), 6), round(list_var_pop(e), 6) FROM m""", views=False)
+def str_9(spark, d):
+    """Vectors are decoded once for two tables: one for search, one with statistics."""
+    import uuid
+
+    from ..operators.scratch import shared_dir
+    from ..streaming.incremental import fan_out
+
+    def decode(batch):
+        return np.array(batch["embedding"].tolist(), dtype=np.float64).reshape(len(batch), -1)
+
+    def search(batch, m):
+        norm = np.sqrt((m * m).sum(1))
+        keep = norm > 0
+        return pd.DataFrame({"vec_id": batch["vec_id"][keep], "norm": norm[keep], "first": m[keep, 0] / norm[keep]})
+
+    def quality(batch, m):
+        return pd.DataFrame({"vec_id": batch["vec_id"], "mean": m.mean(1), "spread": m.var(1)})
+
+    consumers = {"embedding": (search, "vec_id long, norm double, first double"), "quality": (quality, "vec_id long, mean double, spread double")}
+    out = fan_out(load(spark, d, "embeddings").select("vec_id", "embedding"), decode, consumers, f"{shared_dir(spark)}/one-pass-{uuid.uuid4().hex}")
+    r = lambda c: F.round(c, 6)
+    return out["embedding"].select(F.lit("embedding").alias("part"), "vec_id", r("norm").alias("a"), r("first").alias("b")).unionByName(out["quality"].select(F.lit("quality").alias("part"), "vec_id", r("mean").alias("a"), r("spread").alias("b")))

@@ -1,11 +1,17 @@
-"""Structured Streaming: sessions, incremental derivation with checkpoints."""
+"""Structured Streaming: sessions, incremental and versioned derivation with checkpoints, several tables from one pass."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def event_stream(spark: SparkSession, folder: str, schema: str, time: str, late: str = "10 minutes") -> DataFrame:
@@ -39,3 +45,93 @@ def derive_incrementally(stream: DataFrame, derive: Callable[[DataFrame], DataFr
         derive(batch).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={epoch}")
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def derive_versioned(listings: DataFrame, versions: dict[str, str], derive: Callable[[str, pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Derived rows of the components that are stale, with the state of each (file_id, component) kept in the stream.
+
+    listings(file_id, scan, fingerprint, ...): what scans found.  A component is
+    derived when it never was, when its version differs, when its input has
+    another fingerprint, or when it failed; one that is unsupported stays so until
+    its version changes.  ``derive(component, row)`` gets a frame of one row and
+    returns ``value`` (string) and ``status`` (complete, failed or unsupported); an
+    exception is a failure of that row, not of its batch.  Of the rows of one file
+    in one batch the last scan counts (ties: the largest fingerprint; a null is
+    the smallest); a row that is older than the state is left out.  Rows without a
+    file_id are left out; a null fingerprint is never up to date.
+
+    -> file_id, component, scan, version, why, status, value, error.  The state is
+    committed with its batch, so a batch that is cut short is derived again as a
+    whole, and a sink that replaces or deduplicates batches holds each row once.
+    """
+    wanted = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.lit(v).alias("version")) for c, v in sorted(versions.items())]))
+    rows = listings.filter("file_id is not null").withColumn("__c", wanted).select(*listings.columns, "__c.component", "__c.version")
+    kind = dict(listings.dtypes)["file_id"]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = None
+        for f in frames:
+            top = f.assign(__p=f["fingerprint"].fillna("")).sort_values(["scan", "__p"]).tail(1)
+            if last is None or (top["scan"].iat[0], top["__p"].iat[0]) > (last["scan"].iat[0], last["__p"].iat[0]):
+                last = top
+        now = last.iloc[0]
+        scan, version, fingerprint = int(now["scan"]), now["version"], now["__p"]
+        was = state.get if state.exists else None
+        if was is not None and scan < was[0]:
+            return
+        why = _stale(was, version, fingerprint)
+        if why is None:
+            state.update((scan, *was[1:]))
+            return
+        try:
+            made = derive(key[1], last.drop(columns="__p")).iloc[0]
+            status, value, error = made["status"], made["value"], None
+        except Exception as e:  # noqa: BLE001 - the error is the row's result
+            status, value, error = "failed", None, f"{type(e).__name__}: {e}"
+        state.update((scan, version, fingerprint, status))
+        yield pd.DataFrame([(key[0], key[1], scan, version, why, status, value, error)], columns=["file_id", "component", "scan", "version", "why", "status", "value", "error"])
+
+    out = f"file_id {kind}, component string, scan long, version string, why string, status string, value string, error string"
+    return rows.groupBy("file_id", "component").applyInPandasWithState(step, out, "scan long, version string, fingerprint string, status string", "append", GroupStateTimeout.NoTimeout)
+
+
+def _stale(was: tuple | None, version: str, fingerprint: str) -> str | None:
+    """Why a component has to be derived, or None if it is up to date."""
+    if was is None:
+        return "missing"
+    _, old_version, old_fingerprint, status = was
+    if old_version != version:
+        return "version"
+    if status == "unsupported":
+        return None
+    if status != "complete":
+        return "failed"
+    return None if fingerprint and old_fingerprint == fingerprint else "input"
+
+
+def fan_out(rows: DataFrame, decode: Callable[[pd.DataFrame], Any], consumers: dict[str, tuple[Callable[[pd.DataFrame, Any], pd.DataFrame], str]], folder: str) -> dict[str, DataFrame]:
+    """Several derived tables from one pass: each batch is decoded once and every consumer gets what was decoded.
+
+    A consumer is a function of the batch and its decoded form that returns the
+    rows of its own table, and their schema.  All rows are written once to
+    ``folder``, which must be new, in a part for each consumer; a returned table
+    reads its own part and columns only.  A consumer without rows is an empty table.
+    """
+    names = sorted(consumers)
+    tables = {n: to_arrow_schema(StructType.fromDDL(consumers[n][1])) for n in names}
+    schema = "consumer string, " + ", ".join(f"`{n}` struct<{consumers[n][1]}>" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrow in batches:
+            batch = arrow.to_pandas()
+            decoded = decode(batch)
+            for n in names:
+                made = pa.Table.from_pandas(consumers[n][0](batch, decoded), tables[n], preserve_index=False).to_batches()
+                for part in made:
+                    filled = pa.StructArray.from_arrays(part.columns, fields=list(tables[n]))
+                    others = [filled if m == n else pa.nulls(len(part), pa.struct(list(tables[m]))) for m in names]
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(part), pa.string()), *others], ["consumer", *names])
+
+    rows.mapInArrow(run, schema).write.partitionBy("consumer").parquet(folder)
+    back = rows.sparkSession.read.schema(schema).parquet(folder)
+    return {n: back.filter(F.col("consumer") == n).select(f"`{n}`.*") for n in names}

@@ -248,6 +248,61 @@ def test_listing(spark, tmp_path):
     assert totals[""] == (3, 6, {".jpg": 2, ".mp4": 1}) and totals["sub"][0] == 2
 
 
+def test_folder_scan(spark, tmp_path):
+    """Against a walk, for every number of parts; issues are rows, links and skipped names are not."""
+    import os
+
+    r, root = random.Random(3), tmp_path / "library"
+    root.mkdir()
+    folders = [""]
+    for i in range(25):
+        parent = r.choice(folders)
+        folders.append(f"{parent}/f{i}".lstrip("/"))
+        (root / folders[-1]).mkdir()
+    for i in range(120):
+        (root / r.choice(folders) / f"p{i}{r.choice(['.jpg', '.JXL', '.mp4', '.txt', '.tmp', ''])}").write_bytes(b"x" * i)
+    for hidden in (".Index", "f1/.x.part"):
+        (root / hidden).mkdir()
+        (root / hidden / "in.jpg").write_bytes(b"")
+    (root / "again").symlink_to(root / "f1")
+    (root / "same.jpg").symlink_to(root / "f1")
+    want = {}
+    for at, _, names in os.walk(root):
+        rel = os.path.relpath(at, root)
+        if ".Index" in rel or ".part" in rel:
+            continue
+        for n in names:
+            if n.lower().endswith((".jpg", ".jxl", ".mp4")) and n != "same.jpg":
+                want[n if rel == "." else f"{rel}/{n}"] = os.path.getsize(os.path.join(at, n))
+    for parts in (1, 2, 9, 64):
+        got = listing.scan_tree(spark, str(root), parts=parts).collect()
+        assert {x["path"]: x["size"] for x in got} == want and len(got) == len(want) and all(x["issue"] is None for x in got)
+    gone = listing.scan_tree(spark, str(tmp_path / "nowhere"))
+    assert [(x["path"], x["issue"]) for x in gone.collect()] == [("", "No such file or directory")]
+    assert listing.unreadable(gone) == [""]
+
+
+def test_unreadable_folder(tmp_path, monkeypatch):
+    """One folder that can't be opened is one issue, and what lies around it is found."""
+    import os
+
+    for name in ("a/x.jpg", "b/y.jpg", "b/c/z.jpg"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    plain = os.scandir
+
+    def refusing(at):
+        if str(at).endswith("/b"):
+            raise PermissionError(13, "Permission denied")
+        return plain(at)
+
+    monkeypatch.setattr(listing.os, "scandir", refusing)
+    for parts in ("1", "3", "64"):
+        reader = listing.FolderTree({"path": str(tmp_path), "parts": parts}).reader(None)
+        rows = [r for p in reader.partitions() for r in reader.read(p)]
+        assert sorted((r[0], r[3]) for r in rows) == [("a/x.jpg", None), ("b", "Permission denied")]
+
+
 def test_streaming(spark, tmp_path):
     src, out, state = (f"{tmp_path}/{x}" for x in ("in", "out", "state"))
     rows = [(1, f"2024-01-01 00:{m:02d}:00") for m in (0, 1, 2, 30, 31)] + [(2, "2024-01-01 05:00:00")]
