@@ -54,6 +54,8 @@ PERCENT = 80
 OFTEN = 32
 #: ... the most frequent of them, at most so many (8 bytes each are broadcast).
 MOST_OFTEN = 1 << 20
+#: A cell with more rows finds its pivot by a partial aggregate, not in one task.
+CELL = 4096
 #: Members of a pivot that one task verifies together.
 BLOCK = 512
 #: A region with more classes, or more shingles in all, is dealt to several tasks.
@@ -281,11 +283,27 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return own.unionByName(rest).repartition("a", "block").sortWithinPartitions("a", "block", "kind").select("a", "kind", "b", "items").mapInPandas(run, "a long, b long, n_a long, n_b long, common long")
 
 
-def stars(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+def divided(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """rows(cell, ..., often): those of small cells, and those of large ones.
+
+    Frequent shingles were counted under the plain order; with those at its end
+    other shingles come into the prefixes, so the cells are counted again here.
+    """
+    plain, large = rows.filter("not often").drop("often"), rows.filter("often").drop("often")
+    found = scratch.save(plain.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL).select("cell"), "large-cells")
+    n = found.count()
+    if n:
+        found = F.broadcast(found) if n <= MOST_OFTEN else found
+        large = large.unionByName(plain.join(found, "cell", "left_semi"))
+        plain = plain.join(found, "cell", "left_anti")
+    return plain, large
+
+
+def stars(reps: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """pivot, class, n, near, fits: the regions.  ``near`` if a place of both allows a link with the pivot, ``fits`` if one with another row of the cell.
 
-    Cells of frequent shingles find their pivot by a partial aggregate and a
-    join, which adaptive execution splits; other cells are small.
+    Large cells find their pivot by a partial aggregate and a join, which
+    adaptive execution splits; the others have at most ``CELL`` rows.
     """
     low = (1 << 32) - 1
     # one long for (at, n): the order of a cell, and narrower rows to shuffle
@@ -294,10 +312,10 @@ def stars(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     size = F.col("key").bitwiseAND(F.lit(low)).cast("int")
     w = Window.partitionBy("cell")
     ordered = w.orderBy("key", "class")
-    rare = rows.filter("not often").withColumn("pivot", F.first(F.struct("key", "class")).over(ordered)).withColumn("smallest", F.min(size).over(w))
-    often = rows.filter("often")
+    small_cells, often = divided(rows, scratch)
+    rare = small_cells.withColumn("pivot", F.first(F.struct("key", "class")).over(ordered)).withColumn("smallest", F.min(size).over(w))
     heads = often.groupBy("cell").agg(F.min(F.struct("key", "class")).alias("pivot"), F.min(size).alias("smallest"))
-    both = rare.drop("often").unionByName(often.drop("often").join(heads, "cell"))
+    both = rare.unionByName(often.join(heads, "cell"))
     n_of, at_of = (lambda c: F.col(c).bitwiseAND(F.lit(low)).cast("int")), (lambda c: F.shiftright(F.col(c), 32).cast("int"))
     met = both.filter("class != pivot.class").select("class", n_of("key").alias("n"), at_of("key").alias("at"), F.col("pivot.class").alias("pivot"), n_of("pivot.key").alias("pivot_n"), at_of("pivot.key").alias("pivot_at"), "smallest")
     # a row whose place leaves too little for even the smallest set of its cell can link with none of it
@@ -528,7 +546,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     empty = base.filter("n = 0").select("doc_id", F.lit(None).cast("long").alias("class"), "n")
     members = scratch.save(base.filter("n > 0").select("doc_id", "n", *names).join(classes.select("class", *names), names).select("doc_id", "class", "n").unionByName(empty), "members")
     reps = base.join(classes.select(F.col("class").alias("row")), "row", "left_semi").withColumnRenamed("row", "class")
-    regions = scratch.save(stars(reps.select("class", "n", "prefix", "late"), percent), "regions")
+    regions = scratch.save(stars(reps.select("class", "n", "prefix", "late"), scratch, percent), "regions")
     scratch.release()
     bits = base.select(F.col("row").alias("class"), "bits")
     sets: list[DataFrame] = []

@@ -87,6 +87,28 @@ def test_large_regions(spark, monkeypatch, hot):
     check(spark, families(hot))
 
 
+def test_cells_that_grow_late(spark, monkeypatch):
+    """Common words that only come into the prefixes when the frequent ones have left them: no window gets their cells, and the rows are the same."""
+    r = random.Random(6)
+    common = [f"c{i}" for i in range(104)]
+    rows = [(i, " ".join(common + [f"w{r.randrange(10**9)}" for _ in range(100)])) for i in range(300)]
+    rows += [(300 + i, t + " end") for i, t in rows[:5]]
+    monkeypatch.setattr(J, "OFTEN", 8)
+    monkeypatch.setattr(J, "CELL", 40)
+    seen, divided = [], J.divided
+
+    def watched(cells, scratch):
+        plain, large = divided(cells, scratch)
+        widest = lambda df: df.groupBy("cell").count().agg({"count": "max"}).first()[0]
+        listed = widest(cells.filter("not often"))
+        seen.append((listed, widest(plain), plain.count() + large.count() == cells.count()))
+        return plain, large
+
+    monkeypatch.setattr(J, "divided", watched)
+    check(spark, rows)
+    assert seen[0][0] > 100 and seen[0][1] <= 40 and seen[0][2]
+
+
 def test_regions_lose_no_candidate():
     """Voronoi regions with windows find what a comparison of all pairs finds."""
     r = np.random.default_rng(3)
