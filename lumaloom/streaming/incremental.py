@@ -58,24 +58,25 @@ def derive_versioned(listings: DataFrame, versions: dict[str, str], derive: Call
     exception is a failure of that row, not of its batch.  Of the rows of one file
     in one batch the last scan counts (ties: the largest fingerprint; a null is
     the smallest); a row that is older than the state is left out.  Rows without a
-    file_id are left out; a null fingerprint is never up to date.
+    file_id or a scan are left out; a null fingerprint is never up to date.
 
     -> file_id, component, scan, version, why, status, value, error.  The state is
     committed with its batch, so a batch that is cut short is derived again as a
     whole, and a sink that replaces or deduplicates batches holds each row once.
     """
     wanted = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.lit(v).alias("version")) for c, v in sorted(versions.items())]))
-    rows = listings.filter("file_id is not null").withColumn("__c", wanted).select(*listings.columns, "__c.component", "__c.version")
+    rows = listings.filter("file_id is not null and scan is not null").withColumn("__c", wanted).select(*listings.columns, "__c.component", "__c.version")
     kind = dict(listings.dtypes)["file_id"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = None
+        last, place = None, None
         for f in frames:
-            top = f.assign(__p=f["fingerprint"].fillna("")).sort_values(["scan", "__p"]).tail(1)
-            if last is None or (top["scan"].iat[0], top["__p"].iat[0]) > (last["scan"].iat[0], last["__p"].iat[0]):
-                last = top
-        now = last.iloc[0]
-        scan, version, fingerprint = int(now["scan"]), now["version"], now["__p"]
+            # most keys have one row; the last scan counts, then the largest fingerprint
+            places = [(int(n), p if isinstance(p, str) else "") for n, p in zip(f["scan"], f["fingerprint"], strict=True)]
+            top = max(range(len(places)), key=places.__getitem__)
+            if place is None or places[top] > place:
+                last, place = f if len(f) == 1 else f.iloc[[top]], places[top]
+        (scan, fingerprint), version = place, last["version"].iat[0]
         was = state.get if state.exists else None
         if was is not None and scan < was[0]:
             return
@@ -84,8 +85,8 @@ def derive_versioned(listings: DataFrame, versions: dict[str, str], derive: Call
             state.update((scan, *was[1:]))
             return
         try:
-            made = derive(key[1], last.drop(columns="__p")).iloc[0]
-            status, value, error = made["status"], made["value"], None
+            made = derive(key[1], last)
+            status, value, error = made["status"].iat[0], made["value"].iat[0], None
         except Exception as e:  # noqa: BLE001 - the error is the row's result
             status, value, error = "failed", None, f"{type(e).__name__}: {e}"
         state.update((scan, version, fingerprint, status))
