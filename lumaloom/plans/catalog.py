@@ -17,8 +17,29 @@ S = "CAST({} AS STRING)".format
 #: Files of some days have a record of how they were made.
 MADE = "CAST(substr(CAST(mtime AS STRING), 9, 2) AS INT) {}".format
 
-#: view -> (source, group keys or None, [(column, expression)][, condition on the source])
-VIEWS: dict[str, tuple] = {
+DAY = MADE("").strip()
+
+
+def _state(component: str, version: str, status: str, old: int, path: str, mark: str, missing: int) -> tuple:
+    """Records of one component: its version and status, an old input on one day of the month, none on another."""
+    return (
+        "file",
+        None,
+        [
+            ("file_id", "file_id"),
+            ("component", f"'{component}'"),
+            ("version", version),
+            ("status", status),
+            ("input_fingerprint", f"CASE WHEN {DAY} = {old} THEN md5(sha256) ELSE sha256 END"),
+            ("output_path", path),
+            ("output_fingerprint", mark),
+        ],
+        f"{DAY} <> {missing}",
+    )
+
+
+#: view -> (source, group keys or None, [(column, expression)][, condition on the source]), or a list of views that it unites
+VIEWS: dict[str, tuple | list] = {
     "asset": (
         "orders",
         None,
@@ -125,6 +146,32 @@ VIEWS: dict[str, tuple] = {
             ("bit_depth", "CASE WHEN size_bytes % 7 = 0 THEN 12 ELSE 8 END"),
         ],
     ),
+    "state_metadata": _state("metadata", f"CASE WHEN {DAY} = 2 THEN 'm1' ELSE 'm2' END", f"CASE WHEN {DAY} IN (3, 4) THEN CASE WHEN size_bytes % 3 = 0 THEN 'unsupported' ELSE 'failed' END ELSE 'complete' END", 5, "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", 1),
+    "state_thumbnail": _state(
+        "thumbnail", f"CASE WHEN {DAY} = 6 THEN 't1' ELSE 't2' END", f"CASE WHEN {DAY} IN (7, 8) THEN CASE WHEN size_bytes % 3 = 0 THEN 'unsupported' ELSE 'failed' END WHEN {DAY} = 9 THEN 'pending' ELSE 'complete' END",
+        10, f"CASE WHEN {DAY} = 11 THEN '' ELSE 'thumbs/' || sha256 || '.jpg' END", f"CASE WHEN {DAY} <> 12 THEN md5('t' || sha256) END", 13,
+    ),
+    "state_quality": _state(
+        "quality", f"CASE WHEN {DAY} = 14 THEN 'q1' ELSE 'q2' END", "CASE WHEN (media_type = 'video' AND size_bytes % 4 <> 0) OR (quality_score IS NULL AND size_bytes % 2 = 0) THEN 'not_requested' ELSE 'complete' END",
+        15, "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", 16,
+    ),
+    "file_state": ["state_metadata", "state_thumbnail", "state_quality"],
+    "state_embedding": (
+        "embeddings",
+        None,
+        [
+            ("file_id", "vec_id"),
+            ("component", "'embedding:image'"),
+            ("version", "CASE WHEN vec_id % 9 = 0 THEN 'e0' ELSE 'e1' END"),
+            ("status", "CASE WHEN vec_id % 10 = 3 THEN 'failed' ELSE 'complete' END"),
+            ("input_fingerprint", "md5(CAST(vec_id - CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END AS STRING))"),
+            ("output_path", "CAST(NULL AS STRING)"),
+            ("output_fingerprint", "CAST(NULL AS STRING)"),
+        ],
+        "vec_id % 13 <> 5",
+    ),
+    "component_state": ["file_state", "state_embedding"],
+    "vector": ("embeddings", None, [("vec_id", "vec_id"), ("file_id", "vec_id"), ("input_fingerprint", "md5(CAST(vec_id AS STRING))")]),
     "job": (
         "events",
         None,
@@ -146,9 +193,10 @@ def with_views(sql: str) -> str:
     needed: list[str] = []
 
     def need(name: str) -> None:
-        source = VIEWS[name][0]
-        if source in VIEWS:
-            need(source)
+        view = VIEWS[name]
+        for source in view if isinstance(view, list) else view[:1]:
+            if source in VIEWS:
+                need(source)
         if name not in needed:
             needed.append(name)
 
@@ -157,6 +205,9 @@ def with_views(sql: str) -> str:
             need(name)
     parts = []
     for name in needed:
+        if isinstance(VIEWS[name], list):
+            parts.append(f"{name} AS ({' UNION ALL '.join(f'SELECT * FROM {v}' for v in VIEWS[name])})")
+            continue
         source, keys, columns, *where = VIEWS[name]
         select = ", ".join(f"{e} AS {c}" for c, e in columns)
         parts.append(f"{name} AS (SELECT {select} FROM {source}{' WHERE ' + where[0] if where else ''}{' GROUP BY ' + ', '.join(keys) if keys else ''})")
@@ -174,6 +225,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of the catalog, or a plain table."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if isinstance(VIEWS[name], list):
+        return _united(spark, sf_dir, VIEWS[name])
     source, keys, columns, *where = VIEWS[name]
     df = load(spark, sf_dir, source)
     if where:
@@ -185,3 +238,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         grouped = df.groupBy(*keys).agg(*[F.expr(e).alias(c) for c, e in columns if "max(" in e])
         return grouped.selectExpr(*[f"{e} AS {c}" for c, e in plain], *[c for c, e in columns if "max(" in e])
     return df.selectExpr(*[f"{e} AS `{c}`" for c, e in columns])
+
+
+def _united(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """Views after each other; those over one source become one explode, so that it is read once."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    sources = {VIEWS[n][0] for n in names if not isinstance(VIEWS[n], list)}
+    if len(sources) == 1 and len(names) > 1 and not any(isinstance(VIEWS[n], list) for n in names):
+        rows = [F.when(F.expr(where[0] if where else "true"), F.struct(*[F.expr(e).alias(c) for c, e in columns])) for _, _, columns, *where in (VIEWS[n] for n in names)]
+        return load(spark, sf_dir, sources.pop()).select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
+    return reduce(DataFrame.unionByName, [load(spark, sf_dir, n) for n in names])

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import media as M
+from ..operators import states as S
 from .catalog import load
 from .registry import query
 
@@ -36,11 +37,10 @@ def jn_4(spark, d):
     return j.join(F.broadcast(pointer), j["job_id"] % 5 == pointer["run"]).select("job_id", "kind")
 
 
-@query("jn_5_freshness", "SELECT e.vec_id, f.file_id FROM embeddings e JOIN file f ON e.vec_id = f.file_id JOIN (SELECT DISTINCT file_id FROM job WHERE status = 'complete' AND kind = 'view') s ON s.file_id = f.file_id WHERE f.in_scope AND f.is_online")
+@query("jn_5_freshness", "SELECT v.vec_id, f.file_id FROM vector v JOIN file f ON v.file_id = f.file_id JOIN component_state s ON s.file_id = v.file_id AND s.component = 'embedding:image' AND s.status = 'complete' AND s.version = 'e1' AND s.input_fingerprint = v.input_fingerprint WHERE f.in_scope AND f.is_online")
 def jn_5(spark, d):
-    fresh = load(spark, d, "job").filter("status = 'complete' and kind = 'view'").select("file_id")
-    f = load(spark, d, "file").filter("in_scope and is_online").join(fresh, "file_id", "left_semi")
-    return load(spark, d, "embeddings").select("vec_id").join(f, F.col("vec_id") == F.col("file_id")).select("vec_id", "file_id")
+    """Vectors whose record is complete, of the run's version and of the input that they were made from."""
+    return S.fresh_vectors(load(spark, d, "vector"), load(spark, d, "file"), load(spark, d, "component_state"), "embedding:image", "e1").select("vec_id", "file_id")
 
 
 @query("jn_7_raw_without_rendered", "SELECT file_id FROM file f WHERE extension IN ('.cr3', '.dng') AND NOT EXISTS (SELECT 1 FROM file r WHERE r.asset_id = f.asset_id AND r.extension NOT IN ('.cr3', '.dng'))")
@@ -139,16 +139,34 @@ def srt_10(spark, d):
     return load(spark, d, "job").orderBy(F.desc("stamp"), F.desc("job_id")).limit(100).select("job_id", "kind", "status")
 
 
-@query("srt_10_flt_15_set_5_problems", """WITH last AS (SELECT job_id, file_id, stamp FROM job WHERE status = 'failed' ORDER BY stamp DESC, job_id DESC LIMIT 500),
- done AS (SELECT file_id FROM job WHERE status = 'complete' GROUP BY file_id HAVING count(*) >= 40), e AS (SELECT 'error' AS kind, job_id AS id, CAST(stamp AS TIMESTAMP) AS stamp FROM last WHERE file_id NOT IN (SELECT file_id FROM done)),
+#: Job kinds for the kinds of events.
+KINDS = {"view": "media_index", "click": "media_thumbnails", "purchase": "media_quality", "signup": "embeddings"}
+STANDS = """(CASE kind WHEN 'view' THEN coalesce(metadata AND thumbnail, FALSE) WHEN 'click' THEN coalesce(thumbnail, FALSE) WHEN 'purchase' THEN coalesce(quality, FALSE) WHEN 'signup' THEN coalesce(embedding, FALSE) ELSE FALSE END)"""
+RESOLVED_SQL = """known AS (SELECT file_id, bool_and(status IN ('complete', 'not_requested')) FILTER (component = 'metadata') AS metadata, bool_and(status IN ('complete', 'not_requested')) FILTER (component = 'thumbnail') AS thumbnail,
+ bool_and(status IN ('complete', 'not_requested')) FILTER (component = 'quality') AS quality, bool_and(status IN ('complete', 'not_requested')) FILTER (component LIKE 'embedding:%') AS embedding FROM component_state GROUP BY file_id)"""
+
+
+def errors_of(spark, d):
+    kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return load(spark, d, "job").filter("status = 'failed'").select("job_id", "file_id", F.coalesce(kind[F.col("kind")], F.lit("other")).alias("kind"), "stamp")
+
+
+@query("flt_15_unresolved_errors", f"WITH {RESOLVED_SQL} SELECT job_id, j.file_id, kind AS event FROM job j LEFT JOIN known k ON j.file_id = k.file_id WHERE status = 'failed' AND NOT {STANDS}")
+def flt_15(spark, d):
+    """All errors that still stand, by the records of the components that their jobs leave behind."""
+    e = S.unresolved_errors(errors_of(spark, d), load(spark, d, "component_state"))
+    back = F.create_map(*[F.lit(x) for a, b in KINDS.items() for x in (b, a)])
+    return e.select("job_id", "file_id", F.coalesce(back[F.col("kind")], F.lit("error")).alias("event"))
+
+
+@query("srt_10_flt_15_set_5_problems", f"""WITH {RESOLVED_SQL}, last AS (SELECT job_id, file_id, kind, stamp FROM job WHERE status = 'failed' ORDER BY stamp DESC, job_id DESC LIMIT 500),
+ e AS (SELECT 'error' AS kind, job_id AS id, CAST(stamp AS TIMESTAMP) AS stamp FROM last LEFT JOIN known k ON last.file_id = k.file_id WHERE NOT {STANDS}),
  c AS (SELECT 'conflict' AS kind, job_id AS id, CAST(stamp AS TIMESTAMP) AS stamp FROM job WHERE status = 'running' AND job_id % 100 = 1) SELECT kind, id FROM (SELECT * FROM e UNION ALL SELECT * FROM c) ORDER BY stamp DESC, kind, id LIMIT 100""")
 def problems(spark, d):
     """The limit on errors comes before the filter of resolved ones, as documented."""
-    j = load(spark, d, "job")
-    last = j.filter("status = 'failed'").orderBy(F.desc("stamp"), F.desc("job_id")).limit(500)
-    done = j.filter("status = 'complete'").groupBy("file_id").agg(F.count("*").alias("n")).filter("n >= 40")
-    e = last.join(done, "file_id", "left_anti").select(F.lit("error").alias("kind"), F.col("job_id").alias("id"), "stamp")
-    c = j.filter("status = 'running' and job_id % 100 = 1").select(F.lit("conflict").alias("kind"), F.col("job_id").alias("id"), "stamp")
+    last = errors_of(spark, d).orderBy(F.desc("stamp"), F.desc("job_id")).limit(500)
+    e = S.unresolved_errors(last, load(spark, d, "component_state")).select(F.lit("error").alias("kind"), F.col("job_id").alias("id"), "stamp")
+    c = load(spark, d, "job").filter("status = 'running' and job_id % 100 = 1").select(F.lit("conflict").alias("kind"), F.col("job_id").alias("id"), "stamp")
     return e.unionByName(c).orderBy(F.desc("stamp"), "kind", "id").limit(100).select("kind", "id")
 
 
@@ -161,12 +179,28 @@ def flt_16(spark, d):
     return c.join(y, "b").filter((F.col("a") != F.col("b")) & (~F.col("decision") | opposed)).select("a", "b")
 
 
-@query("flt_17_str_1_pending_work", "SELECT f.file_id, CASE WHEN s.status IS NULL THEN 'missing' ELSE 'stale' END AS why FROM file f LEFT JOIN (SELECT file_id, max(status) AS status, max(job_id % 3) AS version FROM job WHERE kind = 'view' GROUP BY file_id) s ON f.file_id = s.file_id WHERE f.in_scope AND f.is_online AND NOT coalesce(s.status = 'complete' AND s.version = 2, FALSE)")
+#: Versions of the components, and the scorer.
+VERSIONS = {"metadata": "m2", "thumbnail": "t2", "quality": "q2"}
+SCORER = "CASE WHEN size_bytes % 50 = 0 THEN 'other' ELSE 'scorer' END"
+
+
+def work(spark, d, scoring=True):
+    files = load(spark, d, "file").withColumns({"quality_algorithm": F.expr(SCORER), "quality_version": F.lit("q2")})
+    return S.pending_work(files.filter("in_scope and is_online"), load(spark, d, "file_state"), VERSIONS, "scorer", scoring)
+
+
+_COMMON = "CASE WHEN s.status <> 'complete' THEN 'status' WHEN s.input_fingerprint <> f.sha256 THEN 'input'"
+
+
+@query("flt_17_str_1_pending_work", f"""WITH c AS (SELECT * FROM (VALUES ('metadata', 'm2'), ('thumbnail', 't2'), ('quality', 'q2')) AS v(component, wanted)),
+ p AS (SELECT f.file_id, c.component, CASE WHEN s.file_id IS NULL THEN 'missing' WHEN s.version <> c.wanted THEN 'version' WHEN s.status = 'unsupported' AND NOT (f.extension = '.jxl' AND c.component IN ('metadata', 'thumbnail')) THEN NULL
+   WHEN c.component = 'metadata' THEN {_COMMON} END WHEN c.component = 'thumbnail' THEN {_COMMON} WHEN s.output_path = '' OR s.output_fingerprint IS NULL THEN 'output' END
+   WHEN f.media_type = 'video' THEN CASE WHEN s.status <> 'not_requested' THEN 'status' END ELSE {_COMMON} WHEN quality_score IS NULL OR {SCORER} <> 'scorer' THEN 'value' END END AS why
+  FROM file f JOIN c ON TRUE LEFT JOIN file_state s ON s.file_id = f.file_id AND s.component = c.component WHERE f.in_scope AND f.is_online)
+ SELECT file_id, component, why FROM p WHERE why IS NOT NULL""")
 def flt_17(spark, d):
-    s = load(spark, d, "job").filter("kind = 'view'").groupBy("file_id").agg(F.max("status").alias("status"), F.max(F.col("job_id") % 3).alias("version"))
-    f = load(spark, d, "file").filter("in_scope and is_online").join(s, "file_id", "left")
-    ready = F.coalesce((F.col("status") == "complete") & (F.col("version") == 2), F.lit(False))
-    return f.filter(~ready).select("file_id", F.when(F.col("status").isNull(), "missing").otherwise("stale").alias("why"))
+    """Every component of every file in scope that is to be derived, and why."""
+    return work(spark, d).select("file_id", F.explode("pending").alias("component", "why"))
 
 
 @query("set_1_union_of_sets", "SELECT asset_id FROM asset WHERE asset_id % 4 = 0 UNION SELECT asset_id FROM file WHERE media_type = 'video' AND is_online")
