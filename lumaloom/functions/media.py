@@ -50,6 +50,10 @@ def in_folder(path: Column, folder: str) -> Column:
     return F.lit(True) if folder == "" else (F.lower(path) == folder.lower()) | F.lower(path).startswith(folder.lower() + "/")
 
 
+#: What ``media_category`` tells apart, in order.
+CATEGORIES = ["jpeg", "other", "other_image", "raw", "video"]
+
+
 def media_category(ext: Column) -> Column:
     e = F.lower(ext)
     return F.when(e.isin(JPEG), "jpeg").when(e.isin(RAW), "raw").when(e.isin(VIDEO), "video").when(e.isin(OTHER_IMAGE), "other_image").otherwise("other")

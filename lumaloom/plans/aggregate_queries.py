@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import media as M
 from ..functions import metrics as X
+from ..operators import estimates as E
 from .catalog import load
 from .registry import query
 
@@ -127,12 +128,74 @@ def agg_18(spark, d):
     return a.groupBy("kind").agg(F.count("*").alias("assets"), F.sum("pending").cast("long").alias("pending"), F.sum("samples").cast("long").alias("samples"))
 
 
-@query("agg_19_28_estimate", "SELECT media_type, count_if(component_status <> 'complete') AS pending, count_if(component_status <> 'complete') * CAST(CASE WHEN media_type = 'video' THEN 4.0 ELSE 0.25 END AS DOUBLE) + 12.0 AS seconds, count_if(component_status <> 'complete') * 512 * 2 AS vector_bytes FROM file WHERE in_scope GROUP BY media_type")
+#: What the indexed run of the test catalog covers.
+INDEX = E.IndexOptions(folders={"YEAR2": False, "Year1/Trip3": False}, raw=True, raw_quality=False, video_quality=True, semantic=True, semantic_videos=True)
+#: Rates that the kinds of jobs are timed for.
+TIMED = {"view": "metadata.processing", "click": "thumbnail.image", "purchase": "quality.image", "signup": "embedding.image", "error": "scan.hashing"}
+
+
+def rates_of(spark, d):
+    """Rates from the latest complete jobs; each timed one step."""
+    name = F.create_map(*[F.lit(x) for pair in TIMED.items() for x in pair])[F.col("kind")]
+    j = load(spark, d, "job").filter("status = 'complete'")
+    return E.historical_rates(j.select("stamp", "job_id", F.create_map(name, "seconds").alias("seconds"), F.create_map(name, F.get_json_object("props", "$.k").cast("double")).alias("counts")))
+
+
+def _rate(name):
+    kinds = [k for k, n in TIMED.items() if n == name]
+    usual = f"CAST({E.RATES[name]} AS DOUBLE)"
+    return f"(SELECT coalesce(max(CASE WHEN n > 0 AND s > 0 THEN greatest(s / n, {usual} * 0.45) END), {usual}) FROM timed WHERE kind = '{kinds[0]}')" if kinds else usual
+
+
+TIMED_SQL = "timed AS (SELECT kind, sum(seconds) AS s, sum(n) AS n FROM (SELECT kind, seconds, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS n FROM job WHERE status = 'complete' ORDER BY stamp DESC, job_id DESC LIMIT 8) GROUP BY kind)"
+RAW_IN = "extension IN ('.cr3', '.dng')"
+CHOSEN = "lower(folder) NOT IN ('year2', 'year1/trip3')"
+WORK_SQL = f"""st AS (SELECT file_id, max(CASE WHEN component = 'metadata' THEN status END) AS m, max(CASE WHEN component = 'thumbnail' THEN status END) AS t, max(CASE WHEN component = 'quality' THEN status END) AS q, max(CASE WHEN component = 'embedding:image' THEN status END) AS e FROM component_state GROUP BY file_id),
+ r AS (SELECT file.*, coalesce(m, '') = 'complete' AS md, coalesce(t, '') IN ('complete', 'not_requested') AS td, coalesce(q, '') = 'complete' AS qd, coalesce(e, '') = 'complete' AS ed, v.file_id IS NOT NULL AS fd, CASE WHEN duration IS NULL THEN 8 ELSE CAST(least(greatest(ceil(duration * 2.0), 2), 32) AS BIGINT) END AS n,
+   CASE WHEN media_type = 'video' THEN 'video' WHEN {RAW_IN} THEN 'raw' ELSE 'image' END AS kind FROM file LEFT JOIN st USING (file_id) LEFT JOIN vector v ON v.file_id = file.file_id WHERE in_scope AND is_online AND {CHOSEN}),
+ a AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY CASE kind WHEN 'video' THEN 0 WHEN 'image' THEN 1 ELSE 2 END, relative_path, file_id) AS k FROM r), f AS (SELECT * FROM a WHERE k = 1),
+ fc AS (SELECT count(*) AS files, count_if(md AND td) AS reusable, count_if(NOT md) AS metadata, count_if(media_type <> 'video' AND NOT fd) AS grouping_images FROM r),
+ w AS (SELECT fc.*, x.* FROM fc, (SELECT count_if(kind = 'video' AND NOT td) AS thumbnails_video, count_if(kind = 'image' AND NOT td) AS thumbnails_image, count_if(kind = 'raw' AND NOT td) AS thumbnails_raw, count_if(kind = 'video' AND NOT qd) AS quality_video, count_if(kind = 'image' AND NOT qd) AS quality_image, 0 AS quality_raw,
+   CAST(coalesce(sum(n) FILTER (kind = 'video' AND NOT qd), 0) AS BIGINT) AS quality_samples, CAST(coalesce(sum(n) FILTER (kind = 'video' AND NOT ed), 0) AS BIGINT) AS semantic_samples, CAST(coalesce(sum(n) FILTER (kind = 'video' AND NOT (qd AND ed)), 0) AS BIGINT) AS decode_samples, count_if(kind = 'video' AND NOT (qd AND ed)) AS decode_assets,
+   count_if(kind <> 'video' AND NOT ed) AS semantic_images, count(*) AS projection_assets, count(*) AS recommendation_assets, coalesce(bool_and(kind <> 'video' OR duration IS NOT NULL), TRUE) AS durations_known FROM f) x)"""
+STEPS = {
+    "scan": f"1.0 + metadata * {_rate('scan.discovery')}",
+    "hashing": f"metadata * {_rate('scan.hashing')}",
+    "metadata": f"metadata * {_rate('metadata.processing')}",
+    "thumbnails": f"thumbnails_image * {_rate('thumbnail.image')} + thumbnails_raw * {_rate('thumbnail.raw')} + thumbnails_video * {_rate('thumbnail.video')}",
+    "reconciliation": f"0.8 + metadata * {_rate('reconciliation')}",
+    "rendered_quality": f"quality_image * {_rate('quality.image')}",
+    "raw_quality": f"quality_raw * {_rate('quality.raw')}",
+    "video_quality": f"decode_assets * CAST(0.6 AS DOUBLE) + decode_samples * {_rate('video.extraction_total')} + quality_samples * {_rate('quality.video_sample')}",
+    "embedding_initialization": "CASE WHEN semantic_images + semantic_samples > 0 THEN 8.0 ELSE 0.0 END",
+    "image_embeddings": f"semantic_images * {_rate('embedding.image')}",
+    "video_embeddings": f"semantic_samples * {_rate('embedding.video_sample')}",
+    "semantic_projection": f"CASE WHEN projection_assets > 0 THEN 0.5 + projection_assets * {_rate('semantic_projection.rate_sample')} ELSE 0.0 END",
+    "visual_features": f"grouping_images * {_rate('features.total')}",
+    "strict_grouping": f"CASE WHEN grouping_images > 0 THEN 0.8 + grouping_images * {_rate('strict_grouping.rate_sample')} ELSE 0.0 END",
+    "recommendations": f"CASE WHEN recommendation_assets > 0 THEN 0.3 + recommendation_assets * {_rate('recommendations.asset')} ELSE 0.0 END",
+    "semantic_search": "0.0",
+}
+
+
+@query("agg_19_28_estimate", f"WITH {TIMED_SQL}, {WORK_SQL}, z AS (SELECT *, {', '.join(f'CAST({x} AS DOUBLE) AS {k}_s' for k, x in STEPS.items())} FROM w) SELECT * EXCLUDE ({', '.join(f'{k}_s' for k in STEPS)}), {', '.join(f'round_even({k}_s, 1) AS {k}_seconds' for k in STEPS)}, round_even({' + '.join(f'{k}_s' for k in STEPS)}, 1) AS estimated_seconds FROM z")
 def agg_19(spark, d):
-    pending = F.count_if(F.col("component_status") != "complete")
-    g = load(spark, d, "file").filter("in_scope").groupBy("media_type").agg(pending.alias("pending"))
-    rate = F.when(F.col("media_type") == "video", 4.0).otherwise(0.25)
-    return g.select("media_type", "pending", (F.col("pending") * rate + 12.0).alias("seconds"), (F.col("pending") * 512 * 2).alias("vector_bytes"))
+    """What is left to do in the catalog by its component records, and the time of all sixteen steps at the rates of the latest jobs."""
+    work = E.indexed_work(load(spark, d, "file"), load(spark, d, "component_state"), load(spark, d, "vector"), INDEX)
+    return E.index_seconds(work, rates_of(spark, d))
+
+
+@query("agg_28_embedding_plan", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY CASE WHEN {RAW_IN} THEN 1 ELSE 0 END, CASE WHEN in_scope THEN 0 ELSE 1 END, CASE WHEN role = 'camera_jpeg' THEN 0 ELSE 1 END,
+   CASE WHEN extension = '.jxl' AND NOT (role LIKE 'managed%' OR role LIKE 'derived%') THEN 1 ELSE 0 END, lower(relative_path), relative_path, file_id) AS k FROM file WHERE is_online AND {CHOSEN}),
+ s AS (SELECT file_id, max(input_fingerprint) AS rec FROM component_state WHERE component = 'embedding:image' AND status = 'complete' AND version = 'e1' GROUP BY file_id), fr AS (SELECT file_id, count(*) AS frames FROM job WHERE status = 'complete' GROUP BY file_id),
+ o AS (SELECT media_type, coalesce(duration, 0) > 0 AS known, CASE WHEN media_type <> 'video' THEN 1 WHEN coalesce(duration, 0) > 0 THEN CAST(least(greatest(ceil(duration * 2.0), 2), 32) AS BIGINT) ELSE 0 END AS units, md5(CAST(p.file_id AS STRING)) AS mark, rec, v.input_fingerprint AS vec, frames FROM p LEFT JOIN s USING (file_id) LEFT JOIN vector v ON v.file_id = p.file_id LEFT JOIN fr ON fr.file_id = p.file_id WHERE k = 1),
+ t AS (SELECT CAST(coalesce(sum(units) FILTER (media_type <> 'video'), 0) AS BIGINT) AS images, CAST(coalesce(sum(units) FILTER (media_type = 'video'), 0) AS BIGINT) AS video_samples, CAST(coalesce(sum(units) FILTER (rec = mark AND CASE WHEN media_type = 'video' THEN frames = units ELSE vec = mark END), 0) AS BIGINT) AS cached, count_if(media_type = 'video' AND NOT known) AS unknown_videos FROM o)
+ SELECT *, images + video_samples - cached AS pending, (images + video_samples - cached) * 768 * 2 AS storage_bytes, round_even(CASE WHEN images + video_samples > cached THEN 8.0 ELSE 0.0 END + images * CAST(0.25 AS DOUBLE) + video_samples * CAST(0.3 AS DOUBLE), 1) AS seconds FROM t""")
+def agg_28(spark, d):
+    """Vectors that the catalog's assets need, those at hand, and what the others take."""
+    files = load(spark, d, "file").withColumn("input_fingerprint", F.md5(F.col("file_id").cast("string").cast("binary")))
+    frames = load(spark, d, "job").filter("status = 'complete'").groupBy("file_id").agg(F.count("*").alias("n"))
+    return E.embedding_plan(files, load(spark, d, "component_state"), load(spark, d, "vector"), frames, INDEX, "e1", 768)
 
 
 @query("agg_20_duplicate_counts", "WITH fam AS (SELECT media_type, sha256, count(*) AS n, count(DISTINCT asset_id) AS a FROM file GROUP BY ALL) SELECT media_type, count(*) AS families, CAST(sum(n - 1) AS BIGINT) AS duplicate_files, count_if(a > 1) AS across_assets FROM fam WHERE n > 1 GROUP BY media_type")

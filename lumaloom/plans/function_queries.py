@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import media as M
 from ..functions import metrics as X
 from ..functions import times as T
+from . import aggregate_queries as A
 from .catalog import load
 from .registry import query
 
@@ -220,10 +221,21 @@ def s_33(spark, d):
     return load(spark, d, "job").select("job_id", X.quality_to_distance(q).alias("distance"), X.distance_to_quality(q / 25).alias("quality"))
 
 
-@query("s_34_eta", "SELECT job_id, CASE WHEN job_id % 10 > 0 THEN (100 - job_id % 10) * seconds / (job_id % 10) ELSE 42.0 END AS eta FROM job WHERE status = 'running'")
+_KIND_SQL = "CASE kind WHEN 'view' THEN 'media_index' WHEN 'click' THEN 'media_thumbnails' WHEN 'purchase' THEN 'media_quality' WHEN 'signup' THEN 'embeddings' ELSE 'export' END"
+
+
+@query("s_34_eta", f"""WITH {A.TIMED_SQL}, j AS (SELECT job_id, status, kind, 100 AS total, CASE WHEN job_id % 3 = 0 THEN 0 ELSE job_id % 130 END AS done, epoch_us(stamp) AS started, CASE WHEN job_id % 11 = 0 THEN seconds - 5 END AS step FROM job)
+ SELECT job_id, CASE WHEN step IS NOT NULL THEN greatest(0.0, step) WHEN total > done AND done > 0 THEN (total - done) * greatest(CAST(0.001 AS DOUBLE), (1706745600000000 - started) / 1e6) / done
+  ELSE greatest(1.0, greatest(1, total - done) * CASE kind WHEN 'view' THEN {A._rate('metadata.processing')} WHEN 'click' THEN {A._rate('thumbnail.image')} WHEN 'purchase' THEN {A._rate('quality.image')} WHEN 'signup' THEN {A._rate('embedding.image')} ELSE 0.0 END) END AS eta FROM j WHERE status IN ('pending', 'running')""")
 def s_34(spark, d):
-    done = F.col("job_id") % 10
-    return load(spark, d, "job").filter("status = 'running'").select("job_id", F.when(done > 0, (100 - done) * F.col("seconds") / done).otherwise(42.0).alias("eta"))
+    """Time left of jobs at a moment: by their step, by their pace, or by the rates of the latest jobs."""
+    from ..operators.estimates import job_seconds
+
+    j = F.col("job_id")
+    jobs = load(spark, d, "job").filter("status in ('pending', 'running')").select(
+        "job_id", "status", F.expr(_KIND_SQL).alias("kind"), F.lit(100).alias("total"), F.when(j % 3 == 0, 0).otherwise(j % 130).alias("completed"), F.col("stamp").cast("timestamp").alias("started"), F.when(j % 11 == 0, F.col("seconds") - 5).alias("eta"),
+    )
+    return job_seconds(jobs, A.rates_of(spark, d), F.timestamp_seconds(F.lit(1706745600))).select("job_id", F.col("seconds").alias("eta"))
 
 
 @query("flt_13_valid_gps", "SELECT job_id, k <= 80 AND job_id % 5 <> 0 AS valid FROM (SELECT job_id, CAST(json_extract_string(props, '$.k') AS INT) + 10 AS k FROM job)")

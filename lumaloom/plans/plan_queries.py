@@ -8,7 +8,10 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import media as M
+from ..operators import estimates as E
 from ..operators import planning as P
+from ..operators.states import SETTLED
+from ..sources.listing import folder_report
 from .browse_queries import RAW_SQL
 from .catalog import load
 from .registry import query
@@ -246,12 +249,35 @@ def cmp_27(spark, d):
     return P.resolve_targets(planned, existing)
 
 
-@query("cmp_28_src_9_index_plan", "SELECT folder, count(*) AS files, count_if(extension IN ('.jpg', '.mp4')) AS selected, CAST(coalesce(sum(CASE WHEN extension IN ('.jpg', '.mp4') THEN size_bytes END), 0) AS BIGINT) AS bytes FROM file WHERE folder <> 'Year2' GROUP BY folder")
+#: A run without videos; RAW files take part, but are not scored.
+SCAN = E.IndexOptions(folders={"YEAR2": False, "Year1/Trip3/raw": False}, videos=False, raw_quality=False, video_quality=True, semantic=True)
+_IMAGES = "coalesce(list_last(list(n ORDER BY ext) FILTER (cat = 'jpeg')), 0) + coalesce(list_last(list(n ORDER BY ext) FILTER (cat = 'other_image')), 0)"
+_LISTED = "coalesce(string_agg({} || ':' || {}, ',' ORDER BY {}) FILTER ({}), '')".format
+
+
+@query("cmp_28_src_9_index_plan", f"""WITH c AS (SELECT *, CASE WHEN extension = '.jpg' THEN 'jpeg' WHEN extension IN ('.cr3', '.dng') THEN 'raw' WHEN extension = '.mp4' THEN 'video' ELSE 'other_image' END AS cat FROM file),
+ d AS (SELECT folder AS own, extension AS ext, cat, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS b FROM c GROUP BY ALL),
+ up AS (SELECT own, ext, cat, n, b, unnest(list_distinct(list_concat([''], list_transform(range(1, len(string_split(own, '/')) + 1), lambda i: array_to_string(list_slice(string_split(own, '/'), 1, i), '/'))))) AS folder FROM d),
+ ec AS (SELECT folder, cat, sum(n) AS n FROM up GROUP BY ALL), et AS (SELECT folder, CAST(sum(n) AS BIGINT) AS files, CAST(sum(b) AS BIGINT) AS bytes, CAST(coalesce(sum(n) FILTER (own = folder), 0) AS BIGINT) AS direct_files, CAST(coalesce(sum(b) FILTER (own = folder), 0) AS BIGINT) AS direct_bytes FROM up GROUP BY folder),
+ ex AS (SELECT folder, ext, sum(n) AS n FROM up GROUP BY ALL), exs AS (SELECT folder, {_LISTED('ext', 'CAST(n AS BIGINT)', 'ext', 'TRUE')} AS extensions FROM ex GROUP BY folder), cats AS (SELECT folder, {_LISTED('cat', 'CAST(n AS BIGINT)', 'cat', 'TRUE')} AS categories FROM ec GROUP BY folder),
+ nm AS (SELECT folder, string_agg(filename, ',' ORDER BY lower(filename), filename) AS examples FROM (SELECT folder, filename FROM c QUALIFY row_number() OVER (PARTITION BY folder ORDER BY lower(filename), filename) <= 5) GROUP BY folder),
+ p AS (SELECT own AS folder, CAST(coalesce(sum(n) FILTER (cat <> 'video'), 0) AS BIGINT) AS supported_files, CAST(coalesce(sum(b) FILTER (cat <> 'video'), 0) AS BIGINT) AS supported_bytes, {_IMAGES} AS img, coalesce(list_last(list(n ORDER BY ext) FILTER (cat = 'raw')), 0) AS rw FROM d GROUP BY own),
+ st AS (SELECT file_id, bool_or(component = 'metadata' AND status = 'complete') AND bool_or(component = 'thumbnail' AND status IN ('complete', 'not_requested')) AS done FROM file_state GROUP BY file_id),
+ u AS (SELECT folder, count(*) AS reusable_files FROM c JOIN st USING (file_id) WHERE done AND in_scope AND is_online AND cat <> 'video' GROUP BY folder),
+ j AS (SELECT et.*, extensions, categories, coalesce(examples, '') AS examples, coalesce(supported_files, 0) AS supported_files, coalesce(supported_bytes, 0) AS supported_bytes, coalesce(reusable_files, 0) AS reusable_files, lower(et.folder) NOT IN ('year2', 'year1/trip3/raw') AS selected,
+   round_even(1.0 + coalesce(supported_files, 0) * CAST(0.225 AS DOUBLE) + coalesce(img, 0) * CAST(0.48 AS DOUBLE) + coalesce(rw, 0) * CAST(0.3 AS DOUBLE) + (coalesce(img, 0) + coalesce(rw, 0)) * CAST(0.25 AS DOUBLE), 1) AS eta_seconds
+  FROM et JOIN exs USING (folder) JOIN cats USING (folder) LEFT JOIN nm USING (folder) LEFT JOIN p USING (folder) LEFT JOIN u USING (folder))
+ SELECT *, greatest(0, supported_files - reusable_files) AS pending_files, CASE WHEN supported_files > 0 THEN round_even(eta_seconds * greatest(0, supported_files - reusable_files) / supported_files, 1) ELSE 0.0 END AS pending_eta_seconds FROM j""")
 def cmp_28(spark, d):
-    skip = spark.createDataFrame([("Year2",)], "folder string")
-    f = load(spark, d, "file").join(F.broadcast(skip), "folder", "left_anti")
-    wanted = F.col("extension").isin(".jpg", ".mp4")
-    return f.groupBy("folder").agg(F.count("*").alias("files"), F.count_if(wanted).alias("selected"), F.coalesce(F.sum(F.when(wanted, F.col("size_bytes"))), F.lit(0)).alias("bytes"))
+    """Every folder of the file table, direct and recursive, with what an index run would take from it."""
+    f = load(spark, d, "file")
+    done = lambda c, *s: F.bool_or((F.col("component") == c) & F.col("status").isin(*s))
+    ready = load(spark, d, "file_state").groupBy("file_id").agg((done("metadata", "complete") & done("thumbnail", *SETTLED)).alias("done")).filter("done")
+    reusable = f.filter("in_scope and is_online").join(ready, "file_id", "left_semi").select(F.col("relative_path").alias("path"))
+    plan = E.folder_plan(folder_report(f.select(F.col("relative_path").alias("path"), F.col("size_bytes").alias("size"))), reusable, SCAN)
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias(c)
+    plain = ["folder", "files", "bytes", "direct_files", "direct_bytes", "supported_files", "supported_bytes", "reusable_files", "selected", "eta_seconds", "pending_files", "pending_eta_seconds"]
+    return plan.select(*plain, text("extensions"), text("categories"), F.array_join("examples", ",").alias("examples"))
 
 
 @query("cmp_35_compression_blockers", "WITH c AS (SELECT sha256 AS k, max(component_status) AS status FROM file WHERE role = 'derived_preview' GROUP BY sha256) SELECT f.file_id, CASE WHEN c.status IS NULL THEN 'not analysed' WHEN c.status = 'failed' THEN 'analysis failed' WHEN c.status = 'pending' THEN 'analysis pending' END AS blocker FROM file f LEFT JOIN c ON f.sha256 = c.k")

@@ -7,7 +7,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -37,6 +37,45 @@ def analyse_folders(listing: DataFrame) -> DataFrame:
     return up.groupBy("folder").agg(F.sum("n").cast("long").alias("files"), F.sum("b").cast("long").alias("bytes"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "n")))).alias("extensions"))
 
 
+#: How many names of files a folder's report shows.
+EXAMPLES = 5
+
+
+def folder_report(listing: DataFrame) -> DataFrame:
+    """One row a folder, the root and folders that only have subfolders included, from listing(path, size).
+
+    direct_* counts what lies in the folder itself, the rest what lies below as well:
+    files, bytes, recognised files and bytes (of known media), maps of counts by
+    extension (``(none)`` without one) and by category, and the first five names of
+    media files, without case.  A listing of files knows no empty folders.
+
+    Files are counted by folder and extension before anything goes up the tree, and
+    examples are a ranking that each task cuts to five names a folder before the shuffle.
+    """
+    folder, ext = M.parent_folder(F.col("path")), M.extension(F.col("path"))
+    direct = listing.groupBy(folder.alias("own"), F.when(ext == "", "(none)").otherwise(ext).alias("ext")).agg(F.count("*").alias("n"), F.sum(F.coalesce("size", F.lit(0))).alias("b"))
+    at, here = F.explode(M.folder_prefixes(F.col("own"))).alias("folder"), F.col("own") == F.col("folder")
+    up = direct.select(at, "own", "ext", "n", "b").groupBy("folder", "ext").agg(*[F.sum(F.when(c, F.col(x))).cast("long").alias(y) for c, x, y in ((here, "n", "dn"), (here, "b", "db"), (F.lit(True), "n", "n"), (F.lit(True), "b", "b"))])
+    up = up.withColumn("cat", M.media_category(F.col("ext")))
+    counts = lambda key, n: F.when(F.col(n).isNotNull(), F.struct(F.col(key).alias("k"), F.col(n).alias("n")))
+    by_key = lambda key, n: F.map_from_entries(F.array_sort(F.collect_list(counts(key, n))))
+    known, total = F.col("cat") != "other", lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    extensions = up.groupBy("folder").agg(
+        total("dn").alias("direct_files"), total("n").alias("files"), total("db").alias("direct_bytes"), total("b").alias("bytes"), total(F.when(known, F.col("n"))).alias("recognized_files"), total(F.when(known, F.col("b"))).alias("recognized_bytes"),
+        by_key("ext", "dn").alias("direct_extensions"), by_key("ext", "db").alias("direct_extension_bytes"), by_key("ext", "n").alias("extensions"),
+        *[total(F.when(F.col("cat") == c, F.col(n))).alias(f"{n}_{c}") for n in ("dn", "n") for c in M.CATEGORIES],
+    )
+    present = lambda n: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"{n}_{c}").alias("n")) for c in M.CATEGORIES]), lambda e: e["n"] > 0))
+    name = M.base_name(F.col("path"))
+    first = F.row_number().over(Window.partitionBy("folder").orderBy("key", "name"))
+    named = listing.filter(M.media_category(ext) != "other").select(folder.alias("folder"), M.casefold(name).alias("key"), name.alias("name")).withColumn("__r", first).filter(F.col("__r") <= EXAMPLES)
+    examples = named.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("key", "name")))["name"].alias("examples"))
+    return extensions.join(examples, "folder", "left").select(
+        "folder", "direct_files", "files", "direct_bytes", "bytes", "recognized_files", "recognized_bytes", "direct_extensions", "direct_extension_bytes", "extensions",
+        present("dn").alias("direct_categories"), present("n").alias("categories"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"),
+    )
+
+
 class FolderTree(DataSource):
     """``spark.read.format("folder_tree")``: the files of a tree that all machines have mounted.
 
