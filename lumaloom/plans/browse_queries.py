@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import media as M
 from ..operators import browse as B
+from ..operators import summaries as V
 from .catalog import load
 from .registry import query
 
@@ -134,9 +135,44 @@ def win_12(spark, d):
     return p.select("asset_id", "position", ((F.col("page") - 1) * 60).alias("page_offset"))
 
 
-@query("prj_1_asset_summary", f"WITH {CATALOG} SELECT asset_id, media_type, filename, width, height, n_files, bytes, width >= height AS horizontal FROM cat")
+def states_sql(*names):
+    return "st AS (SELECT file_id, " + ", ".join(f"max(CASE WHEN component = '{c}' THEN {v} END) AS {c[0]}_{v}" for c, v in names) + " FROM file_state GROUP BY file_id)"
+
+
+RECOMMENDED = "rec AS (SELECT asset_id, k = 1 AS representative, k = 1 AND coalesce(quality, 0) >= 0.7 AS recommended FROM (SELECT asset_id, quality, row_number() OVER (PARTITION BY group_id ORDER BY quality DESC NULLS LAST, capture_time NULLS LAST, asset_id) AS k FROM cat WHERE group_id IS NOT NULL))"
+CODEC = "CASE extension WHEN '.mp4' THEN 'h264' WHEN '.jxl' THEN 'jpeg-xl' END"
+EMBEDDED = """CASE WHEN is_raw AND size_bytes % 3 = 0 THEN '{"quality_source": "raw_embedded_preview"}' END"""
+
+
+def decisions_of(spark, d):
+    """Representatives and recommendations of the catalog's groups."""
+    from ..operators.selection import recommend
+
+    return recommend(catalog_of(spark, d), 0.7).select("group_id", "asset_id", (F.col("reason") != "not_representative").alias("representative"), "recommended")
+
+
+@query("prj_1_asset_summary", f"""WITH {CATALOG}, {RECOMMENDED}, {states_sql(("metadata", "status"), ("thumbnail", "status"), ("quality", "status"), ("thumbnail", "output_path"))},
+ f0 AS (SELECT file.*, {CODEC} AS codec, media_type = 'image' AND is_raw AS rw, bool_or(in_scope) OVER (PARTITION BY asset_id) AS scoped, m_status, t_status, q_status, coalesce(t_status = 'complete' AND t_output_path <> '', FALSE) AS thumb FROM file LEFT JOIN st USING (file_id)),
+ f AS (SELECT *, NOT rw OR NOT bool_or(NOT rw) OVER (PARTITION BY asset_id) AS counts FROM f0 WHERE in_scope OR NOT scoped),
+ r AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY {PREF}) AS kp, row_number() OVER (PARTITION BY asset_id, is_online ORDER BY {PREF}) AS ko, row_number() OVER (PARTITION BY asset_id, is_online AND NOT rw ORDER BY {PREF}) AS kd, row_number() OVER (PARTITION BY asset_id, thumb ORDER BY {PREF}) AS kt, row_number() OVER (PARTITION BY asset_id, coalesce(width > 0 AND height > 0, FALSE) ORDER BY {PREF}) AS kz,
+   row_number() OVER (PARTITION BY asset_id, counts AND quality_score IS NOT NULL ORDER BY CASE WHEN is_online THEN 0 ELSE 1 END, relative_path, file_id) AS kq FROM f),
+ g AS (SELECT asset_id, max(codec) FILTER (ko = 1 AND is_online) AS oc, max(codec) FILTER (kp = 1) AS pc, max(filename) FILTER (kp = 1) AS filename, max(relative_path) FILTER (kp = 1) AS relative_path, max(file_id) FILTER (kp = 1) AS preferred_physical_id, max(file_id) FILTER (ko = 1 AND is_online) AS original_file_id,
+   max(file_id) FILTER (kd = 1 AND is_online AND NOT rw) AS df, max(CASE WHEN extension = '.jxl' AND thumb THEN 'preview' ELSE 'original' END) FILTER (kd = 1 AND is_online AND NOT rw) AS dk, max(CASE WHEN rw OR (extension = '.jxl' AND thumb) THEN 'preview' ELSE 'original' END) FILTER (ko = 1 AND is_online) AS od,
+   max(file_id) FILTER (kt = 1 AND thumb) AS thumbnail_file_id, max(width) FILTER (kz = 1 AND width > 0 AND height > 0) AS width, max(height) FILTER (kz = 1 AND width > 0 AND height > 0) AS height, max(quality_score) FILTER (kq = 1 AND counts AND quality_score IS NOT NULL) AS quality_score,
+   max(CASE WHEN is_raw AND size_bytes % 3 = 0 THEN 'RAW embedded preview' WHEN media_type = 'video' THEN 'sampled video frames' ELSE 'rendered image' END) FILTER (kq = 1 AND counts AND quality_score IS NOT NULL) AS quality_source,
+   concat_ws(',', CASE WHEN NOT bool_or(is_online) THEN 'offline' END, CASE WHEN bool_or(counts AND (coalesce(m_status, '') IN ('pending', 'running') OR coalesce(t_status, '') IN ('pending', 'running') OR coalesce(q_status, '') IN ('pending', 'running'))) THEN 'processing' END,
+    CASE WHEN bool_or(counts AND 'unsupported' IN (coalesce(m_status, ''), coalesce(t_status, ''), coalesce(q_status, ''))) THEN 'unsupported' END, CASE WHEN bool_or(counts AND 'failed' IN (coalesce(m_status, ''), coalesce(t_status, ''), coalesce(q_status, ''))) THEN 'failed' END) AS issues FROM r GROUP BY asset_id),
+ n AS (SELECT asset_id, count(*) AS physical_count, count_if(is_online) AS online_count FROM file GROUP BY asset_id), gr AS (SELECT group_id, count(*) AS members FROM asset GROUP BY group_id)
+ SELECT a.asset_id, a.media_type, CASE WHEN original_file_id IS NULL THEN pc ELSE coalesce(oc, pc) END AS codec, capture_time, capture_time_kind, filename, relative_path, online_count > 0 AS is_online, physical_count, online_count, thumbnail_file_id, original_file_id, coalesce(df, original_file_id) AS display_file_id, coalesce(dk, od) AS display_kind, quality_score, quality_source, issues,
+  coalesce(representative, FALSE) AS is_representative, a.group_id AS current_group_id, coalesce(recommended, FALSE) AS auto_recommended, selection_state AS user_decision, 'run-1' AS recommendation_run_id, preferred_physical_id, members AS strict_group_member_count, width, height
+ FROM asset a JOIN g USING (asset_id) JOIN n USING (asset_id) LEFT JOIN rec USING (asset_id) LEFT JOIN gr ON gr.group_id = a.group_id""")
 def prj_1(spark, d):
-    return catalog_of(spark, d).select("asset_id", "media_type", "filename", "width", "height", "n_files", "bytes", (F.col("width") >= F.col("height")).alias("horizontal"))
+    """Every asset's summary in full."""
+    assets = load(spark, d, "asset")
+    files = load(spark, d, "file").withColumns({"codec": F.expr(CODEC), "quality_record": F.expr(EMBEDDED)})
+    groups = assets.filter("group_id is not null").groupBy("group_id").agg(F.count("*").alias("members"))
+    out = V.asset_summaries(assets, files, load(spark, d, "file_state"), decisions_of(spark, d), groups, "run-1")
+    return out.withColumn("issues", F.array_join("issues", ","))
 
 
 @query("prj_2_effective_dimensions", f"SELECT asset_id, width, height FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY {PREF}) AS rn FROM file WHERE width > 0 AND height > 0) WHERE rn = 1")
@@ -201,14 +237,25 @@ def prj_6(spark, d):
     return files.select("file_id", "source_bytes", "output_bytes", F.when(F.col("source_bytes") != 0, F.bround(F.col("output_bytes") / F.col("source_bytes") * 100, 1)).alias("output_percent_of_source"))
 
 
-@query("prj_7_asset_detail", f"""SELECT asset_id, string_agg(CAST(file_id AS STRING), ',' ORDER BY CASE WHEN rn = 1 THEN 0 ELSE 1 END, CASE WHEN is_online THEN 0 ELSE 1 END, relative_path, file_id) AS files
- FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY {PREF}) AS rn FROM file) GROUP BY asset_id""")
+@query("prj_7_asset_detail", f"""WITH {states_sql(("metadata", "status"), ("thumbnail", "status"), ("quality", "status"), ("thumbnail", "output_path"), ("metadata", "version"))}, dup AS (SELECT sha256 FROM file GROUP BY sha256 HAVING count(*) > 1),
+ x AS (SELECT file_id, CASE WHEN size_bytes % 23 <> 0 AND size_bytes % 200 - 100 BETWEEN -90 AND 90 THEN size_bytes % 200 - 100 END AS lat, size_bytes % 300 - 150 AS lon FROM (SELECT file_id FROM metadata) JOIN file USING (file_id)),
+ f AS (SELECT file.*, row_number() OVER (PARTITION BY asset_id ORDER BY {PREF}) AS rn, bool_or(in_scope) OVER (PARTITION BY asset_id) AS scoped, lat, CASE WHEN lat IS NOT NULL THEN lon END AS lon, m_status, t_status, q_status, m_version, coalesce(t_status = 'complete' AND t_output_path <> '', FALSE) AND in_scope AS thumb, d.sha256 IS NOT NULL AS twin, v.file_id IS NOT NULL AS managed
+   FROM file LEFT JOIN st USING (file_id) LEFT JOIN dup d ON d.sha256 = file.sha256 LEFT JOIN managed_derivative v ON v.file_id = file.file_id LEFT JOIN x ON x.file_id = file.file_id),
+ l AS (SELECT *, row_number() OVER (PARTITION BY asset_id, lat IS NOT NULL AND (in_scope OR NOT scoped) ORDER BY CASE WHEN rn = 1 THEN 0 ELSE 1 END, CASE WHEN is_online THEN 0 ELSE 1 END, relative_path, file_id) AS kl FROM f)
+ SELECT asset_id, CAST(max(lat) FILTER (kl = 1 AND lat IS NOT NULL AND (in_scope OR NOT scoped)) AS DOUBLE) AS latitude, CAST(max(lon) FILTER (kl = 1 AND lat IS NOT NULL AND (in_scope OR NOT scoped)) AS DOUBLE) AS longitude,
+  string_agg(concat_ws('|', CAST(file_id AS STRING), relative_path, role, CASE WHEN managed THEN 'JPEG XL derivative · ' || role WHEN is_raw AND role = 'original' THEN 'RAW source' WHEN role = 'camera_jpeg' THEN 'Camera JPEG' WHEN twin THEN 'Exact duplicate' ELSE 'Physical file' END, CAST(size_bytes AS STRING), CASE WHEN is_online AND in_scope THEN 'o' ELSE '-' END || CASE WHEN thumb THEN 't' ELSE '-' END, coalesce(m_status, '?') || m_version, coalesce(t_status, '?'), coalesce(q_status, '?')), ','
+   ORDER BY CASE WHEN rn = 1 THEN 0 ELSE 1 END, CASE WHEN is_online THEN 0 ELSE 1 END, relative_path, file_id) AS files FROM l GROUP BY asset_id""")
 def prj_7(spark, d):
+    """Every asset with its files as structs, spelled out here as text."""
     f = load(spark, d, "file")
-    key = M.preference(F.col("in_scope"), F.col("is_online"), F.col("extension"), F.col("role"), F.col("relative_path"), F.col("file_id"))
-    g = f.groupBy("asset_id").agg(F.min_by("file_id", key).alias("first"), F.collect_list(F.struct((~F.col("is_online")).alias("off"), "relative_path", "file_id")).alias("all"))
-    rest = F.filter(F.transform(F.array_sort("all"), lambda x: x["file_id"]), lambda x: x != F.col("first"))
-    return g.select("asset_id", F.array_join(F.transform(F.concat(F.array("first"), rest), lambda x: x.cast("string")), ",").alias("files"))
+    twins = f.join(f.groupBy("sha256").agg(F.count("*").alias("n")).filter("n > 1"), "sha256", "left_semi").select("file_id", F.lit("exact_duplicate").alias("kind"))
+    managed = load(spark, d, "managed_derivative").join(f.select("file_id", "role"), "file_id").select("file_id", F.lit("jpeg-xl").alias("codec"), F.col("role").alias("profile"))
+    gps = load(spark, d, "metadata").select("file_id", F.get_json_object("text", "$.gps.latitude").alias("latitude"), F.get_json_object("text", "$.gps.longitude").alias("longitude"))
+    out = V.asset_details(load(spark, d, "asset"), f, load(spark, d, "file_state"), twins, managed, gps)
+    known = lambda c: F.coalesce(c, F.lit("?"))
+    flag = lambda c, t: F.when(c, t).otherwise("-")
+    text = lambda x: F.concat_ws("|", x["file_id"].cast("string"), x["relative_path"], x["role"], x["label"], x["size_bytes"].cast("string"), F.concat(flag(x["original"], "o"), flag(x["thumbnail"], "t")), F.concat(known(x["components"]["metadata"]["status"]), x["components"]["metadata"]["version"]), known(x["components"]["thumbnail"]["status"]), known(x["components"]["quality"]["status"]))
+    return out.select("asset_id", F.col("location.latitude").alias("latitude"), F.col("location.longitude").alias("longitude"), F.array_join(F.transform("files", text), ",").alias("files"))
 
 
 @query("prj_8_component_pivot", "SELECT file_id, max(CASE WHEN kind = 'view' THEN status END) AS metadata_status, max(CASE WHEN kind = 'click' THEN status END) AS thumbnail_status, max(CASE WHEN kind = 'error' THEN status END) AS quality_status FROM job GROUP BY file_id")

@@ -146,6 +146,20 @@ VIEWS: dict[str, tuple | list] = {
             ("bit_depth", "CASE WHEN size_bytes % 7 = 0 THEN 12 ELSE 8 END"),
         ],
     ),
+    "metadata": (
+        "file",
+        None,
+        [
+            ("file_id", "file_id"),
+            (
+                "text",
+                "CASE WHEN size_bytes % 23 = 0 THEN '{broken' ELSE '{\"exif\": {\"Make\": \"' || CASE size_bytes % 4 WHEN 0 THEN ' Lumen ' WHEN 1 THEN 'LUMEN' WHEN 2 THEN 'Orb' ELSE '' END || '\", \"Model\": \"' || CASE WHEN size_bytes % 4 = 3 THEN ' ' ELSE 'X1' END || '\"'"
+                " || CASE WHEN size_bytes % 3 <> 0 THEN ', \"DateTimeOriginal\": \"2024:02:' || lpad(CAST(1 + size_bytes % 28 AS STRING), 2, '0') || ' 10:20:30\"' ELSE '' END || CASE WHEN size_bytes % 7 = 0 THEN ', \"SubSecTimeOriginal\": \"' || CAST(size_bytes % 1000 AS STRING) || '\"' ELSE '' END"
+                " || CASE WHEN size_bytes % 5 = 0 THEN ', \"OffsetTimeOriginal\": \"+02:00\"' ELSE '' END || ', \"DateTime\": \"2023:12:31 23:59:59\", \"SubSecTime\": \"5\"}, \"gps\": {\"latitude\": ' || CAST(size_bytes % 200 - 100 AS STRING) || ', \"longitude\": ' || CAST(size_bytes % 300 - 150 AS STRING) || '}}' END",
+            ),
+        ],
+        f"{DAY} <> 21",
+    ),
     "state_metadata": _state("metadata", f"CASE WHEN {DAY} = 2 THEN 'm1' ELSE 'm2' END", f"CASE WHEN {DAY} IN (3, 4) THEN CASE WHEN size_bytes % 3 = 0 THEN 'unsupported' ELSE 'failed' END ELSE 'complete' END", 5, "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", 1),
     "state_thumbnail": _state(
         "thumbnail", f"CASE WHEN {DAY} = 6 THEN 't1' ELSE 't2' END", f"CASE WHEN {DAY} IN (7, 8) THEN CASE WHEN size_bytes % 3 = 0 THEN 'unsupported' ELSE 'failed' END WHEN {DAY} = 9 THEN 'pending' ELSE 'complete' END",
