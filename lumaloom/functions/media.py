@@ -144,3 +144,40 @@ def capped_size(width: Column, height: Column, long_side: int, short_side: int)
     scale = F.least(F.lit(1.0), wide / width, high / height)
     even = lambda x: F.greatest(F.lit(2), (F.floor(x * scale / 2) * 2).cast("int"))
     return even(width), even(height)
+
+
+def rational(text: Column) -> Column:
+    """Number of "n" or "n/d"; null where it is none or d is zero."""
+    over = text.contains("/")
+    parts = F.split(text, "/")
+    quotient = F.when(F.size(parts) == 2, F.try_divide(F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")))
+    return F.when(over, quotient).otherwise(text.try_cast("double"))
+
+
+def gps_position(gps: Column) -> Column:
+    """struct<latitude, longitude, altitude_m, image_direction_degrees, timestamp> of a struct of EXIF GPS text.
+
+    Coordinates are arrays of degrees, minutes and seconds, south and west negative;
+    altitudes below the sea (reference 1) negative; the time of the fix has up to three places, without trailing zeros.
+    Whatever can't be read is null.
+    """
+
+    def degrees(name: str) -> Column:
+        p = [rational(F.get(gps[name], F.lit(i))) for i in range(3)]
+        return F.when(F.upper(gps[f"{name}Ref"]).isin("S", "W"), -1).otherwise(1) * (p[0] + p[1] / 60 + p[2] / 3600)
+
+    h, m, s = (rational(F.get(gps["GPSTimeStamp"], F.lit(i))) for i in range(3))
+    seconds = F.format_string("%06.3f", s)
+    stamp = F.concat(gps["GPSDateStamp"], F.lit("T"), F.lpad(h.cast("int").cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("int").cast("string"), 2, "0"), F.lit(":"), seconds)
+    below = F.when(rational(gps["GPSAltitudeRef"]) == 1, -1).otherwise(1)
+    return F.struct(
+        degrees("GPSLatitude").alias("latitude"), degrees("GPSLongitude").alias("longitude"), (rational(gps["GPSAltitude"]) * below).alias("altitude_m"),
+        rational(gps["GPSImgDirection"]).alias("image_direction_degrees"), F.regexp_replace(F.regexp_replace(stamp, "0+$", ""), r"\.$", "").alias("timestamp"),
+    )
+
+
+def camera_identity(make: Column, model: Column) -> Column:
+    """Aggregate: struct<make, model>, trimmed and without case, of a group of files; null unless exactly one is named."""
+    plain = lambda c: casefold(F.trim(F.coalesce(c, F.lit(""))))
+    camera = F.when((plain(make) != "") | (plain(model) != ""), F.struct(plain(make).alias("make"), plain(model).alias("model")))
+    return F.when(F.min(camera) == F.max(camera), F.min(camera))

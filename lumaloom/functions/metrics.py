@@ -78,11 +78,12 @@ def compression_metrics(reference: Column, compressed: Column, mse: Column) -> t
     return F.when(compressed != 0, F.bround(reference / compressed, 3)), F.when(reference != 0, F.bround(compressed / reference * 100, 2)), F.bround(psnr(mse), 3)
 
 
-def estimated_bytes(size: Column, codec: Column, quality: Column) -> Column:
-    """Size after compression, from what the codec's quality usually leaves; at least one byte of a file that is not empty."""
+def estimated_bytes(size: Column, codec: Column, quality: Column, ratio: Column | None = None) -> Column:
+    """Size after compression: by a profile's own ratio (held to 0.01..1) where it has one, else by what the codec's quality usually leaves; at least one byte of a file that is not empty."""
     q = F.bround(quality).cast("int")
-    ratio = F.when(codec == "jpeg-xl", F.when(q == 80, 0.5).when(q == 60, 0.35).when(q == 40, 0.25).otherwise(0.35)).otherwise(0.5)
-    return F.when(F.coalesce(size, F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(size * ratio))).cast("long")
+    usual = F.when(codec == "jpeg-xl", F.when(q == 80, 0.5).when(q == 60, 0.35).when(q == 40, 0.25).otherwise(0.35)).otherwise(0.5)
+    left = usual if ratio is None else F.when(ratio.isNull(), usual).otherwise(clamp(ratio, 0.01, 1.0))
+    return F.when(F.coalesce(size, F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(size * left))).cast("long")
 
 
 def storage_delta(size: Column, output: Column, operation: Column, replace: Column) -> Column:
@@ -90,6 +91,20 @@ def storage_delta(size: Column, output: Column, operation: Column, replace: Colu
     return F.when(operation == "delete", -size).when(operation == "copy", size).when(operation == "move", 0).otherwise(output - F.when(replace, size).otherwise(0)).cast("long")
 
 
+def technical_quality(focus_gradient: Column, underexposed: Column, overexposed: Column, contrast_stddev: Column, noise_mad: Column) -> Column:
+    """struct<focus, exposure, contrast, noise, score> in 0..1, six places each, from measures of a picture's brightness; null where a measure is."""
+    unit = lambda x: F.when(x.isNotNull(), clamp(x, 0.0, 1.0))
+    parts = {
+        "focus": unit((focus_gradient - 2.0) / 26.0),
+        "exposure": 1.0 - unit((underexposed + overexposed) / 0.20),
+        "contrast": unit((contrast_stddev - 8.0) / 56.0),
+        "noise": 1.0 - unit(noise_mad / 18.0),
+    }
+    parts = {k: F.bround(v, 6) for k, v in parts.items()}
+    score = 0.35 * parts["focus"] + 0.30 * parts["exposure"] + 0.20 * parts["contrast"] + 0.15 * parts["noise"]
+    return F.struct(*[v.alias(k) for k, v in parts.items()], F.bround(score, 6).alias("score"))
+
+
 def psnr(mse: Column) -> Column:
     return F.when(mse > 0, 10 * F.log10(F.lit(65025.0) / mse))
 

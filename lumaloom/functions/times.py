@@ -60,3 +60,22 @@ def exif_time(value: Column, subsecond: Column, offset: Column) -> Column:
     fraction = F.when(subsecond.rlike(r"^\s*\d+"), F.concat(F.lit("."), F.substring(F.trim(subsecond), 1, 6))).otherwise("")
     zone = F.when(offset.rlike(r"^[+-]\d\d:\d\d$"), offset).when(F.upper(offset) == "Z", "+00:00").otherwise("")
     return F.when(value.rlike(pattern), F.concat(iso, fraction, zone)).otherwise(value)
+
+
+def exif_moment(exif: Column) -> Column:
+    """struct<value, kind, precision_us> of a map of EXIF text: DateTimeOriginal, else DateTimeDigitized, else DateTime; null without any.
+
+    Sub-seconds are the digits of the same date's field, its offset may stand in
+    from the original's; the precision is what the sub-seconds can show, a second without them.
+    """
+    get = lambda name: F.try_element_at(exif, F.lit(name))
+    out = F.lit(None)
+    for suffix in ("", "Digitized", "Original"):
+        digits = F.nullif(F.substring(F.regexp_replace(F.coalesce(get(f"SubSecTime{suffix}"), get(f"SubsecTime{suffix}")), r"\D", ""), 1, 6), F.lit(""))
+        offset = F.coalesce(F.nullif(get(f"OffsetTime{suffix}"), F.lit("")), get("OffsetTimeOriginal"))
+        # sub-seconds of nothing but zeros are not shown
+        value = exif_time(get(f"DateTime{suffix}"), F.when(digits.try_cast("int") > 0, F.rpad(digits, 6, "0")), offset)
+        kind = F.when(value.rlike(WALL) & value.rlike(ZONE), "exif_offset").otherwise("exif_local_unknown")
+        precision = F.floor(F.lit(1_000_000) / F.pow(F.lit(10), F.coalesce(F.length(digits), F.lit(0)))).cast("long")
+        out = F.when(get(f"DateTime{suffix}").isNotNull(), F.struct(value.alias("value"), kind.alias("kind"), precision.alias("precision_us"))).otherwise(out)
+    return out

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import times as T
 from .scratch import written
 
 BURST_GAP = 0.5
@@ -15,9 +16,18 @@ WINDOW = 10.0
 
 
 def representatives(items: DataFrame) -> DataFrame:
-    """The best scored member of each group; by time and id among equals or if none is scored."""
-    w = Window.partitionBy("group_id").orderBy(F.col("quality").desc_nulls_last(), F.col("capture_time").asc_nulls_last(), "asset_id")
-    return items.filter("group_id is not null").withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    """The best scored member of each group, the earliest among equals or if none is scored, then the smallest id.
+
+    With ``capture_time_kind``, instants come before local times and these before
+    times that name neither; else times are compared as they are written.  One partial aggregate, no sort.
+    """
+    time = F.struct(F.col("capture_time").isNull(), "capture_time")
+    if "capture_time_kind" in items.columns:
+        seconds = T.capture_seconds(F.col("capture_time"), F.col("capture_time_kind"))
+        place = F.when(seconds.isNull(), 2).when(T.semantics(F.col("capture_time_kind")) == "absolute", 0).otherwise(1)
+        time = F.struct(place, F.coalesce(seconds, F.lit(0.0)))
+    key = F.struct(F.col("quality").isNull(), -F.col("quality"), time, "asset_id")
+    return items.filter("group_id is not null").groupBy("group_id").agg(F.min_by(F.struct(*items.columns), key).alias("r")).select("r.*")
 
 
 def band_pairs(events: DataFrame, time: str, key: str, by: list[str], width: float) -> DataFrame:

@@ -20,6 +20,23 @@ def bucket_interval(span_us: Column, width: int, ladder: list[int]) -> Column:
     return best["x"]
 
 
+#: From these intervals on, in seconds, buckets are calendar years, quarters and months.
+CALENDAR = [(31_536_000, 12), (7_776_000, 3), (2_592_000, 1)]
+
+
+def bucket_bounds(time_us: Column, interval_us: Column) -> tuple[Column, Column]:
+    """(start, end) in microseconds of the bucket that a time (UTC) falls into; the interval may differ by row."""
+    day = F.to_date(F.timestamp_micros(time_us))
+    at = lambda d: F.unix_date(d) * F.lit(86_400_000_000)
+    fixed = F.floor(time_us / interval_us).cast("long") * interval_us
+    start, end = fixed, fixed + interval_us
+    for least, months in reversed(CALENDAR):
+        first = F.trunc(day, {12: "year", 3: "quarter", 1: "month"}[months])
+        long = interval_us >= least * 1_000_000
+        start, end = F.when(long, at(first)).otherwise(start), F.when(long, at(F.add_months(first, months))).otherwise(end)
+    return start, end
+
+
 def time_buckets(points: DataFrame, time_us: str, interval_us: int) -> DataFrame:
     """bucket, n, representative: counts, and the best point by (quality desc, id)."""
     b = F.floor(F.col(time_us) / interval_us).cast("long")
@@ -34,6 +51,44 @@ def zero_filled(buckets: DataFrame) -> DataFrame:
     return spine.join(buckets.select("bucket", "n"), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def timeline(points: DataFrame, interval_us: int) -> tuple[DataFrame, DataFrame]:
+    """(buckets, members) of points(id, us, quality).
+
+    buckets: start_us, end_us, n, representative (by quality, then id); members:
+    start_us, id, us, one row a point, because a bucket may hold any part of all
+    points: in a bucket they go by (us, id).  Points without a time are left out.
+    """
+    start, end = bucket_bounds(F.col("us"), F.lit(interval_us).cast("long"))
+    members = points.filter("us is not null").select("id", "us", "quality", start.alias("start_us"), end.alias("end_us"))
+    best = F.struct(F.coalesce(-F.col("quality"), F.lit(float("inf"))).alias("q"), F.col("id"))
+    buckets = members.groupBy("start_us", "end_us").agg(F.count("*").alias("n"), F.min(best)["id"].alias("representative"))
+    return buckets, members.select("start_us", "id", "us")
+
+
+#: Why a view is empty.
+EMPTY = {"geo": "No filtered assets have valid GPS coordinates.", "capture": "No filtered assets have a usable capture time.", "file_created": "No filtered assets have a usable file-created time.", "vector": "No filtered assets have a projected semantic vector."}
+NOTHING = "No assets match these filters."
+
+
+def view_state(kind: str, assets: DataFrame, points: DataFrame | None, mode: str = "capture", reason: str | None = None) -> DataFrame:
+    """One row on a view of the filtered assets: filtered_asset_count, represented_point_count, available, empty_reason.
+
+    kind: geo, timeline (mode capture or file_created; any other is capture) or
+    vector.  A vector view without a projection (``points`` is None) isn't available, for ``reason``.
+    """
+    if kind not in ("geo", "timeline", "vector"):
+        raise ValueError(f"unknown view: {kind}")
+    key = EMPTY[kind if kind != "timeline" else mode if mode == "file_created" else "capture"]
+    counted = assets.select(F.lit(1).alias("a"), F.lit(0).alias("p"))
+    if points is not None:
+        counted = counted.unionByName(points.select(F.lit(0).alias("a"), F.lit(1).alias("p")))
+    n = counted.agg(F.coalesce(F.sum("a"), F.lit(0)).cast("long").alias("filtered_asset_count"), F.coalesce(F.sum("p"), F.lit(0)).cast("long").alias("represented_point_count"))
+    # a vector view doesn't tell apart that no asset matches
+    empty = F.lit(key) if kind == "vector" else F.when(F.col("filtered_asset_count") == 0, NOTHING).otherwise(key)
+    why = F.lit(reason).cast("string") if points is None else F.when(F.col("represented_point_count") == 0, empty)
+    return n.select(F.lit(kind).alias("view"), "filtered_asset_count", "represented_point_count", F.lit(points is not None).alias("available"), why.alias("empty_reason"))
+
+
 def density(buckets: DataFrame) -> DataFrame:
     """Binomial smoothing (1 4 6 4 1) / 16 over neighbouring buckets: each bucket sends its share, no window over all rows."""
     share = F.explode(F.array(*[F.struct((F.col("bucket") + k).alias("bucket"), (F.col("n") * w).alias("v")) for k, w in ((-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1))]))

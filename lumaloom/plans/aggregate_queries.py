@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import media as M
 from ..functions import metrics as X
 from ..operators import estimates as E
+from . import browse_queries as B
 from .catalog import load
 from .registry import query
 
@@ -41,10 +42,12 @@ def agg_7(spark, d):
     return direct.select(F.explode(M.folder_prefixes(F.col("f"))).alias("folder"), "extension", "n", "b").groupBy("folder", "extension").agg(F.sum("n").cast("long").alias("files"), F.sum("b").cast("long").alias("bytes"))
 
 
-@query("agg_8_recommendation_counts", "SELECT count(*) AS assets, count_if(asset_id % 4 = 0) AS recommended, count_if(selection_state = 'selected') AS selected, count_if(selection_state = 'rejected') AS rejected, count_if(selection_state = 'undecided') AS undecided FROM asset")
+@query("agg_8_recommendation_counts", f"WITH {B.CATALOG}, {B.RECOMMENDED} SELECT (SELECT count(*) FROM rec) AS assets, (SELECT count_if(recommended) FROM rec) AS recommended, count_if(selection_state = 'selected') AS selected, count_if(selection_state = 'rejected') AS rejected, count_if(selection_state = 'undecided') AS undecided FROM asset")
 def agg_8(spark, d):
-    s = lambda v: F.count_if(F.col("selection_state") == v).alias(v)
-    return load(spark, d, "asset").agg(F.count("*").alias("assets"), F.count_if(F.col("asset_id") % 4 == 0).alias("recommended"), s("selected"), s("rejected"), s("undecided"))
+    """Assets with a recommendation run's decision, those recommended, and all assets by what the user decided."""
+    from ..operators.selection import recommendation_counts
+
+    return recommendation_counts(B.decisions_of(spark, d), load(spark, d, "asset"))
 
 
 @query("agg_9_distinct_paths", "SELECT asset_id, string_agg(DISTINCT relative_path, ',' ORDER BY relative_path) AS paths FROM file GROUP BY asset_id")
@@ -210,10 +213,13 @@ def agg_21(spark, d):
     return g.groupBy("size").agg(F.count("*").alias("groups"), F.min("span").alias("least_span"), F.max("span").alias("most_span"))
 
 
-@query("agg_23_recommendation_stats", "WITH g AS (SELECT group_id, count(*) AS n, bool_or(asset_id % 4 = 0) AS rec FROM asset WHERE group_id IS NOT NULL GROUP BY group_id) SELECT count_if(n > 1 AND rec) AS multi_recommending, count_if(n = 1 AND rec) AS singleton_recommending, count_if(NOT rec) AS without FROM g")
+@query("agg_23_recommendation_stats", f"""WITH {B.CATALOG}, {B.RECOMMENDED}, g AS (SELECT group_id, count(*) AS n, count_if(recommended) AS r FROM rec JOIN cat USING (asset_id) GROUP BY group_id)
+ SELECT CAST(sum(n) AS BIGINT) AS assets, CAST(sum(r) AS BIGINT) AS recommended, count_if(n > 1 AND r > 0) AS multi_recommending, count_if(n = 1 AND r > 0) AS singleton_recommending, count_if(r = 1) AS with_one, count_if(r = 2) AS with_two, count_if(r = 3) AS with_three, count_if(r = 0) AS without FROM g""")
 def agg_23(spark, d):
-    g = load(spark, d, "asset").filter("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n"), F.bool_or(F.col("asset_id") % 4 == 0).alias("rec"))
-    return g.agg(F.count_if((F.col("n") > 1) & F.col("rec")).alias("multi_recommending"), F.count_if((F.col("n") == 1) & F.col("rec")).alias("singleton_recommending"), F.count_if(~F.col("rec")).alias("without"))
+    """How a recommendation run went, by group."""
+    from ..operators.selection import recommendation_stats
+
+    return recommendation_stats(B.decisions_of(spark, d))
 
 
 @query("agg_25_set_fingerprint", "SELECT group_id, sha256(string_agg(CAST(asset_id AS STRING), chr(10) ORDER BY CAST(asset_id AS STRING))) AS fingerprint FROM asset GROUP BY group_id")
@@ -230,11 +236,14 @@ def agg_26(spark, d):
     return fingerprint(load(spark, d, "file"), "file_id", ["file_id", "relative_path", "size_bytes", "sha256"])
 
 
-@query("agg_27_camera_identity", "SELECT asset_id, CASE WHEN count(DISTINCT camera) = 1 THEN max(camera) END AS camera FROM (SELECT asset_id, lower(trim('  Maker' || CAST(size_bytes % 3 AS STRING) || ' ')) AS camera FROM file WHERE role <> 'derived_preview') GROUP BY asset_id")
+@query("agg_27_camera_identity", """WITH m AS (SELECT asset_id, lower(trim(CASE WHEN json_valid(text) THEN json_extract_string(text, '$.exif.Make') ELSE '' END)) AS make, lower(trim(CASE WHEN json_valid(text) THEN json_extract_string(text, '$.exif.Model') ELSE '' END)) AS model FROM file LEFT JOIN metadata USING (file_id)),
+ c AS (SELECT asset_id, CASE WHEN coalesce(make, '') <> '' OR coalesce(model, '') <> '' THEN coalesce(make, '') || '|' || coalesce(model, '') END AS camera FROM m) SELECT asset_id, CASE WHEN count(DISTINCT camera) = 1 THEN max(camera) END AS camera FROM c GROUP BY asset_id""")
 def agg_27(spark, d):
-    c = F.lower(F.trim(F.concat(F.lit("  Maker"), (F.col("size_bytes") % 3).cast("string"), F.lit(" "))))
-    g = load(spark, d, "file").filter("role <> 'derived_preview'").groupBy("asset_id").agg(F.min(c).alias("a"), F.max(c).alias("b"))
-    return g.select("asset_id", F.when(F.col("a") == F.col("b"), F.col("a")).alias("camera"))
+    """The camera of an asset, if its files name exactly one."""
+    exif = F.from_json("text", "exif map<string,string>")["exif"]
+    names = load(spark, d, "metadata").select("file_id", F.try_element_at(exif, F.lit("Make")).alias("make"), F.try_element_at(exif, F.lit("Model")).alias("model"))
+    g = load(spark, d, "file").select("asset_id", "file_id").join(names, "file_id", "left").groupBy("asset_id").agg(M.camera_identity(F.col("make"), F.col("model")).alias("c"))
+    return g.select("asset_id", F.concat("c.make", F.lit("|"), "c.model").alias("camera"))
 
 
 @query("agg_29_timings", "SELECT kind, count(*) AS n, round(sum(seconds), 6) AS seconds FROM job GROUP BY kind")

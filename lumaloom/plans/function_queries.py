@@ -91,10 +91,19 @@ def s_15(spark, d):
     return load(spark, d, "job").select("job_id", T.exif_time(raw, sub, zone).alias("value"))
 
 
-@query("s_16_best_precision", "SELECT file_id, min_by(job_id, (CASE kind WHEN 'view' THEN 1 WHEN 'click' THEN 1000 ELSE 1000000 END) * CAST(1000000000 AS BIGINT) + job_id) AS best FROM job GROUP BY file_id")
+_EXIF = "CASE WHEN json_valid(text) THEN json_extract_string(text, '$.exif.{}') END".format
+
+
+@query("s_16_best_precision", f"""WITH m AS (SELECT asset_id, file_id, is_online, relative_path, {_EXIF('DateTimeOriginal')} AS o, {_EXIF('SubSecTimeOriginal')} AS so, {_EXIF('OffsetTimeOriginal')} AS z, {_EXIF('DateTime')} AS t, {_EXIF('SubSecTime')} AS s FROM file JOIN metadata USING (file_id)),
+ c AS (SELECT *, coalesce(o, t) AS v, CASE WHEN o IS NOT NULL THEN so ELSE s END AS sub FROM m WHERE coalesce(o, t) IS NOT NULL), k AS (SELECT *, CAST(1000000 // 10 ** coalesce(length(sub), 0) AS BIGINT) AS p FROM c)
+ SELECT asset_id, replace(substr(v, 1, 10), ':', '-') || 'T' || substr(v, 12) || CASE WHEN CAST(sub AS INT) > 0 THEN '.' || rpad(sub, 6, '0') ELSE '' END || coalesce(z, '') AS value, CASE WHEN z IS NULL THEN 'exif_local_unknown' ELSE 'exif_offset' END AS kind, p AS precision_us
+ FROM k QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY p, CASE WHEN is_online THEN 0 ELSE 1 END, relative_path, file_id) = 1""")
 def s_16(spark, d):
-    p = F.when(F.col("kind") == "view", 1).when(F.col("kind") == "click", 1000).otherwise(1_000_000)
-    return load(spark, d, "job").groupBy("file_id").agg(F.min_by("job_id", F.struct(p, "job_id")).alias("best"))
+    """The finest moment that an asset's files record; the first file's among equals."""
+    text = load(spark, d, "metadata").select("file_id", T.exif_moment(F.from_json("text", "exif map<string,string>")["exif"]).alias("moment"))
+    j = load(spark, d, "file").join(text.filter("moment is not null"), "file_id")
+    best = j.groupBy("asset_id").agg(F.min_by("moment", F.struct("moment.precision_us", ~F.col("is_online"), "relative_path", "file_id")).alias("m"))
+    return best.select("asset_id", "m.value", "m.kind", "m.precision_us")
 
 
 @query("s_17_wall_delta", "SELECT job_id, abs(epoch_us(stamp) - epoch_us(TIMESTAMP '2024-01-15 00:00:00')) / 1e6 AS delta FROM job")
@@ -104,12 +113,19 @@ def s_17(spark, d):
     return load(spark, d, "job").select("job_id", F.coalesce(delta, F.lit(float("inf"))).alias("delta"))
 
 
-@query("s_18_gps_decimal", "SELECT file_id, (CASE WHEN file_id % 2 = 0 THEN 1 ELSE -1 END) * (file_id % 90 + (file_id % 60) / 60.0 + (file_id % 3600 % 60) / 3600.0) AS latitude FROM file")
+@query("s_18_gps_decimal", """WITH g AS (SELECT file_id, CASE WHEN file_id % 13 <> 0 THEN (CASE WHEN file_id % 2 = 0 THEN 1 ELSE -1 END) * (file_id % 90 + (file_id % 60) / 60.0::DOUBLE + (file_id % 5999) / 100.0::DOUBLE / 3600) END AS latitude, CASE WHEN file_id % 5 <> 0 THEN (file_id % 9000 / 10.0::DOUBLE) * CASE WHEN file_id % 3 = 0 THEN -1 ELSE 1 END END AS altitude_m, file_id % 24 AS h, file_id % 59 AS m, file_id % 7 AS s FROM file)
+ SELECT file_id, latitude, altitude_m, '2024:05:06T' || lpad(CAST(h AS STRING), 2, '0') || ':' || lpad(CAST(m AS STRING), 2, '0') || ':' || lpad(CAST(s AS STRING), 2, '0') || CASE WHEN file_id % 2 = 0 THEN '.5' ELSE '' END AS timestamp FROM g""")
 def s_18(spark, d):
+    """Degrees, minutes and seconds as rationals, altitude below the sea, time of the fix."""
     f = F.col("file_id")
-    dms = F.array((f % 90).cast("double"), (f % 60).cast("double"), (f % 3600 % 60).cast("double"))
-    value = dms[0] + dms[1] / 60 + dms[2] / 3600
-    return load(spark, d, "file").select("file_id", (F.when(f % 2 == 0, 1).otherwise(-1) * value).alias("latitude"))
+    text = lambda c: c.cast("string")
+    over = lambda n, k: F.concat(text(n), F.lit(f"/{k}"))
+    gps = F.struct(
+        F.array(over(f % 90, 1), F.when(f % 13 == 0, "1/0").otherwise(text(f % 60)), over(f % 5999, 100)).alias("GPSLatitude"), F.when(f % 2 == 0, "n").otherwise("s").alias("GPSLatitudeRef"),
+        F.array(F.lit("1"), F.lit("2")).alias("GPSLongitude"), F.lit("E").alias("GPSLongitudeRef"), F.when(f % 5 == 0, "deep").otherwise(over(f % 9000, 10)).alias("GPSAltitude"), F.when(f % 3 == 0, "1").otherwise("0").alias("GPSAltitudeRef"),
+        F.lit(None).cast("string").alias("GPSImgDirection"), F.lit("2024:05:06").alias("GPSDateStamp"), F.array(text(f % 24), over(f % 59, 1), F.concat(text(f % 7), F.when(f % 2 == 0, ".5").otherwise(".0"))).alias("GPSTimeStamp"),
+    )
+    return load(spark, d, "file").select("file_id", M.gps_position(gps).alias("g")).select("file_id", "g.latitude", "g.altitude_m", "g.timestamp")
 
 
 @query("s_19_mercator", "WITH p AS (SELECT file_id, (file_id % 3600) / 10.0 - 180 AS lon, (file_id % 1790) / 10.0 - 89 AS lat FROM file) SELECT file_id, round((lon + 180) / 360, 9) AS x, round((1 - ln(tan(pi() / 4 + radians(least(greatest(lat, -85.0), 85.0)) / 2)) / pi()) / 2, 9) AS y FROM p")
@@ -130,11 +146,12 @@ def s_21(spark, d):
     return f.select("file_id", "n", F.posexplode(X.sample_times(F.col("duration"), F.col("n"))).alias("sample", "seconds"))
 
 
-@query("s_22_technical_quality", "SELECT job_id, round(0.35 * least(greatest(seconds / 50, 0.0), 1.0) + 0.30 * (1 - abs(least(greatest(seconds / 100, 0.0), 1.0) - 0.5) * 2) + 0.20 * least(greatest((seconds - 5) / 40, 0.0), 1.0) + 0.15 * (1 - least(greatest(seconds / 80, 0.0), 1.0)), 9) AS score FROM job")
+@query("s_22_technical_quality", """WITH m AS (SELECT job_id, seconds AS v, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM job), p AS (SELECT job_id, round_even(least(greatest((2.0 + v * CAST(0.26 AS DOUBLE) - 2.0) / 26.0, 0.0), 1.0), 6) AS focus, round_even(1.0 - least(greatest((k / 1000 + v / 1000) / CAST(0.2 AS DOUBLE), 0.0), 1.0), 6) AS exposure,
+ round_even(least(greatest((8.0 + k * CAST(0.56 AS DOUBLE) - 8.0) / 56.0, 0.0), 1.0), 6) AS contrast, round_even(1.0 - least(greatest(v * CAST(0.36 AS DOUBLE) / 18.0, 0.0), 1.0), 6) AS noise FROM m) SELECT *, round_even(0.35 * focus + 0.30 * exposure + 0.20 * contrast + 0.15 * noise, 6) AS score FROM p""")
 def s_22(spark, d):
-    s, c = F.col("seconds"), X.clamp
-    score = 0.35 * c(s / 50, 0.0, 1.0) + 0.30 * (1 - F.abs(c(s / 100, 0.0, 1.0) - 0.5) * 2) + 0.20 * c((s - 5) / 40, 0.0, 1.0) + 0.15 * (1 - c(s / 80, 0.0, 1.0))
-    return load(spark, d, "job").select("job_id", F.round(score, 9).alias("score"))
+    """Four components of measures that an event carries, and their weighted score (measures of a step that leaves no ties at the last place)."""
+    v, k = F.col("seconds"), F.get_json_object("props", "$.k").cast("double")
+    return load(spark, d, "job").select("job_id", X.technical_quality(2.0 + v * 0.26, k / 1000, v / 1000, 8.0 + k * 0.56, v * 0.36).alias("q")).select("job_id", "q.*")
 
 
 @query("s_23_compression_metrics", """WITH p AS (SELECT file_id, size_bytes AS r, CASE WHEN file_id % 40 = 0 THEN 0 ELSE CAST(floor(size_bytes * (file_id % 97) / 100.0) AS BIGINT) END AS c, CASE WHEN file_id % 10 = 0 THEN 0.0 ELSE CAST(file_id % 700 AS DOUBLE) / 8 END AS mse FROM file)
@@ -147,8 +164,8 @@ def s_23(spark, d):
     return load(spark, d, "file").select("file_id", *[x.alias(n) for n, x in zip(("ratio", "compressed_percent", "psnr"), X.compression_metrics(r, c, mse), strict=True)])
 
 
-@query("s_24_estimates", """WITH p AS (SELECT file_id, size_bytes, CASE file_id % 5 WHEN 0 THEN 'copy' WHEN 1 THEN 'move' WHEN 2 THEN 'delete' ELSE 'compress' END AS op, CASE WHEN file_id % 3 = 0 THEN 'av1' ELSE 'jpeg-xl' END AS codec, CASE file_id % 4 WHEN 0 THEN 80 WHEN 1 THEN 60 WHEN 2 THEN 40 ELSE 75 END AS q, file_id % 7 < 3 AS rep FROM file),
- o AS (SELECT *, CASE WHEN size_bytes = 0 THEN 0 ELSE CAST(greatest(1, floor(size_bytes * CAST(CASE WHEN codec = 'av1' THEN 0.5 WHEN q = 80 THEN 0.5 WHEN q = 40 THEN 0.25 ELSE 0.35 END AS DOUBLE))) AS BIGINT) END AS output_bytes FROM p)
+@query("s_24_estimates", """WITH p AS (SELECT file_id, size_bytes, CASE file_id % 5 WHEN 0 THEN 'copy' WHEN 1 THEN 'move' WHEN 2 THEN 'delete' ELSE 'compress' END AS op, CASE WHEN file_id % 3 = 0 THEN 'av1' ELSE 'jpeg-xl' END AS codec, CASE file_id % 4 WHEN 0 THEN 80 WHEN 1 THEN 60 WHEN 2 THEN 40 ELSE 75 END AS q, file_id % 7 < 3 AS rep, CASE file_id % 9 WHEN 0 THEN 0.001 WHEN 1 THEN 0.42 WHEN 2 THEN 7.0 END AS own FROM file),
+ o AS (SELECT *, CASE WHEN size_bytes = 0 THEN 0 ELSE CAST(greatest(1, floor(size_bytes * CAST(CASE WHEN own IS NOT NULL THEN least(greatest(own, 0.01), 1.0) WHEN codec = 'av1' THEN 0.5 WHEN q = 80 THEN 0.5 WHEN q = 40 THEN 0.25 ELSE 0.35 END AS DOUBLE))) AS BIGINT) END AS output_bytes FROM p)
  SELECT file_id, output_bytes, CASE op WHEN 'delete' THEN -size_bytes WHEN 'copy' THEN size_bytes WHEN 'move' THEN 0 ELSE output_bytes - CASE WHEN rep THEN size_bytes ELSE 0 END END AS delta FROM o""")
 def s_24(spark, d):
     """Size after compression by codec and quality, and what each operation adds to the store."""
@@ -156,7 +173,8 @@ def s_24(spark, d):
     op = F.when(f % 5 == 0, "copy").when(f % 5 == 1, "move").when(f % 5 == 2, "delete").otherwise("compress")
     codec = F.when(f % 3 == 0, "av1").otherwise("jpeg-xl")
     quality = F.when(f % 4 == 0, 80.0).when(f % 4 == 1, 60.0).when(f % 4 == 2, 40.0).otherwise(75.0)
-    out = X.estimated_bytes(size, codec, quality)
+    own = F.when(f % 9 == 0, 0.001).when(f % 9 == 1, 0.42).when(f % 9 == 2, 7.0)
+    out = X.estimated_bytes(size, codec, quality, own)
     return load(spark, d, "file").select("file_id", out.alias("output_bytes"), X.storage_delta(size, out, op, f % 7 < 3).alias("delta"))
 
 
@@ -200,11 +218,17 @@ def s_30(spark, d):
     return load(spark, d, "job").select("job_id", F.coalesce(policy, F.when(legacy, "rename").otherwise("skip")).alias("policy"))
 
 
-@query("s_31_calendar_buckets", "SELECT CAST(date_trunc('quarter', stamp) AS TIMESTAMP) AS quarter, CAST(date_trunc('month', stamp) AS TIMESTAMP) AS month, count(*) AS n FROM job GROUP BY 1, 2")
+@query("s_31_calendar_buckets", """WITH j AS (SELECT job_id, CAST(stamp AS TIMESTAMP) AS t, CASE job_id % 5 WHEN 0 THEN 31536000 WHEN 1 THEN 7776000 WHEN 2 THEN 2592000 WHEN 3 THEN 604800 ELSE 1 END::BIGINT AS i FROM job),
+ b AS (SELECT *, CASE i WHEN 31536000 THEN date_trunc('year', t) WHEN 7776000 THEN date_trunc('quarter', t) WHEN 2592000 THEN date_trunc('month', t) END AS c, CASE i WHEN 31536000 THEN INTERVAL 12 MONTH WHEN 7776000 THEN INTERVAL 3 MONTH ELSE INTERVAL 1 MONTH END AS step, epoch_us(t) // (i * 1000000) * (i * 1000000) AS f FROM j)
+ SELECT CAST(i AS INT) AS interval_s, coalesce(epoch_us(CAST(c AS TIMESTAMP)), f) AS start_us, coalesce(epoch_us(CAST(c + step AS TIMESTAMP)), f + i * 1000000) AS end_us, count(*) AS n FROM b GROUP BY ALL""")
 def s_31(spark, d):
-    t = F.col("stamp")
-    cut = lambda u: F.date_trunc(u, t).cast("timestamp_ntz").alias(u)
-    return load(spark, d, "job").groupBy(cut("quarter"), cut("month")).agg(F.count("*").alias("n"))
+    """Buckets of calendar years, quarters and months, or of fixed length, by interval."""
+    from ..operators.lod import bucket_bounds
+
+    j = F.col("job_id")
+    interval = F.when(j % 5 == 0, 31536000).when(j % 5 == 1, 7776000).when(j % 5 == 2, 2592000).when(j % 5 == 3, 604800).otherwise(1)
+    start, end = bucket_bounds(F.unix_micros(F.col("stamp").cast("timestamp")), interval.cast("long") * 1_000_000)
+    return load(spark, d, "job").select(interval.alias("interval_s"), start.alias("start_us"), end.alias("end_us")).groupBy("interval_s", "start_us", "end_us").agg(F.count("*").alias("n"))
 
 
 @query("s_32_bucket_interval", "WITH span AS (SELECT (epoch_us(max(stamp)) - epoch_us(min(stamp))) * 92.0 / 1200 AS target FROM job), l AS (SELECT unnest([1000000, 60000000, 3600000000, 21600000000, 86400000000, 604800000000]) AS step) SELECT step AS interval_us FROM l, span ORDER BY abs(ln(step / target)), step LIMIT 1")

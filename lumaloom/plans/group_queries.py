@@ -51,9 +51,14 @@ def agg_22(spark, d):
     return m.withColumn("nearest", beside).join(g, "group_id").select("asset_id", "nearest", F.greatest(F.datediff("day", "lo"), F.datediff("hi", "day")).cast("long").alias("most_days"))
 
 
-@query("win_4_representatives", f"WITH {CATALOG} SELECT group_id, asset_id FROM cat WHERE group_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY quality DESC NULLS LAST, capture_time NULLS LAST, asset_id) = 1")
+_TIME = "CASE WHEN capture_time IS NULL OR capture_time_kind = 'exif_offset' THEN NULL ELSE capture_time END"
+
+
+@query("win_4_representatives", f"WITH {CATALOG}, k AS (SELECT cat.*, {_TIME} AS usable FROM cat JOIN (SELECT asset_id, capture_time_kind FROM asset) USING (asset_id)) SELECT group_id, asset_id FROM k WHERE group_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY quality DESC NULLS LAST, usable NULLS LAST, asset_id) = 1")
 def win_4(spark, d):
-    return G.representatives(catalog_of(spark, d)).select("group_id", "asset_id")
+    """Ties by what a time means: instants, local times, none; here no instant has the offset that it needs."""
+    kinds = load(spark, d, "asset").select("asset_id", "capture_time_kind")
+    return G.representatives(catalog_of(spark, d).join(kinds, "asset_id")).select("group_id", "asset_id")
 
 
 REC = "(SELECT group_id, asset_id, quality, row_number() OVER (PARTITION BY group_id ORDER BY quality DESC NULLS LAST, capture_time NULLS LAST, asset_id) AS k FROM cat WHERE group_id IS NOT NULL)"

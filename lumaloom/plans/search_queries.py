@@ -121,9 +121,29 @@ def cmp_17(spark, d):
     return both[0].unionByName(both[1]).orderBy("time_us", "asset_id")
 
 
-@query("cmp_18_capabilities", "SELECT bool_or(capture_time IS NOT NULL) AS timeline, count(*) > 0 AS vector FROM asset")
+@query("cmp_18_capabilities", f"""WITH g AS (SELECT count(DISTINCT asset_id) AS n FROM {GEO} WHERE lat BETWEEN -90 AND 90), a AS (SELECT count(*) AS n, count(capture_time) AS t FROM asset), v AS (SELECT count(*) AS n FROM vector JOIN asset ON vector.file_id = asset.asset_id)
+ SELECT 'geo' AS view, a.n AS filtered_asset_count, g.n AS represented_point_count, TRUE AS available, CASE WHEN a.n = 0 THEN 'No assets match these filters.' WHEN g.n = 0 THEN 'No filtered assets have valid GPS coordinates.' END AS empty_reason FROM a, g
+ UNION ALL SELECT 'timeline', n, t, TRUE, CASE WHEN n = 0 THEN 'No assets match these filters.' WHEN t = 0 THEN 'No filtered assets have a usable capture time.' END FROM a UNION ALL SELECT 'vector', a.n, v.n, TRUE, CASE WHEN v.n = 0 THEN 'No filtered assets have a projected semantic vector.' END FROM a, v
+ UNION ALL SELECT 'timeline', 0, 0, TRUE, 'No assets match these filters.' UNION ALL SELECT 'vector', n, 0, FALSE, 'no projection' FROM a /* FROM file */""")
 def cmp_18(spark, d):
-    return load(spark, d, "asset").agg(F.bool_or(F.col("capture_time").isNotNull()).alias("timeline"), (F.count("*") > 0).alias("vector"))
+    """The state of each view over all assets, over none, and without a projection."""
+    a, geo_points = load(spark, d, "asset"), geo(spark, d).filter(M.valid_gps(F.col("lat"), F.col("lon"))).select("asset_id").distinct()
+    times = a.filter("capture_time is not null")
+    vectors = load(spark, d, "vector").join(a, F.col("file_id") == F.col("asset_id"), "left_semi")
+    nothing = a.filter("asset_id is null")
+    states = [L.view_state("geo", a, geo_points), L.view_state("timeline", a, times), L.view_state("vector", a, vectors), L.view_state("timeline", nothing, nothing), L.view_state("vector", a, None, reason="no projection")]
+    out = states[0]
+    for s in states[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+@query("cmp_19_timeline", """WITH p AS (SELECT job_id AS id, epoch_us(stamp) AS us, CASE WHEN job_id % 7 <> 0 THEN seconds END AS quality, epoch_us(CAST(date_trunc('month', stamp) AS TIMESTAMP)) AS start_us, epoch_us(CAST(date_trunc('month', stamp) + INTERVAL 1 MONTH AS TIMESTAMP)) AS end_us FROM job),
+ b AS (SELECT start_us, end_us, count(*) AS n FROM p GROUP BY ALL), r AS (SELECT start_us, id AS representative FROM p QUALIFY row_number() OVER (PARTITION BY start_us ORDER BY quality DESC NULLS LAST, id) = 1) SELECT p.start_us, b.end_us, b.n, r.representative, p.id, p.us FROM p JOIN b USING (start_us) JOIN r USING (start_us)""")
+def cmp_19_timeline(spark, d):
+    """Every point with its bucket of a month, that bucket's count and representative."""
+    buckets, members = L.timeline(points(spark, d), 2_592_000_000_000)
+    return members.join(F.broadcast(buckets), "start_us").select("start_us", "end_us", "n", "representative", "id", "us")
 
 
 def points(spark, d):
