@@ -69,13 +69,19 @@ def exif_moment(exif: Column) -> Column:
     from the original's; the precision is what the sub-seconds can show, a second without them.
     """
     get = lambda name: F.try_element_at(exif, F.lit(name))
-    out = F.lit(None)
+    fields = F.lit(None)
     for suffix in ("", "Digitized", "Original"):
-        digits = F.nullif(F.substring(F.regexp_replace(F.coalesce(get(f"SubSecTime{suffix}"), get(f"SubsecTime{suffix}")), r"\D", ""), 1, 6), F.lit(""))
+        digits = F.substring(F.regexp_replace(F.coalesce(get(f"SubSecTime{suffix}"), get(f"SubsecTime{suffix}"), F.lit("")), r"\D", ""), 1, 6)
         offset = F.coalesce(F.nullif(get(f"OffsetTime{suffix}"), F.lit("")), get("OffsetTimeOriginal"))
+        date = get(f"DateTime{suffix}")
+        fields = F.when(date.isNotNull(), F.struct(date.alias("date"), digits.alias("digits"), offset.alias("offset"))).otherwise(fields)
+
+    def parsed(f: Column) -> Column:
         # sub-seconds of nothing but zeros are not shown
-        value = exif_time(get(f"DateTime{suffix}"), F.when(digits.try_cast("int") > 0, F.rpad(digits, 6, "0")), offset)
-        kind = F.when(value.rlike(WALL) & value.rlike(ZONE), "exif_offset").otherwise("exif_local_unknown")
-        precision = F.floor(F.lit(1_000_000) / F.pow(F.lit(10), F.coalesce(F.length(digits), F.lit(0)))).cast("long")
-        out = F.when(get(f"DateTime{suffix}").isNotNull(), F.struct(value.alias("value"), kind.alias("kind"), precision.alias("precision_us"))).otherwise(out)
-    return out
+        value = exif_time(f["date"], F.when(f["digits"].rlike("[1-9]"), F.rpad(f["digits"], 6, "0")), f["offset"])
+        zoned = f["date"].rlike(r"^\d{4}:\d\d:\d\d \d\d:\d\d:\d\d$") & (f["offset"].rlike(r"^[+-]\d\d:\d\d$") | (F.upper(f["offset"]) == "Z"))
+        precision = F.element_at(F.array(*[F.lit(10**k).cast("long") for k in range(6, -1, -1)]), F.length(f["digits"]) + 1)
+        return F.struct(value.alias("value"), F.when(zoned, "exif_offset").otherwise("exif_local_unknown").alias("kind"), precision.alias("precision_us"))
+
+    # the fields are chosen once and parsed once
+    return F.get(F.transform(F.filter(F.array(fields), lambda f: f.isNotNull()), parsed), F.lit(0))
