@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from .scratch import written
 
 BURST_GAP = 0.5
 WINDOW = 10.0
+#: Widths of a band that one task looks at together, and pairs that it holds at once.
+BANDS, SLICE = 16, 1 << 19
 
 
 def representatives(items: DataFrame) -> DataFrame:
@@ -44,6 +48,132 @@ def band_pairs(events: DataFrame, time: str, key: str, by: list[str], width: flo
     return left.join(right, [*by, "b"]).filter(later & (F.col("t2") - F.col("t1") <= width)).drop("b")
 
 
+def _spans(events: DataFrame, time: str, by: list[str], width: float) -> DataFrame:
+    """Rows by spans of ``BANDS`` widths; those at the end of a span also stand in the next one, not as its own."""
+    span = lambda t: F.floor(t / (width * BANDS))
+    dated = events.dropna(subset=[time, *by])
+    here, there = span(F.col(time)), span(F.col(time) + width * 1.01)
+    return dated.withColumn("span", F.explode(F.array_distinct(F.array(here, there)))).withColumn("own", F.col("span") == here)
+
+
+def _first(size: np.ndarray, holds: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each query the first place below ``size`` from which ``holds`` is true, else ``size``."""
+    lo, hi = np.zeros_like(size), size.copy()
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) // 2
+        ok = holds(np.where(open_, mid, 0))
+        lo, hi = np.where(open_ & ~ok, mid + 1, lo), np.where(open_ & ok, mid, hi)
+    return lo
+
+
+def _below(ranks: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many of ``ranks[lo:hi]`` are below ``limit``, for each query: a wavelet matrix, one pass for each bit."""
+    total = np.zeros_like(lo)
+    for bit in range(int(len(ranks)).bit_length() - 1, -1, -1):
+        one = (ranks >> bit & 1).astype(bool)
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        at, to, big = zeros[lo], zeros[hi], (limit >> bit & 1).astype(bool)
+        total += np.where(big, to - at, 0)
+        lo, hi = np.where(big, zeros[-1] + lo - at, at), np.where(big, zeros[-1] + hi - to, to)
+        ranks = np.concatenate([ranks[~one], ranks[one]])
+    return total
+
+
+def band_pair_counts(events: DataFrame, time: str, key: str, by: list[str], width: float, value: str, most: float) -> DataFrame:
+    """by, pairs, accepted: how many pairs ``band_pairs`` has, and how many of them are at most ``most`` apart in ``value``.
+
+    No pair is formed: in order of time the partners of a row are one range, and
+    those near in value are counted in it by their ranks.
+    """
+    rows = _spans(events.select(*by, F.col(time).alias("t"), F.col(key).alias("k"), F.col(value).cast("double").alias("v")), "t", by, width)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a row pairs with none of its own time and key; without a key with none of its time
+        pdf = pdf.sort_values(["t", "k"], na_position="last", kind="stable")
+        t, v, own = pdf["t"].to_numpy(), pdf["v"].to_numpy(float), pdf["own"].to_numpy(bool)
+        at = np.arange(len(pdf))
+        new = np.append(True, t[1:] != t[:-1])
+        k, keyless = pdf["k"].to_numpy(), pdf["k"].isna().to_numpy()
+        other = new | np.append(True, (k[1:] != k[:-1]) & ~keyless[1:])
+        hi = np.maximum.accumulate(np.where(other, at, 0))
+        hi[keyless] = np.maximum.accumulate(np.where(new, at, 0))[keyless]
+        lo = np.minimum(_first(at, lambda i: t - t[i] <= width), hi)
+        out = pdf[by].head(1).assign(pairs=int((hi - lo)[own].sum()), accepted=0)
+        told = np.isfinite(v)
+        before = np.concatenate([[0], np.cumsum(told)])
+        asked = told & own
+        if asked.any():
+            ordered, x = np.sort(v[told]), v[asked]
+            ranks = np.empty(len(ordered), dtype=np.int64)
+            ranks[np.argsort(v[told], kind="stable")] = np.arange(len(ordered))
+            size = np.full(len(x), len(ordered))
+            low, high = _first(size, lambda i: x - ordered[i] <= most), _first(size, lambda i: ordered[i] - x > most)
+            a, b = before[lo[asked]], before[hi[asked]]
+            out["accepted"] = int((_below(ranks, a, b, high) - _below(ranks, a, b, low)).sum())
+        return out
+
+    types = dict(rows.dtypes)
+    found = rows.groupBy(*by, "span").applyInPandas(run, ", ".join([*[f"`{c}` {types[c]}" for c in by], "pairs long", "accepted long"]))
+    return found.groupBy(*by).agg(F.sum("pairs").alias("pairs"), F.sum("accepted").alias("accepted")).filter("pairs > 0")
+
+
+def nearest_band_pairs(events: DataFrame, time: str, key: str, by: list[str], width: float, value: str, least: float, n: int) -> DataFrame:
+    """a, b, diff: of the pairs that ``band_pairs`` has, the first ``n`` more than ``least`` apart in ``value``, by diff, distance in time and keys.
+
+    Rows equal but for their key differ in the last places of the order alone, so
+    the ``n`` smallest keys of them are enough.  A task finds the first ``n`` pairs
+    of a span: it takes pairs up to a difference that it raises until there are so many.
+    """
+    rows = events.select(*by, F.col(time).alias("t"), F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null").dropna(subset=["t", *by])
+    same = Window.partitionBy(*by, "t", "v").orderBy(F.col("k").asc_nulls_last())
+    spans = _spans(rows.withColumn("__n", F.row_number().over(same)).filter(F.col("__n") <= n).drop("__n"), "t", by, width)
+    kind = dict(rows.dtypes)["k"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v", na_position="last", kind="stable")
+        t, v, own = (pdf[c].to_numpy() for c in ("t", "v", "own"))
+        keyless = pdf["k"].isna().to_numpy()
+        k = pdf["k"].fillna(0).to_numpy(np.int64)
+        at = np.arange(len(pdf))
+        with np.errstate(invalid="ignore"):
+            end = _first(at, lambda i: v - v[i] <= least)
+            reached = np.sort((v - v[np.maximum(end - 1, 0)])[end > 0])
+            reached, take = reached[np.isfinite(reached)], 2 * n
+            while True:
+                limit = reached[take - 1] if take <= len(reached) else np.inf
+                begin = np.minimum(_first(at, lambda i: v - v[i] <= limit), end) if np.isfinite(limit) else np.zeros_like(end)
+                best = within(t, v, own, k, keyless, begin, end)
+                if len(best) == n or not np.isfinite(limit):
+                    return best[["a", "b", "diff", "dt"]]
+                take *= 4
+
+    def within(t, v, own, k, keyless, begin, end) -> pd.DataFrame:
+        order, best = ["diff", "dt", "a", "b"], pd.DataFrame({"diff": [], "dt": [], "a": pd.array([], "Int64"), "b": pd.array([], "Int64")})
+        past = np.concatenate([[0], np.cumsum(end - begin)])
+        for start in range(0, int(past[-1]), SLICE):
+            place = np.arange(start, min(start + SLICE, int(past[-1])))
+            j = np.searchsorted(past, place, side="right") - 1
+            i = begin[j] + place - past[j]
+            ahead = (t[i] > t[j]) | ((t[i] == t[j]) & (k[i] > k[j]))
+            x, y = np.where(ahead, j, i), np.where(ahead, i, j)
+            met = own[y] & (t[y] - t[x] <= width) & ((t[x] < t[y]) | ((k[x] < k[y]) & ~keyless[x] & ~keyless[y]))
+            i, j, x, y = i[met], j[met], x[met], y[met]
+            diff = v[j] - v[i]
+            if len(diff) > n:
+                near = ~(diff > np.partition(diff, n - 1)[n - 1])
+                diff, x, y = diff[near], x[near], y[near]
+            keys = {c: pd.Series(k[z], dtype="Int64").mask(keyless[z]) for c, z in (("a", x), ("b", y))}
+            found = pd.DataFrame({"diff": diff, "dt": t[y] - t[x], **keys})
+            best = pd.concat([best, found]).sort_values(order, na_position="last").head(n) if len(best) else found.sort_values(order, na_position="last").head(n)
+        return best
+
+    found = spans.groupBy(*by, "span").applyInPandas(run, f"a {kind}, b {kind}, diff double, dt double")
+    # pandas hands NaN on as null
+    found = found.withColumn("diff", F.coalesce("diff", F.lit(math.nan)))
+    ends = [F.col(c).asc_nulls_last() for c in ("a", "b")]
+    return found.orderBy("diff", "dt", *ends).limit(n).select("a", "b", "diff")
+
+
 def islands(events: DataFrame, time: str, by: list[str], gap: float, order: list[str]) -> DataFrame:
     """Adds ``island``: a new one starts after more than ``gap`` or at a null time."""
     w = Window.partitionBy(*by).orderBy(F.col(time).asc_nulls_last(), *order)

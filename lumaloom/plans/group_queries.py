@@ -90,11 +90,7 @@ def win_7(spark, d):
 
 @query("srt_8_borderline_pairs", f"WITH e AS (SELECT job_id, kind, {SEC} AS t, seconds FROM job), p AS (SELECT a.kind, a.job_id AS a, b.job_id AS b, b.t - a.t AS dt, abs(a.seconds - b.seconds) AS diff FROM e a JOIN e b ON a.kind = b.kind AND (b.t > a.t OR (b.t = a.t AND b.job_id > a.job_id)) AND b.t - a.t <= 600) SELECT a, b, diff FROM p WHERE diff > 5 ORDER BY diff, dt, a, b LIMIT 50")
 def srt_8(spark, d):
-    e = timed(spark, d)
-    p = G.band_pairs(e, "t", "job_id", ["kind"], 600.0)
-    s = e.select(F.col("job_id").alias("k1"), F.col("seconds").alias("s1"))
-    p = p.join(s, "k1").join(s.select(F.col("k1").alias("k2"), F.col("s1").alias("s2")), "k2").withColumn("diff", F.abs(F.col("s1") - F.col("s2")))
-    return p.filter("diff > 5").orderBy("diff", F.col("t2") - F.col("t1"), "k1", "k2").limit(50).select(F.col("k1").alias("a"), F.col("k2").alias("b"), "diff")
+    return G.nearest_band_pairs(timed(spark, d), "t", "job_id", ["kind"], 600.0, "seconds", 5.0, 50)
 
 
 @query("cmp_7_strict_groups")
