@@ -22,11 +22,7 @@ def timed(spark, d):
 
 @query("jn_10_agg_24_band_pairs", f"WITH e AS (SELECT job_id, file_id, kind, {SEC} AS t, seconds FROM job) SELECT a.kind, count(*) AS pairs, count_if(abs(a.seconds - b.seconds) <= 5) AS accepted FROM e a JOIN e b ON a.kind = b.kind AND (b.t > a.t OR (b.t = a.t AND b.job_id > a.job_id)) AND b.t - a.t <= 600 GROUP BY a.kind")
 def jn_10(spark, d):
-    e = timed(spark, d)
-    p = G.band_pairs(e, "t", "job_id", ["kind"], 600.0)
-    s = e.select(F.col("job_id").alias("k1"), F.col("seconds").alias("s1"))
-    p = p.join(s, "k1").join(s.select(F.col("k1").alias("k2"), F.col("s1").alias("s2")), "k2")
-    return p.groupBy("kind").agg(F.count("*").alias("pairs"), F.count_if(F.abs(F.col("s1") - F.col("s2")) <= 5).alias("accepted"))
+    return G.band_pair_counts(timed(spark, d), "t", "job_id", ["kind"], 600.0, "seconds", 5.0)
 
 
 @query("jn_11_adjacent_pairs", f"SELECT job_id, next_id FROM (SELECT job_id, {SEC} AS t, lead(job_id) OVER w AS next_id, lead({SEC}) OVER w AS u FROM job WINDOW w AS (PARTITION BY file_id ORDER BY stamp, job_id)) WHERE u - t <= 300")
