@@ -194,6 +194,39 @@ def output_ratio(profile: dict | None) -> float:
     return {80: 0.5, 60: 0.35, 40: 0.25}.get(round(quality), 0.35)
 
 
+def _told(rules: list[dict], profiles: list[dict], number: Column) -> Column:
+    """What the enabled rule of a number, from 0, says about every file that it takes."""
+    by_id, told = {p["profile_id"]: p for p in profiles}, []
+    for rule in enabled_rules(rules):
+        profile = by_id.get(rule.action.get("profile_id"))
+        told.append({
+            "rule_id": rule.rule_id, "position": rule.position, "operation": rule.operation, "replace": rule.replace, "in_place": rule.replace and rule.operation == "compress" and bool(rule.action.get("compress_in_place", True)),
+            "policy": rule.policy, "profile_id": rule.action.get("profile_id"), "codec": (profile or {}).get("codec"), "depends_on": rule.action.get("depends_on_rule_id"), "__ratio": output_ratio(profile),
+        })
+    return F.element_at(F.from_json(F.lit(json.dumps(told)), TOLD), number + 1)
+
+
+def _estimated(operations: DataFrame) -> DataFrame:
+    size = F.coalesce("size_bytes", F.lit(0))
+    output = operations.withColumn("estimated_bytes", F.when(size == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(size * F.col("__ratio")))).cast("long"))
+    return output.withColumn("storage_delta", X.storage_delta(size, F.col("estimated_bytes"), F.col("operation"), F.col("replace")))
+
+
+#: Columns of an operation that follow from its rule and the size of its file.
+FROM_RULE = ["rule_id", "position", "operation", "replace", "in_place", "policy", "profile_id", "codec", "depends_on", "estimated_bytes", "storage_delta"]
+
+
+def slim(operations: DataFrame, rules: list[dict]) -> DataFrame:
+    """operations of :func:`match_rules` with the number of their rule, as ``rule_number``, for what :func:`spelled` adds again after an exchange."""
+    ids = F.array(*[F.lit(r.rule_id) for r in enabled_rules(rules)])
+    return operations.withColumn("rule_number", (F.array_position(ids, F.col("rule_id")) - 1).cast("int")).drop(*FROM_RULE)
+
+
+def spelled(operations: DataFrame, rules: list[dict], profiles: list[dict]) -> DataFrame:
+    told = operations.withColumn("h", _told(rules, profiles, F.col("rule_number"))).select(*operations.columns, "h.*")
+    return _estimated(told).drop("__ratio")
+
+
 def match_rules(files: DataFrame, rules: list[dict], profiles: list[dict] = ()) -> DataFrame:
     """A row for every file and rule that takes it, in the order of rules, with what the rule would do and ``conflicts``.
 
@@ -203,14 +236,9 @@ def match_rules(files: DataFrame, rules: list[dict], profiles: list[dict] = ())
     files needs ``managed_output`` (see :func:`managed_outputs`) and ``selection_state``.
     """
     by_id, checked_rules = {p["profile_id"]: p for p in profiles}, enabled_rules(rules)
-    told, raw = [], F.lit(None).cast("string")
+    raw = F.lit(None).cast("string")
     for i, rule in enumerate(checked_rules):
-        profile = by_id.get(rule.action.get("profile_id"))
-        told.append({
-            "rule_id": rule.rule_id, "position": rule.position, "operation": rule.operation, "replace": rule.replace, "in_place": rule.replace and rule.operation == "compress" and bool(rule.action.get("compress_in_place", True)),
-            "policy": rule.policy, "profile_id": rule.action.get("profile_id"), "codec": (profile or {}).get("codec"), "depends_on": rule.action.get("depends_on_rule_id"), "__ratio": output_ratio(profile),
-        })
-        raw = F.when(F.col("__rule") == i, target_of(rule, profile)).otherwise(raw)
+        raw = F.when(F.col("__rule") == i, target_of(rule, by_id.get(rule.action.get("profile_id")))).otherwise(raw)
     of = lambda test: F.expr(f"cast(array({', '.join(str(i) for i, r in enumerate(checked_rules) if test(r))}) as array<int>)")
     moves, deletes, copies = (of(lambda r, n=name: r.operation == n) for name in ("move", "delete", "copy"))
     terminal, replaces = of(lambda r: r.operation in ("delete", "move")), of(lambda r: r.operation == "compress" and r.replace)
@@ -220,14 +248,14 @@ def match_rules(files: DataFrame, rules: list[dict], profiles: list[dict] = ())
     hits = F.array_compact(F.array(*[F.when(r.condition(), F.lit(i)) for i, r in enumerate(checked_rules)]))
     taken = prepared_files(files).withColumn("__hits", hits).filter(F.size("__hits") > 0)
     ready = taken.withColumns({"__moves": n(moves) > 1, "__several": several, "__both": (n(deletes) > 0) & (n(copies) > 0)})
-    one = ready.select("*", F.explode("__hits").alias("__rule")).withColumn("h", F.element_at(F.from_json(F.lit(json.dumps(told)), TOLD), F.col("__rule") + 1)).select("*", "h.*").withColumn("__raw", raw)
-    size, operation, output = F.coalesce("size_bytes", F.lit(0)), F.col("operation"), F.col("estimated_bytes")
+    one = ready.select("*", F.explode("__hits").alias("__rule")).withColumn("h", _told(rules, profiles, F.col("__rule"))).select("*", "h.*").withColumn("__raw", raw)
+    operation = F.col("operation")
     one = one.withColumn("problem", F.when(operation != "delete", F.coalesce(path_problem(F.col("__raw")), F.when(F.col("__raw").isNull(), "no target"))))
-    one = one.withColumn("estimated_bytes", F.when(size == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(size * F.col("__ratio")))).cast("long"))
+    one = _estimated(one)
     ends = operation.isin("delete", "move") | ((operation == "compress") & F.col("replace"))
     return one.select(
         *files.columns, "rule_id", "position", "operation", "replace", "in_place", "policy", "profile_id", "codec", "depends_on", F.when(F.col("problem").isNull(), F.col("__raw")).alias("target"),
-        "estimated_bytes", X.storage_delta(size, output, operation, F.col("replace")).alias("storage_delta"),
+        "estimated_bytes", "storage_delta",
         F.array_compact(F.array(
             F.col("problem"),
             F.when((operation == "move") & F.col("__moves"), "several moves"),

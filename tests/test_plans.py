@@ -152,3 +152,39 @@ def test_plan_survives_empty_tables_and_digests_follow_it(spark):
     digest = lambda p, r=rules: P.plan_digest(p, r, []).first()["digest"]
     assert digest(plan) == digest(plan_for(spark, rows[::-1], rules)) != digest(plan_for(spark, rows[:3], rules))
     assert digest(plan) != digest(plan, [{**rules[0], "position": 2}])
+
+
+def test_execution_without_order_carries_only_what_is_kept(spark):
+    """Totals need no order, and no column of the plan that they do not read crosses an exchange."""
+    rows = [(i, i // 2, f"r{i % 2}", "copy" if i % 2 == 0 else "move", "pending", None if i % 2 == 0 else "r0", ["x" * 50], [], 10, 5, 1, False, False) for i in range(20)]
+    plan = spark.createDataFrame(rows, "plan_position long, file_id long, rule_id string, operation string, state string, waits_for string, conflicts array<string>, blockers array<string>, size_bytes long, estimated_bytes long, storage_delta long, replace boolean, preflight boolean")
+    picked = plan.filter("plan_position % 3 > 0").select("plan_position")
+    keep = ["size_bytes", "estimated_bytes", "storage_delta", "replace", "preflight"]
+    narrow = P.chosen_operations(plan, picked, keep)
+    assert "conflicts" not in narrow.columns and "blockers" not in narrow.columns
+    assert P.execution_totals(narrow).first() == P.execution_totals(P.prepared(plan, picked)).first()
+    few, full = P.prepared(plan, picked, []), P.prepared(plan, picked)
+    columns = ["plan_position", "execution_position", "execution_state", "missing_copy", "reason"]
+    assert sorted(few.select(*columns).collect()) == sorted(full.select(*columns).collect())
+
+
+def test_columns_that_follow_from_rules_are_the_same_behind_an_exchange(spark):
+    from lumaloom.operators.rules import slim, spelled
+    from lumaloom.plans.plan_queries import PLAN_RULES, PROFILES, plan_inputs
+
+    f = plan_inputs(spark, "/root/testdata/sf0.001")[0].withColumn("managed_output", F.lit(False))
+    ops = P.match_rules(f, PLAN_RULES, PROFILES)
+    again = spelled(slim(ops, PLAN_RULES), PLAN_RULES, PROFILES).select(*ops.columns)
+    assert ops.count() > 100 and ops.exceptAll(again).isEmpty()
+
+
+def test_files_of_an_asset_are_dealt_out_once(spark):
+    """The file view meets its assets without an exchange of its wide rows."""
+    from lumaloom.plans.catalog import load
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        j = load(spark, "/root/testdata/sf0.001", "file").join(load(spark, "/root/testdata/sf0.001", "asset"), "asset_id")
+        assert j._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
