@@ -120,23 +120,21 @@ def str_1(spark, d):
     import uuid
 
     from ..operators.scratch import shared_dir
-    from ..streaming.incremental import derive_versioned, run_available
+    from ..streaming.incremental import derive_versioned_batches
 
     f = load(spark, d, "file").filter("in_scope and is_online")
     changed = F.when(F.col("size_bytes") % 3 == 0, F.md5("sha256")).otherwise(F.col("sha256"))
     base = f"{shared_dir(spark)}/versioned-{uuid.uuid4().hex}"
     state = F.when(F.col("width") == 0, "unsupported").when(F.col("component_status") == "failed", "failed").otherwise("complete")
 
-    def derive(component, row):
-        if row["state"].iat[0] == "failed":
-            raise ValueError("unreadable")
-        done = row["state"] == "complete"
-        return row.assign(status=row["state"], value=(component + ":" + row["fingerprint"]).where(done, None))[["status", "value"]]
+    def derive(component, rows):
+        done = rows["state"] == "complete"
+        return rows.assign(status=rows["state"], value=(component + ":" + rows["fingerprint"]).where(done, None))[["status", "value"]]
 
     for scan, fingerprint, versions in ((1, F.col("sha256"), {"features": "v1", "metadata": "v1"}), (2, changed, {"features": "v1", "metadata": "v2"})):
         f.select("file_id", F.lit(scan).cast("long").alias("scan"), fingerprint.alias("fingerprint"), state.alias("state")).write.mode("append").parquet(f"{base}/listings")
         listings = spark.readStream.schema("file_id long, scan long, fingerprint string, state string").parquet(f"{base}/listings")
-        run_available(derive_versioned(listings, versions, derive), f"{base}/derived", f"{base}/state")
+        derive_versioned_batches(listings, versions, derive, f"{base}/derived", f"{base}/state", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/derived").select("file_id", "component", "scan", "version", "why", "status", "value")
 
 

@@ -110,6 +110,65 @@ def _stale(was: tuple | None, version: str, fingerprint: str) -> str | None:
     return None if fingerprint and old_fingerprint == fingerprint else "input"
 
 
+def derive_versioned_batches(listings: DataFrame, versions: dict[str, str], derive: Callable[[str, pd.DataFrame], pd.DataFrame], sink: str, state: str, checkpoint: str) -> None:
+    """:func:`derive_versioned` with its state as a table: what has arrived is derived into ``sink/batch=n``, many rows a call.
+
+    Each batch joins the state that the one before left under ``state/batch=n`` and
+    writes its own, so a batch that is cut short is derived again as a whole and
+    replaces what it had written.  ``derive(component, rows)`` gets a frame of rows
+    and returns as many; if it raises, its rows are derived one by one, so that an
+    exception is a failure of its row.
+    """
+    spark, sink, state = listings.sparkSession, sink.rstrip("/"), state.rstrip("/")
+    wanted = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.lit(v).alias("version")) for c, v in sorted(versions.items())]))
+    kind = dict(listings.dtypes)["file_id"]
+    kept = f"file_id {kind}, component string, scan long, version string, fingerprint string, status string"
+    made = "status string, value string, error string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for component, rows in frame.groupby("component", sort=False):
+                yield pd.concat([rows.reset_index(drop=True), _derived(derive, component, rows)], axis=1)
+
+    def one(batch: DataFrame, epoch: int) -> None:
+        rows = batch.filter("file_id is not null and scan is not null").select(*listings.columns)
+        place = F.struct("scan", F.col("fingerprint").isNotNull().alias("known"), F.coalesce("fingerprint", F.lit("")).alias("mark"))
+        last = rows.groupBy("file_id").agg(F.max_by(F.struct(*rows.columns), place).alias("r")).select("r.*", wanted.alias("c")).select(*rows.columns, "c.component", "c.version")
+        before = spark.read.schema(kept).parquet(f"{state}/batch={epoch - 1}") if epoch else spark.createDataFrame([], kept)
+        was = before.select("file_id", "component", *[F.col(c).alias(f"__{c}") for c in ("scan", "version", "fingerprint", "status")])
+        same = (F.col("__fingerprint") == F.col("fingerprint")) & (F.col("fingerprint") != "")
+        why = (
+            F.when(F.col("__scan").isNull(), "missing").when(F.col("scan") < F.col("__scan"), None).when(F.col("__version") != F.col("version"), "version").when(F.col("__status") == "unsupported", None)
+            .when(~F.col("__status").eqNullSafe("complete"), "failed").when(~F.coalesce(same, F.lit(False)), "input")
+        )
+        stale = last.join(was, ["file_id", "component"], "left").withColumn("why", why).filter("why is not null").select(*rows.columns, "component", "version", "why")
+        out = f"{sink}/batch={epoch}"
+        stale.mapInPandas(run, ", ".join([*[f"`{c}` {t}" for c, t in stale.dtypes], made])).select("file_id", "component", "scan", "version", "why", "fingerprint", "status", "value", "error").write.mode("overwrite").parquet(out)
+        # the state after it: what was derived, and else what was there, seen by a newer scan
+        new = spark.read.schema(f"{kept}, why string").parquet(out).select("file_id", "component", F.struct("scan", "version", "fingerprint", "status").alias("n"))
+        seen = last.select("file_id", "component", F.col("scan").alias("seen"))
+        old = before.select("file_id", "component", F.struct("scan", "version", "fingerprint", "status").alias("o"))
+        j = old.join(new, ["file_id", "component"], "full").join(seen, ["file_id", "component"], "left")
+        after = j.select("file_id", "component", F.coalesce("n.scan", F.greatest("o.scan", "seen")).alias("scan"), *[F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in ("version", "fingerprint", "status")])
+        after.write.mode("overwrite").parquet(f"{state}/batch={epoch}")
+
+    listings.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _derived(derive: Callable[[str, pd.DataFrame], pd.DataFrame], component: str, rows: pd.DataFrame) -> pd.DataFrame:
+    """status, value, error of every row."""
+    try:
+        made = derive(component, rows)
+        if len(made) != len(rows):
+            raise ValueError(f"{len(made)} rows derived from {len(rows)}")
+        return made[["status", "value"]].assign(error=None).reset_index(drop=True)
+    except Exception as e:  # noqa: BLE001 - the error is the row's result
+        if len(rows) == 1:
+            return pd.DataFrame({"status": ["failed"], "value": [None], "error": [f"{type(e).__name__}: {e}"]})
+    half = len(rows) // 2
+    return pd.concat([_derived(derive, component, rows.iloc[:half]), _derived(derive, component, rows.iloc[half:])], ignore_index=True)
+
+
 def fan_out(rows: DataFrame, decode: Callable[[pd.DataFrame], Any], consumers: dict[str, tuple[Callable[[pd.DataFrame, Any], pd.DataFrame], str]], folder: str) -> dict[str, DataFrame]:
     """Several derived tables from one pass: each batch is decoded once and every consumer gets what was decoded.
 

@@ -115,3 +115,38 @@ def test_one_pass(spark, tmp_path):
     assert len(list(seen.iterdir())) == 10
     plan = out["sizes"]._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(consumer" in plan and "items" not in plan.split("ReadSchema")[-1]
+
+
+def test_versioned_batches_are_keyed_state_with_many_rows_a_call(spark, tmp_path):
+    """The state as a table gives what the state of single keys gives, over restarts; a row that raises fails alone."""
+    import random
+
+    from lumaloom.streaming.incremental import derive_versioned, derive_versioned_batches, run_available
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def derive(component, rows):
+        (calls / f"{random.random()}-{len(rows)}").touch()
+        if (rows["mark"] == "bad").any():
+            raise ValueError("bad")
+        return rows.assign(status=["unsupported" if m == "odd" else "complete" for m in rows["mark"]], value=component + ":" + rows["mark"])[["status", "value"]]
+
+    rng = random.Random(3)
+    schema = "file_id long, scan long, fingerprint string, mark string"
+    outs = {}
+    for scan, versions in ((1, {"a": "1", "b": "1"}), (2, {"a": "1", "b": "2"}), (3, {"a": "1", "b": "2"})):
+        rows = [(i, scan - (i % 10 == 3) * 2, rng.choice(["x", "y", "", None]), rng.choice(["bad", "odd", "m", "n"])) for i in rng.sample(range(80), 60)]
+        rows += [(None, scan, "x", "m"), (5, None, "x", "m"), (7, scan, "z", "m")]
+        rows = list({(r[0], r[1], r[2]): r for r in rows}.values())
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        run_available(derive_versioned(stream(), versions, derive), str(tmp_path / "keys"), str(tmp_path / "k"))
+        for f in calls.iterdir():
+            f.unlink()
+        derive_versioned_batches(stream(), versions, derive, str(tmp_path / "tables"), str(tmp_path / "state"), str(tmp_path / "t"))
+        outs[scan] = max(int(f.name.rsplit("-", 1)[1]) for f in calls.iterdir())
+    columns = ["file_id", "component", "scan", "version", "why", "status", "value", "error"]
+    want, got = (sorted(map(tuple, spark.read.parquet(str(tmp_path / n)).select(*columns).collect()), key=repr) for n in ("keys", "tables"))
+    assert got == want and len(got) > 120
+    assert outs[1] > 5
