@@ -7,8 +7,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import times as T
 from .scratch import written
@@ -17,6 +20,8 @@ BURST_GAP = 0.5
 WINDOW = 10.0
 #: Widths of a band that one task looks at together, and pairs that it holds at once.
 BANDS, SLICE = 16, 1 << 19
+#: Rows that a stream of groups takes from a batch at once.
+ROWS = 4096
 
 
 def representatives(items: DataFrame) -> DataFrame:
@@ -210,6 +215,61 @@ def timeline_islands(events: DataFrame, time: str, stream: str, gap: float, orde
     return joined.withColumn("island", F.col("__base") + F.col("__new")).drop("__part", "__new", "__base", "p", "s")
 
 
+def _grouped(batches, burst: Callable[[dict, dict], bool], similarity: Callable[[dict, dict], float | None], features: list[str]):
+    """Lists of (asset_id, group key) from batches in order of semantics, island, time and id: a group is told as soon as nothing can join it."""
+    island, before, home, open_groups, out = None, None, None, [], []
+
+    def told(groups: list[list[dict]]):
+        for g in groups:
+            key = min(m["asset_id"] for m in g)
+            out.extend((m["asset_id"], key) for m in g)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            for r in batch.slice(at, ROWS).to_pylist():
+                if (r["semantics"], r["island"]) != island:
+                    told(open_groups)
+                    island, before, home, open_groups = (r["semantics"], r["island"]), None, None, []
+                if any(r[f] is None or r[f] != r[f] for f in features):
+                    before = None
+                    continue
+                # times only grow: a group whose first member is too old takes no one by likeness any more, only the one of the record before goes on by bursts
+                old = [g for g in open_groups if r["t"] - g[0]["t"] > WINDOW]
+                joins = before is not None and r["t"] - before["t"] <= BURST_GAP and burst(before, r)
+                if old:
+                    told([g for g in old if not (joins and g is home)])
+                    open_groups = [g for g in open_groups if r["t"] - g[0]["t"] <= WINDOW or (joins and g is home)]
+                if not joins:
+                    home = _most_alike(open_groups, r, similarity)
+                    if home is None:
+                        home = []
+                        open_groups.append(home)
+                home.append(r)
+                before = r
+            if out:
+                yield out
+                out = []
+    told(open_groups)
+    if out:
+        yield out
+
+
+def _most_alike(groups: list[list[dict]], r: dict, similarity: Callable[[dict, dict], float | None]) -> list[dict] | None:
+    """The group whose members ``r`` all matches, with the best worst similarity; among equals the one with the smallest ids."""
+    best = None
+    for g in groups:
+        worst = math.inf
+        for m in g:
+            x = similarity(m, r)
+            if x is None:
+                break
+            worst = min(worst, x)
+        else:
+            if best is None or worst > best[0] or (worst == best[0] and [m["asset_id"] for m in g] < [m["asset_id"] for m in best[1]]):
+                best = (worst, g)
+    return best[1] if best else None
+
+
 def strict_groups(records: DataFrame, burst: Callable[[dict, dict], bool], similarity: Callable[[dict, dict], float | None], features: list[str]) -> DataFrame:
     """asset_id, group_key: strict temporal and visual groups.
 
@@ -221,54 +281,22 @@ def strict_groups(records: DataFrame, burst: Callable[[dict, dict], bool], simil
     breaks a chain.
 
     A gap of more than 10 s closes every group, so islands between such gaps are
-    independent and are handled one by one, each in one call; within it a record
-    looks only at groups that began in the last 10 s.
+    independent; within one a record looks only at groups that began in the last
+    10 s.  A task streams its islands in order of time and holds the groups that may
+    still grow, not an island.
     """
     dated = timeline_islands(records, "t", "semantics", WINDOW, "asset_id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [one(g) for _, g in pdf.groupby("island", sort=True)]
-        return pd.concat(parts) if parts else pd.DataFrame({"asset_id": [], "group_key": []})
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) == 1:
-            return pd.DataFrame({"asset_id": pdf["asset_id"], "group_key": pdf["asset_id"]}) if pdf[features].notna().all(axis=None) else pd.DataFrame({"asset_id": [], "group_key": []}, dtype=pdf["asset_id"].dtype)
-        rows = pdf.sort_values(["t", "asset_id"], kind="stable").to_dict("records")
-        groups: list[list[dict]] = []
-        open_groups: list[list[dict]] = []
-        home: dict = {}
-        before = None
-        for r in rows:
-            if any(r[f] is None or r[f] != r[f] for f in features):
-                before = None
-                continue
-            mine = None
-            if before is not None and r["t"] - before["t"] <= BURST_GAP and burst(before, r):
-                mine = home[before["asset_id"]]
-            else:
-                best = None
-                # times only grow: a group whose first member is too old takes no one by likeness any more
-                open_groups = [g for g in open_groups if r["t"] - g[0]["t"] <= WINDOW]
-                for g in open_groups:
-                    s = [similarity(m, r) for m in g]
-                    if all(x is not None for x in s):
-                        rank = (-min(s), [m["asset_id"] for m in g])
-                        if best is None or rank < best[0]:
-                            best = (rank, g)
-                mine = best[1] if best else None
-            if mine is None:
-                mine = []
-                groups.append(mine)
-                open_groups.append(mine)
-            mine.append(r)
-            home[r["asset_id"]] = mine
-            before = r
-        out = [(m["asset_id"], min(x["asset_id"] for x in g)) for g in groups for m in g]
-        return pd.DataFrame(out, columns=["asset_id", "group_key"])
-
-    schema = f"asset_id {dict(records.dtypes)['asset_id']}, group_key {dict(records.dtypes)['asset_id']}"
-    # neighbouring islands share a call: most are a few rows
-    found = dated.groupBy("semantics", F.floor(F.col("island") / 256)).applyInPandas(run, schema)
+    kind = dated.schema["asset_id"].dataType
+    schema = StructType([StructField(c, kind) for c in ("asset_id", "group_key")])
+
+    def run(batches):
+        for part in _grouped(batches, burst, similarity, features):
+            yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(kind)) for c in zip(*part)], names=["asset_id", "group_key"])
+
+    # neighbouring islands share a task: most are a few rows
+    near = dated.select("semantics", "island", "t", "asset_id", *[c for c in dated.columns if c not in ("semantics", "island", "t", "asset_id")])
+    found = near.repartition("semantics", F.floor(F.col("island") / 256)).sortWithinPartitions("semantics", "island", "t", "asset_id").mapInArrow(run, schema)
     alone = records.filter("t is null").select("asset_id", F.col("asset_id").alias("group_key"))
     return found.unionByName(alone)
 
