@@ -26,13 +26,15 @@ def fingerprint(sha256: Column, size: Column, mtime: Column) -> Column:
     return F.coalesce(sha256, F.concat(F.lit("stat:"), size.cast("string"), F.lit(":"), mtime.cast("string")))
 
 
-def by_component(states: DataFrame, components: list[str]) -> DataFrame:
+def by_component(states: DataFrame, components: list[str], fields: dict[str, int] | None = None) -> DataFrame:
     """One row a file with a struct for each component (null without a record): a partial aggregate, one shuffle.
 
-    A component has one record a file; among several the greatest counts.
+    A component has one record a file; among several the greatest counts.  fields:
+    how many of ``FIELDS`` are wanted of a component, from the first, all if it is
+    not named; as records are ordered by them, fewer are those of the same record.
     """
-    record = F.struct(*FIELDS)
-    return states.filter(F.col("component").isin(components)).groupBy("file_id").agg(*[F.max(F.when(F.col("component") == c, record)).alias(c) for c in components])
+    record = lambda c: F.struct(*FIELDS[: (fields or {}).get(c, len(FIELDS))])
+    return states.filter(F.col("component").isin(components)).groupBy("file_id").agg(*[F.max(F.when(F.col("component") == c, record(c))).alias(c) for c in components])
 
 
 def why_pending(component: str, state: Column, version: str, mark: Column, algorithm: str, scoring: bool) -> Column:

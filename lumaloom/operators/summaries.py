@@ -13,7 +13,8 @@ UNDER_WAY = ["pending", "running"]
 
 
 def _with_states(files: DataFrame, states: DataFrame) -> DataFrame:
-    known = by_component(states, PARTS).select("file_id", F.struct(*PARTS).alias("__s"))
+    # of thumbnails the output path is read, of the others version and status
+    known = by_component(states, PARTS, {"metadata": 2, "thumbnail": 4, "quality": 2}).select("file_id", F.struct(*PARTS).alias("__s"))
     return files.join(known, "file_id", "left")
 
 

@@ -169,9 +169,12 @@ def decisions_of(spark, d):
 def prj_1(spark, d):
     """Every asset's summary in full."""
     assets = load(spark, d, "asset")
-    files = load(spark, d, "file").withColumns({"codec": F.expr(CODEC), "quality_record": F.expr(EMBEDDED)})
+    from ..operators.scratch import written
+
+    given = {"file": written(load(spark, d, "file"), "files")}
+    files = given["file"].withColumns({"codec": F.expr(CODEC), "quality_record": F.expr(EMBEDDED)})
     groups = assets.filter("group_id is not null").groupBy("group_id").agg(F.count("*").alias("members"))
-    out = V.asset_summaries(assets, files, load(spark, d, "file_state"), decisions_of(spark, d), groups, "run-1")
+    out = V.asset_summaries(assets, files, load(spark, d, "file_state", given), decisions_of(spark, d), groups, "run-1")
     return out.withColumn("issues", F.array_join("issues", ","))
 
 
@@ -247,11 +250,14 @@ def prj_6(spark, d):
    ORDER BY CASE WHEN rn = 1 THEN 0 ELSE 1 END, CASE WHEN is_online THEN 0 ELSE 1 END, relative_path, file_id) AS files FROM l GROUP BY asset_id""")
 def prj_7(spark, d):
     """Every asset with its files as structs, spelled out here as text."""
-    f = load(spark, d, "file")
+    from ..operators.scratch import written
+
+    given = {"file": written(load(spark, d, "file"), "files")}
+    f = given["file"]
     twins = f.join(f.groupBy("sha256").agg(F.count("*").alias("n")).filter("n > 1"), "sha256", "left_semi").select("file_id", F.lit("exact_duplicate").alias("kind"))
-    managed = load(spark, d, "managed_derivative").join(f.select("file_id", "role"), "file_id").select("file_id", F.lit("jpeg-xl").alias("codec"), F.col("role").alias("profile"))
-    gps = load(spark, d, "metadata").select("file_id", F.get_json_object("text", "$.gps.latitude").alias("latitude"), F.get_json_object("text", "$.gps.longitude").alias("longitude"))
-    out = V.asset_details(load(spark, d, "asset"), f, load(spark, d, "file_state"), twins, managed, gps)
+    managed = load(spark, d, "managed_derivative", given).join(f.select("file_id", "role"), "file_id").select("file_id", F.lit("jpeg-xl").alias("codec"), F.col("role").alias("profile"))
+    gps = load(spark, d, "metadata", given).select("file_id", F.get_json_object("text", "$.gps.latitude").alias("latitude"), F.get_json_object("text", "$.gps.longitude").alias("longitude"))
+    out = V.asset_details(load(spark, d, "asset"), f, load(spark, d, "file_state", given), twins, managed, gps)
     known = lambda c: F.coalesce(c, F.lit("?"))
     flag = lambda c, t: F.when(c, t).otherwise("-")
     text = lambda x: F.concat_ws("|", x["file_id"].cast("string"), x["relative_path"], x["role"], x["label"], x["size_bytes"].cast("string"), F.concat(flag(x["original"], "o"), flag(x["thumbnail"], "t")), F.concat(known(x["components"]["metadata"]["status"]), x["components"]["metadata"]["version"]), known(x["components"]["thumbnail"]["status"]), known(x["components"]["quality"]["status"]))

@@ -68,3 +68,20 @@ def test_fresh_vectors_need_the_record_of_their_input(spark):
     rows = [(1, "e", "v", "complete", "a"), (2, "e", "old", "complete", "a"), (3, "e", "v", "complete", "a"), (4, "e", "v", "complete", None), (5, "e", "v", "complete", "a"), (6, "e", "v", "complete", "a"), (2, "other", "v", "complete", "a")]
     s = spark.createDataFrame(rows, "file_id long, component string, version string, status string, input_fingerprint string")
     assert [r["file_id"] for r in S.fresh_vectors(v, f, s, "e", "v").collect()] == [1]
+
+
+def test_first_fields_of_records_are_those_of_the_greatest_record(spark):
+    """Fewer fields cross the exchange, and they are the ones of the record that counts."""
+    import random
+
+    from lumaloom.operators.states import FIELDS, by_component
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(20), rng.choice("ab"), *[rng.choice([None, "", "x", "y"]) for _ in FIELDS]) for _ in range(200)]
+    states = spark.createDataFrame(rows, "file_id long, component string, " + ", ".join(f"{f} string" for f in FIELDS))
+    few = by_component(states, ["a", "b"], {"a": 2, "b": 4})
+    assert few.schema["a"].dataType.names == FIELDS[:2] and few.schema["b"].dataType.names == FIELDS[:4]
+    full = {r["file_id"]: r for r in by_component(states, ["a", "b"]).collect()}
+    for r in few.collect():
+        for c, n in (("a", 2), ("b", 4)):
+            assert (r[c] and tuple(r[c])) == (full[r["file_id"]][c] and tuple(full[r["file_id"]][c])[:n])
