@@ -235,11 +235,12 @@ def with_views(sql: str) -> str:
     return "WITH " + ", ".join(parts) + " " + body
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None, dealt: bool = False) -> DataFrame:
     """A view of the catalog, or a plain table; ``given`` are views that are there already.
 
-    Grouped views are dealt out by their first key: groups lie inside it, and a
-    join or an aggregate by that key needs no other exchange.
+    ``dealt``: grouped views are dealt out by their first key.  Groups lie inside
+    it, and a join by that key needs no other exchange; the aggregate then sorts in
+    the stage of what follows, which adds to the memory of a task.
     """
     if given and name in given:
         return given[name]
@@ -248,14 +249,14 @@ def load(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame
     if isinstance(VIEWS[name], list):
         return _united(spark, sf_dir, VIEWS[name], given)
     source, keys, columns, *where = VIEWS[name]
-    df = load(spark, sf_dir, source, given)
+    df = load(spark, sf_dir, source, given, dealt)
     if where:
         df = df.filter(where[0])
     if keys:
         from pyspark.sql import functions as F
 
         plain = [(c, e) for c, e in columns if "max(" not in e]
-        grouped = df.repartition(keys[0]).groupBy(*keys).agg(*[F.expr(e).alias(c) for c, e in columns if "max(" in e])
+        grouped = (df.repartition(keys[0]) if dealt else df).groupBy(*keys).agg(*[F.expr(e).alias(c) for c, e in columns if "max(" in e])
         return grouped.selectExpr(*[f"{e} AS {c}" for c, e in plain], *[c for c, e in columns if "max(" in e])
     return df.selectExpr(*[f"{e} AS `{c}`" for c, e in columns])
 

@@ -169,6 +169,7 @@ def test_execution_without_order_carries_only_what_is_kept(spark):
 
 
 def test_columns_that_follow_from_rules_are_the_same_behind_an_exchange(spark):
+    import lumaloom.plans.registry  # noqa: F401
     from lumaloom.operators.rules import slim, spelled
     from lumaloom.plans.plan_queries import PLAN_RULES, PROFILES, plan_inputs
 
@@ -184,7 +185,7 @@ def test_files_of_an_asset_are_dealt_out_once(spark):
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        j = load(spark, "/root/testdata/sf0.001", "file").join(load(spark, "/root/testdata/sf0.001", "asset"), "asset_id")
+        j = load(spark, "/root/testdata/sf0.001", "file", dealt=True).join(load(spark, "/root/testdata/sf0.001", "asset"), "asset_id")
         assert j._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
