@@ -114,36 +114,75 @@ def content_families(assets: DataFrame, files: DataFrame) -> DataFrame:
     return known.groupBy("media_type", "sha256").agg(F.min("asset_id").alias("head"), F.count("*").alias("assets"), F.sum("n").alias("files"), side("selected").alias("chosen"), side("rejected").alias("refused"))
 
 
-def peer_evidence(pictures: DataFrame, assets: DataFrame, tolerance: float = 5.0) -> DataFrame:
+def similar_pictures(pairs: DataFrame, sides: tuple[DataFrame, DataFrame], pictures: DataFrame, facts: DataFrame) -> DataFrame:
+    """p, q, rmse, bits, histogram: pictures within the limits of each other, in both orders, if a pair of assets has one on either side.
+
+    pairs(l, r, left) of assets, left where the right one brings its pictures to the
+    left one; a side's files(asset_id, picture), pictures(picture, small_red,
+    small_green, small_blue, bits), facts(picture, bits, mean, segments).  A picture
+    is brought to an asset once, however many others bring it.  There it meets the
+    asset's own in a segment of their bits: of one more segments than bits may
+    differ, one is equal.
+    """
+    shown = [s.select("asset_id", "picture").distinct() for s in sides]
+    told = facts.select("picture", "bits", "mean", F.posexplode("segments").alias("i", "segment"))
+    side = lambda df, n: df.join(told, "picture").select("asset_id", "i", "segment", *[F.col(c).alias(f"{n}_{c}") for c in ("picture", "bits", "mean")])
+    met = []
+    for cond, owner, guest, own, other in (("left", "l", "r", *shown), ("not left", "r", "l", *shown[::-1])):
+        ends = pairs.filter(cond)
+        brought = ends.join(other.withColumnRenamed("asset_id", guest), guest).select(F.col(owner).alias("asset_id"), "picture").distinct()
+        met.append(side(own.join(ends.select(F.col(owner).alias("asset_id")).distinct(), "asset_id", "left_semi"), "a").join(side(brought, "b"), ["asset_id", "i", "segment"]))
+    bits = F.aggregate(F.zip_with("a_bits", "b_bits", lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x)
+    near = met[0].unionByName(met[1]).filter(F.abs(F.col("a_mean") - F.col("b_mean")) <= RMSE_MOST + 1e-9).filter(bits <= BITS_MOST)
+    near = written(near.select(F.least("a_picture", "b_picture").alias("p"), F.greatest("a_picture", "b_picture").alias("q"), bits.alias("bits")).distinct(), "near")
+    grids = ["small_red", "small_green", "small_blue"]
+    grid = lambda n, key: pictures.select(F.col("picture").alias(key), F.struct(*grids).alias(n))
+    both = near.filter("p <> q").join(grid("l", "p"), "p").join(grid("r", "q"), "q")
+    both = both.withColumn("rmse", F.sqrt(X.mean_squared_error(*[[F.col(f"{s}.{c}") for c in grids] for s in ("l", "r")]) / 65025)).filter(F.col("rmse") <= RMSE_MOST)
+    both = X.held(both, {f"{s}_hist": F.concat(*[F.transform(X.histogram_counts(F.col(f"{s}.{c}"), 16), lambda n: n.cast("double")) for c in grids]) for s in ("l", "r")})
+    apart = F.aggregate(F.zip_with("l_hist", "r_hist", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x) / (F.size("l.small_red") * 6)
+    both = written(both.select("p", "q", "rmse", "bits", apart.alias("histogram")).filter(F.col("histogram") <= HISTOGRAM_MOST), "similar")
+    same = near.filter("p = q").select("p", "q", F.lit(0.0).alias("rmse"), "bits", F.lit(0.0).alias("histogram"))
+    return same.union(both).union(both.select(F.col("q").alias("p"), F.col("p").alias("q"), "rmse", "bits", "histogram"))
+
+
+def peer_evidence(files: DataFrame, pictures: DataFrame, assets: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """stem, jxl_asset, rendered_asset, rmse, bits, histogram: JPEG XL and rendered assets of one stem that show the same, each pair by its best files.
 
-    pictures(file_id, asset_id, stem, extension, width, height, small_red, small_green,
-    small_blue, bits) of unmanaged images; assets(asset_id, capture_time,
-    capture_time_kind, camera).  Pictures within the limit of the root mean square
-    have means within it, so a pair meets in a band of the mean brightness: the join
-    is on stem and band, and no stem's pictures are paired off whole.
+    files(file_id, asset_id, stem, extension, width, height, picture), unmanaged
+    images; pictures(picture, small_red, small_green, small_blue, bits);
+    assets(asset_id, capture_time, capture_time_kind, camera).  Pictures within the
+    limit of the root mean square have means within it, so assets of a stem meet in a
+    band of the mean brightness.  What they show does not depend on the stem: an asset
+    of many stems is held against each other asset once, and two pictures once in all.
     """
     jxl, raw = F.lower("extension") == ".jxl", M.is_raw(F.col("extension"))
     small = F.concat("small_red", "small_green", "small_blue")
-    told = pictures.filter("small_red is not null").withColumn("mean", F.aggregate(small, F.lit(0).cast("long"), lambda a, x: a + x) / (F.size(small) * 255))
-    bins = [F.transform(X.histogram_counts(F.col(c), 16), lambda n: n.cast("double")) for c in ("small_red", "small_green", "small_blue")]
-    told = X.held(told, {"hist": F.concat(*bins)}).withColumn("band", F.floor(F.col("mean") / RMSE_MOST).cast("int"))
-    shown = ["file_id", "width", "height", "small_red", "small_green", "small_blue", "bits", "hist", "mean"]
-    stems = lambda cond: pictures.filter(cond).select("asset_id", "stem").distinct()
+    facts = pictures.select("picture", "bits", (F.aggregate(small, F.lit(0).cast("long"), lambda a, x: a + x) / (F.size(small) * 255)).alias("mean"))
+    cut = lambda i: F.floor(F.size("bits") * i / (BITS_MOST + 1)).cast("int")
+    facts = facts.filter("mean is not null and bits is not null and not exists(bits, x -> x is null)")
+    facts = written(facts.withColumn("band", F.floor(F.col("mean") / RMSE_MOST).cast("int")).withColumn("segments", F.array(*[F.array_join(F.slice("bits", cut(i) + 1, cut(i + 1) - cut(i)), ",") for i in range(BITS_MOST + 1)])), "facts")
+    told = files.filter("picture is not null").join(facts.select("picture", "band"), "picture").groupBy("asset_id", (~jxl & ~raw).alias("rendered"), "picture", "band", "width", "height").agg(F.min("file_id").alias("file_id"))
     # any file of an asset with a JPEG XL under the stem may stand for it; of the other side only rendered files
-    left = stems(jxl).join(told.select("asset_id", "band", F.struct(*shown).alias("l")), "asset_id").select("stem", F.col("asset_id").alias("jxl_asset"), "l", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    right = stems(~jxl & ~raw).join(told.filter(~jxl & ~raw).select("asset_id", "band", F.struct(*shown).alias("r")), "asset_id").select("stem", F.col("asset_id").alias("rendered_asset"), "r", "band")
-    known = lambda side: (F.coalesce(F.col(f"{side}.width"), F.lit(0)) > 0) & (F.coalesce(F.col(f"{side}.height"), F.lit(0)) > 0)
-    sized = ~(known("l") & known("r")) | ((F.col("l.width") == F.col("r.width")) & (F.col("l.height") == F.col("r.height")))
-    met = left.join(right, ["stem", "band"]).filter((F.col("jxl_asset") != F.col("rendered_asset")) & sized & (F.abs(F.col("l.mean") - F.col("r.mean")) <= RMSE_MOST + 1e-9))
-    channels = [([F.col(f"{s}.small_{c}") for c in ("red", "green", "blue")]) for s in ("l", "r")]
-    far = met.select(
-        "stem", "jxl_asset", "rendered_asset", F.sqrt(X.mean_squared_error(*channels) / 65025).alias("rmse"),
-        F.aggregate(F.zip_with("l.bits", "r.bits", lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x).alias("bits"),
-        (F.aggregate(F.zip_with("l.hist", "r.hist", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x) / (F.size("l.small_red") * 6)).alias("histogram"),
-        F.col("l.file_id").alias("jxl_file"), F.col("r.file_id").alias("rendered_file"),
-    ).filter((F.col("rmse") <= RMSE_MOST) & (F.col("bits") <= BITS_MOST) & (F.col("histogram") <= HISTOGRAM_MOST))
-    best = far.groupBy("stem", "jxl_asset", "rendered_asset").agg(F.min(F.struct("rmse", "jxl_file", "rendered_file", "bits", "histogram")).alias("best"))
+    told = written(told, "told")
+    shown = (told.groupBy("asset_id", "picture", "band", "width", "height").agg(F.min("file_id").alias("file_id")), told.filter("rendered").drop("rendered"))
+    stems = lambda cond, key, bands: files.filter(cond).select("asset_id", "stem").distinct().join(bands.distinct(), "asset_id").withColumnRenamed("asset_id", key)
+    wide = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    left, right = stems(jxl, "l", shown[0].select("asset_id", wide)), stems(~jxl & ~raw, "r", shown[1].select("asset_id", "band"))
+    met = written(left.join(right, ["stem", "band"]).filter("l <> r").select("stem", "l", "r").distinct(), "met")
+    size = lambda i, key: shown[i].groupBy(F.col("asset_id").alias(key)).agg(F.count("*").alias(f"n_{key}"))
+    # of a pair, the asset with fewer pictures is spelled out
+    pairs = written(met.select("l", "r").distinct().join(size(0, "l"), "l").join(size(1, "r"), "r").select("l", "r", (F.col("n_l") >= F.col("n_r")).alias("left")), "pairs")
+    similar = written(similar_pictures(pairs, shown, pictures, facts), "alike")
+    by = lambda i, key: shown[i].select(F.col("asset_id").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in ("picture", "width", "height", "file_id")])
+    found = [
+        pairs.filter(cond).join(by(i, few), few).join(similar, F.col(f"{few}_picture") == F.col(p)).join(by(1 - i, many).withColumnRenamed(many, "__many"), (F.col(many) == F.col("__many")) & (F.col(q) == F.col(f"{many}_picture")))
+        for cond, i, few, many, p, q in (("left", 1, "r", "l", "q", "p"), ("not left", 0, "l", "r", "p", "q"))
+    ]
+    known = lambda side: (F.coalesce(F.col(f"{side}_width"), F.lit(0)) > 0) & (F.coalesce(F.col(f"{side}_height"), F.lit(0)) > 0)
+    sized = ~(known("l") & known("r")) | ((F.col("l_width") == F.col("r_width")) & (F.col("l_height") == F.col("r_height")))
+    best = found[0].unionByName(found[1]).filter(sized).groupBy("l", "r").agg(F.min(F.struct("rmse", "l_file_id", "r_file_id", "bits", "histogram")).alias("best"))
+    best = met.join(best, ["l", "r"]).withColumnsRenamed({"l": "jxl_asset", "r": "rendered_asset"})
     seconds, kind = T.capture_seconds(F.col("capture_time"), F.col("capture_time_kind")), F.col("capture_time_kind")
     facts = assets.select("asset_id", seconds.alias("s"), T.wall_clock_us(F.col("capture_time")).alias("w"), T.semantics(kind).alias("axis"), "camera")
     side = lambda n, key: facts.select(*[F.col(c).alias(key if c == "asset_id" else f"{n}_{c}") for c in facts.columns])
@@ -162,13 +201,14 @@ def _opposed(pairs: DataFrame, assets: DataFrame, left: str, right: str) -> Data
     return pairs.withColumn("opposed", F.coalesce(both, F.lit(False))).drop("__l", "__r")
 
 
-def reconcile_stages(assets: DataFrame, files: DataFrame, tolerance: float = 5.0) -> dict[str, DataFrame]:
+def reconcile_stages(assets: DataFrame, files: DataFrame, tolerance: float = 5.0, pictures: DataFrame | None = None) -> dict[str, DataFrame]:
     """Entity resolution in three stages, each on the assets that the one before left.
 
     assets(asset_id, selection_state, created_at, capture_time, capture_time_kind);
     files(file_id, asset_id, filename, extension, media_type, role, sha256, width,
     height, make, model, small_red, small_green, small_blue, bits), the last four of
-    :func:`pixels.identity_features`, null without a picture.
+    :func:`pixels.identity_features`, null without a picture.  With pictures(picture,
+    small_red, small_green, small_blue, bits), files name one in ``picture`` instead.
 
     1. Content in several assets makes them one, unless their decisions oppose;
        then all of them are blocked.  2. A RAW and a rendered asset, each alone
@@ -183,6 +223,12 @@ def reconcile_stages(assets: DataFrame, files: DataFrame, tolerance: float = 5.0
     assets, for content from the smallest one to each other: the pairs of files
     behind them are what :func:`sides` spells out.
     """
+    if pictures is None:
+        # equal pictures are one, and no file carries its pixels through the stages
+        shown = ["small_red", "small_green", "small_blue", "bits"]
+        files = files.withColumn("picture", F.when(F.col("small_red").isNotNull(), F.sha2(F.to_json(F.struct(*shown)), 256)))
+        pictures = written(files.filter("picture is not null").groupBy("picture").agg(*[F.first(c).alias(c) for c in shown]), "pictures")
+        files = files.drop(*shown)
     role = F.lower(F.coalesce("role", F.lit("")))
     own = files.filter((F.col("media_type") == "image") & ~role.startswith("managed") & ~role.startswith("derived")).withColumn("stem", M.casefold(M.stem(F.col("filename"))))
     families = written(content_families(assets, files).filter("assets > 1"), "families")
@@ -204,7 +250,7 @@ def reconcile_stages(assets: DataFrame, files: DataFrame, tolerance: float = 5.0
 
     # stage 3: stems with one JPEG XL and rendered pair that shows the same
     late = renamed_to(own, two, "asset_id")
-    peers = written(peer_evidence(late, assets.join(camera_of(late), "asset_id", "left"), tolerance), "peers")
+    peers = written(peer_evidence(late, pictures, assets.join(camera_of(late), "asset_id", "left"), tolerance), "peers")
     single = peers.groupBy("stem").agg(F.count("*").alias("n"), F.min(F.struct("jxl_asset", "rendered_asset")).alias("p")).select("stem", "n", "p.*")
     judged = written(_opposed(stopped(single.filter("n = 1"), "jxl_asset", "rendered_asset"), assets, "jxl_asset", "rendered_asset"), "judged")
     third = written(second.union(judged.filter(~F.col("opposed")).select("jxl_asset", "rendered_asset")), "third")

@@ -125,12 +125,12 @@ def staged(spark, d):
 
     a = F.col("asset_id")
     maker = F.when(F.col("width") % 3 == 0, F.concat(F.lit(" Maker"), F.floor(F.col("height") / 700).cast("string")))
-    shown = written(X.identity_features(pictures(spark, d), "red", "green", "blue", "width").select("vec_id", "small_red", "small_green", "small_blue", "bits"), "pictures")
+    shown = written(X.identity_features(pictures(spark, d), "red", "green", "blue", "width").select(F.col("vec_id").alias("picture"), "small_red", "small_green", "small_blue", "bits"), "pictures")
     files = load(spark, d, "file").select(
         "file_id", "asset_id", F.concat(F.lit("P_"), F.floor(a / 3).cast("string"), "extension").alias("filename"), "extension", "media_type", "role",
-        F.concat("sha256", F.lit("-"), (F.col("size_bytes") % 97).cast("string")).alias("sha256"), "width", "height", maker.alias("make"), F.lit(None).cast("string").alias("model"), F.floor(a / 6).alias("vec_id"))
+        F.concat("sha256", F.lit("-"), (F.col("size_bytes") % 97).cast("string")).alias("sha256"), "width", "height", maker.alias("make"), F.lit(None).cast("string").alias("model"), F.floor(a / 6).alias("picture"))
     assets = load(spark, d, "asset").select("asset_id", "selection_state", F.col("created_day").cast("string").alias("created_at"), "capture_time", "capture_time_kind")
-    return reconcile_stages(assets, files.join(shown, "vec_id", "left").drop("vec_id"))
+    return reconcile_stages(assets, written(files, "files"), pictures=shown)
 
 
 @query("cmp_8_stages")
