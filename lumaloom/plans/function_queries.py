@@ -100,7 +100,11 @@ _EXIF = "CASE WHEN json_valid(text) THEN json_extract_string(text, '$.exif.{}')
  FROM k QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY p, CASE WHEN is_online THEN 0 ELSE 1 END, relative_path, file_id) = 1""")
 def s_16(spark, d):
     """The finest moment that an asset's files record; the first file's among equals."""
-    text = load(spark, d, "metadata").select("file_id", T.exif_moment(F.from_json("text", "exif map<string,string>")["exif"]).alias("moment"))
+    from ..functions.pixels import held
+
+    # text is parsed once a file, the moment told once
+    text = held(load(spark, d, "metadata"), {"exif": F.from_json("text", "exif map<string,string>")["exif"]}).select("file_id", "exif")
+    text = held(text, {"moment": T.exif_moment(F.col("exif"))}).select("file_id", "moment")
     j = load(spark, d, "file").join(text.filter("moment is not null"), "file_id")
     best = j.groupBy("asset_id").agg(F.min_by("moment", F.struct("moment.precision_us", ~F.col("is_online"), "relative_path", "file_id")).alias("m"))
     return best.select("asset_id", "m.value", "m.kind", "m.precision_us")
