@@ -104,16 +104,24 @@ def timeline_points(assets: DataFrame, files: DataFrame, mode: str = "capture")
     scope records, if that is finer.  ``file_created``: the time of the preferred
     file in scope.  files(file_created_time, exif_time) beside the usual columns.
     """
-    if mode not in ("capture", "file_created"):
-        raise ValueError(f"unknown time mode: {mode}")
+    return timelines(assets, files, [mode]).drop("mode")
+
+
+def timelines(assets: DataFrame, files: DataFrame, modes: list[str]) -> DataFrame:
+    """mode, asset_id, time_us, precision_us: :func:`timeline_points` of several modes, from one pass over the files."""
+    for mode in modes:
+        if mode not in ("capture", "file_created"):
+            raise ValueError(f"unknown time mode: {mode}")
     key = M.preference(F.col("in_scope"), F.col("is_online"), F.col("extension"), F.col("role"), F.col("relative_path"), F.col("file_id"))
     exif = F.col("exif_time")
     known = F.when(T.wall_clock_us(exif).isNotNull(), F.struct(T.precision_us(exif), key))
     found = files.filter("in_scope").groupBy("asset_id").agg(F.min_by("file_created_time", key).alias("created"), F.min_by("exif_time", known).alias("exif"))
     j = assets.join(found, "asset_id", "left")
     own = F.coalesce(T.precision_us(F.col("capture_time")), F.lit(1_000_000))
-    value = F.col("created") if mode == "file_created" else F.when(T.precision_us(F.col("exif")) < own, F.col("exif")).otherwise(F.col("capture_time"))
-    return j.select("asset_id", T.wall_clock_us(value).alias("time_us"), T.precision_us(value).alias("precision_us")).filter("time_us is not null")
+    values = {"file_created": F.col("created"), "capture": F.when(T.precision_us(F.col("exif")) < own, F.col("exif")).otherwise(F.col("capture_time"))}
+    j = j.select("asset_id", F.inline(F.array(*[F.struct(F.lit(m).alias("mode"), values[m].alias("value")) for m in modes])))
+    value = F.col("value")
+    return j.select("mode", "asset_id", T.wall_clock_us(value).alias("time_us"), T.precision_us(value).alias("precision_us")).filter("time_us is not null")
 
 
 def locate(ordered_ids: DataFrame, order: list[Column], size: int) -> DataFrame:

@@ -111,14 +111,15 @@ def src_8(spark, d):
  SELECT mode, asset_id, epoch_us(TRY_CAST(v AS TIMESTAMP)) AS time_us, CAST(CASE WHEN v LIKE '%.250' THEN 1000 WHEN v LIKE '%.5' THEN 100000 ELSE 1000000 END AS BIGINT) AS precision_us FROM p WHERE v IS NOT NULL""")
 def cmp_17(spark, d):
     """Both time modes; files record the capture time again with more digits, or something unreadable."""
-    from ..operators.browse import timeline_points
+    from ..operators.browse import timelines
+    from ..operators.scratch import written
 
     assets = load(spark, d, "asset").select("asset_id", "capture_time")
     f, again = F.col("file_id"), F.col("recorded")
     exif = F.when(f % 6 == 0, F.concat(again, F.lit(".250"))).when(f % 6 == 1, F.concat(again, F.lit(".5"))).when(f % 6 == 2, "unknown.123456")
     files = load(spark, d, "file").join(assets.withColumnRenamed("capture_time", "recorded"), "asset_id").withColumn("exif_time", exif).withColumn("file_created_time", F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss"))
-    both = [timeline_points(assets, files, m).select(F.lit(m).alias("mode"), "asset_id", "time_us", "precision_us") for m in ("capture", "file_created")]
-    return both[0].unionByName(both[1]).orderBy("time_us", "asset_id")
+    # written once: a sort by ranges reads its input twice
+    return written(timelines(assets, files, ["capture", "file_created"]), "points").orderBy("time_us", "asset_id")
 
 
 @query("cmp_18_capabilities", f"""WITH g AS (SELECT count(DISTINCT asset_id) AS n FROM {GEO} WHERE lat BETWEEN -90 AND 90), a AS (SELECT count(*) AS n, count(capture_time) AS t FROM asset), v AS (SELECT count(*) AS n FROM vector JOIN asset ON vector.file_id = asset.asset_id)
