@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media as M
 from ..functions import metrics as X
 from ..operators import estimates as E
 from . import browse_queries as B
-from .catalog import load
+from .catalog import load, settled
 from .registry import query
 
 
@@ -184,7 +187,8 @@ STEPS = {
 @query("agg_19_28_estimate", f"WITH {TIMED_SQL}, {WORK_SQL}, z AS (SELECT *, {', '.join(f'CAST({x} AS DOUBLE) AS {k}_s' for k, x in STEPS.items())} FROM w) SELECT * EXCLUDE ({', '.join(f'{k}_s' for k in STEPS)}), {', '.join(f'round_even({k}_s, 1) AS {k}_seconds' for k in STEPS)}, round_even({' + '.join(f'{k}_s' for k in STEPS)}, 1) AS estimated_seconds FROM z")
 def agg_19(spark, d):
     """What is left to do in the catalog by its component records, and the time of all sixteen steps at the rates of the latest jobs."""
-    work = E.indexed_work(load(spark, d, "file"), load(spark, d, "component_state"), load(spark, d, "vector"), INDEX)
+    files = settled(load(spark, d, "file"), "file_id", "asset_id", "in_scope", "is_online", "relative_path", "extension", "media_type", "duration")
+    work = E.indexed_work(files, load(spark, d, "component_state"), load(spark, d, "vector"), INDEX)
     return E.index_seconds(work, rates_of(spark, d))
 
 
@@ -196,9 +200,12 @@ def agg_19(spark, d):
  SELECT *, images + video_samples - cached AS pending, (images + video_samples - cached) * 768 * 2 AS storage_bytes, round_even(CASE WHEN images + video_samples > cached THEN 8.0 ELSE 0.0 END + images * CAST(0.25 AS DOUBLE) + video_samples * CAST(0.3 AS DOUBLE), 1) AS seconds FROM t""")
 def agg_28(spark, d):
     """Vectors that the catalog's assets need, those at hand, and what the others take."""
-    files = load(spark, d, "file").withColumn("input_fingerprint", F.md5(F.col("file_id").cast("string").cast("binary")))
+    files = settled(load(spark, d, "file"), "file_id", "asset_id", "in_scope", "is_online", "relative_path", "extension", "role", "media_type", "duration")
+    files = files.withColumn("input_fingerprint", F.md5(F.col("file_id").cast("string").cast("binary")))
     frames = load(spark, d, "job").filter("status = 'complete'").groupBy("file_id").agg(F.count("*").alias("n"))
-    return E.embedding_plan(files, load(spark, d, "component_state"), load(spark, d, "vector"), frames, INDEX, "e1", 768)
+    # each component by itself: what can't hold the one that is asked for drops out of the plan
+    states = reduce(DataFrame.unionByName, [load(spark, d, n) for n in ("state_metadata", "state_thumbnail", "state_quality", "state_embedding")])
+    return E.embedding_plan(files, states, load(spark, d, "vector"), frames, INDEX, "e1", 768)
 
 
 @query("agg_20_duplicate_counts", "WITH fam AS (SELECT media_type, sha256, count(*) AS n, count(DISTINCT asset_id) AS a FROM file GROUP BY ALL) SELECT media_type, count(*) AS families, CAST(sum(n - 1) AS BIGINT) AS duplicate_files, count_if(a > 1) AS across_assets FROM fam WHERE n > 1 GROUP BY media_type")

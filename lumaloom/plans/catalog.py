@@ -261,6 +261,13 @@ def load(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame
     return df.selectExpr(*[f"{e} AS `{c}`" for c, e in columns])
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a view, each worked out once a row, however many conditions and keys name it."""
+    from pyspark.sql import functions as F
+
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def _united(spark: SparkSession, sf_dir: str, names: list[str], given: dict[str, DataFrame] | None = None) -> DataFrame:
     """Views after each other; those over one source become one explode, so that it is read once."""
     from functools import reduce

@@ -52,8 +52,10 @@ def folder_report(listing: DataFrame) -> DataFrame:
     Files are counted by folder and extension before anything goes up the tree, and
     examples are a ranking that each task cuts to five names a folder before the shuffle.
     """
-    folder, ext = M.parent_folder(F.col("path")), M.extension(F.col("path"))
-    direct = listing.groupBy(folder.alias("own"), F.when(ext == "", "(none)").otherwise(ext).alias("ext")).agg(F.count("*").alias("n"), F.sum(F.coalesce("size", F.lit(0))).alias("b"))
+    # each part of a path is taken from it once
+    parts = F.struct(M.parent_folder(F.col("path")).alias("own"), M.extension(F.col("path")).alias("ext"), M.base_name(F.col("path")).alias("name"), "size")
+    listing, ext = listing.select(F.inline(F.array(parts))), F.col("ext")
+    direct = listing.groupBy("own", F.when(ext == "", "(none)").otherwise(ext).alias("ext")).agg(F.count("*").alias("n"), F.sum(F.coalesce("size", F.lit(0))).alias("b"))
     at, here = F.explode(M.folder_prefixes(F.col("own"))).alias("folder"), F.col("own") == F.col("folder")
     up = direct.select(at, "own", "ext", "n", "b").groupBy("folder", "ext").agg(*[F.sum(F.when(c, F.col(x))).cast("long").alias(y) for c, x, y in ((here, "n", "dn"), (here, "b", "db"), (F.lit(True), "n", "n"), (F.lit(True), "b", "b"))])
     up = up.withColumn("cat", M.media_category(F.col("ext")))
@@ -66,9 +68,8 @@ def folder_report(listing: DataFrame) -> DataFrame:
         *[total(F.when(F.col("cat") == c, F.col(n))).alias(f"{n}_{c}") for n in ("dn", "n") for c in M.CATEGORIES],
     )
     present = lambda n: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"{n}_{c}").alias("n")) for c in M.CATEGORIES]), lambda e: e["n"] > 0))
-    name = M.base_name(F.col("path"))
     first = F.row_number().over(Window.partitionBy("folder").orderBy("key", "name"))
-    named = listing.filter(M.media_category(ext) != "other").select(folder.alias("folder"), M.casefold(name).alias("key"), name.alias("name")).withColumn("__r", first).filter(F.col("__r") <= EXAMPLES)
+    named = listing.filter(M.media_category(ext) != "other").select(F.col("own").alias("folder"), M.casefold(F.col("name")).alias("key"), "name").withColumn("__r", first).filter(F.col("__r") <= EXAMPLES)
     examples = named.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("key", "name")))["name"].alias("examples"))
     return extensions.join(examples, "folder", "left").select(
         "folder", "direct_files", "files", "direct_bytes", "bytes", "recognized_files", "recognized_bytes", "direct_extensions", "direct_extension_bytes", "extensions",
