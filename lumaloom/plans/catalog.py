@@ -261,7 +261,7 @@ def load(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame
     return df.selectExpr(*[f"{e} AS `{c}`" for c, e in columns])
 
 
-def settled(df: DataFrame, *columns: str) -> DataFrame:
+def settled(df: DataFrame, *columns) -> DataFrame:
     """Columns of a view, each worked out once a row, however many conditions and keys name it."""
     from pyspark.sql import functions as F
 
@@ -276,6 +276,12 @@ def _united(spark: SparkSession, sf_dir: str, names: list[str], given: dict[str,
 
     sources = {VIEWS[n][0] for n in names if not isinstance(VIEWS[n], list)}
     if len(sources) == 1 and len(names) > 1 and not any(isinstance(VIEWS[n], list) for n in names):
-        rows = [F.when(F.expr(where[0] if where else "true"), F.struct(*[F.expr(e).alias(c) for c, e in columns])) for _, _, columns, *where in (VIEWS[n] for n in names)]
-        return load(spark, sf_dir, sources.pop(), given).select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
+        # the day decides most of what a record says: it is read from the time once a file
+        expr = lambda e: F.expr(e.replace(DAY, "__day"))
+        rows = [F.when(expr(where[0] if where else "true"), F.struct(*[expr(e).alias(c) for c, e in columns])) for _, _, columns, *where in (VIEWS[n] for n in names)]
+        said = " ".join(e for n in names for e in [*dict(VIEWS[n][2]).values(), *VIEWS[n][3:]])
+        source = load(spark, sf_dir, sources.pop(), given)
+        named = [c for c in source.columns if re.search(rf"\b{c}\b", said.replace(DAY, ""))]
+        day = [F.expr(DAY).alias("__day")] if DAY in said else []
+        return settled(source, *named, *day).select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
     return reduce(DataFrame.unionByName, [load(spark, sf_dir, n, given) for n in names])
