@@ -77,7 +77,7 @@ class Rule:
     action: dict = field(compare=False)
 
     def condition(self) -> Column:
-        """Whether a file with the columns of :func:`prepared_files` is taken."""
+        """Whether a file with the columns of :func:`described_files` is taken, as far as its origin does not decide."""
         path, size = F.col("__path"), F.coalesce("size_bytes", F.lit(0))
         inside = reduce(lambda a, b: a | b, [(path == f) | path.startswith(f + "/") for f in self.folders], F.lit(False))
         tests = {
@@ -86,7 +86,6 @@ class Rule:
             "scope": lambda v: inside if v == "only" else ~inside,
             "formats": lambda v: F.col("__format").isin(v),
             "representation": lambda v: F.col("__class") == v,
-            "origin": lambda v: F.col("__origin") == v,
             "role": lambda v: F.col("role") == v,
             "states": lambda v: F.col("selection_state").isin(v),
             "state_not": lambda v: ~F.col("selection_state").eqNullSafe(v),
@@ -126,13 +125,21 @@ def _joined(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), "/")
 
 
-def prepared_files(files: DataFrame) -> DataFrame:
-    """files with what conditions and targets read, each worked out once a file."""
+def described_files(files: DataFrame) -> DataFrame:
+    """files with what conditions read."""
     path, ext = F.col("relative_path"), F.col("extension")
-    return files.withColumns({
-        "__path": M.casefold(path), "__ext": F.lower(ext), "__format": M.format_name(ext), "__class": M.representation_class(ext),
-        "__origin": M.representation_origin(F.col("role"), F.col("managed_output")), "__name": M.base_name(path), "__stem": M.stem(path), "__folder": M.parent_folder(path),
-    })
+    return files.withColumns({"__path": M.casefold(path), "__ext": F.lower(ext), "__format": M.format_name(ext), "__class": M.representation_class(ext)})
+
+
+def prepared_files(files: DataFrame) -> DataFrame:
+    """files with what targets read."""
+    path = F.col("relative_path")
+    return files.withColumns({"__name": M.base_name(path), "__stem": M.stem(path), "__folder": M.parent_folder(path)})
+
+
+def _once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """rows with columns that a filter behind them does not spell out again."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
 
 
 def target_of(rule: Rule, profile: dict | None) -> Column:
@@ -174,13 +181,20 @@ def path_problem(path: Column, state_folder: str = ".lumaloom") -> Column:
     )
 
 
-def managed_outputs(files: DataFrame, copies: DataFrame, derivatives: DataFrame) -> DataFrame:
-    """files with ``managed_output``: provenance (file_id, output_path, output_sha256) still describes the file."""
-    claims = copies.select("file_id", "output_path", "output_sha256").union(derivatives.select("file_id", "output_path", "output_sha256"))
+def managed_outputs(files: DataFrame, copies: DataFrame, derivatives: DataFrame, asked: Column | None = None) -> DataFrame:
+    """files with ``managed_output``: provenance (file_id, output_path, output_sha256) still describes the file.
+
+    asked: files for which it is looked up, all without it; for others it is false.
+    Rows meet by the file alone, so that what follows finds them dealt out by it.
+    """
+    names = ["file_id", "output_path", "output_sha256"]
+    claims = copies.select(*names).union(derivatives.select(*names)).dropna().repartition("file_id").distinct()
     # a row for each claim that a file could meet; the flag is one column whatever their number
-    proven = claims.select(F.col("file_id").alias("__f"), F.col("output_path").alias("__p"), F.col("output_sha256").alias("__s")).distinct().withColumn("managed_output", F.lit(True))
-    same = (F.col("file_id") == F.col("__f")) & (F.col("relative_path") == F.col("__p")) & (F.col("sha256") == F.col("__s"))
-    return files.join(proven, same, "left").drop("__f", "__p", "__s").withColumn("managed_output", F.coalesce("managed_output", F.lit(False)))
+    proven = claims.select(F.col("file_id").alias("__f"), F.struct(F.col("output_path").alias("path"), F.col("output_sha256").alias("sha256")).alias("__claim"), F.lit(True).alias("managed_output"))
+    known = F.col("relative_path").isNotNull() & F.col("sha256").isNotNull()
+    own = F.when(known if asked is None else known & asked, F.struct(F.col("relative_path").alias("path"), "sha256"))
+    same = (F.col("file_id") == F.col("__f")) & F.array_contains(F.array("__claim"), F.col("__own"))
+    return files.withColumn("__own", own).join(proven, same, "left").drop("__f", "__claim", "__own").withColumn("managed_output", F.coalesce("managed_output", F.lit(False)))
 
 
 def output_ratio(profile: dict | None) -> float:
@@ -227,13 +241,15 @@ def spelled(operations: DataFrame, rules: list[dict], profiles: list[dict]) -> D
     return _estimated(told).drop("__ratio")
 
 
-def match_rules(files: DataFrame, rules: list[dict], profiles: list[dict] = ()) -> DataFrame:
+def match_rules(files: DataFrame, rules: list[dict], profiles: list[dict] = (), provenance: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """A row for every file and rule that takes it, in the order of rules, with what the rule would do and ``conflicts``.
 
     Rules are known when the query is planned, so they become one array of
     compiled conditions that is exploded: one scan, no join, and all that rules
     of one file have against each other is seen before any row leaves its task.
-    files needs ``managed_output`` (see :func:`managed_outputs`) and ``selection_state``.
+    files needs ``selection_state``, and ``managed_output`` or else the provenance
+    (copies, derivatives) that :func:`managed_outputs` finds it by.  Then only files
+    that a rule may take meet provenance, and are looked up if it decides.
     """
     by_id, checked_rules = {p["profile_id"]: p for p in profiles}, enabled_rules(rules)
     raw = F.lit(None).cast("string")
@@ -245,8 +261,14 @@ def match_rules(files: DataFrame, rules: list[dict], profiles: list[dict] = ())
     n = lambda ids: F.size(F.array_intersect("__hits", ids))
     several = (n(terminal) > 1) | ((n(terminal) > 0) & (n(replaces) > 0))
 
-    hits = F.array_compact(F.array(*[F.when(r.condition(), F.lit(i)) for i, r in enumerate(checked_rules)]))
-    taken = prepared_files(files).withColumn("__hits", hits).filter(F.size("__hits") > 0)
+    hits = F.array_compact(F.array(*[F.when(r.condition(), F.lit(i)) for i, r in enumerate(checked_rules)])).cast("array<int>")
+    some = _once(described_files(files), hits.alias("__some")).filter(F.size("__some") > 0).select(*files.columns, "__some")
+    if provenance is not None:
+        decides = F.arrays_overlap("__some", of(lambda r: r.origin is not None))
+        some = managed_outputs(some, *provenance, decides & (M.representation_origin(F.col("role"), F.lit(False)) == "source"))
+    managed = M.representation_origin(F.col("role"), F.col("managed_output")) == "managed"
+    others = F.when(managed, of(lambda r: r.origin == "source")).otherwise(of(lambda r: r.origin == "managed"))
+    taken = prepared_files(_once(some, F.array_except("__some", others).alias("__hits")).filter(F.size("__hits") > 0))
     ready = taken.withColumns({"__moves": n(moves) > 1, "__several": several, "__both": (n(deletes) > 0) & (n(copies) > 0)})
     one = ready.select("*", F.explode("__hits").alias("__rule")).withColumn("h", _told(rules, profiles, F.col("__rule"))).select("*", "h.*").withColumn("__raw", raw)
     operation = F.col("operation")
