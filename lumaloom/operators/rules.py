@@ -169,7 +169,9 @@ def target_of(rule: Rule, profile: dict | None) -> Column:
 
 def path_problem(path: Column, state_folder: str = ".lumaloom") -> Column:
     """Why a target path is not safe; null if it is."""
-    return (
+    # one look at the path tells whether it could be any of these; most are none
+    odd = path.rlike(rf'[<>:"|?*\\\x00-\x1f]|[ .](/|$)|(^|/)(\.|/|$|(?i:{DEVICES}))') | path.startswith(" ") | F.lower(path).contains(state_folder)
+    return F.when(path.isNull() | ~odd, None).otherwise(
         F.when((path == "") | (F.trim(path) != path) | path.contains("\0"), "malformed")
         .when(path.rlike(r"^[/\\]|^[A-Za-z]:[/\\]"), "absolute")
         .when(path.rlike(r"(^|/)\.\.(/|$)"), "parent")
