@@ -252,6 +252,18 @@ def could_link(n_a, at_a, n_b, at_b, percent: int = PERCENT):
     return (100 + percent) * most >= percent * (n_a + n_b)
 
 
+def within_reach(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """docs without most of those whose doc_id is not wanted, so that their texts cross no exchange.
+
+    One bit a wanted id in 2**20 words of 64 bits: at most MOST_OFTEN rows are
+    broadcast, whatever the number of ids.  A join by the id itself must follow.
+    """
+    word, bit = F.expr("shiftrightunsigned(xxhash64(doc_id), 44)"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")
+    words = scratch.save(wanted.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits")), name)
+    met = docs.withColumn("__word", word).join(F.broadcast(words), "__word")
+    return met.filter(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b) with the exact intersection: a, b, n_a, n_b, common.
 
@@ -368,11 +380,14 @@ def voronoi(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFr
     rows of the main component need not meet each other.
     """
     sized = rows.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / HOT), F.ceil(F.sum("n") / HEAVY)).cast("int").alias("k"))
-    dealt = rows.join(sized, "region").withColumn("part", F.lit(0))
-    small = dealt.filter("k = 1").drop("k", "main")
-    large = dealt.filter("k > 1").withColumn("block", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
-    if sized.filter("k > 1").isEmpty():
-        return small
+    # only large regions are named, and there are few of them: rows with their bits need no exchange to meet them
+    hot = scratch.save(sized.filter("k > 1"), "hot-regions")
+    found = hot.count()
+    if not found:
+        return rows.withColumn("part", F.lit(0)).drop("main")
+    hot = F.broadcast(hot) if found <= MOST_OFTEN else hot
+    small = rows.join(hot, "region", "left_anti").withColumn("part", F.lit(0)).drop("main")
+    large = rows.join(hot, "region").withColumn("block", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
     heads = large.groupBy("region", "block").agg(F.min(F.struct(F.xxhash64("class", F.lit(1)), "class", "bits", "k")).alias("x"))
     heads = heads.select("region", F.explode(F.sequence(F.lit(0), F.col("x.k") - 1)).alias("block"), F.col("x.class").alias("class"), F.col("x.bits").alias("bits"))
     heads = heads.select("region", "block", F.lit(0).alias("kind"), "class", F.lit(0).cast("long").alias("component"), F.lit(0).alias("n"), F.lit(False).alias("main"), F.lit(True).alias("home"), F.lit(0).alias("power"), "bits")
@@ -567,7 +582,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         for known in sets:
             wanted = wanted.join(known.select("class"), "class", "left_anti")
         wanted = scratch.save(wanted.join(classes, "class"), f"wanted-{len(sets)}")
-        found = docs.join(wanted, "doc_id").select("class", "name1", "name2", "text").mapInArrow(sets_of, "class long, items binary")
+        found = within_reach(docs, wanted, scratch, f"words-{len(sets)}").join(wanted, "doc_id").select("class", "name1", "name2", "text").mapInArrow(sets_of, "class long, items binary")
         sets.append(scratch.save(found, f"items-{len(sets)}", "snappy"))
         scratch.release()
         union = sets[0]
@@ -604,7 +619,12 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         links = links.unionByName(verified(scratch.save(pairs, f"pairs-{step}"), f"links-{step}"))
         named = components(links, scratch, f"cc-{step}")
         state = scratch.save(unresolved(inner, named), f"state-{step}")
-    may = scratch.save(promising(voronoi(scratch.save(leveled(state, bits, percent), "leveled", "snappy"), scratch, percent), percent), "promising")
+    level_rows = scratch.save(leveled(state, bits, percent), "leveled", "snappy")
+    # prefixes and bits have been read for the last time
+    scratch.drop("sets")
+    scratch.release()
+    may = scratch.save(promising(voronoi(level_rows, scratch, percent), percent), "promising")
+    scratch.drop("leveled", "voronoi")
     scratch.release()
     union = with_sets(may.select("class").distinct())
     more = scratch.save(exact_links(may.join(union, "class"), percent), "links-exact")
