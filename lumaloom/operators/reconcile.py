@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media as M
@@ -11,17 +11,23 @@ from ..functions import times as T
 from .scratch import written
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """:func:`written`, never broadcast: a file of ids takes few bytes a row, so its size does not tell that the rows fill a driver."""
+    return written(df, name).hint("merge")
+
+
 def min_label_components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> (node, component): smallest label around, with pointer jumping, until nothing changes."""
-    both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
+    """edges(a, b) -> (node, component): smallest label around, with hooking of what carries a label and pointer jumping, until nothing changes."""
+    both = kept(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node")
-    step = 0
+    labels, step = kept(labels, "labels"), 0
     while True:
-        labels = written(labels, f"labels-{step}")
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        low = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("to"))
-        new = written(low.join(jump, low["low"] == jump["at"]).select("node", "old", F.least("low", "to").alias("component")), f"step-{step}")
+        low = kept(labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("low")), f"low-{step}")
+        # a node that is another's label takes the smallest label that one of these meets: chains of small ends do not pass it on step by step
+        ends = F.array(F.struct(F.col("node").alias("at"), F.col("old").alias("to")), F.struct(F.col("old").alias("at"), F.col("low").alias("to")))
+        jump = low.select(F.inline(ends)).groupBy("at").agg(F.min("to").alias("to"))
+        new = kept(low.join(jump, F.col("low") == F.col("at")).select("node", "old", F.least("low", "to").alias("component")), f"step-{step}")
         if new.filter("old <> component").isEmpty():
             return new.select("node", "component")
         labels, step = new.select("node", "component"), step + 1
@@ -45,6 +51,15 @@ def reconcile(assets: DataFrame, files: DataFrame) -> DataFrame:
     return members.join(heads, "component").select("asset_id", "survivor")
 
 
+def moments(when: Column) -> dict[str, Column]:
+    """Columns of both sides a and b from their capture_time and its kind: seconds ``s``, wall clock ``w`` and what they mean, ``axis``."""
+    out = {}
+    for n in ("a", "b"):
+        time, kind = F.col(f"{n}_capture_time"), F.col(f"{n}_capture_time_kind")
+        out |= {f"{n}_s": T.capture_seconds(time, kind), f"{n}_w": T.wall_clock_us(time), f"{n}_axis": T.semantics(kind)}
+    return {n: F.when(when, c) for n, c in out.items()}
+
+
 def stem_pairs(assets: DataFrame, files: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """stem, raw_asset, rendered_asset, outcome, rule: RAW files and rendered ones that one stem names.
 
@@ -61,11 +76,12 @@ def stem_pairs(assets: DataFrame, files: DataFrame, tolerance: float = 5.0) -> D
     raw = M.is_raw(F.col("extension"))
     ends = [f(F.when(c, F.col("asset_id"))).alias(n) for n, f, c in (("r0", F.min, raw), ("r1", F.max, raw), ("j0", F.min, ~raw), ("j1", F.max, ~raw))]
     met = own.groupBy(M.casefold(M.stem(F.col("filename"))).alias("stem")).agg(*ends).filter("r0 is not null and j0 is not null")
-    seconds, kind = T.capture_seconds(F.col("capture_time"), F.col("capture_time_kind")), F.col("capture_time_kind")
-    known = assets.select("asset_id", "selection_state", seconds.alias("s"), T.wall_clock_us(F.col("capture_time")).alias("w"), T.semantics(kind).alias("axis"), F.lower(F.trim("camera")).alias("camera"))
+    known = assets.select("asset_id", "selection_state", "capture_time", "capture_time_kind", F.lower(F.trim("camera")).alias("camera"))
     side = lambda n, key: known.select(*[F.col(c).alias(f"{n}_{c}" if c != "asset_id" else key) for c in known.columns])
     unique = (F.col("r0") == F.col("r1")) & (F.col("j0") == F.col("j1"))
+    # times are read where two assets meet alone, not for every asset on either side
     j = met.join(side("a", "r0"), "r0", "left").join(side("b", "j0"), "j0", "left")
+    j = X.held(j, moments(unique & (F.col("r0") != F.col("j0"))))
     timed = F.col("a_s").isNotNull() & F.col("b_s").isNotNull()
     cameras = F.col("a_camera").isNotNull() & F.col("b_camera").isNotNull()
     mixed = timed & (F.col("a_axis") != F.col("b_axis"))
@@ -98,7 +114,7 @@ def survivors(assets: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFr
     members = min_label_components(edges).join(assets.select("asset_id", "selection_state", "created_at"), F.col("node") == F.col("asset_id")).join(blocked, "asset_id", "left_anti")
     key = F.struct((F.col("selection_state") == "undecided").alias("open"), "created_at", "asset_id")
     heads = members.groupBy("component").agg(F.min_by("asset_id", key).alias("survivor"))
-    return written(members.join(heads, "component").select("asset_id", "survivor"), "survivors")
+    return kept(members.join(heads, "component").select("asset_id", "survivor"), "survivors")
 
 
 def renamed_to(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
@@ -131,17 +147,17 @@ def similar_pictures(pairs: DataFrame, sides: tuple[DataFrame, DataFrame], pictu
     for cond, owner, guest, own, other in (("left", "l", "r", *shown), ("not left", "r", "l", *shown[::-1])):
         ends = pairs.filter(cond)
         brought = ends.join(other.withColumnRenamed("asset_id", guest), guest).select(F.col(owner).alias("asset_id"), "picture").distinct()
-        met.append(side(own.join(ends.select(F.col(owner).alias("asset_id")).distinct(), "asset_id", "left_semi"), "a").join(side(brought, "b"), ["asset_id", "i", "segment"]))
+        met.append(side(own.join(ends.select(F.col(owner).alias("asset_id")).distinct(), "asset_id", "left_semi"), "a").hint("merge").join(side(brought, "b"), ["asset_id", "i", "segment"]))
     bits = F.aggregate(F.zip_with("a_bits", "b_bits", lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x)
     near = met[0].unionByName(met[1]).filter(F.abs(F.col("a_mean") - F.col("b_mean")) <= RMSE_MOST + 1e-9).filter(bits <= BITS_MOST)
-    near = written(near.select(F.least("a_picture", "b_picture").alias("p"), F.greatest("a_picture", "b_picture").alias("q"), bits.alias("bits")).distinct(), "near")
+    near = kept(near.select(F.least("a_picture", "b_picture").alias("p"), F.greatest("a_picture", "b_picture").alias("q"), bits.alias("bits")).distinct(), "near")
     grids = ["small_red", "small_green", "small_blue"]
     grid = lambda n, key: pictures.select(F.col("picture").alias(key), F.struct(*grids).alias(n))
     both = near.filter("p <> q").join(grid("l", "p"), "p").join(grid("r", "q"), "q")
     both = both.withColumn("rmse", F.sqrt(X.mean_squared_error(*[[F.col(f"{s}.{c}") for c in grids] for s in ("l", "r")]) / 65025)).filter(F.col("rmse") <= RMSE_MOST)
     both = X.held(both, {f"{s}_hist": F.concat(*[F.transform(X.histogram_counts(F.col(f"{s}.{c}"), 16), lambda n: n.cast("double")) for c in grids]) for s in ("l", "r")})
     apart = F.aggregate(F.zip_with("l_hist", "r_hist", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x) / (F.size("l.small_red") * 6)
-    both = written(both.select("p", "q", "rmse", "bits", apart.alias("histogram")).filter(F.col("histogram") <= HISTOGRAM_MOST), "similar")
+    both = kept(both.select("p", "q", "rmse", "bits", apart.alias("histogram")).filter(F.col("histogram") <= HISTOGRAM_MOST), "similar")
     same = near.filter("p = q").select("p", "q", F.lit(0.0).alias("rmse"), "bits", F.lit(0.0).alias("histogram"))
     return same.union(both).union(both.select(F.col("q").alias("p"), F.col("p").alias("q"), "rmse", "bits", "histogram"))
 
@@ -161,19 +177,19 @@ def peer_evidence(files: DataFrame, pictures: DataFrame, assets: DataFrame, tole
     facts = pictures.select("picture", "bits", (F.aggregate(small, F.lit(0).cast("long"), lambda a, x: a + x) / (F.size(small) * 255)).alias("mean"))
     cut = lambda i: F.floor(F.size("bits") * i / (BITS_MOST + 1)).cast("int")
     facts = facts.filter("mean is not null and bits is not null and not exists(bits, x -> x is null)")
-    facts = written(facts.withColumn("band", F.floor(F.col("mean") / RMSE_MOST).cast("int")).withColumn("segments", F.array(*[F.array_join(F.slice("bits", cut(i) + 1, cut(i + 1) - cut(i)), ",") for i in range(BITS_MOST + 1)])), "facts")
+    facts = kept(facts.withColumn("band", F.floor(F.col("mean") / RMSE_MOST).cast("int")).withColumn("segments", F.array(*[F.array_join(F.slice("bits", cut(i) + 1, cut(i + 1) - cut(i)), ",") for i in range(BITS_MOST + 1)])), "facts")
     told = files.filter("picture is not null").join(facts.select("picture", "band"), "picture").groupBy("asset_id", (~jxl & ~raw).alias("rendered"), "picture", "band", "width", "height").agg(F.min("file_id").alias("file_id"))
     # any file of an asset with a JPEG XL under the stem may stand for it; of the other side only rendered files
-    told = written(told, "told")
+    told = kept(told, "told")
     shown = (told.groupBy("asset_id", "picture", "band", "width", "height").agg(F.min("file_id").alias("file_id")), told.filter("rendered").drop("rendered"))
     stems = lambda cond, key, bands: files.filter(cond).select("asset_id", "stem").distinct().join(bands.distinct(), "asset_id").withColumnRenamed("asset_id", key)
     wide = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
     left, right = stems(jxl, "l", shown[0].select("asset_id", wide)), stems(~jxl & ~raw, "r", shown[1].select("asset_id", "band"))
-    met = written(left.join(right, ["stem", "band"]).filter("l <> r").select("stem", "l", "r").distinct(), "met")
+    met = kept(left.join(right, ["stem", "band"]).filter("l <> r").select("stem", "l", "r").distinct(), "met")
     size = lambda i, key: shown[i].groupBy(F.col("asset_id").alias(key)).agg(F.count("*").alias(f"n_{key}"))
     # of a pair, the asset with fewer pictures is spelled out
-    pairs = written(met.select("l", "r").distinct().join(size(0, "l"), "l").join(size(1, "r"), "r").select("l", "r", (F.col("n_l") >= F.col("n_r")).alias("left")), "pairs")
-    similar = written(similar_pictures(pairs, shown, pictures, facts), "alike")
+    pairs = kept(met.select("l", "r").distinct().join(size(0, "l"), "l").join(size(1, "r"), "r").select("l", "r", (F.col("n_l") >= F.col("n_r")).alias("left")), "pairs")
+    similar = kept(similar_pictures(pairs, shown, pictures, facts), "alike")
     by = lambda i, key: shown[i].select(F.col("asset_id").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in ("picture", "width", "height", "file_id")])
     found = [
         pairs.filter(cond).join(by(i, few), few).join(similar, F.col(f"{few}_picture") == F.col(p)).join(by(1 - i, many).withColumnRenamed(many, "__many"), (F.col(many) == F.col("__many")) & (F.col(q) == F.col(f"{many}_picture")))
@@ -183,10 +199,9 @@ def peer_evidence(files: DataFrame, pictures: DataFrame, assets: DataFrame, tole
     sized = ~(known("l") & known("r")) | ((F.col("l_width") == F.col("r_width")) & (F.col("l_height") == F.col("r_height")))
     best = found[0].unionByName(found[1]).filter(sized).groupBy("l", "r").agg(F.min(F.struct("rmse", "l_file_id", "r_file_id", "bits", "histogram")).alias("best"))
     best = met.join(best, ["l", "r"]).withColumnsRenamed({"l": "jxl_asset", "r": "rendered_asset"})
-    seconds, kind = T.capture_seconds(F.col("capture_time"), F.col("capture_time_kind")), F.col("capture_time_kind")
-    facts = assets.select("asset_id", seconds.alias("s"), T.wall_clock_us(F.col("capture_time")).alias("w"), T.semantics(kind).alias("axis"), "camera")
+    facts = assets.select("asset_id", "capture_time", "capture_time_kind", "camera")
     side = lambda n, key: facts.select(*[F.col(c).alias(key if c == "asset_id" else f"{n}_{c}") for c in facts.columns])
-    j = best.join(side("a", "jxl_asset"), "jxl_asset").join(side("b", "rendered_asset"), "rendered_asset")
+    j = X.held(best.join(side("a", "jxl_asset"), "jxl_asset").join(side("b", "rendered_asset"), "rendered_asset"), moments(F.lit(True)))
     apart = F.when(F.col("a_axis") != F.col("b_axis"), F.abs(F.col("a_w") - F.col("b_w")) / 1e6).otherwise(F.abs(F.col("a_s") - F.col("b_s")))
     timed = F.col("a_s").isNotNull() & F.col("b_s").isNotNull()
     against = (timed & F.coalesce(apart > tolerance, F.lit(True))) | F.coalesce(F.col("a_camera") != F.col("b_camera"), F.lit(False))
@@ -223,37 +238,39 @@ def reconcile_stages(assets: DataFrame, files: DataFrame, tolerance: float = 5.0
     assets, for content from the smallest one to each other: the pairs of files
     behind them are what :func:`sides` spells out.
     """
+    assets, files = assets.hint("merge"), files.hint("merge")
     if pictures is None:
         # equal pictures are one, and no file carries its pixels through the stages
         shown = ["small_red", "small_green", "small_blue", "bits"]
         files = files.withColumn("picture", F.when(F.col("small_red").isNotNull(), F.sha2(F.to_json(F.struct(*shown)), 256)))
-        pictures = written(files.filter("picture is not null").groupBy("picture").agg(*[F.first(c).alias(c) for c in shown]), "pictures")
+        pictures = kept(files.filter("picture is not null").groupBy("picture").agg(*[F.first(c).alias(c) for c in shown]), "pictures")
         files = files.drop(*shown)
+    pictures = pictures.hint("merge")
     role = F.lower(F.coalesce("role", F.lit("")))
     own = files.filter((F.col("media_type") == "image") & ~role.startswith("managed") & ~role.startswith("derived")).withColumn("stem", M.casefold(M.stem(F.col("filename"))))
-    families = written(content_families(assets, files).filter("assets > 1"), "families")
+    families = kept(content_families(assets, files).filter("assets > 1"), "families")
     opposed = F.col("chosen").isNotNull() & F.col("refused").isNotNull()
     member = files.select("media_type", "sha256", "asset_id").distinct()
-    blocked = written(member.join(families.filter(opposed), ["media_type", "sha256"]).select("asset_id").distinct(), "blocked")
-    first = written(member.join(families.filter(~opposed).select("media_type", "sha256", "head"), ["media_type", "sha256"]).filter("asset_id <> head").select(F.col("head").alias("a"), F.col("asset_id").alias("b")).distinct(), "exact")
+    blocked = kept(member.join(families.filter(opposed), ["media_type", "sha256"]).select("asset_id").distinct(), "blocked")
+    first = kept(member.join(families.filter(~opposed).select("media_type", "sha256", "head"), ["media_type", "sha256"]).filter("asset_id <> head").select(F.col("head").alias("a"), F.col("asset_id").alias("b")).distinct(), "exact")
     one = survivors(assets, first, blocked)
 
     # stage 2: stems with one RAW and one rendered asset
     mine = renamed_to(own, one, "asset_id")
     known = assets.join(camera_of(mine), "asset_id", "left")
-    found = written(stem_pairs(known, mine, tolerance), "stems")
+    found = kept(stem_pairs(known, mine, tolerance), "stems")
     stopped = lambda df, l, r: df.join(blocked.withColumnRenamed("asset_id", l), l, "left_anti").join(blocked.withColumnRenamed("asset_id", r), r, "left_anti")
     raw_pairs = stopped(found.filter("outcome = 'paired'"), "raw_asset", "rendered_asset")
     raw_against = stopped(found.filter("outcome = 'decision_conflict'"), "raw_asset", "rendered_asset")
-    second = written(first.union(raw_pairs.select("raw_asset", "rendered_asset")), "second")
+    second = kept(first.union(raw_pairs.select("raw_asset", "rendered_asset")), "second")
     two = survivors(assets, second, blocked)
 
     # stage 3: stems with one JPEG XL and rendered pair that shows the same
     late = renamed_to(own, two, "asset_id")
-    peers = written(peer_evidence(late, pictures, assets.join(camera_of(late), "asset_id", "left"), tolerance), "peers")
+    peers = kept(peer_evidence(late, pictures, assets.join(camera_of(late), "asset_id", "left"), tolerance), "peers")
     single = peers.groupBy("stem").agg(F.count("*").alias("n"), F.min(F.struct("jxl_asset", "rendered_asset")).alias("p")).select("stem", "n", "p.*")
-    judged = written(_opposed(stopped(single.filter("n = 1"), "jxl_asset", "rendered_asset"), assets, "jxl_asset", "rendered_asset"), "judged")
-    third = written(second.union(judged.filter(~F.col("opposed")).select("jxl_asset", "rendered_asset")), "third")
+    judged = kept(_opposed(stopped(single.filter("n = 1"), "jxl_asset", "rendered_asset"), assets, "jxl_asset", "rendered_asset"), "judged")
+    third = kept(second.union(judged.filter(~F.col("opposed")).select("jxl_asset", "rendered_asset")), "third")
     last = survivors(assets, third, blocked)
 
     same = found.filter("outcome = 'already_reconciled'").withColumn("rule", F.lit("already_reconciled"))
