@@ -12,21 +12,24 @@ PARTS = ["metadata", "thumbnail", "quality"]
 UNDER_WAY = ["pending", "running"]
 
 
+#: What a file's details hold of its own columns, and what is said of it.
+DETAILS = ["relative_path", "filename", "extension", "media_type", "role", "size_bytes", "sha256", "mtime", "is_online", "in_scope", "width", "height", "duration", "quality_score", "relationships"]
+
+
 def _with_states(files: DataFrame, states: DataFrame) -> DataFrame:
-    # of thumbnails the output path is read, of the others version and status
-    known = by_component(states, PARTS, {"metadata": 2, "thumbnail": 4, "quality": 2}).select("file_id", F.struct(*PARTS).alias("__s"))
-    return files.join(known, "file_id", "left")
+    # of thumbnails it is asked whether a path is recorded, which keeps the order of records; of the others version and status
+    told = states.withColumn("output_path", F.col("output_path") != "")
+    known = by_component(told, PARTS, {"metadata": 2, "thumbnail": 4, "quality": 2})
+    state = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c)["version"].alias("version"), F.col(c)["status"].alias("status"))).alias(c)
+    thumbnail = F.coalesce((F.col("thumbnail.status") == "complete") & F.col("thumbnail.output_path"), F.lit(False))
+    known = known.select("file_id", F.struct(*[state(c) for c in PARTS]).alias("__s"), thumbnail.alias("__thumbnail"))
+    return files.join(known, "file_id", "left").withColumn("__thumbnail", F.coalesce("__thumbnail", F.lit(False)))
 
 
 def _preference() -> Column:
     return M.preference(F.col("in_scope"), F.col("is_online"), F.col("extension"), F.col("role"), F.col("relative_path"), F.col("file_id"))
 
 
-def _thumbnail() -> Column:
-    t = F.col("__s")["thumbnail"]
-    return F.coalesce((t["status"] == "complete") & (t["output_path"] != ""), F.lit(False))
-
-
 def asset_summaries(assets: DataFrame, files: DataFrame, states: DataFrame, decisions: DataFrame, groups: DataFrame, run_id: str | None = None) -> DataFrame:
     """One row per asset that has a file.
 
@@ -44,7 +47,7 @@ def asset_summaries(assets: DataFrame, files: DataFrame, states: DataFrame, deci
     raw = (F.col("media_type") == "image") & M.is_raw(F.col("extension"))
     scope, online, score = F.col("in_scope"), F.col("is_online"), F.col("quality_score")
     key, place = _preference(), F.struct((~scope).alias("a"), (~online).alias("b"), "relative_path", "file_id")
-    shown = F.struct("in_scope", "file_id", "filename", "relative_path", "codec", "extension", raw.alias("raw"), _thumbnail().alias("thumbnail"))
+    shown = F.struct("in_scope", "file_id", "filename", "relative_path", "codec", "extension", raw.alias("raw"), F.col("__thumbnail").alias("thumbnail"))
     scored = F.struct("in_scope", score.alias("score"), M.quality_source(score, F.col("quality_record"), F.col("media_type")).alias("source"))
     best = lambda row, order, when: F.min_by(F.when(when, row), F.when(when, order))
     sized = (F.col("width") > 0) & (F.col("height") > 0)
@@ -55,7 +58,7 @@ def asset_summaries(assets: DataFrame, files: DataFrame, states: DataFrame, deci
     g = f.groupBy("asset_id").agg(
         F.count("*").alias("physical_count"), F.count_if(online).alias("online_count"), F.bool_or(scope).alias("__scoped"),
         *[F.bool_or(c).alias(f"__has_{n}") for n, c in cases.items()], F.bool_or(scope & online).alias("__online_scope"),
-        best(shown, key, F.lit(True)).alias("__p"), best(shown, key, online).alias("__o"), best(shown, key, online & ~raw).alias("__d"), best(shown, key, _thumbnail()).alias("__t"), best(F.struct("in_scope", "width", "height"), key, sized).alias("__z"),
+        best(shown, key, F.lit(True)).alias("__p"), best(shown, key, online).alias("__o"), best(shown, key, online & ~raw).alias("__d"), best(shown, key, F.col("__thumbnail")).alias("__t"), best(F.struct("in_scope", "width", "height"), key, sized).alias("__z"),
         best(scored, place, ~raw & score.isNotNull()).alias("__qr"), best(scored, place, score.isNotNull()).alias("__qa"),
         *[F.bool_or(c & F.coalesce(x, F.lit(False))).alias(f"__{n}_{k}") for n, x in flags.items() for k, c in cases.items()],
     )
@@ -79,14 +82,18 @@ def asset_summaries(assets: DataFrame, files: DataFrame, states: DataFrame, deci
     )
 
 
-def asset_details(assets: DataFrame, files: DataFrame, states: DataFrame, relations: DataFrame, derivatives: DataFrame, locations: DataFrame) -> DataFrame:
+def asset_details(assets: DataFrame, files: DataFrame, states: DataFrame, relations: DataFrame, derivatives: DataFrame, locations: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """asset_id, location, files: every file of an asset as a struct, the preferred one first, then by (online, path).
 
     relations(file_id, kind); derivatives(file_id, codec, profile) of managed files;
     locations(file_id, latitude, longitude) as written: the place is that of the
     preferred file if it is on the globe, else of the first file in order whose is,
     among files in scope, or all if none is.  An asset's files are one row by definition.
+    ``columns``: which of ``DETAILS`` are wanted, all if none are named.
+
+    Files meet their asset as plain rows that hold each text once, not as lists and keys half made.
     """
+    columns = DETAILS if columns is None else columns
     kinds = relations.groupBy("file_id").agg(F.array_sort(F.collect_set("kind")).alias("__kinds"))
     managed = derivatives.groupBy("file_id").agg(F.max(F.struct("codec", "profile")).alias("__m"))
     where = locations.groupBy("file_id").agg(F.max(F.struct("latitude", "longitude")).alias("__l"))
@@ -96,16 +103,17 @@ def asset_details(assets: DataFrame, files: DataFrame, states: DataFrame, relati
     label = M.representation_label(F.when(F.col("__m").isNotNull(), F.col("file_id")), F.col("__m.codec"), F.col("__m.profile"), role, related)
     on_globe = M.valid_gps(F.col("__l.latitude"), F.col("__l.longitude"))
     spot = F.when(on_globe, F.struct(F.col("__l.latitude").try_cast("double").alias("latitude"), F.col("__l.longitude").try_cast("double").alias("longitude")))
-    plain = ["relative_path", "filename", "extension", "media_type", "role", "size_bytes", "sha256", "mtime", "is_online", "in_scope", "width", "height", "duration", "quality_score"]
+    asked = dict.fromkeys([*(c for c in columns if c != "relationships"), "relative_path", "extension", "role", "is_online", "in_scope"])
+    f = f.select("asset_id", "file_id", *asked, related.alias("relationships"), label.alias("label"), "__s", "__thumbnail", spot.alias("spot")).repartition("asset_id")
     row = F.struct(
         (~F.col("is_online")).alias("off"), F.col("relative_path").alias("path"), F.col("file_id").alias("id"),
-        F.struct("file_id", *plain, related.alias("relationships"), label.alias("label"), (F.col("is_online") & F.col("in_scope")).alias("original"), (_thumbnail() & F.col("in_scope")).alias("thumbnail"),
+        F.struct("file_id", *columns, "label", (F.col("is_online") & F.col("in_scope")).alias("original"), (F.col("__thumbnail") & F.col("in_scope")).alias("thumbnail"),
                  F.struct(*[F.struct(F.col("__s")[c]["status"].alias("status"), F.col("__s")[c]["version"].alias("version")).alias(c) for c in PARTS]).alias("components")).alias("file"),
     )
-    key = _preference()
+    key, placed = _preference(), F.col("spot").isNotNull()
     g = f.groupBy("asset_id").agg(
-        F.array_sort(F.collect_list(row)).alias("all"), F.min_by("file_id", key).alias("first"), F.bool_or("in_scope").alias("scoped"), F.min_by(F.struct("in_scope", spot.alias("spot")), key).alias("own"),
-        F.min_by(F.when(on_globe, F.struct("in_scope", spot.alias("spot"))), F.when(on_globe, F.struct((~F.col("in_scope")).alias("a"), (~F.col("is_online")).alias("b"), "relative_path", "file_id"))).alias("any"),
+        F.array_sort(F.collect_list(row)).alias("all"), F.min_by("file_id", key).alias("first"), F.bool_or("in_scope").alias("scoped"), F.min_by(F.struct("in_scope", "spot"), key).alias("own"),
+        F.min_by(F.when(placed, F.struct("in_scope", "spot")), F.when(placed, F.struct((~F.col("in_scope")).alias("a"), (~F.col("is_online")).alias("b"), "relative_path", "file_id"))).alias("any"),
     )
     ordered = F.concat(F.filter("all", lambda x: x["id"] == F.col("first")), F.filter("all", lambda x: x["id"] != F.col("first")))
     location = F.coalesce(F.col("own.spot"), F.when(~F.col("scoped") | F.col("any.in_scope"), F.col("any.spot")))

@@ -257,7 +257,7 @@ def prj_7(spark, d):
     twins = f.join(f.groupBy("sha256").agg(F.count("*").alias("n")).filter("n > 1"), "sha256", "left_semi").select("file_id", F.lit("exact_duplicate").alias("kind"))
     managed = load(spark, d, "managed_derivative", given).join(f.select("file_id", "role"), "file_id").select("file_id", F.lit("jpeg-xl").alias("codec"), F.col("role").alias("profile"))
     gps = load(spark, d, "metadata", given).select("file_id", F.get_json_object("text", "$.gps.latitude").alias("latitude"), F.get_json_object("text", "$.gps.longitude").alias("longitude"))
-    out = V.asset_details(load(spark, d, "asset"), f, load(spark, d, "file_state", given), twins, managed, gps)
+    out = V.asset_details(load(spark, d, "asset"), f, load(spark, d, "file_state", given), twins, managed, gps, ["relative_path", "role", "size_bytes"])
     known = lambda c: F.coalesce(c, F.lit("?"))
     flag = lambda c, t: F.when(c, t).otherwise("-")
     text = lambda x: F.concat_ws("|", x["file_id"].cast("string"), x["relative_path"], x["role"], x["label"], x["size_bytes"].cast("string"), F.concat(flag(x["original"], "o"), flag(x["thumbnail"], "t")), F.concat(known(x["components"]["metadata"]["status"]), x["components"]["metadata"]["version"]), known(x["components"]["thumbnail"]["status"]), known(x["components"]["quality"]["status"]))
