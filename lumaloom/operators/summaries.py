@@ -10,6 +10,8 @@ from .states import by_component
 
 PARTS = ["metadata", "thumbnail", "quality"]
 UNDER_WAY = ["pending", "running"]
+#: Files of an asset from which its summary is aggregated in parts; there are few such assets, one in so many files at most.
+HOT = 100_000
 
 
 #: What a file's details hold of its own columns, and what is said of it.
@@ -41,34 +43,51 @@ def asset_summaries(assets: DataFrame, files: DataFrame, states: DataFrame, deci
     Issues are as in a viewer: offline, processing, unsupported, failed.
 
     One aggregate by asset holds the best file for each purpose; the files of an
-    asset are never gathered.
+    asset are never gathered.  They meet it as plain rows, once; only assets of more
+    than ``HOT`` files are aggregated in parts before, so that none is one task's.
     """
     f = _with_states(files, states)
     raw = (F.col("media_type") == "image") & M.is_raw(F.col("extension"))
     scope, online, score = F.col("in_scope"), F.col("is_online"), F.col("quality_score")
-    key, place = _preference(), F.struct((~scope).alias("a"), (~online).alias("b"), "relative_path", "file_id")
-    shown = F.struct("in_scope", "file_id", "filename", "relative_path", "codec", "extension", raw.alias("raw"), F.col("__thumbnail").alias("thumbnail"))
-    scored = F.struct("in_scope", score.alias("score"), M.quality_source(score, F.col("quality_record"), F.col("media_type")).alias("source"))
-    best = lambda row, order, when: F.min_by(F.when(when, row), F.when(when, order))
-    sized = (F.col("width") > 0) & (F.col("height") > 0)
+    key = _preference()
+    rank = key["a"] * 16 + key["b"] * 8 + key["d"] * 4 + key["e"] * 2 + key["f"]
     status = F.array(*[F.col("__s")[c]["status"] for c in PARTS])
     flags = {"processing": F.arrays_overlap(status, F.array(*map(F.lit, UNDER_WAY))), "unsupported": F.array_contains(status, "unsupported"), "failed": F.array_contains(status, "failed")}
     # which files count: in scope or all, without RAW ones or all
     cases = {"sr": scope & ~raw, "s": scope, "r": ~raw, "a": F.lit(True)}
-    g = f.groupBy("asset_id").agg(
-        F.count("*").alias("physical_count"), F.count_if(online).alias("online_count"), F.bool_or(scope).alias("__scoped"),
-        *[F.bool_or(c).alias(f"__has_{n}") for n, c in cases.items()], F.bool_or(scope & online).alias("__online_scope"),
-        best(shown, key, F.lit(True)).alias("__p"), best(shown, key, online).alias("__o"), best(shown, key, online & ~raw).alias("__d"), best(shown, key, F.col("__thumbnail")).alias("__t"), best(F.struct("in_scope", "width", "height"), key, sized).alias("__z"),
-        best(scored, place, ~raw & score.isNotNull()).alias("__qr"), best(scored, place, score.isNotNull()).alias("__qa"),
-        *[F.bool_or(c & F.coalesce(x, F.lit(False))).alias(f"__{n}_{k}") for n, x in flags.items() for k, c in cases.items()],
+    asked = {"online_s": scope & online, **{f"has_{n}": c for n, c in cases.items()}, **{f"{n}_{k}": c & x for n, x in flags.items() for k, c in cases.items()}}
+    bits = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(asked.values())]
+    source = M.quality_source(score, F.col("quality_record"), F.col("media_type"))
+    f = f.select(
+        "asset_id", "file_id", "relative_path", "filename", "codec", "extension", "in_scope", "is_online", "width", "height",
+        raw.alias("raw"), F.col("__thumbnail").alias("thumbnail"), rank.alias("rank"), sum(bits[1:], bits[0]).alias("__bits"), score.alias("score"), source.alias("source"),
     )
-    inside = lambda c: F.when(~F.col("__scoped") | F.col(c)["in_scope"], F.col(c))
+
+    def summed(f: DataFrame) -> DataFrame:
+        order = ["rank", F.lower("relative_path").alias("low"), "relative_path", "file_id"]
+        place = [(~scope).alias("a"), (~online).alias("b"), "relative_path", "file_id"]
+        best = lambda order, when, *shown: F.min(F.when(when, F.struct(*order, *shown)))
+        scored, rendered = F.col("score").isNotNull(), ~F.col("raw")
+        return f.groupBy("asset_id").agg(
+            F.count("*").alias("physical_count"), F.count_if(online).alias("online_count"), F.bit_or("__bits").alias("__said"),
+            best(order, F.lit(True), "filename", "codec").alias("__p"), best(order, online, "codec", "extension", "raw", "thumbnail").alias("__o"),
+            best(order, online & rendered, "extension", "raw", "thumbnail").alias("__d"), best(order, F.col("thumbnail")).alias("__t"),
+            best(order, (F.col("width") > 0) & (F.col("height") > 0), "width", "height").alias("__z"),
+            best(place, rendered & scored, "score", "source").alias("__qr"), best(place, scored, "score", "source").alias("__qa"),
+        )
+
+    many = F.broadcast(files.groupBy("asset_id").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("asset_id"))
+    g = summed(f.join(many, "asset_id", "left_anti").repartition("asset_id")).unionByName(summed(f.join(many, "asset_id", "left_semi")))
+    said = {n: F.col("__said").bitwiseAND(F.lit(1 << i)) != 0 for i, n in enumerate(asked)}
+    scoped = said["has_s"]
+    inside = lambda c: F.when(~scoped | (~F.col(c)["a"] if c.startswith("__q") else F.col(c)["rank"] < 16), F.col(c))
     g = g.select("*", *[inside(c).alias(c[2:]) for c in ("__p", "__o", "__d", "__t", "__z", "__qr", "__qa")])
-    rendered = F.when(F.col("__scoped"), F.col("__has_sr")).otherwise(F.col("__has_r"))
+    rendered = F.when(scoped, said["has_sr"]).otherwise(said["has_r"])
     quality = F.when(rendered, F.col("qr")).otherwise(F.col("qa"))
-    counted = lambda n: F.when(F.col("__scoped"), F.when(F.col("__has_sr"), F.col(f"__{n}_sr")).otherwise(F.col(f"__{n}_s"))).otherwise(F.when(F.col("__has_r"), F.col(f"__{n}_r")).otherwise(F.col(f"__{n}_a")))
-    offline = ~F.when(F.col("__scoped"), F.col("__online_scope")).otherwise(F.col("online_count") > 0)
-    display = F.coalesce("d", "o")
+    counted = lambda n: F.when(scoped, F.when(said["has_sr"], said[f"{n}_sr"]).otherwise(said[f"{n}_s"])).otherwise(F.when(said["has_r"], said[f"{n}_r"]).otherwise(said[f"{n}_a"]))
+    offline = ~F.when(scoped, said["online_s"]).otherwise(F.col("online_count") > 0)
+    shown = lambda c: F.when(F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{n}").alias(n) for n in ("file_id", "extension", "raw", "thumbnail")]))
+    display = F.coalesce(shown("d"), shown("o"))
     preview = display["raw"] | ((F.lower(display["extension"]) == ".jxl") & display["thumbnail"])
     out = assets.join(g, "asset_id").join(decisions.select("asset_id", "representative", "recommended"), "asset_id", "left").join(groups.select("group_id", "members"), "group_id", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))

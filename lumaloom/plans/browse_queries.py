@@ -26,8 +26,8 @@ CATALOG = f"""pref AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER
 VIEWS_HINT = " /* FROM file JOIN asset */ "
 
 
-def catalog_of(spark: SparkSession, d: str) -> DataFrame:
-    return B.browse_catalog(load(spark, d, "asset"), load(spark, d, "file"))
+def catalog_of(spark: SparkSession, d: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    return B.browse_catalog(load(spark, d, "asset"), load(spark, d, "file", given))
 
 
 @query("cmp_1_browse_catalog", f"WITH {CATALOG} SELECT * FROM cat")
@@ -144,11 +144,11 @@ CODEC = "CASE extension WHEN '.mp4' THEN 'h264' WHEN '.jxl' THEN 'jpeg-xl' END"
 EMBEDDED = """CASE WHEN is_raw AND size_bytes % 3 = 0 THEN '{"quality_source": "raw_embedded_preview"}' END"""
 
 
-def decisions_of(spark, d):
+def decisions_of(spark, d, given=None):
     """Representatives and recommendations of the catalog's groups."""
     from ..operators.selection import recommend
 
-    return recommend(catalog_of(spark, d), 0.7).select("group_id", "asset_id", (F.col("reason") != "not_representative").alias("representative"), "recommended")
+    return recommend(catalog_of(spark, d, given), 0.7).select("group_id", "asset_id", (F.col("reason") != "not_representative").alias("representative"), "recommended")
 
 
 @query("prj_1_asset_summary", f"""WITH {CATALOG}, {RECOMMENDED}, {states_sql(("metadata", "status"), ("thumbnail", "status"), ("quality", "status"), ("thumbnail", "output_path"))},
@@ -174,7 +174,7 @@ def prj_1(spark, d):
     given = {"file": written(load(spark, d, "file"), "files")}
     files = given["file"].withColumns({"codec": F.expr(CODEC), "quality_record": F.expr(EMBEDDED)})
     groups = assets.filter("group_id is not null").groupBy("group_id").agg(F.count("*").alias("members"))
-    out = V.asset_summaries(assets, files, load(spark, d, "file_state", given), decisions_of(spark, d), groups, "run-1")
+    out = V.asset_summaries(assets, files, load(spark, d, "file_state", given), decisions_of(spark, d, given), groups, "run-1")
     return out.withColumn("issues", F.array_join("issues", ","))
 
 
